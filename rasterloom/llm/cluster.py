@@ -1,7 +1,7 @@
 """Clusters of mutually similar vectors, found inside overlapping k-means cells and checked exactly.
 
-k-means brings similar vectors together; each vector goes to the cells of its ``cells`` nearest centroids, so that a
-group on a border still meets. Inside a cell, blocks of rows are compared and only a star per connected part leaves
+k-means brings similar vectors together; each vector goes to the cell of its nearest centroid and to those of others
+nearly as near, so that a group on a border still meets. Inside a cell, blocks of rows are compared and only a star per connected part leaves
 the task, never the pairs. Stars are joined over cells; what is a group in the end is checked pair by pair, in blocks.
 """
 
@@ -59,19 +59,21 @@ def _links(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stars(assigned: DataFrame, least: float, block_rows: int = 8192) -> DataFrame:
-    """``rep, root``: for each cell (and pair of its blocks), each linked row with the smallest of its connected part."""
+    """``rep, root, n, whole``: for each cell (and pair of its blocks), each linked row with the smallest of its
+    connected part, the part's size there, and whether all its pairs are linked."""
     rows = _blocks(assigned.select("model", F.explode("cells").alias("cell"), "rep", "vec"), ["model", "cell"], block_rows)
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         b = b.drop_duplicates("rep").sort_values("rep", ignore_index=True)
         p, q = _links(matrix(b["vec"]), least)
         lab = _labels(len(b), p, q)
-        linked = np.zeros(len(b), bool)
-        linked[p] = linked[q] = True
+        n, pairs = np.bincount(lab, minlength=len(b)), np.bincount(lab[p], minlength=len(b))
+        linked = n[lab] > 1
+        root = lab[linked]
         rep = b["rep"].to_numpy()
-        return pd.DataFrame({"rep": rep[linked], "root": rep[lab[linked]]})
+        return pd.DataFrame({"rep": rep[linked], "root": rep[root], "n": n[root], "whole": 2 * pairs[root] == n[root] * (n[root] - 1)})
 
-    return rows.groupBy("model", "cell", "i", "j").applyInPandas(run, "rep bigint, root bigint").distinct()
+    return rows.groupBy("model", "cell", "i", "j").applyInPandas(run, "rep bigint, root bigint, n bigint, whole boolean")
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -80,7 +82,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     The smallest label known is passed along the links until nothing changes; each round is a stored table. A chain
     of cells takes a round per link of the chain: RuntimeError if ``rounds`` don't do.
     """
-    edges = materialize(edges.select("rep", "root").union(edges.select("root", "root")).distinct(), "stars")
+    edges = materialize(edges.select("rep", "root").distinct(), "edges")
     labels = edges.groupBy("rep").agg(F.min("root").alias("label"))
     for _ in range(rounds):
         # To a root the smallest label of its star, and back to the star.
@@ -106,13 +108,13 @@ def broken(labelled: DataFrame, least: float, block_rows: int = 8192) -> DataFra
     return rows.groupBy("label", "i", "j").applyInPandas(run, "label bigint").distinct()
 
 
-def mutual_groups(results: DataFrame, catalog: DataFrame, least: float = 0.8, smallest: int = 3, cells: int = 4, per_cluster: int = 256, block_rows: int = 8192) -> DataFrame:
+def mutual_groups(results: DataFrame, catalog: DataFrame, least: float = 0.8, smallest: int = 3, cells: int = 8, margin: float = 0.15, per_cluster: int = 256, block_rows: int = 8192) -> DataFrame:
     """``cluster_id, result_id, rep``: the groups of at least ``smallest`` usable vectors of a model in which every
     two are similar (``least`` or more) and none outside is similar to any; ``cluster_id`` is the smallest result.
 
     Identical vectors are compared once and all count as members. Vectors that are null, of another length, not
-    finite or all zero are left out, re-delivered rows count once, an empty table gives an empty result. A link whose
-    ends share none of their ``cells`` nearest cells is not seen; see the README for the recall measured.
+    finite or all zero are left out, re-delivered rows count once, an empty table gives an empty result. A vector goes to
+    up to ``cells`` cells, those within ``margin`` of its nearest; a link whose ends share no cell is not seen: see the README for the recall measured.
     """
     reps, members = collapse(usable(results, catalog))
     reps = materialize(reps, "reps")
@@ -120,9 +122,14 @@ def mutual_groups(results: DataFrame, catalog: DataFrame, least: float = 0.8, sm
     reps = reps.select("model", "rep", "vec")
     if reps.isEmpty():
         return members.select(F.col("rep").alias("cluster_id"), "result_id", "rep")
-    assigned = KMeans.fit(reps, per_cluster).assign(reps, cells)
-    labels = components(stars(assigned, least, block_rows))
-    labelled = reps.join(labels, "rep").select("label", "rep", "vec")
+    assigned = KMeans.fit(reps, per_cluster).assign(reps, cells, margin)
+    found = materialize(stars(assigned, least, block_rows), "stars")
+    labels = materialize(components(found), "labels")
+    # A group that one cell holds as a whole has been checked there; only the rest is compared again.
+    size = labels.groupBy("label").agg(F.count("*").alias("total"))
+    seen = found.filter("rep = root and whole").join(labels, "rep").groupBy("label").agg(F.max("n").alias("n"))
+    open_ = size.join(seen, "label", "left").filter(F.coalesce("n", F.lit(0)) < F.col("total")).select("label")
+    labelled = reps.join(labels.join(open_, "label"), "rep").select("label", "rep", "vec")
     wrong = broken(labelled, least, block_rows)
     rows = members.join(labels, "rep", "left").withColumn("cluster_id", F.coalesce("label", "rep")).join(wrong.withColumnRenamed("label", "cluster_id"), "cluster_id", "left_anti")
     large = rows.groupBy("cluster_id").agg(F.count("*").alias("n")).filter(F.col("n") >= smallest)

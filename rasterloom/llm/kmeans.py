@@ -70,8 +70,8 @@ class KMeans:
         return hashed(units(matrix(vectors)), self.weights[model])
 
     @classmethod
-    def fit(cls, reps: DataFrame, per_cluster: int = 256, max_k: int = 1024, rounds: int = 3, steps: int = 3, seed: int = 11) -> KMeans:
-        """k is one per ``per_cluster`` rows of the model, ``max_k`` at most; ``rounds`` of seeding draw about k rows
+    def fit(cls, reps: DataFrame, per_cluster: int = 256, max_k: int = 1024, rounds: int = 2, steps: int = 2, seed: int = 11) -> KMeans:
+        """k is one per ``per_cluster`` rows of the model, ``max_k`` at most; ``rounds`` of seeding draw some k rows
         each, ``steps`` of Lloyd follow. The same table gives the same centroids, however it is partitioned, up to the
         order of float sums."""
         weights = component_weights(reps)
@@ -79,8 +79,9 @@ class KMeans:
         k = {m: int(min(max_k, max(1, -(-n // per_cluster)))) for m, n in sizes.items()}
         start = reps.groupBy("model").agg(F.min_by("vec", F.xxhash64("rep", F.lit(seed))).alias("vec")).collect()
         me = cls(weights, {m: hashed(units(np.array([v], np.float32)), weights[m]) for m, v in start})
+        cost = {m: float(n) for m, n in sizes.items()}
         for i in range(rounds):
-            me._draw(reps, k, sizes, seed + i)
+            cost = me._draw(reps, k, cost, 1.5 * (i + 1), seed + i)
         for model, (c, w) in me._weigh(reps).items():
             me.centroids[model] = _recluster(c, w, k[model], seed)
         for _ in range(steps):
@@ -89,43 +90,33 @@ class KMeans:
                 me.centroids[model] = (s / np.linalg.norm(s, axis=1, keepdims=True)).astype(np.float32)
         return me
 
-    def _draw(self, reps: DataFrame, k: dict[str, int], sizes: dict[str, int], seed: int) -> None:
-        """One round of oversampling: each row is drawn with probability k * cost / total cost, by a hash of its id.
-
-        The total is estimated by n times the mean cost of the round before it can be known: a first pass sums it.
-        """
-        cost = {r["model"]: r["c"] for r in self._nearest(reps).groupBy("model").agg(F.sum("cost").alias("c")).collect()}
+    def _draw(self, reps: DataFrame, k: dict[str, int], cost: dict[str, float], often: float, seed: int) -> dict[str, float]:
+        """One round of oversampling: a row is drawn with probability ``often`` * k * its cost / ``cost``, by a hash of
+        its id. ``cost`` is the total a round ago, no less than the present one, which the same pass returns; so at
+        most ``often`` * k rows of a model are expected."""
         ship = reps.sparkSession.sparkContext.broadcast((self, k, cost))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             me, k, cost = ship.value
+            total: dict[str, float] = {}
             for b in batches:
                 for model, at in b.groupby("model").indices.items():
                     f = me.features(model, b["vec"].iloc[at])
                     c = 1 - (f @ me.centroids[model].T).max(1)
-                    u = _uniform(b["rep"].to_numpy()[at], seed)
-                    f = f[u * max(cost[model], 1e-9) < k[model] * c]
+                    total[model] = total.get(model, 0.0) + float(c.sum())
+                    f = f[_uniform(b["rep"].to_numpy()[at], seed) * max(cost[model], 1e-9) < often * k[model] * c]
                     if len(f):
-                        yield pd.DataFrame({"model": model, "f": list(f)})
+                        yield pd.DataFrame({"model": model, "f": list(f), "cost": 0.0})
+            if total:
+                yield pd.DataFrame({"model": list(total), "f": None, "cost": list(total.values())})
 
-        # About k rows per model and round, by the rule of the draw itself.
-        got = reps.select("model", "rep", "vec").mapInPandas(run, "model string, f array<float>").collect()
+        got = reps.select("model", "rep", "vec").mapInPandas(run, "model string, f array<float>, cost double").collect()
         for model in self.centroids:
-            mine = [r["f"] for r in got if r["model"] == model]
+            mine = [r["f"] for r in got if r["model"] == model and r["f"] is not None]
             if mine:
                 both = np.concatenate([self.centroids[model], np.array(sorted(mine), np.float32)])
                 self.centroids[model] = both[np.sort(np.unique(both, axis=0, return_index=True)[1])]
-
-    def _nearest(self, reps: DataFrame) -> DataFrame:
-        ship = reps.sparkSession.sparkContext.broadcast(self)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for model, at in b.groupby("model").indices.items():
-                    c = 1 - (ship.value.features(model, b["vec"].iloc[at]) @ ship.value.centroids[model].T).max(1)
-                    yield pd.DataFrame({"model": [model], "cost": [float(c.sum())]})
-
-        return reps.select("model", "vec").mapInPandas(run, "model string, cost double")
+        return {m: sum(r["cost"] for r in got if r["model"] == m) for m in self.centroids}
 
     def _partial(self, reps: DataFrame) -> DataFrame:
         """Per model and centroid the count and the sum of the rows nearest to it, summed in each task first."""
@@ -164,9 +155,9 @@ class KMeans:
     def _weigh(self, reps: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         return {m: (c, w) for m, (c, w, _) in self._sums(reps).items()}
 
-    def assign(self, reps: DataFrame, n: int = 1) -> DataFrame:
-        """``reps`` with ``cells array<int>``, the ``n`` nearest centroids, nearest first, and ``near``, the cosine in
-        feature space to the first."""
+    def assign(self, reps: DataFrame, n: int = 1, margin: float = 0.0) -> DataFrame:
+        """``reps`` with ``cells array<int>``, the nearest centroid and up to ``n`` - 1 more within ``margin`` of its
+        cosine, nearest first, and ``near``, the cosine in feature space to the first."""
         ship = reps.sparkSession.sparkContext.broadcast(self)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,9 +168,10 @@ class KMeans:
                     m = min(n, s.shape[1])
                     top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < s.shape[1] else np.broadcast_to(np.arange(m), s.shape)
                     top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1).astype(np.int32)
-                    near[at] = np.take_along_axis(s, top[:, :1], 1)[:, 0]
-                    for i, row in zip(at, top):
-                        cells[i] = row
+                    s = np.take_along_axis(s, top, 1)
+                    near[at] = s[:, 0]
+                    for i, row, m in zip(at, top, (s >= s[:, :1] - margin).sum(1)):
+                        cells[i] = row[:m]
                 yield b.assign(cells=cells, near=near)
 
         return reps.select("model", "rep", "vec").mapInPandas(run, "model string, rep bigint, vec array<float>, cells array<int>, near double")
