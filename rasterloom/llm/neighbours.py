@@ -2,7 +2,8 @@
 
 A model of more than ``shard_rows`` vectors is split by pivots fitted on a bounded sample: a vector lives in the shards
 of its nearest pivot (split again by hash where a pivot draws too many) and is searched for in those of its ``probes``
-nearest pivots. A shard's graph is a row of a table: ids, vectors and flat neighbour arrays as bytes.
+nearest pivots. Its own vectors are answered where the shard is built; for other shards' queries, a shard's graph is a
+row of a table: ids, vectors and flat neighbour arrays as bytes.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from rasterloom.common import materialize
 from rasterloom.llm.hnsw import Hnsw
 from rasterloom.llm.vectors import collapse, matrix, units, usable
 
-SHARDS = "model string, shard int, n int, dim int, ids binary, vectors binary, links binary"
+SHARDS = "model string, pivot int, part int, q bigint, n bigint, sim double, dim int, ids binary, vectors binary, links binary"
 HITS = "model string, q bigint, n bigint, sim double"
 MAX_PIVOTS = 16_384
 
@@ -76,66 +77,82 @@ def routed(reps: DataFrame, pivots: dict[str, np.ndarray], probes: int) -> DataF
     return reps.mapInPandas(run, "model string, rep bigint, vec array<float>, homes array<int>")
 
 
-def build_index(routed_reps: DataFrame, shard_rows: int, ef: int = 32) -> DataFrame:
-    """One row per shard (``SHARDS``). ``shard`` counts within a pivot's share, hashed where it is too large."""
+def _mix(ids: np.ndarray) -> np.ndarray:
+    z = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (z ^ (z >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _answers(g: Hnsw, ids: np.ndarray, x: np.ndarray, rep: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, ef: int) -> pd.DataFrame:
+    """``q, n, sim``: the ``k`` nearest of a shard to each query but itself, ranked in double precision, ties to the
+    smaller id."""
+    near, _ = g.search(units(q), k + 5, ef, own)  # some more than k: single precision leaves near ties open
+    row, col = np.nonzero((near >= 0) & (near != own[:, None]))
+    hit = near[row, col]
+    length = lambda v: np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64))
+    sim, ql, xl = np.empty(len(row)), length(q), length(x)
+    for s in range(0, len(row), 65_536):
+        e = slice(s, s + 65_536)
+        sim[e] = np.einsum("ij,ij->i", q[row[e]].astype(np.float64), x[hit[e]].astype(np.float64)) / (ql[row[e]] * xl[hit[e]])
+    order = np.lexsort((ids[hit], -sim, row))
+    row, hit, sim = row[order], hit[order], sim[order]
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+    keep = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)])) < k
+    return pd.DataFrame({"q": rep[row[keep]], "n": ids[hit[keep]], "sim": sim[keep]})
+
+
+def build_shards(routed_reps: DataFrame, shard_rows: int, k: int, ef: int = 32, shared: tuple[str, ...] = ()) -> DataFrame:
+    """A graph per shard, and what it answers to its own vectors (``q, n, sim``: the ``k`` nearest others).
+
+    Of models in ``shared``, whose vectors are asked of other shards too, there is also a row per shard with its
+    graph: ids, vectors and flat neighbour arrays as bytes. A pivot's vectors are hashed into parts of about
+    ``shard_rows``.
+    """
     home = F.element_at("homes", 1)
     parts = routed_reps.groupBy("model", home.alias("pivot")).agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts"))
     rows = routed_reps.select("model", home.alias("pivot"), "rep", "vec").join(parts, ["model", "pivot"])
     rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    names = [c.split()[0] for c in SHARDS.split(", ")]
 
     def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.iloc[np.argsort(_mix(b["rep"].to_numpy()), kind="stable")]  # an order without meaning, the same each time
-        x = matrix(b["vec"])
+        x, ids = matrix(b["vec"]), b["rep"].to_numpy()
         g = Hnsw.build(units(x), ef)
-        return pd.DataFrame([(key[0], int(key[1]), int(key[2]), len(b), x.shape[1], b["rep"].to_numpy().astype("<i8").tobytes(), x.tobytes(), g.pack())], columns=["model", "pivot", "part", "n", "dim", "ids", "vectors", "links"])
+        out = _answers(g, ids, x, ids, x, np.arange(len(b), dtype=np.int32), k, ef)
+        if key[0] in shared:
+            stored = {"dim": [x.shape[1]], "ids": [ids.astype("<i8").tobytes()], "vectors": [x.tobytes()], "links": [g.pack()]}
+            out = pd.concat([out, pd.DataFrame(stored)])
+        out = out.reindex(columns=names).assign(model=key[0], pivot=int(key[1]), part=int(key[2]))
+        return out.astype({c: "Int64" for c in ("q", "n", "dim")})
 
-    schema = "model string, pivot int, part int, n int, dim int, ids binary, vectors binary, links binary"
-    return rows.select("model", "pivot", "part", "rep", "vec").groupBy("model", "pivot", "part").applyInPandas(run, schema)
-
-
-def _mix(ids: np.ndarray) -> np.ndarray:
-    z = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (z ^ (z >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return rows.select("model", "pivot", "part", "rep", "vec").groupBy("model", "pivot", "part").applyInPandas(run, SHARDS)
 
 
 def search(index: DataFrame, routed_queries: DataFrame, k: int, ef: int = 32, chunk_rows: int = 65_536) -> DataFrame:
-    """``HITS``: of each query (``model, rep, vec, homes``) the ``k`` nearest others in the index by cosine, in double
-    precision, ties to the smaller id. Queries of a shard are cut into chunks; each chunk's task gets the shard's row.
+    """``HITS``: of each query (``model, rep, vec, homes``) the ``k`` nearest others in the shards of its pivots except
+    the one it lives in. Queries of a shard are cut into chunks; each chunk's task gets the shard's row.
     """
-    asked = routed_queries.select("model", F.explode("homes").alias("pivot"), "rep", "vec")
-    chunks = asked.groupBy("model", "pivot").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
-    left = asked.join(chunks, ["model", "pivot"]).select("model", "pivot", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("chunks")).cast("int").alias("chunk"), "rep", "vec")
     parts = index.groupBy("model", "pivot").agg(F.count("*").cast("int").alias("parts"))
-    left = left.join(parts, ["model", "pivot"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    right = index.join(chunks, ["model", "pivot"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    keys = ["model", "pivot", "part", "chunk"]
+    asked = routed_queries.select("model", F.explode("homes").alias("pivot"), "rep", "vec", F.element_at("homes", 1).alias("home")).join(parts, ["model", "pivot"])
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    mine = (F.col("pivot") == F.col("home")) & (F.col("part") == F.pmod(F.xxhash64("rep"), F.col("parts")))
+    asked = asked.filter(~mine)
+    shard = ["model", "pivot", "part"]
+    chunks = asked.groupBy(*shard).agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
+    left = asked.join(chunks, shard).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("chunks")).cast("int"))
+    right = index.join(chunks, shard).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    keys = [*shard, "chunk"]
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"model": [], "q": [], "n": [], "sim": []})
         r = b.iloc[0]
         ids = np.frombuffer(r.ids, "<i8")
-        x = np.frombuffer(r.vectors, np.float32).reshape(r.n, r.dim)
+        x = np.frombuffer(r.vectors, np.float32).reshape(len(ids), -1)
         g = Hnsw.unpack(units(x), r.links)
-        rep, q = a["rep"].to_numpy(), matrix(a["vec"])
-        order = np.argsort(ids)
-        at = np.minimum(np.searchsorted(ids[order], rep), len(ids) - 1)
-        own = np.where(ids[order][at] == rep, order[at], -1).astype(np.int32)
-        near, _ = g.search(units(q), k + 5, ef, own)  # some more than k: single precision leaves near ties open
-        row, col = np.nonzero((near >= 0) & (near != own[:, None]))
-        hit = near[row, col]
-        length = lambda v: np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64))
-        sim = np.empty(len(row))
-        ql, xl = length(q), length(x)
-        for s in range(0, len(row), 65_536):
-            e = slice(s, s + 65_536)
-            sim[e] = np.einsum("ij,ij->i", q[row[e]].astype(np.float64), x[hit[e]].astype(np.float64)) / (ql[row[e]] * xl[hit[e]])
-        return pd.DataFrame({"model": r.model, "q": rep[row], "n": ids[hit], "sim": sim})
-
-    hits = left.select(*keys, "rep", "vec").groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, HITS)
-    # Shard results are merged; only k rows of a query leave a shard, so this is no large group.
-    w = Window.partitionBy("model", "q").orderBy(F.desc("sim"), "n")
-    return hits.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
+        found = _answers(g, ids, x, a["rep"].to_numpy(), matrix(a["vec"]), np.full(len(a), -1, np.int32), k, ef)
+        return found.assign(model=r.model)[["model", "q", "n", "sim"]]
+
+    return left.select(*keys, "rep", "vec").groupBy(*keys).cogroup(right.select(*keys, "ids", "vectors", "links").groupBy(*keys)).applyInPandas(run, HITS)
 
 
 def nearest_vectors(results: DataFrame, catalog: DataFrame, k: int = 5, shard_rows: int = 131_072, probes: int = 8, ef: int = 24) -> DataFrame:
@@ -151,9 +168,14 @@ def nearest_vectors(results: DataFrame, catalog: DataFrame, k: int = 5, shard_ro
     reps = materialize(reps, "reps")
     members = materialize(members.join(reps.select("model", "h1", "h2", "rep"), ["model", "h1", "h2"]).select("model", "rep", "result_id"), "members")
     reps = reps.select("model", "rep", "vec")
-    there = routed(reps, fit_pivots(reps, shard_rows), probes)
-    index = materialize(build_index(there, shard_rows, ef), "index")
-    hits = search(index, there, k, ef)
+    pivots = fit_pivots(reps, shard_rows)
+    there = routed(reps, pivots, probes)
+    shards = materialize(build_shards(there, shard_rows, k, ef, tuple(pivots)), "shards")
+    hits = shards.filter("q is not null").select("model", "q", "n", "sim")
+    if pivots:  # shard results are merged: k rows of a query from each shard it was asked of
+        other = search(shards.filter("ids is not null"), there.filter(F.col("model").isin(*pivots)), k, ef)
+        w = Window.partitionBy("model", "q").orderBy(F.desc("sim"), "n")
+        hits = hits.unionByName(other).withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
 
     group = Window.partitionBy("model", "rep").orderBy("result_id")
     # Of identical vectors only the k + 1 smallest results can be anyone's neighbour.
