@@ -70,7 +70,7 @@ class KMeans:
         return hashed(units(matrix(vectors)), self.weights[model])
 
     @classmethod
-    def fit(cls, reps: DataFrame, per_cluster: int = 256, max_k: int = 1024, rounds: int = 2, steps: int = 2, seed: int = 11) -> KMeans:
+    def fit(cls, reps: DataFrame, per_cluster: int = 256, max_k: int = 8192, rounds: int = 2, steps: int = 2, seed: int = 11) -> KMeans:
         """k is one per ``per_cluster`` rows of the model, ``max_k`` at most; ``rounds`` of seeding draw some k rows
         each, ``steps`` of Lloyd follow. The same table gives the same centroids, however it is partitioned, up to the
         order of float sums."""

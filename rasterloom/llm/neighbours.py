@@ -124,7 +124,10 @@ def build_shards(routed_reps: DataFrame, shard_rows: int, k: int, ef: int = 32,
         out = out.reindex(columns=names).assign(model=key[0], pivot=int(key[1]), part=int(key[2]))
         return out.astype({c: "Int64" for c in ("q", "n", "dim")})
 
-    return rows.select("model", "pivot", "part", "rep", "vec").groupBy("model", "pivot", "part").applyInPandas(run, SHARDS)
+    # A fixed number of tasks: a shard's bytes say little about its work, so they must not be merged by size.
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("model", "pivot", "part", "rep", "vec").repartition(n, "model", "pivot", "part")
+    return rows.groupBy("model", "pivot", "part").applyInPandas(run, SHARDS)
 
 
 def search(index: DataFrame, routed_queries: DataFrame, k: int, ef: int = 32, chunk_rows: int = 65_536) -> DataFrame:
