@@ -187,6 +187,60 @@ class Hnsw:
             ids[a : a + BATCH, : got.shape[1]], sims[a : a + BATCH, : got.shape[1]] = got, gs
         return ids, sims
 
+    def tight_groups(self, tight: float) -> np.ndarray:
+        """A number per node: equal for nodes that links of similarity ``tight`` or more join."""
+        links = self.links[0]
+        row, col = np.nonzero(links >= 0)
+        row, col = row.astype(np.int32), links[row, col]
+        keep = np.zeros(len(row), bool)
+        for s in range(0, len(row), 262_144):
+            e = slice(s, s + 262_144)
+            keep[e] = np.einsum("ij,ij->i", self.x[row[e]], self.x[col[e]]) >= tight
+        row, col = row[keep], col[keep]
+        lab = np.arange(len(self.x))
+        while True:
+            low = np.minimum(lab[row], lab[col])
+            new = lab.copy()
+            np.minimum.at(new, row, low)
+            np.minimum.at(new, col, low)
+            new = new[new]
+            if (new == lab).all():
+                return lab
+            lab = new
+
+    def reranked(self, ids: np.ndarray, sims: np.ndarray, tight: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Every node's list (``ids[i]`` of node ``i``), checked exactly against the nodes it is tightly joined with.
+
+        Among hundreds of nodes that are all about as near, a walk settles for some; the graph has brought them
+        together, so they are compared with one another. Groups of more than ``most`` keep what the walks found.
+        """
+        if not self.links:
+            return ids, sims
+        k = ids.shape[1]
+        lab = self.tight_groups(tight)
+        order = np.argsort(lab, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(lab[order]) > 0])
+        more, ms = np.full_like(ids, -1), np.full_like(sims, -np.inf)
+        for a, b in zip(first, np.r_[first[1:], len(order)]):
+            if 2 <= b - a <= most:
+                group = order[a:b]
+                x = self.x[group]
+                for s in range(0, len(group), 1024):
+                    sim = x[s : s + 1024] @ x.T
+                    at = top_k(sim, k)
+                    me = group[s : s + 1024]
+                    more[me, : at.shape[1]], ms[me, : at.shape[1]] = group[at], np.take_along_axis(sim, at, 1)
+        out, outs = np.empty_like(ids), np.empty_like(sims)
+        for a in range(0, len(ids), 4096):
+            e = slice(a, a + 4096)
+            new = more[e].copy()
+            new[(new[:, :, None] == ids[e, None, :]).any(2)] = -1
+            both, bs = np.concatenate([ids[e], new], 1), np.concatenate([sims[e], np.where(new >= 0, ms[e], -np.inf)], 1)
+            best = top_k(bs, k)
+            out[e], outs[e] = np.take_along_axis(both, best, 1), np.take_along_axis(bs, best, 1)
+        out[outs == -np.inf] = -1
+        return out, outs
+
     def pack(self) -> bytes:
         return b"".join(links.tobytes() for links in self.links)
 

@@ -82,10 +82,12 @@ def _mix(ids: np.ndarray) -> np.ndarray:
     return (z ^ (z >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _answers(g: Hnsw, ids: np.ndarray, x: np.ndarray, rep: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, ef: int) -> pd.DataFrame:
+def _answers(g: Hnsw, ids: np.ndarray, x: np.ndarray, rep: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, ef: int, rerank: tuple[float, int] | None = None) -> pd.DataFrame:
     """``q, n, sim``: the ``k`` nearest of a shard to each query but itself, ranked in double precision, ties to the
-    smaller id."""
-    near, _ = g.search(units(q), k + 5, ef, own)  # some more than k: single precision leaves near ties open
+    smaller id. ``rerank``: the queries are the shard's own nodes, in order; see :meth:`Hnsw.reranked`."""
+    near, sims = g.search(units(q), k + 5, ef, own)  # some more than k: single precision leaves near ties open
+    if rerank:
+        near, _ = g.reranked(near, sims, *rerank)
     row, col = np.nonzero((near >= 0) & (near != own[:, None]))
     hit = near[row, col]
     length = lambda v: np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64))
@@ -100,7 +102,7 @@ def _answers(g: Hnsw, ids: np.ndarray, x: np.ndarray, rep: np.ndarray, q: np.nda
     return pd.DataFrame({"q": rep[row[keep]], "n": ids[hit[keep]], "sim": sim[keep]})
 
 
-def build_shards(routed_reps: DataFrame, shard_rows: int, k: int, ef: int = 32, shared: tuple[str, ...] = ()) -> DataFrame:
+def build_shards(routed_reps: DataFrame, shard_rows: int, k: int, ef: int = 24, shared: tuple[str, ...] = (), tight: float = 0.8, group_rows: int = 8192) -> DataFrame:
     """A graph per shard, and what it answers to its own vectors (``q, n, sim``: the ``k`` nearest others).
 
     Of models in ``shared``, whose vectors are asked of other shards too, there is also a row per shard with its
@@ -117,7 +119,7 @@ def build_shards(routed_reps: DataFrame, shard_rows: int, k: int, ef: int = 32,
         b = b.iloc[np.argsort(_mix(b["rep"].to_numpy()), kind="stable")]  # an order without meaning, the same each time
         x, ids = matrix(b["vec"]), b["rep"].to_numpy()
         g = Hnsw.build(units(x), ef)
-        out = _answers(g, ids, x, ids, x, np.arange(len(b), dtype=np.int32), k, ef)
+        out = _answers(g, ids, x, ids, x, np.arange(len(b), dtype=np.int32), k, max(16, k), (tight, group_rows))
         if key[0] in shared:
             stored = {"dim": [x.shape[1]], "ids": [ids.astype("<i8").tobytes()], "vectors": [x.tobytes()], "links": [g.pack()]}
             out = pd.concat([out, pd.DataFrame(stored)])
@@ -158,14 +160,15 @@ def search(index: DataFrame, routed_queries: DataFrame, k: int, ef: int = 32, ch
     return left.select(*keys, "rep", "vec").groupBy(*keys).cogroup(right.select(*keys, "ids", "vectors", "links").groupBy(*keys)).applyInPandas(run, HITS)
 
 
-def nearest_vectors(results: DataFrame, catalog: DataFrame, k: int = 5, shard_rows: int = 131_072, probes: int = 8, ef: int = 24) -> DataFrame:
+def nearest_vectors(results: DataFrame, catalog: DataFrame, k: int = 5, shard_rows: int = 131_072, probes: int = 8, ef: int = 24, tight: float = 0.8, group_rows: int = 8192) -> DataFrame:
     """``model, result_id, rank, other_id, sim``: for each usable vector the ``k`` most similar others of its model.
 
     Identical vectors are indexed once and come back with all their results: their similarity is 1, the smaller
     result ranks first. Vectors that are null, of another length, not finite or all zero are left out, re-delivered
     rows count once, other columns are ignored, an empty table gives an empty result.
 
-    Approximate where the graph is: see the README for the recall measured against brute force.
+    The graph is approximate; nodes it joins by links of ``tight`` or more are compared with one another exactly, in
+    groups of up to ``group_rows``. See the README for the recall measured against brute force.
     """
     reps, members = collapse(usable(results, catalog))
     reps = materialize(reps, "reps")
@@ -173,7 +176,7 @@ def nearest_vectors(results: DataFrame, catalog: DataFrame, k: int = 5, shard_ro
     reps = reps.select("model", "rep", "vec")
     pivots = fit_pivots(reps, shard_rows)
     there = routed(reps, pivots, probes)
-    shards = materialize(build_shards(there, shard_rows, k, ef, tuple(pivots)), "shards")
+    shards = materialize(build_shards(there, shard_rows, k, ef, tuple(pivots), tight, group_rows), "shards")
     hits = shards.filter("q is not null").select("model", "q", "n", "sim")
     if pivots:  # shard results are merged: k rows of a query from each shard it was asked of
         other = search(shards.filter("ids is not null"), there.filter(F.col("model").isin(*pivots)), k, ef)
