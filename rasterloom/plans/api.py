@@ -146,7 +146,8 @@ def requests_of(spark: SparkSession, spatials: list, period: Period | None) -> D
 
     if not spatials:
         raise ValueError("no regions")
-    rows = [(i, *( (s.minlon, s.minlat, s.maxlon, s.maxlat, None, None, None) if isinstance(s, BBox) else (None, None, None, None, s.lon, s.lat, s.buffer_m))) for i, s in enumerate(spatials)]
+    names = ("minlon", "minlat", "maxlon", "maxlat", "lon", "lat", "buffer_m")
+    rows = [(i, *(None if (v := getattr(s, n, None)) is None else float(v) for n in names)) for i, s in enumerate(spatials)]
     df = spark.createDataFrame(rows, "point_index bigint, minlon double, minlat double, maxlon double, maxlat double, lon double, lat double, buffer_m double")
     box = buffer_box(F.col("lon"), F.col("lat"), F.col("buffer_m"))
     start, end = (period.start, period.end) if period else (None, None)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.common import scratch, table
 from rasterloom.functions import radiometry, spatial, strings, temporal, tiles
-from rasterloom.operators import analytics, catalog, export, inspection, pooling, scan
+from rasterloom.operators import analytics, catalog, export, guards, inspection, pooling, scan
 from rasterloom.plans import models
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -722,6 +722,71 @@ def feature_vector(spark: SparkSession, d: str) -> DataFrame:
     return f.select("id", F.size("features").cast("bigint").alias("n"), _r(total).alias("total"))
 
 
+# Guards, metadata, labels.
+
+
+@query("""SELECT result_id, CASE WHEN coalesce(error, '') = '' THEN 'none' WHEN contains(lower(error), 'too many pixels in sample') THEN 'too_large'
+WHEN contains(lower(error), 'permission') OR contains(lower(error), 'not authorized') OR contains(lower(error), 'unauthenticated') OR contains(lower(error), 'credentials') THEN 'access' ELSE 'other' END AS kind FROM model_results""")
+def error_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "model_results").select("result_id", guards.error_kind(F.col("error")).alias("kind"))
+
+
+@query("SELECT p_partkey, sha1('2:' || p_size || ',' || (p_size * 2)) AS digest FROM part")
+def array_digest(spark: SparkSession, d: str) -> DataFrame:
+    v = F.array("p_size", F.col("p_size") * 2)
+    return table(spark, d, "part").select("p_partkey", guards.array_digest(v).alias("digest"))
+
+
+@query("SELECT model, model_type AS type, CASE WHEN model_type = 'precomputed' THEN 'auto' ELSE 'local' END AS backend, CAST(image_size AS VARCHAR) AS image_size, CAST(dim AS VARCHAR) AS dim FROM model_catalog")
+def result_meta(spark: SparkSession, d: str) -> DataFrame:
+    back = guards.effective_backend(F.col("model_type"), F.lit(" Local "))
+    m = guards.result_meta(model=F.col("model"), type=F.col("model_type"), backend=back, image_size=F.col("image_size"), dim=F.col("dim"))
+    return table(spark, d, "model_catalog").select(m.alias("m")).select("m.model", "m.type", "m.backend", "m.image_size", F.col("m.extra")["dim"].alias("dim"))
+
+
+@query("SELECT l_suppkey AS roi, min(l_discount) >= 0 AND max(l_discount) <= 2 AS scaled, count(*) AS n FROM lineitem GROUP BY 1")
+def scaled_guard(spark: SparkSession, d: str) -> DataFrame:
+    rows = guards.required(table(spark, d, "lineitem"), "pixels")
+    return rows.groupBy(F.col("l_suppkey").alias("roi")).agg(guards.digital_numbers(F.col("l_discount")).alias("scaled"), F.count("*").alias("n"))
+
+
+@query("SELECT s_suppkey AS id, s_acctbal AS balance FROM supplier WHERE s_nationkey = 7 AND contains(lower(s_name), 'supplier#')")
+def label_scan(spark: SparkSession, d: str) -> DataFrame:
+    from rasterloom.sources.labels import label_table
+
+    path = scratch(spark, "labels")
+    table(spark, d, "supplier").write.option("header", True).csv(path)
+    rows = label_table(spark, path, {"s_suppkey": "id", "s_acctbal": "balance", "s_nationkey": "nation", "s_name": "name"}, ("balance",), {"nation": "7"}, {"name": "SUPPLIER#"})
+    return rows.select(F.col("id").cast("bigint").alias("id"), "balance")
+
+
+@query("SELECT c_custkey, printf('p%05d', c_custkey) AS item, CAST(c_custkey AS INTEGER) AS back FROM customer")
+def item_names(spark: SparkSession, d: str) -> DataFrame:
+    from rasterloom.sources import labels
+
+    rows = labels.item_names(table(spark, d, "customer").select("c_custkey"), "c_custkey")
+    return rows.withColumn("back", labels.item_index(F.col("item"), F.lit(None).cast("int")))
+
+
+@query("SELECT p_partkey, concat_ws(',', p_size % 12, 11) AS channels FROM part WHERE p_size % 12 <> 11")
+def channel_numbers(spark: SparkSession, d: str) -> DataFrame:
+    v = F.array((F.col("p_size") % 12).cast("int"), F.lit(-1), F.lit(40), F.lit(11))
+    rows = table(spark, d, "part").filter("p_size % 12 <> 11")
+    return rows.select("p_partkey", F.array_join(F.transform(guards.indices_in(v, 12), lambda i: i.cast("string")), ",").alias("channels"))
+
+
+@query()
+def kmeans_map(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of z-scored features, by the library's own k-means."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import array_to_vector
+
+    v = table(spark, d, "embeddings").filter("embedding is not null").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("f"))
+    z = StandardScaler(inputCol="f", outputCol="features", withMean=True).fit(v).transform(v)
+    return KMeans(k=6, seed=1, maxIter=10).fit(z).transform(z).select("vec_id", F.col("prediction").alias("cluster"))
+
+
 # Models, storage and streams.
 
 
