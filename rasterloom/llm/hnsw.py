@@ -208,11 +208,12 @@ class Hnsw:
                 return lab
             lab = new
 
-    def reranked(self, ids: np.ndarray, sims: np.ndarray, tight: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    def reranked(self, ids: np.ndarray, sims: np.ndarray, tight: float, most: int | None = None, block_rows: int = 8192) -> tuple[np.ndarray, np.ndarray]:
         """Every node's list (``ids[i]`` of node ``i``), checked exactly against the nodes it is tightly joined with.
 
         Among hundreds of nodes that are all about as near, a walk settles for some; the graph has brought them
-        together, so they are compared with one another. Groups of more than ``most`` keep what the walks found.
+        together, so they are compared with one another, a group of more than ``block_rows`` in blocks of that many.
+        With ``most``, groups of more nodes keep what the walks found.
         """
         if not self.links:
             return ids, sims
@@ -222,14 +223,11 @@ class Hnsw:
         first = np.flatnonzero(np.r_[True, np.diff(lab[order]) > 0])
         more, ms = np.full_like(ids, -1), np.full_like(sims, -np.inf)
         for a, b in zip(first, np.r_[first[1:], len(order)]):
-            if 2 <= b - a <= most:
+            if 2 <= b - a and (most is None or b - a <= most):
                 group = order[a:b]
-                x = self.x[group]
                 for s in range(0, len(group), 1024):
-                    sim = x[s : s + 1024] @ x.T
-                    at = top_k(sim, k)
                     me = group[s : s + 1024]
-                    more[me, : at.shape[1]], ms[me, : at.shape[1]] = group[at], np.take_along_axis(sim, at, 1)
+                    more[me], ms[me] = self._nearest_of(self.x[me], group, k, block_rows)
         out, outs = np.empty_like(ids), np.empty_like(sims)
         for a in range(0, len(ids), 4096):
             e = slice(a, a + 4096)
@@ -241,6 +239,18 @@ class Hnsw:
         out[outs == -np.inf] = -1
         return out, outs
 
+    def _nearest_of(self, q: np.ndarray, group: np.ndarray, k: int, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` nodes of ``group`` nearest to each query: ids (-1: none) and similarities, by blocks of the group."""
+        ids, sims = np.full((len(q), k), -1, np.int32), np.full((len(q), k), -np.inf, np.float32)
+        for s in range(0, len(group), block_rows):
+            block = group[s : s + block_rows]
+            sim = q @ self.x[block].T
+            at = top_k(sim, k)
+            both, bs = np.concatenate([ids, block[at].astype(np.int32)], 1), np.concatenate([sims, np.take_along_axis(sim, at, 1)], 1)
+            best = top_k(bs, k)
+            ids, sims = np.take_along_axis(both, best, 1), np.take_along_axis(bs, best, 1)
+        return ids, sims
+
     def pack(self) -> bytes:
         return b"".join(links.tobytes() for links in self.links)
 

@@ -87,7 +87,7 @@ def _answers(g: Hnsw, ids: np.ndarray, x: np.ndarray, rep: np.ndarray, q: np.nda
     smaller id. ``rerank``: the queries are the shard's own nodes, in order; see :meth:`Hnsw.reranked`."""
     near, sims = g.search(units(q), k + 5, ef, own)  # some more than k: single precision leaves near ties open
     if rerank:
-        near, _ = g.reranked(near, sims, *rerank)
+        near, _ = g.reranked(near, sims, rerank[0], block_rows=rerank[1])
     row, col = np.nonzero((near >= 0) & (near != own[:, None]))
     hit = near[row, col]
     length = lambda v: np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64))
@@ -167,8 +167,8 @@ def nearest_vectors(results: DataFrame, catalog: DataFrame, k: int = 5, shard_ro
     result ranks first. Vectors that are null, of another length, not finite or all zero are left out, re-delivered
     rows count once, other columns are ignored, an empty table gives an empty result.
 
-    The graph is approximate; nodes it joins by links of ``tight`` or more are compared with one another exactly, in
-    groups of up to ``group_rows``. See the README for the recall measured against brute force.
+    The graph is approximate; nodes it joins by links of ``tight`` or more are compared with one another exactly, large
+    groups in blocks of ``group_rows``. See the README for the recall measured against brute force.
     """
     reps, members = collapse(usable(results, catalog))
     reps = materialize(reps, "reps")

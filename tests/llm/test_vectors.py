@@ -197,6 +197,18 @@ def test_reranking_betters_every_list_and_respects_its_limit():
     assert (g.reranked(ids, s, 0.6, 2)[0] == ids).mean() > 0.999
 
 
+def test_a_tight_group_of_any_size_is_compared_exactly():
+    rng = np.random.default_rng(10)
+    x = units(rng.normal(size=16) + 0.3 * rng.normal(size=(8800, 16)))  # one group of more than group_rows = 8192
+    g = Hnsw.build(x, 16)
+    assert np.bincount(g.tight_groups(0.8)).max() > 8192
+    got = neighbours._answers(g, np.arange(8800), x, np.arange(8800), x, np.arange(8800, dtype=np.int32), 5, 16, (0.8, 8192))
+    true = x @ x.T
+    np.fill_diagonal(true, -1)
+    want = {(i, j) for i, r in enumerate(top_k(true, 5).tolist()) for j in r}
+    assert len(want & set(zip(got["q"], got["n"]))) > 0.999 * len(want)
+
+
 def test_small_and_single_graphs():
     x = units(np.eye(3, dtype=np.float32))
     for n in (1, 2, 3):
