@@ -239,6 +239,33 @@ class Hnsw:
         out[outs == -np.inf] = -1
         return out, outs
 
+    def reached(self, q: np.ndarray, ids: np.ndarray, sims: np.ndarray, lab: np.ndarray, block_rows: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+        """The lists ``ids`` of queries that are no nodes, checked exactly against the whole tight groups (``lab``, see
+        :meth:`tight_groups`) of all their nodes."""
+        if not self.links:
+            return ids, sims
+        k = ids.shape[1]
+        order = np.argsort(lab, kind="stable").astype(np.int32)
+        first = np.flatnonzero(np.r_[True, np.diff(lab[order]) > 0])
+        ends = np.r_[first[1:], len(order)]
+        at = np.searchsorted(lab[order][first], lab)  # of each node its group
+        group = np.where((ids >= 0) & ((ends - first)[at[ids]] > 1), at[ids], -1)
+        row = np.repeat(np.arange(len(q)), k)[group.ravel() >= 0]
+        pairs = np.unique(np.stack([group[group >= 0], row], 1), axis=0)  # each group with its queries
+        out, outs = ids.copy(), sims.copy()
+        starts = np.flatnonzero(np.r_[True, np.diff(pairs[:, 0]) > 0]) if len(pairs) else []
+        for a, b in zip(starts, np.r_[starts[1:], len(pairs)] if len(pairs) else []):
+            members = order[first[pairs[a, 0]] : ends[pairs[a, 0]]]
+            for s in range(a, b, 1024):
+                me = pairs[s : min(s + 1024, b), 1]
+                new, ns = self._nearest_of(q[me], members, k, block_rows)
+                ns[(new[:, :, None] == out[me][:, None, :]).any(2)] = -np.inf
+                both, bs = np.concatenate([out[me], new], 1), np.concatenate([outs[me], ns], 1)
+                best = top_k(bs, k)
+                out[me], outs[me] = np.take_along_axis(both, best, 1), np.take_along_axis(bs, best, 1)
+        out[outs == -np.inf] = -1
+        return out, outs
+
     def _nearest_of(self, q: np.ndarray, group: np.ndarray, k: int, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` nodes of ``group`` nearest to each query: ids (-1: none) and similarities, by blocks of the group."""
         ids, sims = np.full((len(q), k), -1, np.int32), np.full((len(q), k), -np.inf, np.float32)

@@ -3,7 +3,7 @@
 A model of more than ``shard_rows`` vectors is split by pivots fitted on a bounded sample: a vector lives in the shards
 of its nearest pivot (split again by hash where a pivot draws too many) and is searched for in those of its ``probes``
 nearest pivots. Its own vectors are answered where the shard is built; for other shards' queries, a shard's graph is a
-row of a table: ids, vectors and flat neighbour arrays as bytes.
+row of a table: ids, vectors, flat neighbour arrays and tight groups as bytes.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from rasterloom.common import materialize
 from rasterloom.llm.hnsw import Hnsw
 from rasterloom.llm.vectors import collapse, matrix, units, usable
 
-SHARDS = "model string, pivot int, part int, q bigint, n bigint, sim double, dim int, ids binary, vectors binary, links binary"
+SHARDS = "model string, pivot int, part int, q bigint, n bigint, sim double, dim int, ids binary, vectors binary, links binary, labels binary"
 HITS = "model string, q bigint, n bigint, sim double"
 MAX_PIVOTS = 16_384
 
@@ -82,12 +82,16 @@ def _mix(ids: np.ndarray) -> np.ndarray:
     return (z ^ (z >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _answers(g: Hnsw, ids: np.ndarray, x: np.ndarray, rep: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, ef: int, rerank: tuple[float, int] | None = None) -> pd.DataFrame:
+def _answers(g: Hnsw, ids: np.ndarray, x: np.ndarray, rep: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, ef: int, rerank: tuple[float, int] | None = None, groups: tuple[np.ndarray, int] | None = None) -> pd.DataFrame:
     """``q, n, sim``: the ``k`` nearest of a shard to each query but itself, ranked in double precision, ties to the
-    smaller id. ``rerank``: the queries are the shard's own nodes, in order; see :meth:`Hnsw.reranked`."""
-    near, sims = g.search(units(q), k + 5, ef, own)  # some more than k: single precision leaves near ties open
+    smaller id. ``rerank``: the queries are the shard's own nodes, in order; see :meth:`Hnsw.reranked`.
+    ``groups``: the queries are others, the shard's nodes have these labels; see :meth:`Hnsw.reached`."""
+    u = units(q)
+    near, sims = g.search(u, k + 5, ef, own)  # some more than k: single precision leaves near ties open
     if rerank:
         near, _ = g.reranked(near, sims, rerank[0], block_rows=rerank[1])
+    if groups:
+        near, _ = g.reached(u, near, sims, *groups)
     row, col = np.nonzero((near >= 0) & (near != own[:, None]))
     hit = near[row, col]
     length = lambda v: np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64))
@@ -106,7 +110,7 @@ def build_shards(routed_reps: DataFrame, shard_rows: int, k: int, ef: int = 24,
     """A graph per shard, and what it answers to its own vectors (``q, n, sim``: the ``k`` nearest others).
 
     Of models in ``shared``, whose vectors are asked of other shards too, there is also a row per shard with its
-    graph: ids, vectors and flat neighbour arrays as bytes. A pivot's vectors are hashed into parts of about
+    graph: ids, vectors, flat neighbour arrays and tight groups as bytes. A pivot's vectors are hashed into parts of about
     ``shard_rows``.
     """
     home = F.element_at("homes", 1)
@@ -121,7 +125,8 @@ def build_shards(routed_reps: DataFrame, shard_rows: int, k: int, ef: int = 24,
         g = Hnsw.build(units(x), ef)
         out = _answers(g, ids, x, ids, x, np.arange(len(b), dtype=np.int32), k, max(16, k), (tight, group_rows))
         if key[0] in shared:
-            stored = {"dim": [x.shape[1]], "ids": [ids.astype("<i8").tobytes()], "vectors": [x.tobytes()], "links": [g.pack()]}
+            labels = g.tight_groups(tight) if g.links else np.arange(len(x))
+            stored = {"dim": [x.shape[1]], "ids": [ids.astype("<i8").tobytes()], "vectors": [x.tobytes()], "links": [g.pack()], "labels": [labels.astype("<i4").tobytes()]}
             out = pd.concat([out, pd.DataFrame(stored)])
         out = out.reindex(columns=names).assign(model=key[0], pivot=int(key[1]), part=int(key[2]))
         return out.astype({c: "Int64" for c in ("q", "n", "dim")})
@@ -132,9 +137,10 @@ def build_shards(routed_reps: DataFrame, shard_rows: int, k: int, ef: int = 24,
     return rows.groupBy("model", "pivot", "part").applyInPandas(run, SHARDS)
 
 
-def search(index: DataFrame, routed_queries: DataFrame, k: int, ef: int = 32, chunk_rows: int = 65_536) -> DataFrame:
+def search(index: DataFrame, routed_queries: DataFrame, k: int, ef: int = 32, chunk_rows: int = 65_536, group_rows: int = 8192) -> DataFrame:
     """``HITS``: of each query (``model, rep, vec, homes``) the ``k`` nearest others in the shards of its pivots except
     the one it lives in. Queries of a shard are cut into chunks; each chunk's task gets the shard's row.
+    What a walk finds is checked exactly against the tight groups of its hits, in blocks of ``group_rows``.
     """
     parts = index.groupBy("model", "pivot").agg(F.count("*").cast("int").alias("parts"))
     asked = routed_queries.select("model", F.explode("homes").alias("pivot"), "rep", "vec", F.element_at("homes", 1).alias("home")).join(parts, ["model", "pivot"])
@@ -154,10 +160,10 @@ def search(index: DataFrame, routed_queries: DataFrame, k: int, ef: int = 32, ch
         ids = np.frombuffer(r.ids, "<i8")
         x = np.frombuffer(r.vectors, np.float32).reshape(len(ids), -1)
         g = Hnsw.unpack(units(x), r.links)
-        found = _answers(g, ids, x, a["rep"].to_numpy(), matrix(a["vec"]), np.full(len(a), -1, np.int32), k, ef)
+        found = _answers(g, ids, x, a["rep"].to_numpy(), matrix(a["vec"]), np.full(len(a), -1, np.int32), k, ef, groups=(np.frombuffer(r.labels, "<i4"), group_rows))
         return found.assign(model=r.model)[["model", "q", "n", "sim"]]
 
-    return left.select(*keys, "rep", "vec").groupBy(*keys).cogroup(right.select(*keys, "ids", "vectors", "links").groupBy(*keys)).applyInPandas(run, HITS)
+    return left.select(*keys, "rep", "vec").groupBy(*keys).cogroup(right.select(*keys, "ids", "vectors", "links", "labels").groupBy(*keys)).applyInPandas(run, HITS)
 
 
 def nearest_vectors(results: DataFrame, catalog: DataFrame, k: int = 5, shard_rows: int = 131_072, probes: int = 8, ef: int = 24, tight: float = 0.8, group_rows: int = 8192) -> DataFrame:
@@ -179,7 +185,7 @@ def nearest_vectors(results: DataFrame, catalog: DataFrame, k: int = 5, shard_ro
     shards = materialize(build_shards(there, shard_rows, k, ef, tuple(pivots), tight, group_rows), "shards")
     hits = shards.filter("q is not null").select("model", "q", "n", "sim")
     if pivots:  # shard results are merged: k rows of a query from each shard it was asked of
-        other = search(shards.filter("ids is not null"), there.filter(F.col("model").isin(*pivots)), k, ef)
+        other = search(shards.filter("ids is not null"), there.filter(F.col("model").isin(*pivots)), k, ef, group_rows=group_rows)
         w = Window.partitionBy("model", "q").orderBy(F.desc("sim"), "n")
         hits = hits.unionByName(other).withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
 

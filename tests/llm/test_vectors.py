@@ -209,6 +209,19 @@ def test_a_tight_group_of_any_size_is_compared_exactly():
     assert len(want & set(zip(got["q"], got["n"]))) > 0.999 * len(want)
 
 
+def test_other_shards_compare_the_groups_of_their_hits_exactly(spark):
+    rng = np.random.default_rng(11)
+    x = (rng.normal(size=64) + 0.3 * rng.normal(size=(12_000, 64))).astype(np.float32)  # one group in three shards or more
+    df = frame(spark, [(i, "m", v) for i, v in enumerate(x.tolist())])
+    got = neighbours.nearest_vectors(df, catalog(spark, m=64), shard_rows=5000, probes=8).toPandas()
+    u = units(x)
+    true = u @ u.T
+    np.fill_diagonal(true, -1)
+    want = {(i, j) for i, r in enumerate(top_k(true, 5).tolist()) for j in r}
+    share = len(want & set(zip(got["result_id"], got["other_id"]))) / len(want)
+    assert share > 0.999
+
+
 def test_small_and_single_graphs():
     x = units(np.eye(3, dtype=np.float32))
     for n in (1, 2, 3):
