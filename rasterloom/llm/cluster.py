@@ -3,6 +3,7 @@
 k-means brings similar vectors together; each vector goes to the cell of its nearest centroid and to those of others
 nearly as near, so that a group on a border still meets. Inside a cell, blocks of rows are compared and only a star per connected part leaves
 the task, never the pairs. Stars are joined over cells; what is a group in the end is checked pair by pair, in blocks.
+Links that no cell holds are found last: what is closed so far is compared with every vector that its radius lets reach it.
 """
 
 from __future__ import annotations
@@ -108,13 +109,74 @@ def broken(labelled: DataFrame, least: float, block_rows: int = 8192) -> DataFra
     return rows.groupBy("label", "i", "j").applyInPandas(run, "label bigint").distinct()
 
 
-def mutual_groups(results: DataFrame, catalog: DataFrame, least: float = 0.8, smallest: int = 3, cells: int = 8, margin: float = 0.15, per_cluster: int = 256, block_rows: int = 8192) -> DataFrame:
+def bridges(ends: DataFrame, least: float, block_rows: int = 32_768) -> DataFrame:
+    """``label, other``: the links of ``least`` or more from a closed group to a vector of another label.
+
+    ``ends`` (``model, rep, label, closed, vec``) holds all vectors, those of no group with ``label = rep``. By the
+    triangle inequality of angles a vector can be linked to a member of a group only within the threshold's angle plus
+    the group's radius around its root (the member ``rep = label``); those are compared with all members, so no link is
+    lost. Every root meets every vector of its model: the work grows with closed groups times vectors.
+    """
+    size = ends.groupBy("model").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("nj"), F.ceil(F.count_if("closed") / block_rows).cast("int").alias("ni"))
+    rows = ends.join(F.broadcast(size), "model")
+    i, j = F.pmod(F.xxhash64("label", F.lit(5)), F.col("ni")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(5)), F.col("nj")).cast("int")
+    left = rows.filter("closed").withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1)))
+    right = rows.filter("ni > 0").withColumn("j", j).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)))
+    keys, columns = ["model", "i", "j"], ["rep", "label", "vec"]
+    left = left.select(*[F.col(c).alias(f"{c}_1") for c in keys + columns])  # not the same columns on both sides
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = [np.zeros((0, 2), np.int64)]
+        if len(a) and len(b):
+            a = a.rename(columns=lambda c: c.removesuffix("_1")).sort_values("label", kind="stable", ignore_index=True)
+            la, lb = a["label"].to_numpy(), b["label"].to_numpy()
+            u, v = (x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] for x in (matrix(t["vec"]).astype(np.float64) for t in (a, b)))
+            first = np.flatnonzero(np.r_[True, la[1:] != la[:-1]])
+            count = np.diff(np.r_[first, len(la)])
+            root = u[np.flatnonzero(a["rep"].to_numpy() == la)]
+            near = np.einsum("ij,ij->i", u, np.repeat(root, count, axis=0))
+            # cos(angle) >= cos(threshold + radius), with a margin for single precision
+            bound = np.cos(np.arccos(least) + np.arccos(np.clip(np.minimum.reduceat(near, first), -1, 1)) + 1e-3) - 1e-4
+            root, f = root.astype(np.float32), v.astype(np.float32)
+            for s in range(0, len(root), 256):
+                g, y = np.nonzero(root[s : s + 256] @ f.T >= bound[s : s + 256, None].astype(np.float32))
+                g += s
+                other = la[first[g]] != lb[y]
+                g, y = g[other], y[other]
+                for t in range(0, len(g), 4096):
+                    p, q = g[t : t + 4096], y[t : t + 4096]
+                    n = count[p]
+                    start = np.r_[0, np.cumsum(n)]
+                    for e, h in _spans(start, 262_144):
+                        m, r = n[e:h], start[e : h + 1] - start[e]
+                        x = np.repeat(first[p[e:h]], m) + np.arange(r[-1]) - np.repeat(r[:-1], m)
+                        z = np.repeat(q[e:h], m)
+                        ok = np.einsum("ij,ij->i", u[x], v[z]) >= least
+                        found.append(np.unique(np.stack([la[x[ok]], lb[z[ok]]], 1), axis=0))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"label": pairs[:, 0], "other": pairs[:, 1]})
+
+    return left.groupBy(*[f"{c}_1" for c in keys]).cogroup(right.select(*keys, *columns).groupBy(*keys)).applyInPandas(run, "label bigint, other bigint").distinct()
+
+
+def _spans(start: np.ndarray, rows: int) -> list[tuple[int, int]]:
+    """Consecutive ranges of the lengths that ``start`` adds up, each of about ``rows`` in total, or of one."""
+    out, e = [], 0
+    while e < len(start) - 1:
+        h = max(e + 1, int(np.searchsorted(start, start[e] + rows, side="right")) - 1)
+        out.append((e, h))
+        e = h
+    return out
+
+
+def mutual_groups(results: DataFrame, catalog: DataFrame, least: float = 0.8, smallest: int = 3, cells: int = 8, margin: float = 0.15, per_cluster: int = 256, block_rows: int = 8192, reach_rows: int = 32_768) -> DataFrame:
     """``cluster_id, result_id, rep``: the groups of at least ``smallest`` usable vectors of a model in which every
     two are similar (``least`` or more) and none outside is similar to any; ``cluster_id`` is the smallest result.
 
     Identical vectors are compared once and all count as members. Vectors that are null, of another length, not
     finite or all zero are left out, re-delivered rows count once, an empty table gives an empty result. A vector goes to
-    up to ``cells`` cells, those within ``margin`` of its nearest; a link whose ends share no cell is not seen: see the README for the recall measured.
+    up to ``cells`` cells, those within ``margin`` of its nearest; links whose ends share no cell are found by
+    :func:`bridges` wherever they bear on a group.
     """
     reps, members = collapse(usable(results, catalog))
     reps = materialize(reps, "reps")
@@ -131,7 +193,20 @@ def mutual_groups(results: DataFrame, catalog: DataFrame, least: float = 0.8, sm
     open_ = size.join(seen, "label", "left").filter(F.coalesce("n", F.lit(0)) < F.col("total")).select("label")
     labelled = reps.join(labels.join(open_, "label"), "rep").select("label", "rep", "vec")
     wrong = broken(labelled, least, block_rows)
-    rows = members.join(labels, "rep", "left").withColumn("cluster_id", F.coalesce("label", "rep")).join(wrong.withColumnRenamed("label", "cluster_id"), "cluster_id", "left_anti")
+    # A broken group stays broken whatever it is linked to; what is closed so far must have no other link.
+    wrong = materialize(wrong, "wrong")
+    ends = reps.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")).join(wrong.withColumn("bad", F.lit(True)), "label", "left")
+    ends = materialize(ends.select("model", "rep", "label", F.col("bad").isNull().alias("closed"), "vec"), "ends")
+    new = materialize(bridges(ends, least, reach_rows), "bridges")
+    labels = ends.select("rep", "label")
+    if not new.isEmpty():
+        low = F.least("label", "other")
+        merged = materialize(components(new.select(F.explode(F.array("label", "other")).alias("rep"), low.alias("root"))).select(F.col("rep").alias("label"), F.col("label").alias("whole")), "merged")
+        lost = merged.join(wrong, "label").select(F.col("whole").alias("label")).distinct()
+        open_ = ends.join(merged, "label").select(F.col("whole").alias("label"), "rep", "vec").join(lost, "label", "left_anti")
+        labels = labels.join(merged, "label", "left").select("rep", F.coalesce("whole", "label").alias("label"))
+        wrong = wrong.unionByName(lost).unionByName(broken(open_, least, block_rows)).distinct()
+    rows = members.join(labels, "rep").withColumnRenamed("label", "cluster_id").join(wrong.withColumnRenamed("label", "cluster_id"), "cluster_id", "left_anti")
     large = rows.groupBy("cluster_id").agg(F.count("*").alias("n")).filter(F.col("n") >= smallest)
     return rows.join(large, "cluster_id", "left_semi").select("cluster_id", "result_id", "rep")
 

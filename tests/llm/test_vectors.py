@@ -106,6 +106,16 @@ def test_a_chain_is_no_group_and_blocks_agree(spark):
         assert got == want
 
 
+def test_links_that_no_cell_holds_are_found(spark, rows):
+    rng = np.random.default_rng(12)
+    one = [(1000 + i, "m", np.float32(v)) for i, v in enumerate(rng.normal(size=16) + 0.2 * rng.normal(size=(60, 16)))]  # more than 8 centroids
+    want = brute_groups(rows + one, DIMS)
+    assert len({c for c, i in want if i >= 1000}) == 1
+    for how in ({"per_cluster": 2, "cells": 1}, {"per_cluster": 2}, {"per_cluster": 2, "cells": 1, "reach_rows": 30}):
+        got = {(r.cluster_id, r.result_id) for r in cluster.mutual_groups(frame(spark, rows + one), catalog(spark, **DIMS), **how).collect()}
+        assert got == want
+
+
 def test_nothing_usable_and_clashing_columns(spark):
     none, c = frame(spark, DIRTY), catalog(spark, m=16)
     for df in (none, none.limit(0)):
