@@ -63,7 +63,7 @@ def queries() -> dict:
         "p2_found": p2_found,
         "p2_summary": p2_summary,
         "p3_found": p3_found,
-        **{f"p3_{n}": _manifest(n) for n in ("exports", "models", "points", "tiles", "frames", "issues")},
+        **{f"p3_{n}": _manifest(n) for n in ("exports", "spatials", "models", "points", "tiles", "frames", "issues")},
         "p3_meta": p3_meta,
         "p5_found": p5_found,
         "p5_files": p5_files,

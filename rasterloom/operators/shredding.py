@@ -2,8 +2,8 @@
 
 Every value of a document becomes a row of one adjacency table: node, parent, label, ordinal and scalar. Nodes that are
 objects of an entity (a model, a point, a tile, ...) also carry the chain of entity nodes above them, so a parent-child
-link at any depth is an equi-join, not a recursion. An entity table joins its object nodes with their scalar children
-and pivots these by label.
+link at any depth is an equi-join, not a recursion. An entity table joins its object nodes with all values below them
+that belong to no entity further down: its own fields are pivoted, the rest, nested or unknown, goes by path to a map.
 
 Shapes that vary are made alike while shredding: a part given as JSON inside a string is opened; an entity's list may
 also be an object keyed by name or position, or the lone object itself.
@@ -44,7 +44,7 @@ MANIFEST = (
     Entity("frames", "frame", ("t", "start", "end", "empty")),
     Entity("issues", "issue", ("code", "band")),
 )
-NODES = "doc bigint, node int, parent int, label string, ordinal int, kind string, scalar string, entity string, key string, chain array<int>"
+NODES = "doc bigint, node int, parent int, label string, ordinal int, kind string, scalar string, entity string, key string, chain array<int>, path string, leaf boolean"
 
 
 def opened(value):
@@ -82,28 +82,30 @@ def shred_one(doc: int, text: str | None, entities: dict[str, Entity], out: list
     root = opened(root)
     if not isinstance(root, (dict, list)):
         return
-    # value, parent, label, ordinal, key, entity, chain of entity nodes above
-    todo = [(root, None, None, 0, None, None, ())]
+    # value, parent, label, ordinal, key, entity, chain of entity nodes above, path from the lowest of these
+    todo = [(root, None, None, 0, None, None, (), "")]
     node = 0
     while todo:
-        value, parent, label, ordinal, key, entity, chain = todo.pop()
+        value, parent, label, ordinal, key, entity, chain, path = todo.pop()
         me, node = node, node + 1
         scalar = None
         below: list[tuple] = []
         if isinstance(value, dict):
             kind, inner = "object", (*chain, me) if entity else chain
+            base = "" if entity else path
             for i, (k, v) in enumerate(value.items()):
+                at = _step(base, k)
                 if (e := entities.get(k)) is not None and not isinstance(o := opened(v), (int, float, str, type(None))):
-                    below.append((_List(elements(o, e), e.name), me, k, i, None, None, inner))
+                    below.append((_List(elements(o, e), e.name), me, k, i, None, None, inner, at))
                 else:
                     v = opened(v) if isinstance(v, str) else v
-                    below.append((v, me, k, i, None, None, inner))
+                    below.append((v, me, k, i, None, None, inner, at))
         elif isinstance(value, _List):
             kind = "array"
-            below = [(v, me, label, pos, k, value.entity if isinstance(v, dict) else None, chain) for pos, k, v in value.items]
+            below = [(v, me, label, pos, k, value.entity if isinstance(v, dict) else None, chain, f"{path}[{pos}]" if k is None else _step(path, k)) for pos, k, v in value.items]
         elif isinstance(value, list):
             kind = "array"
-            below = [(v, me, label, i, None, None, chain) for i, v in enumerate(value)]
+            below = [(v, me, label, i, None, None, chain, f"{path}[{i}]") for i, v in enumerate(value)]
         elif value is None:
             kind = "null"
         elif isinstance(value, bool):
@@ -112,10 +114,17 @@ def shred_one(doc: int, text: str | None, entities: dict[str, Entity], out: list
             kind, scalar = "number", repr(value)
         else:
             kind, scalar = "string", value
-        out.append((doc, me, parent, label, ordinal, kind, scalar, entity, key, list(chain)))
+        out.append((doc, me, parent, label, ordinal, kind, scalar, entity, key, list(chain), path, not below and entity is None))
         todo.extend(reversed(below))
 
 
+def _step(path: str, name: str) -> str:
+    """``path`` and a field below it; names with signs of a path are quoted, so that no two paths are the same."""
+    if not name or any(c in name for c in '.[]"'):
+        return f"{path}[{json.dumps(name)}]"
+    return f"{path}.{name}" if path else name
+
+
 class _List:
     """An entity's list, brought to one shape."""
 
@@ -155,39 +164,48 @@ def readable_once(docs: DataFrame, key: str, text: str, order: str) -> DataFrame
 
 
 def entity_table(nodes: DataFrame, entity: Entity) -> DataFrame:
-    """One row per object of ``entity``: ``doc, node, chain, position, key`` and its scalar fields as strings.
+    """One row per object of ``entity``: ``doc, node, chain, position, key``, its scalar fields as strings and ``extra``.
 
-    Fields not named by the entity go to the map ``extra``; of a field that is repeated, the last stays.
+    The map ``extra`` holds by path every other value below the object that belongs to no entity further down: unknown
+    fields and whatever is nested in objects and lists (``temporal.end.name``, ``bands[0]``), nulls as null, empty objects
+    and lists as ``{}`` and ``[]``. The root counts as an object above all entities.
     """
     objects = nodes.filter(F.col("entity") == entity.name).select("doc", "node", "chain", F.col("ordinal").alias("position"), "key")
-    scalars = nodes.filter(F.col("scalar").isNotNull() & F.col("parent").isNotNull()).select("doc", F.col("parent").alias("node"), "label", "scalar", "ordinal")
-    fields = [F.max_by("scalar", F.when(F.col("label") == f, F.col("ordinal"))).alias(f) for f in entity.fields]
-    known = F.col("label").isin(*entity.fields) if entity.fields else F.lit(False)
-    extra = F.map_from_entries(F.array_sort(F.collect_set(F.when(~known, F.struct("label", "scalar"))))).alias("extra")
-    rows = objects.join(scalars, ["doc", "node"], "left")
+    owner = F.coalesce(F.try_element_at("chain", F.lit(-1)), F.lit(0))
+    value = F.coalesce("scalar", F.when(F.col("kind") == "object", "{}").when(F.col("kind") == "array", "[]"))
+    values = nodes.filter(F.col("leaf") & F.col("parent").isNotNull()).select("doc", owner.alias("node"), "path", "scalar", value.alias("value"))
+    fields = [F.max(F.when(F.col("path") == f, F.col("scalar"))).alias(f) for f in entity.fields]
+    known = (F.col("path").isin(*entity.fields) & F.col("scalar").isNotNull()) if entity.fields else F.lit(False)
+    extra = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("path").isNotNull() & ~known, F.struct("path", "value"))))).alias("extra")
+    rows = objects.join(values, ["doc", "node"], "left")
     return rows.groupBy("doc", "node").agg(
         F.first("chain").alias("chain"), F.first("position").alias("position"), F.first("key").alias("key"), *fields, extra
     )
 
 
 def manifest_tables(manifests: DataFrame, nodes: DataFrame | None = None) -> dict[str, DataFrame]:
-    """``exports, models, points, tiles, frames, issues`` of the manifests; each child row names its parents.
+    """``exports, spatials, models, points, tiles, frames, issues`` of the manifests; each child row names its parents.
 
-    A model's name is its field ``model``, else its key. Of re-delivered rows the earliest readable counts.
+    Whatever has no column of its own is in ``extra``, see :func:`entity_table`. A model's name is its field ``model``,
+    else its key; what a point itself says is ``own_model``. Of re-delivered rows the earliest readable counts.
     """
     docs = readable_once(manifests, "export_id", "manifest", "ingested_at")
     nodes = materialize(shred(docs, "export_id", "manifest"), "nodes") if nodes is None else nodes
     by_name = {e.name: e for e in MANIFEST}
     top = Entity("", "export", ("created_at", "package_version", "status", "backend", "n_items", "layout"))
-    exports = entity_table(nodes.filter("parent is null or parent = 0").withColumn("entity", F.when(F.col("parent").isNull(), "export")), top)
+    exports = entity_table(nodes.filter("size(chain) = 0").withColumn("entity", F.when(F.col("parent").isNull(), "export")), top)
     models = entity_table(nodes, by_name["model"])
-    models = models.select(F.col("doc").alias("export_id"), F.col("node").alias("model_node"), F.coalesce("model", "key").alias("model"), F.col("position").alias("model_pos"), "status", "error")
+    models = models.select(F.col("doc").alias("export_id"), F.col("node").alias("model_node"), F.coalesce("model", "key").alias("model"), F.col("position").alias("model_pos"), "status", "error", "extra")
     points = entity_table(nodes, by_name["point"]).select(
-        F.col("doc").alias("export_id"), F.col("node").alias("point_node"), F.explode("chain").alias("model_node"), F.col("position").alias("point_index"), F.col("image_size").cast("int").alias("image_size")
+        F.col("doc").alias("export_id"), F.col("node").alias("point_node"), F.explode("chain").alias("model_node"), F.col("position").alias("point_index"), F.col("image_size").cast("int").alias("image_size"), F.col("model").alias("own_model"), "extra"
     )
     points = points.join(models.select("export_id", "model_node", "model"), ["export_id", "model_node"])
+    spatials = entity_table(nodes, by_name["spatial"])
+    number = lambda f: F.col(f) if f in ("type", "crs") else F.expr(f"try_cast(`{f}` as double)").alias(f)
+    spatials = spatials.select(F.col("doc").alias("export_id"), F.col("node").alias("spatial_node"), F.col("position").alias("spatial_pos"), *[number(f) for f in by_name["spatial"].fields], "extra")
     tables = {
-        "exports": exports.select(F.col("doc").alias("export_id"), "layout", F.expr("try_cast(n_items as int)").alias("n_items"), "created_at", "package_version", "status", "backend"),
+        "exports": exports.select(F.col("doc").alias("export_id"), "layout", F.expr("try_cast(n_items as int)").alias("n_items"), "created_at", "package_version", "status", "backend", "extra"),
+        "spatials": spatials,
         "models": models,
         "points": points,
     }
@@ -195,7 +213,7 @@ def manifest_tables(manifests: DataFrame, nodes: DataFrame | None = None) -> dic
     for name, casts in (("tile", {"row": "int", "col": "int", "valid_h": "int", "valid_w": "int"}), ("frame", {"t": "int", "empty": "boolean"}), ("issue", {})):
         rows = entity_table(nodes, by_name[name]).withColumn("point_node", F.explode("chain")).withColumnRenamed("doc", "export_id")
         fields = [F.expr(f"try_cast(`{f}` as {casts[f]})").alias(f) if f in casts else F.col(f) for f in by_name[name].fields]
-        tables[f"{name}s"] = rows.join(link, ["export_id", "point_node"]).select("export_id", "model", "point_index", "point_node", F.col("node").alias("child_node"), F.col("position").alias("child_pos"), *fields)
+        tables[f"{name}s"] = rows.join(link, ["export_id", "point_node"]).select("export_id", "model", "point_index", "point_node", F.col("node").alias("child_node"), F.col("position").alias("child_pos"), *fields, "extra")
     return tables
 
 
@@ -206,7 +224,7 @@ def manifest_children(manifests: DataFrame) -> DataFrame:
     """
     docs = readable_once(manifests, "export_id", "manifest", "ingested_at")
     nodes = shred(docs, "export_id", "manifest")
-    kept = materialize(nodes.filter("entity is not null or (scalar is not null and label = 'model')"), "nodes")
+    kept = materialize(nodes.filter("entity is not null or (scalar is not null and path = 'model')"), "nodes")
     models = entity_table(kept.filter("coalesce(entity, 'model') = 'model'"), next(e for e in MANIFEST if e.name == "model"))
     models = models.select(F.col("doc").alias("export_id"), F.col("node").alias("model_node"), F.coalesce("model", "key").alias("model"))
     points = kept.filter("entity = 'point'").select(F.col("doc").alias("export_id"), F.col("node").alias("point_node"), F.col("ordinal").alias("point_index"), F.explode("chain").alias("model_node"))

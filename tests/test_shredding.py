@@ -118,6 +118,19 @@ def test_tables_link_and_keep_values(spark):
     assert tile["point_node"] == t["points"][0]["point_node"] and t["frames"][0]["empty"] is True and t["issues"] == []
 
 
+def test_tables_keep_what_has_no_column(spark):
+    point = {"model": "own", "input_prep": {"mode": "tile"}, "inspection": {"ok": False}, "tiles": [{"row": 1, "more": {"a": [5]}}]}
+    m = {"status": "ok", "temporal": {"mode": "year", "end": {"name": "x"}}, "summary": {}, "a.b": None, "spatials": [{"type": "BBox", "minlon": 1.5, "new": "n"}], "models": [{"model": "a", "sensor": {"bands": ["B1", "B2"]}, "metas": [point]}]}
+    df = spark.createDataFrame([(9, json.dumps(m), T)], "export_id bigint, manifest string, ingested_at timestamp")
+    t = {k: [r.asDict() for r in v.collect()] for k, v in shredding.manifest_tables(df).items()}
+    assert t["exports"][0]["extra"] == {"temporal.mode": "year", "temporal.end.name": "x", "summary": "{}", '["a.b"]': None}
+    s = t["spatials"][0]
+    assert (s["export_id"], s["spatial_pos"], s["type"], s["minlon"], s["extra"]) == (9, 0, "BBox", 1.5, {"new": "n"})
+    assert t["models"][0]["extra"] == {"sensor.bands[0]": "B1", "sensor.bands[1]": "B2"}
+    assert t["points"][0]["own_model"] == "own" and t["points"][0]["model"] == "a"
+    assert t["points"][0]["extra"] == {"input_prep.mode": "tile", "inspection.ok": "false"} and t["tiles"][0]["extra"] == {"more.a[0]": "5"}
+
+
 def test_result_meta(spark):
     df = spark.createDataFrame([(1, '{"a": 1, "b": {"c": [true, null, "x"]}}', T), (2, None, T), (3, "{", T)], "result_id bigint, meta string, ingested_at timestamp")
     got = {(r.label, r.ordinal, r.kind, r.scalar) for r in shredding.meta_table(df).collect()}
