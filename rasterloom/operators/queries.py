@@ -30,7 +30,14 @@ def _manifest(name: str):
 
 
 def p3_meta(spark: SparkSession, d: str) -> DataFrame:
-    return shredding.meta_table(table(spark, d, "model_results"))
+    return shredding.meta_nodes(table(spark, d, "model_results"))
+
+
+def _meta(name: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return shredding.meta_tables(table(spark, d, "model_results"))[name]
+
+    return query
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,6 +72,7 @@ def queries() -> dict:
         "p3_found": p3_found,
         **{f"p3_{n}": _manifest(n) for n in ("exports", "spatials", "models", "points", "tiles", "frames", "issues")},
         "p3_meta": p3_meta,
+        **{f"p3_meta_{n}": _meta(n) for n in ("result", *(e.name for e in shredding.META))},
         "p5_found": p5_found,
         "p5_files": p5_files,
         "p5_report": p5_report,

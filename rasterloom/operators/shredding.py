@@ -233,7 +233,38 @@ def manifest_children(manifests: DataFrame) -> DataFrame:
     return rows.select("export_id", "model", "point_index", "child_kind", "child_pos").distinct()
 
 
+META = (
+    Entity("sensor", "sensor", ("collection", "reducer"), frozenset({"collection", "bands", "scale_m"})),
+    Entity("temporal", "temporal", ("mode", "start", "end", "n_bins"), frozenset({"mode", "start", "end"})),
+    Entity("provider", "provider", ("name",), frozenset({"name"})),
+    Entity("quality", "quality"),
+    Entity("input_quality", "input_quality"),
+)
+
+
+def _metas(results: DataFrame) -> DataFrame:
+    return readable_once(results.select("result_id", "meta", "ingested_at"), "result_id", "meta", "ingested_at")
+
+
+def meta_nodes(results: DataFrame) -> DataFrame:
+    """One row per value of a result's ``meta``, objects and lists too, so that every ``parent`` is a ``node`` of the
+    result: ``result_id, node, parent, label, ordinal, kind, scalar, path``. ``path`` leads there from the root."""
+    return shred(_metas(results), "result_id", "meta", ()).select(F.col("doc").alias("result_id"), "node", "parent", "label", "ordinal", "kind", "scalar", "path")
+
+
+def meta_tables(results: DataFrame) -> dict[str, DataFrame]:
+    """``result`` (the root) and the entities of ``META``, pivoted as those of the manifests, each row with the
+    ``parent_node`` of the entity above it (0: the result) and ``extra``, see :func:`entity_table`."""
+    nodes = materialize(shred(_metas(results), "result_id", "meta", META), "nodes")
+    root = Entity("", "result", ("model", "source", "image_size", "checkpoint", "latency_ms", "pool_mode", "y_axis_direction", "n_tokens"))
+    roots = nodes.filter("size(chain) = 0").withColumn("entity", F.when(F.col("parent").isNull(), "result"))
+    above = F.coalesce(F.try_element_at("chain", F.lit(-1)), F.lit(0)).alias("parent_node")
+    out = {"result": entity_table(roots, root).select(F.col("doc").alias("result_id"), "node", *root.fields, "extra")}
+    for e in META:
+        out[e.name] = entity_table(nodes, e).select(F.col("doc").alias("result_id"), "node", above, "position", "key", *e.fields, "extra")
+    return out
+
+
 def meta_table(results: DataFrame) -> DataFrame:
-    """One row per scalar below a result's ``meta``: ``result_id, path_node, parent, label, ordinal, kind, scalar``."""
-    docs = readable_once(results.select("result_id", "meta", "ingested_at"), "result_id", "meta", "ingested_at")
-    return shred(docs, "result_id", "meta", ()).filter("scalar is not null").select(F.col("doc").alias("result_id"), "node", "parent", "label", "ordinal", "kind", "scalar")
+    """The scalars of :func:`meta_nodes`: ``result_id, node, parent, label, ordinal, kind, scalar``."""
+    return meta_nodes(results).filter("scalar is not null").drop("path")

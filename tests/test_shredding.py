@@ -135,3 +135,15 @@ def test_result_meta(spark):
     df = spark.createDataFrame([(1, '{"a": 1, "b": {"c": [true, null, "x"]}}', T), (2, None, T), (3, "{", T)], "result_id bigint, meta string, ingested_at timestamp")
     got = {(r.label, r.ordinal, r.kind, r.scalar) for r in shredding.meta_table(df).collect()}
     assert got == {("a", 0, "number", "1"), ("c", 0, "boolean", "true"), ("c", 2, "string", "x")}
+
+
+def test_meta_links_and_entities(spark):
+    m = {"model": "a", "provider": {"name": "p"}, "temporal": {"mode": "year", "end": {"name": "e", "v": 1}}, "sensor": {"bands": ["B1"]}, "band_stats": [0.5]}
+    df = spark.createDataFrame([(1, json.dumps(m), T)], "result_id bigint, meta string, ingested_at timestamp")
+    nodes = {r.node: r for r in shredding.meta_nodes(df).collect()}
+    assert all(r.parent is None or r.parent in nodes for r in nodes.values())
+    assert {r.path: r.scalar for r in nodes.values() if r.label == "name"} == {"provider.name": "p", "temporal.end.name": "e"}
+    t = {k: v.collect() for k, v in shredding.meta_tables(df).items()}
+    assert t["result"][0].model == "a" and t["result"][0].extra == {"band_stats[0]": "0.5"}
+    assert (t["provider"][0].name, t["provider"][0].parent_node) == ("p", 0) and t["sensor"][0].extra == {"bands[0]": "B1"}
+    assert (t["temporal"][0].mode, t["temporal"][0].extra) == ("year", {"end.name": "e", "end.v": "1"})
