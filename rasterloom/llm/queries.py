@@ -45,6 +45,10 @@ def p8_near(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p9_method(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.repetition(table(spark, d, "documents")).select("doc_id", "score", "likely")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "documents")).filter("repetitive").select("doc_id")
 
@@ -54,7 +58,7 @@ def p9_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (p1_found, p1_nearest, p4_found, p4_clusters, p7_packed, p7_containers, p8_found, p8_near, p9_found, p9_share)}
+    return {q.__name__: q for q in (p1_found, p1_nearest, p4_found, p4_clusters, p7_packed, p7_containers, p8_found, p8_near, p9_method, p9_found, p9_share)}
 
 
 _USABLE = """

@@ -32,3 +32,15 @@ def test_query_equals_sql(spark, duck, data, name):
 @pytest.mark.parametrize("name", sorted(set(RUN) - set(SQL)))
 def test_query_without_sql_runs(spark, data, name):
     assert RUN[name](spark, data).count() > 0
+
+
+def test_the_trees_have_a_query(spark):
+    from rasterloom.llm import queries as q
+
+    d = "/root/testdata/sf0.001"
+    names = list(q.queries())
+    assert names.index("p9_method") < names.index("p9_found")
+    rows = q.queries()["p9_method"](spark, d).collect()
+    found = {r.doc_id for r in q.p9_found(spark, d).collect()}
+    assert len(rows) == q.table(spark, d, "documents").filter("doc_id is not null").count()
+    assert found <= {r.doc_id for r in rows if r.likely}
