@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import numpy as np
 
-M_OUT, M_IN = 12, 20
-RATIO, TOP = 32, 2048
+M_OUT, M_IN = 16, 32
+#: A level holds one of ``RATIO`` nodes of the level below; the uppermost has at most ``TOP``.
+RATIO, TOP = 32, 256
 BATCH = 512
 
 
-def level_sizes(n: int) -> list[int]:
+def level_sizes(n: int, top: int = TOP) -> list[int]:
     sizes = [n]
-    while sizes[-1] > TOP:
+    while sizes[-1] > top:
         sizes.append(-(-sizes[-1] // RATIO))
     return sizes
 
@@ -87,15 +88,17 @@ def diverse(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, m: int) -> tuple[n
 
 
 class Hnsw:
-    def __init__(self, x: np.ndarray, links: list[np.ndarray]) -> None:
+    def __init__(self, x: np.ndarray, links: list[np.ndarray], top: int = TOP) -> None:
         #: unit vectors in insertion order; neighbours of each level from the lowest, without the uppermost
         self.x, self.links = x, links
+        self.sizes = level_sizes(len(x), top)
 
     @classmethod
-    def build(cls, x: np.ndarray, ef: int = 32) -> Hnsw:
-        """``x``: float32 unit vectors, in an order that has nothing to do with their content."""
-        sizes = level_sizes(len(x))
-        g = cls(x, [])
+    def build(cls, x: np.ndarray, ef: int = 48, top: int = TOP) -> Hnsw:
+        """``x``: float32 unit vectors, in an order that has nothing to do with their content. Up to ``top`` nodes are
+        one level and have no graph."""
+        g = cls(x, [], top)
+        sizes = g.sizes
         for level in range(len(sizes) - 2, -1, -1):
             g.links.insert(0, g._level(sizes[level], sizes[level + 1], ef))
         return g
@@ -132,10 +135,8 @@ class Hnsw:
 
     def _enter(self, q: np.ndarray, above: int, have: int, n: int = 4) -> np.ndarray:
         """Where a walk begins: the nearest nodes of the uppermost level, led down through the levels between."""
-        depth = len(self.links)
-        top = level_sizes(len(self.x))[-1]
-        at = top_k(q @ self.x[: min(top, have)].T, n).astype(np.int32)
-        for links in reversed(self.links[: depth]):
+        at = top_k(q @ self.x[: min(self.sizes[-1], have)].T, n).astype(np.int32)
+        for links in reversed(self.links):
             if len(links) <= above:
                 at = beam(self.x, links, q, at, 8)[0][:, :n]
         return at
@@ -282,13 +283,13 @@ class Hnsw:
         return b"".join(links.tobytes() for links in self.links)
 
     @classmethod
-    def unpack(cls, x: np.ndarray, data: bytes) -> Hnsw:
+    def unpack(cls, x: np.ndarray, data: bytes, top: int = TOP) -> Hnsw:
         flat, links, at = np.frombuffer(data, np.int32), [], 0
-        for n in level_sizes(len(x))[:-1]:
+        for n in level_sizes(len(x), top)[:-1]:
             size = n * (M_OUT + M_IN)
             links.append(flat[at : at + size].reshape(n, -1))
             at += size
-        return cls(x, links)
+        return cls(x, links, top)
 
 
 def _distinct(ids: np.ndarray) -> np.ndarray:

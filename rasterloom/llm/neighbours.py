@@ -1,9 +1,10 @@
 """The most similar vectors for every vector: an HNSW graph per shard, shard results merged.
 
-A model of more than ``shard_rows`` vectors is split by pivots fitted on a bounded sample: a vector lives in the shards
-of its nearest pivot (split again by hash where a pivot draws too many) and is searched for in those of its ``probes``
-nearest pivots. Its own vectors are answered where the shard is built; for other shards' queries, a shard's graph is a
-row of a table: ids, vectors, flat neighbour arrays and tight groups as bytes.
+A model is split by pivots fitted on a bounded sample: a vector lives in the shards of its nearest pivot (split again by
+hash where a pivot draws too many) and is searched for in those of its ``probes`` nearest pivots. A shard is one file of
+the shared folder: ids, vectors, flat neighbour arrays, tight groups and what it answers to its own vectors. One task per
+shard then reads the shards that its vectors are to be searched in, one at a time, and merges what they answer, so neither
+vectors nor graphs are shuffled again.
 """
 
 from __future__ import annotations
@@ -12,44 +13,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterloom.common import materialize
-from rasterloom.llm.hnsw import Hnsw
+from rasterloom.common import materialize, scratch
+from rasterloom.llm.hnsw import TOP, Hnsw
 from rasterloom.llm.vectors import collapse, matrix, units, usable
 
-SHARDS = "model string, pivot int, part int, q bigint, n bigint, sim double, dim int, ids binary, vectors binary, links binary, labels binary"
+SHARDS = "shard string, dim int, ids binary, vectors binary, links binary, labels binary, homes binary, near binary, sims binary"
 HITS = "model string, q bigint, n bigint, sim double"
-MAX_PIVOTS = 16_384
+MAX_PIVOTS, ROWS_PER_PIVOT = 4096, 32
 
 
-def fit_pivots(reps: DataFrame, shard_rows: int, sample_rows: int = 20_000, seed: int = 7) -> dict[str, np.ndarray]:
-    """Unit pivots by model, for models of more than ``shard_rows`` vectors.
+def fit_pivots(reps: DataFrame, shard_rows: int, seed: int = 7) -> dict[str, np.ndarray]:
+    """Unit pivots by model, for models of more than ``shard_rows`` vectors: one per ``shard_rows`` vectors,
+    ``MAX_PIVOTS`` at most (then a pivot's vectors are hashed into more parts, all of which are searched).
 
-    Fitted on at most ``sample_rows`` vectors over all models (k-means by cosine, five rounds); every vector is
-    indexed. The driver holds that sample, one count per model, and at most ``MAX_PIVOTS`` pivots per model.
+    Fitted on about ``ROWS_PER_PIVOT`` rows of each pivot, drawn for each model by itself (k-means by cosine, five
+    rounds); every vector is indexed. The driver holds that sample, which the two bounds limit, and one count per model.
     """
     sizes = {r["model"]: r["n"] for r in reps.groupBy("model").agg(F.count("*").alias("n")).filter(F.col("n") > shard_rows).collect()}
     if not sizes:
         return {}
-    share = min(1.0, sample_rows / sum(sizes.values()))
-    drawn = reps.filter(F.col("model").isin(*sizes)).filter(F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    sample = drawn.select("model", "vec").limit(2 * sample_rows).toPandas()
+    spark = reps.sparkSession
+    k = {m: min(-(-n // shard_rows), MAX_PIVOTS) for m, n in sizes.items()}
+    most = 1 << 30
+    draw = spark.createDataFrame([(m, min(most, 1 + int(most * ROWS_PER_PIVOT * k[m] / n))) for m, n in sizes.items()], "model string, below bigint")
+    place = F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(most))
+    large = reps.join(F.broadcast(draw), "model")  # a row per model
+    sample = large.filter(place < F.col("below")).select("model", "vec").toPandas()
+    # However few rows a model draws, it has one pivot at least.
+    first = {r["model"]: r["vec"] for r in large.groupBy("model").agg(F.min_by("vec", place).alias("vec")).collect()}
     out = {}
-    for model, n in sizes.items():
-        mine = sample.loc[sample.model == model, "vec"]
-        if len(mine) == 0:
-            continue
-        x = units(matrix(mine))
-        k = min(-(-n // shard_rows), len(x), MAX_PIVOTS)
-        c = x[np.random.default_rng(seed).permutation(len(x))[:k]]
+    for model in sizes:
+        drawn = sample.loc[sample.model == model, "vec"]
+        x = units(matrix(drawn)) if len(drawn) else units(np.array([first[model]], np.float32))
+        c = x[np.random.default_rng(seed).permutation(len(x))[: k[model]]]
         for _ in range(5):
-            near = (x @ c.T).argmax(1)
+            near = np.concatenate([(x[a : a + 1024] @ c.T).argmax(1) for a in range(0, len(x), 1024)])
             sums = np.zeros_like(c)
             np.add.at(sums, near, x)
-            c = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, sums, c)
-            c = units(c)
+            c = units(np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, sums, c))
         out[model] = c
     return out
 
@@ -65,13 +69,14 @@ def routed(reps: DataFrame, pivots: dict[str, np.ndarray], probes: int) -> DataF
             homes = np.empty(len(b), object)
             for model, at in b.groupby("model").indices.items():
                 c = ship.value.get(model)
-                if c is None:
-                    near = np.zeros((len(at), 1), np.int32)
-                else:
-                    s = units(matrix(b["vec"].iloc[at])) @ c.T
-                    near = np.argsort(-s, axis=1)[:, :probes].astype(np.int32)
-                for i, row in zip(at, near):
-                    homes[i] = row
+                for s in range(0, len(at), 1024):
+                    some = at[s : s + 1024]
+                    if c is None:
+                        near = np.zeros((len(some), 1), np.int32)
+                    else:
+                        near = np.argsort(-(units(matrix(b["vec"].iloc[some])) @ c.T), axis=1)[:, :probes].astype(np.int32)
+                    for i, row in zip(some, near):
+                        homes[i] = row
             yield b.assign(homes=homes)
 
     return reps.mapInPandas(run, "model string, rep bigint, vec array<float>, homes array<int>")
@@ -82,8 +87,8 @@ def _mix(ids: np.ndarray) -> np.ndarray:
     return (z ^ (z >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _answers(g: Hnsw, ids: np.ndarray, x: np.ndarray, rep: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, ef: int, rerank: tuple[float, int] | None = None, groups: tuple[np.ndarray, int] | None = None) -> pd.DataFrame:
-    """``q, n, sim``: the ``k`` nearest of a shard to each query but itself, ranked in double precision, ties to the
+def _answers(g: Hnsw, ids: np.ndarray, x: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, ef: int, rerank: tuple[float, int] | None = None, groups: tuple[np.ndarray, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and similarities (-inf: none), ``k`` columns each: the ``k`` nearest of a shard to each query but itself, ranked in double precision, ties to the
     smaller id. ``rerank``: the queries are the shard's own nodes, in order; see :meth:`Hnsw.reranked`.
     ``groups``: the queries are others, the shard's nodes have these labels; see :meth:`Hnsw.reached`."""
     u = units(q)
@@ -99,95 +104,149 @@ def _answers(g: Hnsw, ids: np.ndarray, x: np.ndarray, rep: np.ndarray, q: np.nda
     for s in range(0, len(row), 65_536):
         e = slice(s, s + 65_536)
         sim[e] = np.einsum("ij,ij->i", q[row[e]].astype(np.float64), x[hit[e]].astype(np.float64)) / (ql[row[e]] * xl[hit[e]])
-    order = np.lexsort((ids[hit], -sim, row))
-    row, hit, sim = row[order], hit[order], sim[order]
-    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
-    keep = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)])) < k
-    return pd.DataFrame({"q": rep[row[keep]], "n": ids[hit[keep]], "sim": sim[keep]})
+    return _lists(len(q), row, ids[hit], sim, k)
 
 
-def build_shards(routed_reps: DataFrame, shard_rows: int, k: int, ef: int = 24, shared: tuple[str, ...] = (), tight: float = 0.8, group_rows: int = 8192) -> DataFrame:
-    """A graph per shard, and what it answers to its own vectors (``q, n, sim``: the ``k`` nearest others).
+def _lists(n: int, row: np.ndarray, ids: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of hits ``row, ids, sim`` the best ``k`` of each of ``n`` rows as matrices, ties to the smaller id."""
+    order = np.lexsort((ids, -sim, row))
+    row, ids, sim = row[order], ids[order], sim[order]
+    first = np.searchsorted(row, np.arange(n))
+    rank = np.arange(len(row)) - first[row]
+    keep = rank < k
+    near, sims = np.full((n, k), -1, np.int64), np.full((n, k), -np.inf)
+    near[row[keep], rank[keep]], sims[row[keep], rank[keep]] = ids[keep], sim[keep]
+    return near, sims
 
-    Of models in ``shared``, whose vectors are asked of other shards too, there is also a row per shard with its
-    graph: ids, vectors, flat neighbour arrays and tight groups as bytes. A pivot's vectors are hashed into parts of about
-    ``shard_rows``.
+
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best ``k`` of two lists of matrices over the same rows; the two have no id in common."""
+    near, sims = np.concatenate([a[0], b[0]], 1), np.concatenate([a[1], b[1]], 1)
+    row, col = np.nonzero(sims > -np.inf)
+    return _lists(len(near), row, near[row, col], sims[row, col], k)
+
+
+def shard_name(model: Column, pivot: Column, part: Column) -> Column:
+    """A name that is safe in a path: the model's hash, the pivot and the part."""
+    return F.concat_ws("-", F.hex(F.xxhash64(model)), pivot.cast("string"), part.cast("string"))
+
+
+def build_shards(routed_reps: DataFrame, path: str, shard_rows: int, k: int, ef: int = 48, tight: float = 0.8, group_rows: int = 8192, top: int = TOP) -> list[tuple]:
+    """A graph per shard, stored below ``path`` in a folder of its own together with what it answers to its own vectors
+    (the ``k`` nearest others). A pivot's vectors are hashed into parts of about ``shard_rows``.
+
+    Returns ``(shard, model, pivot, part)`` of every shard: some rows per pivot, no more than the driver plans tasks for.
     """
     home = F.element_at("homes", 1)
     parts = routed_reps.groupBy("model", home.alias("pivot")).agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts"))
-    rows = routed_reps.select("model", home.alias("pivot"), "rep", "vec").join(parts, ["model", "pivot"])
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    sizes = [tuple(r) for r in parts.collect()]
+    shards_of: dict[str, int] = {}
+    for model, _, n in sizes:
+        shards_of[model] = shards_of.get(model, 0) + n
+    told = [(m, p, n, shards_of[m] == 1) for m, p, n in sizes]
+    parts = F.broadcast(routed_reps.sparkSession.createDataFrame(told, "model string, pivot int, parts int, alone boolean"))  # a row per pivot
+    rows = routed_reps.withColumn("pivot", home).join(parts, ["model", "pivot"])
+    name = shard_name(F.col("model"), F.col("pivot"), F.pmod(F.xxhash64("rep"), F.col("parts")))
     names = [c.split()[0] for c in SHARDS.split(", ")]
 
     def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.iloc[np.argsort(_mix(b["rep"].to_numpy()), kind="stable")]  # an order without meaning, the same each time
         x, ids = matrix(b["vec"]), b["rep"].to_numpy()
-        g = Hnsw.build(units(x), ef)
-        out = _answers(g, ids, x, ids, x, np.arange(len(b), dtype=np.int32), k, max(16, k), (tight, group_rows))
-        if key[0] in shared:
-            labels = g.tight_groups(tight) if g.links else np.arange(len(x))
-            stored = {"dim": [x.shape[1]], "ids": [ids.astype("<i8").tobytes()], "vectors": [x.tobytes()], "links": [g.pack()], "labels": [labels.astype("<i4").tobytes()]}
-            out = pd.concat([out, pd.DataFrame(stored)])
-        out = out.reindex(columns=names).assign(model=key[0], pivot=int(key[1]), part=int(key[2]))
-        return out.astype({c: "Int64" for c in ("q", "n", "dim")})
-
-    # A fixed number of tasks: a shard's bytes say little about its work, so they must not be merged by size.
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("model", "pivot", "part", "rep", "vec").repartition(n, "model", "pivot", "part")
-    return rows.groupBy("model", "pivot", "part").applyInPandas(run, SHARDS)
-
-
-def search(index: DataFrame, routed_queries: DataFrame, k: int, ef: int = 32, chunk_rows: int = 65_536, group_rows: int = 8192) -> DataFrame:
-    """``HITS``: of each query (``model, rep, vec, homes``) the ``k`` nearest others in the shards of its pivots except
-    the one it lives in. Queries of a shard are cut into chunks; each chunk's task gets the shard's row.
-    What a walk finds is checked exactly against the tight groups of its hits, in blocks of ``group_rows``.
+        g = Hnsw.build(units(x), ef, top)
+        near, sims = _answers(g, ids, x, x, np.arange(len(b), dtype=np.int32), k, max(16, k), (tight, group_rows))
+        labels = g.tight_groups(tight) if g.links else np.arange(len(x))
+        homes = np.stack(b["homes"].to_numpy()).astype("<i4")
+        alone = bool(b["alone"].iloc[0])  # no other shard is to be asked, none asks
+        row = (key[0], x.shape[1], ids.astype("<i8").tobytes(), None if alone else x.tobytes(), None if alone else g.pack(), None if alone else labels.astype("<i4").tobytes(), homes.tobytes(), near.astype("<i8").tobytes(), sims.astype("<f8").tobytes())
+        return pd.DataFrame([row], columns=names)
+
+    # A number of tasks that follows the shards: their bytes say little about their work, so they must not be merged by size.
+    n = min(10_000, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * sum(p for _, _, p in sizes)))
+    rows = rows.select(name.alias("shard"), "alone", "rep", "vec", "homes").repartition(n, "shard")
+    rows.groupBy("shard").applyInPandas(run, SHARDS).write.partitionBy("shard").parquet(path)
+    made = rows.sparkSession.createDataFrame([(m, p, i) for m, p, n in sizes for i in range(n)], "model string, pivot int, part int")
+    return [tuple(r) for r in made.select(shard_name(F.col("model"), F.col("pivot"), F.col("part")), "model", "pivot", "part").collect()]
+
+
+class _Store:
+    """Shards as they lie below a folder of the shared storage."""
+
+    def __init__(self, path: str) -> None:
+        from pyarrow import fs as pafs
+
+        self.fs, self.folder = pafs.FileSystem.from_uri(path)
+
+    def get(self, shard: str, *columns: str) -> dict | None:
+        """The columns of a shard; None if it has no vector."""
+        import pyarrow.dataset as ds
+        from pyarrow import fs as pafs
+
+        where = f"{self.folder}/shard={shard}"
+        if self.fs.get_file_info(where).type == pafs.FileType.NotFound:
+            return None
+        rows = ds.dataset(where, filesystem=self.fs, format="parquet").to_table(columns=list(columns)).to_pylist()
+        return rows[0] if rows else None
+
+
+def search(spark: SparkSession, path: str, shards: list[tuple], k: int, ef: int = 24, group_rows: int = 8192, top: int = TOP) -> DataFrame:
+    """``HITS``: of each vector of the shards the ``k`` nearest others in its own shard and those of its other pivots.
+
+    A task reads its shard and, one after another, those that some of its vectors are to be searched in. What a walk
+    finds there is checked exactly against the tight groups of its hits, in blocks of ``group_rows``.
     """
-    parts = index.groupBy("model", "pivot").agg(F.count("*").cast("int").alias("parts"))
-    asked = routed_queries.select("model", F.explode("homes").alias("pivot"), "rep", "vec", F.element_at("homes", 1).alias("home")).join(parts, ["model", "pivot"])
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    mine = (F.col("pivot") == F.col("home")) & (F.col("part") == F.pmod(F.xxhash64("rep"), F.col("parts")))
-    asked = asked.filter(~mine)
-    shard = ["model", "pivot", "part"]
-    chunks = asked.groupBy(*shard).agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
-    left = asked.join(chunks, shard).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("chunks")).cast("int"))
-    right = index.join(chunks, shard).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    keys = [*shard, "chunk"]
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"model": [], "q": [], "n": [], "sim": []})
-        r = b.iloc[0]
-        ids = np.frombuffer(r.ids, "<i8")
-        x = np.frombuffer(r.vectors, np.float32).reshape(len(ids), -1)
-        g = Hnsw.unpack(units(x), r.links)
-        found = _answers(g, ids, x, a["rep"].to_numpy(), matrix(a["vec"]), np.full(len(a), -1, np.int32), k, ef, groups=(np.frombuffer(r.labels, "<i4"), group_rows))
-        return found.assign(model=r.model)[["model", "q", "n", "sim"]]
-
-    return left.select(*keys, "rep", "vec").groupBy(*keys).cogroup(right.select(*keys, "ids", "vectors", "links", "labels").groupBy(*keys)).applyInPandas(run, HITS)
-
-
-def nearest_vectors(results: DataFrame, catalog: DataFrame, k: int = 5, shard_rows: int = 131_072, probes: int = 8, ef: int = 24, tight: float = 0.8, group_rows: int = 8192) -> DataFrame:
+    of: dict[tuple[str, int], list[str]] = {}
+    for shard, model, pivot, _ in shards:
+        of.setdefault((model, pivot), []).append(shard)
+    ship = spark.sparkContext.broadcast(of)  # a name per shard
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, of = _Store(path), ship.value
+        for b in batches:
+            for mine, model in zip(b["shard"], b["model"]):
+                r = store.get(mine, "dim", "ids", "vectors", "homes", "near", "sims")
+                if r is None:
+                    continue
+                ids = np.frombuffer(r["ids"], "<i8")
+                best = np.frombuffer(r["near"], "<i8").reshape(len(ids), k), np.frombuffer(r["sims"], "<f8").reshape(len(ids), k)
+                homes = np.frombuffer(r["homes"], "<i4").reshape(len(ids), -1)
+                if r["vectors"] is not None:
+                    best = best[0].copy(), best[1].copy()
+                    q = np.frombuffer(r["vectors"], np.float32).reshape(len(ids), -1)
+                    for pivot in np.unique(homes):
+                        asks = np.flatnonzero((homes == pivot).any(1))
+                        for other in of.get((model, int(pivot)), ()):
+                            if other == mine or (t := store.get(other, "ids", "vectors", "links", "labels")) is None:
+                                continue
+                            there = np.frombuffer(t["ids"], "<i8")
+                            x = np.frombuffer(t["vectors"], np.float32).reshape(len(there), -1)
+                            g = Hnsw.unpack(units(x), t["links"], top)
+                            found = _answers(g, there, x, q[asks], np.full(len(asks), -1, np.int32), k, ef, groups=(np.frombuffer(t["labels"], "<i4"), group_rows))
+                            best[0][asks], best[1][asks] = _merged((best[0][asks], best[1][asks]), found, k)
+                row, col = np.nonzero(best[1] > -np.inf)
+                yield pd.DataFrame({"model": model, "q": ids[row], "n": best[0][row, col], "sim": best[1][row, col]})
+
+    todo = spark.createDataFrame([s[:2] for s in shards], "shard string, model string")
+    return todo.repartition(max(1, min(10_000, len(shards)))).mapInPandas(run, HITS)
+
+
+def nearest_vectors(results: DataFrame, catalog: DataFrame, k: int = 5, shard_rows: int = 16_384, probes: int = 8, ef: int = 48, tight: float = 0.8, group_rows: int = 8192, top: int = TOP) -> DataFrame:
     """``model, result_id, rank, other_id, sim``: for each usable vector the ``k`` most similar others of its model.
 
     Identical vectors are indexed once and come back with all their results: their similarity is 1, the smaller
     result ranks first. Vectors that are null, of another length, not finite or all zero are left out, re-delivered
     rows count once, other columns are ignored, an empty table gives an empty result.
 
-    The graph is approximate; nodes it joins by links of ``tight`` or more are compared with one another exactly, large
+    The graph (of models of more than ``top`` vectors) is approximate; nodes it joins by links of ``tight`` or more are compared with one another exactly, large
     groups in blocks of ``group_rows``. See the README for the recall measured against brute force.
     """
     reps, members = collapse(usable(results, catalog))
     reps = materialize(reps, "reps")
     members = materialize(members.join(reps.select("model", "h1", "h2", "rep"), ["model", "h1", "h2"]).select("model", "rep", "result_id"), "members")
     reps = reps.select("model", "rep", "vec")
-    pivots = fit_pivots(reps, shard_rows)
-    there = routed(reps, pivots, probes)
-    shards = materialize(build_shards(there, shard_rows, k, ef, tuple(pivots), tight, group_rows), "shards")
-    hits = shards.filter("q is not null").select("model", "q", "n", "sim")
-    if pivots:  # shard results are merged: k rows of a query from each shard it was asked of
-        other = search(shards.filter("ids is not null"), there.filter(F.col("model").isin(*pivots)), k, ef, group_rows=group_rows)
-        w = Window.partitionBy("model", "q").orderBy(F.desc("sim"), "n")
-        hits = hits.unionByName(other).withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
+    spark, path = results.sparkSession, scratch(results.sparkSession, "shards")
+    there = routed(reps, fit_pivots(reps, shard_rows), probes)
+    shards = build_shards(there, path, shard_rows, k, ef, tight, group_rows, top)
+    hits = materialize(search(spark, path, shards, k, max(16, ef // 2), group_rows, top), "hits")
 
     group = Window.partitionBy("model", "rep").orderBy("result_id")
     # Of identical vectors only the k + 1 smallest results can be anyone's neighbour.

@@ -72,7 +72,7 @@ def rows():
 DIMS = {"m": 16, "n": 12}
 
 
-@pytest.mark.parametrize("how", [{}, {"shard_rows": 40, "probes": 4}])
+@pytest.mark.parametrize("how", [{}, {"shard_rows": 40, "probes": 4, "top": 8}])
 def test_pairs_against_brute_force(spark, rows, how):
     df = frame(spark, rows)
     got = [tuple(r) for r in neighbours.similar_pairs(df, catalog(spark, **DIMS), **how).collect()]
@@ -177,7 +177,7 @@ def test_graph_recall_and_storage():
     c = rng.normal(size=(900, 32))
     x = units((c[rng.integers(0, 900, 6000)] + 0.4 * rng.normal(size=(6000, 32))))
     g = Hnsw.build(x)
-    assert len(level_sizes(6000)) == 2 and len(g.links) == 1
+    assert len(level_sizes(6000)) == 2 and len(g.links) == 1 and len(level_sizes(6000, 100)) == 3
     own = np.arange(6000, dtype=np.int32)
     ids, s = g.search(x, 6, own=own)
     sample = rng.permutation(6000)[:500]
@@ -212,11 +212,11 @@ def test_a_tight_group_of_any_size_is_compared_exactly():
     x = units(rng.normal(size=16) + 0.3 * rng.normal(size=(8800, 16)))  # one group of more than group_rows = 8192
     g = Hnsw.build(x, 16)
     assert np.bincount(g.tight_groups(0.8)).max() > 8192
-    got = neighbours._answers(g, np.arange(8800), x, np.arange(8800), x, np.arange(8800, dtype=np.int32), 5, 16, (0.8, 8192))
+    near, _ = neighbours._answers(g, np.arange(8800), x, x, np.arange(8800, dtype=np.int32), 5, 16, (0.8, 8192))
     true = x @ x.T
     np.fill_diagonal(true, -1)
     want = {(i, j) for i, r in enumerate(top_k(true, 5).tolist()) for j in r}
-    assert len(want & set(zip(got["q"], got["n"]))) > 0.999 * len(want)
+    assert len(want & {(i, j) for i, r in enumerate(near.tolist()) for j in r}) > 0.999 * len(want)
 
 
 def test_other_shards_compare_the_groups_of_their_hits_exactly(spark):
@@ -232,6 +232,46 @@ def test_other_shards_compare_the_groups_of_their_hits_exactly(spark):
     assert share > 0.999
 
 
+def five_of(got, u):
+    """The share of the true five nearest of each row of unit vectors ``u`` that ``got`` names."""
+    true = u @ u.T
+    np.fill_diagonal(true, -1)
+    want = {(i, j) for i, r in enumerate(top_k(true, 5).tolist()) for j in r}
+    return len(want & set(zip(got["result_id"], got["other_id"]))) / len(want)
+
+
+def test_a_small_model_beside_a_large_one_keeps_its_neighbours(spark):
+    rng = np.random.default_rng(14)
+    big = [(i, "big", v) for i, v in enumerate(rng.normal(size=(4000, 16)).tolist())]
+    small = rng.normal(size=(60, 16)).astype(np.float32)
+    df = frame(spark, big + [(10_000 + i, "small", v) for i, v in enumerate(small.tolist())])
+    reps, _ = collapse(usable(df, catalog(spark, big=16, small=16)))
+    assert set(neighbours.fit_pivots(reps.select("model", "rep", "vec"), 40)) == {"big", "small"}
+    got = neighbours.nearest_vectors(df, catalog(spark, big=16, small=16), shard_rows=40).filter("model = 'small'").toPandas()
+    got[["result_id", "other_id"]] -= 10_000
+    assert five_of(got, units(small)) == 1.0  # two shards, both asked
+
+
+def test_parts_of_one_pivot_are_all_searched(spark):
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    reps = spark.createDataFrame([("m", i, v) for i, v in enumerate(x.tolist())], "model string, rep bigint, vec array<float>")
+    there = neighbours.routed(reps, {"m": units(x[:1])}, 8)
+    path = neighbours.scratch(spark, "shards")
+    shards = neighbours.build_shards(there, path, 60, 5, top=16)
+    assert len(shards) == 5
+    got = neighbours.search(spark, path, shards, 5, top=16).toPandas().rename(columns={"q": "result_id", "n": "other_id"})
+    assert five_of(got, units(x)) > 0.99
+
+
+def test_eight_merged_graphs_keep_all_five_neighbours(spark):
+    rng = np.random.default_rng(16)
+    c = rng.normal(size=(1500, 48))
+    x = (c[rng.integers(0, 1500, 12_000)] + 0.5 * rng.normal(size=(12_000, 48))).astype(np.float32)
+    got = neighbours.nearest_vectors(frame(spark, [(i, "m", v) for i, v in enumerate(x.tolist())]), catalog(spark, m=48), shard_rows=1500).toPandas()
+    assert five_of(got, units(x)) >= 0.95
+
+
 def test_small_and_single_graphs():
     x = units(np.eye(3, dtype=np.float32))
     for n in (1, 2, 3):
