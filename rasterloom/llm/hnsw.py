@@ -2,15 +2,14 @@
 
 Nodes are numbered in order of insertion, the nodes of the upper levels first, so a level is a prefix of the nodes and
 one ``int32`` matrix of neighbours. The uppermost level is small enough to be compared as a whole. A node's links are
-``M_OUT`` chosen at its insertion for closeness and diversity, which nothing displaces, and the ``M_IN`` closest of
-those that later nodes have made to it.
+``m`` chosen at its insertion for closeness and diversity, which nothing displaces, and the closest of those that later
+nodes have made to it, five thirds of ``m`` at most.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-M_OUT, M_IN = 16, 32
 #: A level holds one of ``RATIO`` nodes of the level below; the uppermost has at most ``TOP``.
 RATIO, TOP = 32, 256
 BATCH = 512
@@ -88,16 +87,17 @@ def diverse(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, m: int) -> tuple[n
 
 
 class Hnsw:
-    def __init__(self, x: np.ndarray, links: list[np.ndarray], top: int = TOP) -> None:
+    def __init__(self, x: np.ndarray, links: list[np.ndarray], top: int = TOP, m: int = 12) -> None:
         #: unit vectors in insertion order; neighbours of each level from the lowest, without the uppermost
         self.x, self.links = x, links
         self.sizes = level_sizes(len(x), top)
+        self.m_out, self.m_in = m, 5 * m // 3
 
     @classmethod
-    def build(cls, x: np.ndarray, ef: int = 48, top: int = TOP) -> Hnsw:
+    def build(cls, x: np.ndarray, ef: int = 32, top: int = TOP, m: int = 12) -> Hnsw:
         """``x``: float32 unit vectors, in an order that has nothing to do with their content. Up to ``top`` nodes are
         one level and have no graph."""
-        g = cls(x, [], top)
+        g = cls(x, [], top, m)
         sizes = g.sizes
         for level in range(len(sizes) - 2, -1, -1):
             g.links.insert(0, g._level(sizes[level], sizes[level + 1], ef))
@@ -105,8 +105,8 @@ class Hnsw:
 
     def _level(self, n: int, above: int, ef: int) -> np.ndarray:
         x = self.x
-        links = np.full((n, M_OUT + M_IN), -1, np.int32)
-        back = np.full((n, M_IN), -np.inf, np.float32)
+        links = np.full((n, self.m_out + self.m_in), -1, np.int32)
+        back = np.full((n, self.m_in), -np.inf, np.float32)
         have = min(n, max(above, 1024))
         for a in range(0, have, BATCH):  # the first nodes are compared with one another
             b = min(a + BATCH, have)
@@ -124,7 +124,7 @@ class Hnsw:
                 q = x[a:b]
                 ids, sims = beam(x, links, q, self._enter(q, above, have), ef)
                 s = inner[a - have : b - have]
-                at = top_k(s, M_OUT)
+                at = top_k(s, self.m_out)
                 ids, sims = np.concatenate([ids, (at + have).astype(np.int32)], 1), np.concatenate([sims, np.take_along_axis(s, at, 1)], 1)
                 best = top_k(sims, ef)
                 found.append((a, b, np.take_along_axis(ids, best, 1), np.take_along_axis(sims, best, 1)))
@@ -141,24 +141,23 @@ class Hnsw:
                 at = beam(self.x, links, q, at, 8)[0][:, :n]
         return at
 
-    @staticmethod
-    def _back(links: np.ndarray, back: np.ndarray, src: np.ndarray, dst: np.ndarray, sims: np.ndarray) -> None:
+    def _back(self, links: np.ndarray, back: np.ndarray, src: np.ndarray, dst: np.ndarray, sims: np.ndarray) -> None:
         """Add the links ``dst`` -> ``src``; of too many, the closest stay."""
         order = np.lexsort((-sims, dst))
         src, dst, sims = src[order], dst[order], sims[order]
         first = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]])
         rank = np.arange(len(dst)) - np.repeat(first, np.diff(np.r_[first, len(dst)]))
         node = dst[first]
-        ids = np.concatenate([links[node, M_OUT:], np.full((len(node), M_IN), -1, np.int32)], 1)
-        s = np.concatenate([back[node], np.full((len(node), M_IN), -np.inf, np.float32)], 1)
-        fits = rank < M_IN
+        ids = np.concatenate([links[node, self.m_out:], np.full((len(node), self.m_in), -1, np.int32)], 1)
+        s = np.concatenate([back[node], np.full((len(node), self.m_in), -np.inf, np.float32)], 1)
+        fits = rank < self.m_in
         row = np.repeat(np.arange(len(node)), np.diff(np.r_[first, len(dst)]))[fits]
-        ids[row, M_IN + rank[fits]], s[row, M_IN + rank[fits]] = src[fits], sims[fits]
-        best = top_k(s, M_IN)
-        links[node, M_OUT:], back[node] = np.take_along_axis(ids, best, 1), np.take_along_axis(s, best, 1)
+        ids[row, self.m_in + rank[fits]], s[row, self.m_in + rank[fits]] = src[fits], sims[fits]
+        best = top_k(s, self.m_in)
+        links[node, self.m_out:], back[node] = np.take_along_axis(ids, best, 1), np.take_along_axis(s, best, 1)
 
     def _link(self, links: np.ndarray, back: np.ndarray, a: int, b: int, ids: np.ndarray, sims: np.ndarray) -> None:
-        ids, sims = diverse(self.x, ids, sims, M_OUT)
+        ids, sims = diverse(self.x, ids, sims, self.m_out)
         links[a:b, : ids.shape[1]] = ids
         ok = ids >= 0
         self._back(links, back, np.repeat(np.arange(a, b, dtype=np.int32), ok.sum(1)), ids[ok], sims[ok])
@@ -283,13 +282,13 @@ class Hnsw:
         return b"".join(links.tobytes() for links in self.links)
 
     @classmethod
-    def unpack(cls, x: np.ndarray, data: bytes, top: int = TOP) -> Hnsw:
+    def unpack(cls, x: np.ndarray, data: bytes, top: int = TOP, m: int = 12) -> Hnsw:
         flat, links, at = np.frombuffer(data, np.int32), [], 0
         for n in level_sizes(len(x), top)[:-1]:
-            size = n * (M_OUT + M_IN)
+            size = n * (m + 5 * m // 3)
             links.append(flat[at : at + size].reshape(n, -1))
             at += size
-        return cls(x, links, top)
+        return cls(x, links, top, m)
 
 
 def _distinct(ids: np.ndarray) -> np.ndarray:

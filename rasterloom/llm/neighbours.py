@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.common import materialize, scratch
 from rasterloom.llm.hnsw import TOP, Hnsw
-from rasterloom.llm.vectors import collapse, matrix, units, usable
+from rasterloom.llm.vectors import collapse, matrix, one_thread, units, usable
 
 SHARDS = "shard string, dim int, ids binary, vectors binary, links binary, labels binary, homes binary, near binary, sims binary"
 HITS = "model string, q bigint, n bigint, sim double"
@@ -65,6 +65,7 @@ def routed(reps: DataFrame, pivots: dict[str, np.ndarray], probes: int) -> DataF
     ship = reps.sparkSession.sparkContext.broadcast(pivots)  # at most MAX_PIVOTS per model
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one_thread()
         for b in batches:
             homes = np.empty(len(b), object)
             for model, at in b.groupby("model").indices.items():
@@ -131,7 +132,7 @@ def shard_name(model: Column, pivot: Column, part: Column) -> Column:
     return F.concat_ws("-", F.hex(F.xxhash64(model)), pivot.cast("string"), part.cast("string"))
 
 
-def build_shards(routed_reps: DataFrame, path: str, shard_rows: int, k: int, ef: int = 48, tight: float = 0.8, group_rows: int = 8192, top: int = TOP) -> list[tuple]:
+def build_shards(routed_reps: DataFrame, path: str, shard_rows: int, k: int, ef: int = 24, m: int = 12, tight: float = 0.8, group_rows: int = 8192, top: int = TOP) -> list[tuple]:
     """A graph per shard, stored below ``path`` in a folder of its own together with what it answers to its own vectors
     (the ``k`` nearest others). A pivot's vectors are hashed into parts of about ``shard_rows``.
 
@@ -150,10 +151,11 @@ def build_shards(routed_reps: DataFrame, path: str, shard_rows: int, k: int, ef:
     names = [c.split()[0] for c in SHARDS.split(", ")]
 
     def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        one_thread()
         b = b.iloc[np.argsort(_mix(b["rep"].to_numpy()), kind="stable")]  # an order without meaning, the same each time
         x, ids = matrix(b["vec"]), b["rep"].to_numpy()
-        g = Hnsw.build(units(x), ef, top)
-        near, sims = _answers(g, ids, x, x, np.arange(len(b), dtype=np.int32), k, max(16, k), (tight, group_rows))
+        g = Hnsw.build(units(x), ef, top, m)
+        near, sims = _answers(g, ids, x, x, np.arange(len(b), dtype=np.int32), k, max(16, k, ef // 2), (tight, group_rows))
         labels = g.tight_groups(tight) if g.links else np.arange(len(x))
         homes = np.stack(b["homes"].to_numpy()).astype("<i4")
         alone = bool(b["alone"].iloc[0])  # no other shard is to be asked, none asks
@@ -188,7 +190,7 @@ class _Store:
         return rows[0] if rows else None
 
 
-def search(spark: SparkSession, path: str, shards: list[tuple], k: int, ef: int = 24, group_rows: int = 8192, top: int = TOP) -> DataFrame:
+def search(spark: SparkSession, path: str, shards: list[tuple], k: int, ef: int = 16, m: int = 12, group_rows: int = 8192, top: int = TOP) -> DataFrame:
     """``HITS``: of each vector of the shards the ``k`` nearest others in its own shard and those of its other pivots.
 
     A task reads its shard and, one after another, those that some of its vectors are to be searched in. What a walk
@@ -200,6 +202,7 @@ def search(spark: SparkSession, path: str, shards: list[tuple], k: int, ef: int
     ship = spark.sparkContext.broadcast(of)  # a name per shard
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one_thread()
         store, of = _Store(path), ship.value
         for b in batches:
             for mine, model in zip(b["shard"], b["model"]):
@@ -219,7 +222,7 @@ def search(spark: SparkSession, path: str, shards: list[tuple], k: int, ef: int
                                 continue
                             there = np.frombuffer(t["ids"], "<i8")
                             x = np.frombuffer(t["vectors"], np.float32).reshape(len(there), -1)
-                            g = Hnsw.unpack(units(x), t["links"], top)
+                            g = Hnsw.unpack(units(x), t["links"], top, m)
                             found = _answers(g, there, x, q[asks], np.full(len(asks), -1, np.int32), k, ef, groups=(np.frombuffer(t["labels"], "<i4"), group_rows))
                             best[0][asks], best[1][asks] = _merged((best[0][asks], best[1][asks]), found, k)
                 row, col = np.nonzero(best[1] > -np.inf)
@@ -229,7 +232,7 @@ def search(spark: SparkSession, path: str, shards: list[tuple], k: int, ef: int
     return todo.repartition(max(1, min(10_000, len(shards)))).mapInPandas(run, HITS)
 
 
-def nearest_vectors(results: DataFrame, catalog: DataFrame, k: int = 5, shard_rows: int = 16_384, probes: int = 8, ef: int = 48, tight: float = 0.8, group_rows: int = 8192, top: int = TOP) -> DataFrame:
+def nearest_vectors(results: DataFrame, catalog: DataFrame, k: int = 5, shard_rows: int = 32_768, probes: int = 8, ef: int = 24, m: int = 12, tight: float = 0.8, group_rows: int = 8192, top: int = TOP) -> DataFrame:
     """``model, result_id, rank, other_id, sim``: for each usable vector the ``k`` most similar others of its model.
 
     Identical vectors are indexed once and come back with all their results: their similarity is 1, the smaller
@@ -237,7 +240,9 @@ def nearest_vectors(results: DataFrame, catalog: DataFrame, k: int = 5, shard_ro
     rows count once, other columns are ignored, an empty table gives an empty result.
 
     The graph (of models of more than ``top`` vectors) is approximate; nodes it joins by links of ``tight`` or more are compared with one another exactly, large
-    groups in blocks of ``group_rows``. See the README for the recall measured against brute force.
+    groups in blocks of ``group_rows``. ``ef`` is the list a walk keeps while the graph is built (half of it when it is
+    searched), ``m`` the links a node makes. The defaults are for neighbours of 0.8 and more; far ones, which differ
+    little in similarity, need more. See the README for the recall measured against brute force.
     """
     reps, members = collapse(usable(results, catalog))
     reps = materialize(reps, "reps")
@@ -245,8 +250,8 @@ def nearest_vectors(results: DataFrame, catalog: DataFrame, k: int = 5, shard_ro
     reps = reps.select("model", "rep", "vec")
     spark, path = results.sparkSession, scratch(results.sparkSession, "shards")
     there = routed(reps, fit_pivots(reps, shard_rows), probes)
-    shards = build_shards(there, path, shard_rows, k, ef, tight, group_rows, top)
-    hits = materialize(search(spark, path, shards, k, max(16, ef // 2), group_rows, top), "hits")
+    shards = build_shards(there, path, shard_rows, k, ef, m, tight, group_rows, top)
+    hits = materialize(search(spark, path, shards, k, max(16, ef // 2), m, group_rows, top), "hits")
 
     group = Window.partitionBy("model", "rep").orderBy("result_id")
     # Of identical vectors only the k + 1 smallest results can be anyone's neighbour.

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import glob
+import os
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,6 +39,22 @@ def collapse(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps, ids
 
 
+_single = False
+
+
+def one_thread() -> None:
+    """Products of matrices on one thread in this worker: the tasks fill the cores, more threads would only wait."""
+    global _single
+    if _single:
+        return
+    _single = True
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), os.pardir, "numpy.libs", "*openblas*")):
+        lib = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+
+
 def matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float32, copy=False)
 
