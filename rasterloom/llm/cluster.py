@@ -2,20 +2,22 @@
 
 k-means brings similar vectors together; each vector goes to the cell of its nearest centroid and to those of others
 nearly as near, so that a group on a border still meets. Inside a cell, blocks of rows are compared and only a star per connected part leaves
-the task, never the pairs. Stars are joined over cells; what is a group in the end is checked pair by pair, in blocks.
+the task, never the pairs. Stars are joined over cells by star contraction; what no cell has settled is compared with its root and then pair by pair, in blocks.
 Links that no cell holds are found last: what is closed so far is compared with every vector that its radius lets reach it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.common import materialize
+from rasterloom.common import materialize, scratch
 from rasterloom.llm.kmeans import KMeans
-from rasterloom.llm.vectors import collapse, matrix, units, usable
+from rasterloom.llm.vectors import collapse, matrix, one_thread, usable
 
 
 def _blocks(rows: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
@@ -42,6 +44,7 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _links(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of similarity ``least`` or more, compared in stripes; near the border in double precision."""
+    one_thread()
     u = x.astype(np.float64)
     u /= np.sqrt(np.einsum("ij,ij->i", u, u))[:, None]
     f = u.astype(np.float32)
@@ -77,28 +80,51 @@ def stars(assigned: DataFrame, least: float, block_rows: int = 8192) -> DataFram
     return rows.groupBy("model", "cell", "i", "j").applyInPandas(run, "rep bigint, root bigint, n bigint, whole boolean")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``rep, label``: each end of the links ``rep, root`` with the smallest id of its connected component.
 
-    The smallest label known is passed along the links until nothing changes; each round is a stored table. A chain
-    of cells takes a round per link of the chain: RuntimeError if ``rounds`` don't do.
+    Links are contracted by large and small stars in turn: every node hands its smallest neighbour to the larger ones,
+    then to the smaller ones. Rounds grow with the logarithm of a component's size, however long its chains are, and
+    there is no limit to them; each is a stored table, and the driver sees only its count and checksum.
     """
-    edges = materialize(edges.select("rep", "root").distinct(), "edges")
-    labels = edges.groupBy("rep").agg(F.min("root").alias("label"))
-    for _ in range(rounds):
-        # To a root the smallest label of its star, and back to the star.
-        up = edges.join(labels, "rep").groupBy("root").agg(F.min("label").alias("low"))
-        new = edges.join(up, "root").groupBy("rep").agg(F.min("low").alias("low"))
-        new = materialize(labels.join(new, "rep").select("rep", F.least("label", "low").alias("label"), (F.col("low") < F.col("label")).alias("moved")), "labels")
-        labels = new.select("rep", "label")
-        if new.filter("moved").isEmpty():
-            return labels
-    raise RuntimeError(f"components not settled after {rounds} rounds")
+    own = edges.filter("rep = root").select("rep", F.col("root").alias("label"))
+    e = materialize(edges.filter("rep <> root").select(F.greatest("rep", "root").alias("u"), F.least("rep", "root").alias("v")).distinct(), "edges")
+    before = None
+    while True:
+        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if now == before:
+            break
+        before = now
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    ends = e.select(F.col("u").alias("rep"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("rep"), F.col("v").alias("label")))
+    return ends.unionByName(own).groupBy("rep").agg(F.min("label").alias("label"))
 
 
 def broken(labelled: DataFrame, least: float, block_rows: int = 8192) -> DataFrame:
-    """``label``: the groups of ``label, rep, vec`` in which some two are less similar than ``least``."""
-    rows = _blocks(labelled, ["label"], block_rows)
+    """``label``: the groups of ``label, rep, vec`` in which some two are less similar than ``least``.
+
+    First every member is compared with its root (the member ``rep = label``), which finds chains in one pass; only
+    groups that lie around their root as a whole are then compared in pairs of blocks.
+    """
+    roots = labelled.filter("rep = label").select(F.col("label").alias("root"), F.col("vec").alias("root_vec"))
+
+    def far(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for _, at in b.groupby(b["vec"].map(len)).indices.items():  # models differ in length
+                u, v = (x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] for x in (matrix(b[c].iloc[at]).astype(np.float64) for c in ("vec", "root_vec")))
+                itself = b["rep"].to_numpy()[at] == b["label"].to_numpy()[at]
+                out.append(b["label"].to_numpy()[at][~itself & (np.einsum("ij,ij->i", u, v) < least)])
+            yield pd.DataFrame({"label": np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)})
+
+    apart = labelled.join(roots, F.col("label") == F.col("root")).select("label", "rep", "vec", "root_vec")
+    apart = materialize(apart.mapInPandas(far, "label bigint").distinct(), "apart")
+    rows = _blocks(labelled.join(apart, "label", "left_anti"), ["label"], block_rows)
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         b = b.drop_duplicates("rep")
@@ -106,57 +132,87 @@ def broken(labelled: DataFrame, least: float, block_rows: int = 8192) -> DataFra
         whole = len(_links(matrix(b["vec"]), least)[0]) == n * (n - 1) // 2
         return pd.DataFrame({"label": b["label"].iloc[: 0 if whole else 1]})
 
-    return rows.groupBy("label", "i", "j").applyInPandas(run, "label bigint").distinct()
+    return apart.unionByName(rows.groupBy("label", "i", "j").applyInPandas(run, "label bigint")).distinct()
 
 
-def bridges(ends: DataFrame, least: float, block_rows: int = 32_768) -> DataFrame:
+def _bounded(labels: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by label: unit rows, each run's first row and length, and the cosine to that first row below
+    which no vector can reach ``least`` with any row of the run (triangle inequality of angles)."""
+    u = x.astype(np.float64)
+    u /= np.sqrt(np.einsum("ij,ij->i", u, u))[:, None]
+    first = np.flatnonzero(np.r_[True, labels[1:] != labels[:-1]])
+    count = np.diff(np.r_[first, len(labels)])
+    near = np.einsum("ij,ij->i", u, np.repeat(u[first], count, axis=0))
+    # cos(angle) >= cos(threshold + radius), with a margin for single precision
+    bound = np.cos(np.minimum(np.arccos(least) + np.arccos(np.clip(np.minimum.reduceat(near, first), -1, 1)) + 1e-3, np.pi)) - 1e-4
+    return labels, u, first, count, bound.astype(np.float32)
+
+
+def _reaching(block: tuple, lb: np.ndarray, x: np.ndarray, least: float) -> Iterator[np.ndarray]:
+    """Pairs (label, other label) of linked rows of a block (see :func:`_bounded`) and other rows."""
+    one_thread()
+    la, u, first, count, bound = block
+    v = x.astype(np.float64)
+    v /= np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+    root, f = u[first].astype(np.float32), v.astype(np.float32)
+    for s in range(0, len(root), 256):
+        g, y = np.nonzero(root[s : s + 256] @ f.T >= bound[s : s + 256, None])
+        g += s
+        other = la[first[g]] != lb[y]
+        g, y = g[other], y[other]
+        for t in range(0, len(g), 4096):
+            p, q = g[t : t + 4096], y[t : t + 4096]
+            n = count[p]
+            start = np.r_[0, np.cumsum(n)]
+            for e, h in _spans(start, 262_144):
+                m, r = n[e:h], start[e : h + 1] - start[e]
+                i = np.repeat(first[p[e:h]], m) + np.arange(r[-1]) - np.repeat(r[:-1], m)
+                z = np.repeat(q[e:h], m)
+                ok = np.einsum("ij,ij->i", u[i], v[z]) >= least
+                if ok.any():
+                    yield np.unique(np.stack([la[i[ok]], lb[z[ok]]], 1), axis=0)
+
+
+def bridges(ends: DataFrame, least: float, block_floats: int = 1 << 22) -> DataFrame:
     """``label, other``: the links of ``least`` or more from a closed group to a vector of another label.
 
-    ``ends`` (``model, rep, label, closed, vec``) holds all vectors, those of no group with ``label = rep``. By the
-    triangle inequality of angles a vector can be linked to a member of a group only within the threshold's angle plus
-    the group's radius around its root (the member ``rep = label``); those are compared with all members, so no link is
-    lost. Every root meets every vector of its model: the work grows with closed groups times vectors.
+    ``ends`` (``model, rep, label, closed, vec``) holds all vectors, those of no group with ``label = rep``. Closed
+    groups are the queries, asked of all vectors in blocks of ``block_floats`` components (16 MB) that go to the tasks:
+    nothing is shuffled. A vector can be linked to a member only within the threshold's angle plus the group's radius
+    around one of its members; those are compared with all members, so no link is lost. A pair of closed groups is
+    compared once, in the earlier one's block. The work grows with closed groups times vectors.
     """
-    size = ends.groupBy("model").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("nj"), F.ceil(F.count_if("closed") / block_rows).cast("int").alias("ni"))
-    rows = ends.join(F.broadcast(size), "model")
-    i, j = F.pmod(F.xxhash64("label", F.lit(5)), F.col("ni")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(5)), F.col("nj")).cast("int")
-    left = rows.filter("closed").withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1)))
-    right = rows.filter("ni > 0").withColumn("j", j).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)))
-    keys, columns = ["model", "i", "j"], ["rep", "label", "vec"]
-    left = left.select(*[F.col(c).alias(f"{c}_1") for c in keys + columns])  # not the same columns on both sides
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = [np.zeros((0, 2), np.int64)]
-        if len(a) and len(b):
-            a = a.rename(columns=lambda c: c.removesuffix("_1")).sort_values("label", kind="stable", ignore_index=True)
-            la, lb = a["label"].to_numpy(), b["label"].to_numpy()
-            u, v = (x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] for x in (matrix(t["vec"]).astype(np.float64) for t in (a, b)))
-            first = np.flatnonzero(np.r_[True, la[1:] != la[:-1]])
-            count = np.diff(np.r_[first, len(la)])
-            root = u[np.flatnonzero(a["rep"].to_numpy() == la)]
-            near = np.einsum("ij,ij->i", u, np.repeat(root, count, axis=0))
-            # cos(angle) >= cos(threshold + radius), with a margin for single precision
-            bound = np.cos(np.arccos(least) + np.arccos(np.clip(np.minimum.reduceat(near, first), -1, 1)) + 1e-3) - 1e-4
-            root, f = root.astype(np.float32), v.astype(np.float32)
-            for s in range(0, len(root), 256):
-                g, y = np.nonzero(root[s : s + 256] @ f.T >= bound[s : s + 256, None].astype(np.float32))
-                g += s
-                other = la[first[g]] != lb[y]
-                g, y = g[other], y[other]
-                for t in range(0, len(g), 4096):
-                    p, q = g[t : t + 4096], y[t : t + 4096]
-                    n = count[p]
-                    start = np.r_[0, np.cumsum(n)]
-                    for e, h in _spans(start, 262_144):
-                        m, r = n[e:h], start[e : h + 1] - start[e]
-                        x = np.repeat(first[p[e:h]], m) + np.arange(r[-1]) - np.repeat(r[:-1], m)
-                        z = np.repeat(q[e:h], m)
-                        ok = np.einsum("ij,ij->i", u[x], v[z]) >= least
-                        found.append(np.unique(np.stack([la[x[ok]], lb[z[ok]]], 1), axis=0))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pd.DataFrame({"label": pairs[:, 0], "other": pairs[:, 1]})
-
-    return left.groupBy(*[f"{c}_1" for c in keys]).cogroup(right.select(*keys, *columns).groupBy(*keys)).applyInPandas(run, "label bigint, other bigint").distinct()
+    spark, path = ends.sparkSession, scratch(ends.sparkSession, "bridges")
+    n, dim = ends.agg(F.count_if("closed"), F.max(F.size("vec"))).first()
+    rows = max(1, block_floats // (dim or 1))
+    blocks = -(-n // rows) or 1
+    # A group may be larger than a block: it is cut by a hash of its members into chunks, which are groups to the search.
+    large = ends.filter("closed").groupBy("label").agg(F.ceil(F.count("*") * 8 / rows).cast("int").alias("chunks")).filter("chunks > 1")
+    chunk = F.pmod(F.xxhash64("rep"), F.coalesce("chunks", F.lit(1))).cast("int")
+    placed = ends.join(large, "label", "left").withColumn("chunk", chunk)
+    placed = placed.withColumn("block", F.when(F.col("closed"), F.pmod(F.xxhash64("label", "chunk"), F.lit(blocks)).cast("int")).otherwise(blocks))
+    placed = materialize(placed.select("model", "block", "chunk", "label", "rep", "vec"), "placed")
+    for i in range(blocks):
+        part = placed.filter(F.col("block") == i).toPandas().sort_values(["model", "label", "chunk", "rep"], ignore_index=True)  # about block_floats
+        asked = {}
+        for model, b in part.groupby("model"):
+            # Chunks of a group are told apart by their place in the sorted block.
+            run_no = ((b["label"] != b["label"].shift()) | (b["chunk"] != b["chunk"].shift())).cumsum().to_numpy()
+            _, u, first, count, bound = _bounded(run_no, matrix(b["vec"]), least)
+            asked[model] = (b["label"].to_numpy(), u, first, count, bound)
+        ship = spark.sparkContext.broadcast(asked)
+
+        def run(batches: Iterator[pd.DataFrame], ship=ship) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for model, at in b.groupby("model").indices.items():
+                    if model in ship.value:
+                        for pairs in _reaching(ship.value[model], b["label"].to_numpy()[at], matrix(b["vec"].iloc[at]), least):
+                            yield pd.DataFrame({"label": pairs[:, 0], "other": pairs[:, 1]})
+
+        rest = placed.filter(F.col("block") >= i).select("model", "label", "vec")
+        rest.mapInPandas(run, "label bigint, other bigint").distinct().write.parquet(f"{path}/block={i}")
+        ship.destroy()
+    return spark.read.schema("label bigint, other bigint").parquet(path).select("label", "other").distinct()
 
 
 def _spans(start: np.ndarray, rows: int) -> list[tuple[int, int]]:
@@ -169,7 +225,7 @@ def _spans(start: np.ndarray, rows: int) -> list[tuple[int, int]]:
     return out
 
 
-def mutual_groups(results: DataFrame, catalog: DataFrame, least: float = 0.8, smallest: int = 3, cells: int = 8, margin: float = 0.15, per_cluster: int = 256, block_rows: int = 8192, reach_rows: int = 32_768) -> DataFrame:
+def mutual_groups(results: DataFrame, catalog: DataFrame, least: float = 0.8, smallest: int = 3, cells: int = 8, margin: float = 0.15, per_cluster: int = 256, block_rows: int = 8192, reach_floats: int = 1 << 22) -> DataFrame:
     """``cluster_id, result_id, rep``: the groups of at least ``smallest`` usable vectors of a model in which every
     two are similar (``least`` or more) and none outside is similar to any; ``cluster_id`` is the smallest result.
 
@@ -187,17 +243,16 @@ def mutual_groups(results: DataFrame, catalog: DataFrame, least: float = 0.8, sm
     assigned = KMeans.fit(reps, per_cluster).assign(reps, cells, margin)
     found = materialize(stars(assigned, least, block_rows), "stars")
     labels = materialize(components(found), "labels")
-    # A group that one cell holds as a whole has been checked there; only the rest is compared again.
-    size = labels.groupBy("label").agg(F.count("*").alias("total"))
-    seen = found.filter("rep = root and whole").join(labels, "rep").groupBy("label").agg(F.max("n").alias("n"))
-    open_ = size.join(seen, "label", "left").filter(F.coalesce("n", F.lit(0)) < F.col("total")).select("label")
-    labelled = reps.join(labels.join(open_, "label"), "rep").select("label", "rep", "vec")
-    wrong = broken(labelled, least, block_rows)
+    # A part of a group that some cell has seen not to be mutual settles it; so does a cell that holds it as a whole.
+    seen = found.join(labels, "rep").groupBy("label").agg(F.min("whole").alias("whole"), F.max(F.when(F.col("rep") == F.col("root"), F.col("n"))).alias("n"))
+    size = materialize(labels.groupBy("label").agg(F.count("*").alias("total")).join(seen, "label"), "sizes")
+    open_ = size.filter("whole and n < total").select("label")
+    wrong = size.filter("not whole").select("label").unionByName(broken(reps.join(labels.join(open_, "label"), "rep").select("label", "rep", "vec"), least, block_rows))
     # A broken group stays broken whatever it is linked to; what is closed so far must have no other link.
     wrong = materialize(wrong, "wrong")
     ends = reps.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")).join(wrong.withColumn("bad", F.lit(True)), "label", "left")
     ends = materialize(ends.select("model", "rep", "label", F.col("bad").isNull().alias("closed"), "vec"), "ends")
-    new = materialize(bridges(ends, least, reach_rows), "bridges")
+    new = bridges(ends, least, reach_floats)
     labels = ends.select("rep", "label")
     if not new.isEmpty():
         low = F.least("label", "other")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.vectors import matrix, units
+from rasterloom.llm.vectors import matrix, one_thread, units
 
 FEATURES = 128
 
@@ -60,6 +60,23 @@ def component_weights(reps: DataFrame) -> dict[str, np.ndarray]:
     return out
 
 
+def _striped(f: np.ndarray, c: np.ndarray, rows: int = 1024) -> Iterator[tuple[slice, np.ndarray]]:
+    """Cosines of ``rows`` rows of ``f`` at a time to all of ``c``: never a matrix of both sides' size."""
+    one_thread()
+    for a in range(0, len(f), rows):
+        e = slice(a, a + rows)
+        yield e, f[e] @ c.T
+
+
+def _nearest(f: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest row of ``c`` to each of ``f``, and its cosine."""
+    at, best = np.zeros(len(f), np.int64), np.zeros(len(f), np.float32)
+    for e, s in _striped(f, c):
+        at[e] = s.argmax(1)
+        best[e] = s[np.arange(len(s)), at[e]]
+    return at, best
+
+
 class KMeans:
     """``centroids``: by model, unit rows in feature space."""
 
@@ -70,7 +87,7 @@ class KMeans:
         return hashed(units(matrix(vectors)), self.weights[model])
 
     @classmethod
-    def fit(cls, reps: DataFrame, per_cluster: int = 256, max_k: int = 8192, rounds: int = 2, steps: int = 2, seed: int = 11) -> KMeans:
+    def fit(cls, reps: DataFrame, per_cluster: int = 256, max_k: int = 4096, rounds: int = 2, steps: int = 2, seed: int = 11) -> KMeans:
         """k is one per ``per_cluster`` rows of the model, ``max_k`` at most; ``rounds`` of seeding draw some k rows
         each, ``steps`` of Lloyd follow. The same table gives the same centroids, however it is partitioned, up to the
         order of float sums."""
@@ -102,7 +119,7 @@ class KMeans:
             for b in batches:
                 for model, at in b.groupby("model").indices.items():
                     f = me.features(model, b["vec"].iloc[at])
-                    c = 1 - (f @ me.centroids[model].T).max(1)
+                    c = 1 - _nearest(f, me.centroids[model])[1]
                     total[model] = total.get(model, 0.0) + float(c.sum())
                     f = f[_uniform(b["rep"].to_numpy()[at], seed) * max(cost[model], 1e-9) < often * k[model] * c]
                     if len(f):
@@ -127,7 +144,7 @@ class KMeans:
             for b in batches:
                 for model, at in b.groupby("model").indices.items():
                     f, c = ship.value.features(model, b["vec"].iloc[at]), ship.value.centroids[model]
-                    near = (f @ c.T).argmax(1)
+                    near = _nearest(f, c)[0]
                     if model not in sums:
                         sums[model] = np.zeros((len(c), f.shape[1] + 1))
                     order = np.argsort(near, kind="stable")
@@ -164,14 +181,15 @@ class KMeans:
             for b in batches:
                 cells, near = np.empty(len(b), object), np.zeros(len(b))
                 for model, at in b.groupby("model").indices.items():
-                    s = ship.value.features(model, b["vec"].iloc[at]) @ ship.value.centroids[model].T
-                    m = min(n, s.shape[1])
-                    top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < s.shape[1] else np.broadcast_to(np.arange(m), s.shape)
-                    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1).astype(np.int32)
-                    s = np.take_along_axis(s, top, 1)
-                    near[at] = s[:, 0]
-                    for i, row, m in zip(at, top, (s >= s[:, :1] - margin).sum(1)):
-                        cells[i] = row[:m]
+                    f, c = ship.value.features(model, b["vec"].iloc[at]), ship.value.centroids[model]
+                    m = min(n, len(c))
+                    for e, s in _striped(f, c):
+                        top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(c) else np.broadcast_to(np.arange(m), s.shape)
+                        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1).astype(np.int32)
+                        s = np.take_along_axis(s, top, 1)
+                        near[at[e]] = s[:, 0]
+                        for i, row, k in zip(at[e], top, (s >= s[:, :1] - margin).sum(1)):
+                            cells[i] = row[:k]
                 yield b.assign(cells=cells, near=near)
 
         return reps.select("model", "rep", "vec").mapInPandas(run, "model string, rep bigint, vec array<float>, cells array<int>, near double")
@@ -200,7 +218,7 @@ def _recluster(c: np.ndarray, w: np.ndarray, k: int, seed: int) -> np.ndarray:
         cost = np.minimum(cost, 1 - c @ c[chosen[-1]])
     out = c[chosen].astype(np.float64)
     for _ in range(5):
-        near = (c @ out.T).argmax(1)
+        near = _nearest(c, out.astype(np.float32))[0]
         s = np.zeros_like(out)
         np.add.at(s, near, c * w[:, None])
         norm = np.linalg.norm(s, axis=1, keepdims=True)

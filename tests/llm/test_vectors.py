@@ -111,11 +111,29 @@ def test_links_that_no_cell_holds_are_found(spark, rows):
     one = [(1000 + i, "m", np.float32(v)) for i, v in enumerate(rng.normal(size=16) + 0.2 * rng.normal(size=(60, 16)))]  # more than 8 centroids
     want = brute_groups(rows + one, DIMS)
     assert len({c for c, i in want if i >= 1000}) == 1
-    for how in ({"per_cluster": 2, "cells": 1}, {"per_cluster": 2}, {"per_cluster": 2, "cells": 1, "reach_rows": 30}):
+    for how in ({"per_cluster": 2, "cells": 1}, {"per_cluster": 2}, {"per_cluster": 2, "cells": 1, "reach_floats": 480}):
         got = {(r.cluster_id, r.result_id) for r in cluster.mutual_groups(frame(spark, rows + one), catalog(spark, **DIMS), **how).collect()}
         assert got == want
 
 
+def test_a_long_chain_settles_and_costs_no_other_group(spark):
+    n = 4000
+    ring = [(i, "ring", [math.cos(2 * math.pi * i / n), math.sin(2 * math.pi * i / n)]) for i in range(n)]
+    clean = [(10_000 + i, "clean", [1.0, 0.01 * i]) for i in range(4)]
+    got = cluster.mutual_groups(frame(spark, ring + clean), catalog(spark, ring=2, clean=2), per_cluster=3).collect()
+    assert {(r.cluster_id, r.result_id) for r in got} == {(10_000, 10_000 + i) for i in range(4)}
+
+
+def test_components_of_a_path_and_of_stars(spark):
+    rng = np.random.default_rng(13)
+    name = rng.permutation(100_000)
+    path = [(int(name[i]), int(name[i + 1])) for i in range(99_999)]
+    star = [(200_000 + i, 200_000) for i in range(50)] + [(300_000, 300_000)]
+    got = {r.rep: r.label for r in cluster.components(spark.createDataFrame(path + star, "rep bigint, root bigint")).collect()}
+    assert len(got) == 100_051 and {got[i] for i in range(100_000)} == {0}
+    assert {got[200_000 + i] for i in range(50)} == {200_000} and got[300_000] == 300_000
+
+
 def test_nothing_usable_and_clashing_columns(spark):
     none, c = frame(spark, DIRTY), catalog(spark, m=16)
     for df in (none, none.limit(0)):
@@ -268,7 +286,7 @@ def test_eight_merged_graphs_keep_all_five_neighbours(spark):
     rng = np.random.default_rng(16)
     c = rng.normal(size=(1500, 48))
     x = (c[rng.integers(0, 1500, 12_000)] + 0.5 * rng.normal(size=(12_000, 48))).astype(np.float32)
-    got = neighbours.nearest_vectors(frame(spark, [(i, "m", v) for i, v in enumerate(x.tolist())]), catalog(spark, m=48), shard_rows=1500).toPandas()
+    got = neighbours.nearest_vectors(frame(spark, [(i, "m", v) for i, v in enumerate(x.tolist())]), catalog(spark, m=48), shard_rows=1500, ef=48).toPandas()
     assert five_of(got, units(x)) >= 0.95
 
 
