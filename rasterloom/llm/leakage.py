@@ -91,35 +91,40 @@ def grams(ids: np.ndarray, n: int) -> np.ndarray:
 def matches(items: Items, docs: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
     """``doc, item, distance`` (least over all windows and hits) for words ``ids`` of documents ``docs``, each
     document's words followed by at least ``run`` zeros."""
+    run, e = items.run, items.errors
+    out = [pd.DataFrame({"doc": [], "item": [], "distance": []}, dtype=np.int64)]
+    pad = np.concatenate([np.zeros(run + e, ids.dtype), ids, np.zeros(run + 2 * e, ids.dtype)])
+    for q, p in _hits(items, ids):
+        for k in range(e + 1):  # the hit as piece k of a window
+            begin = p - k * items.piece
+            own = items.item_of[p]
+            ok = (begin >= items.first[own]) & (begin + run <= items.first[own + 1])
+            w, x = begin[ok], q[ok] - k * items.piece + run  # from e words before the window's place, in the padded words
+            if not len(w):
+                continue
+            distance = myers(items.ids[w[:, None] + np.arange(run)], pad[x[:, None] + np.arange(run + 2 * e)])
+            found = pd.DataFrame({"doc": docs[q[ok]], "item": items.owner[own[ok]], "distance": distance})
+            out.append(found[found["distance"] <= e].groupby(["doc", "item"], as_index=False)["distance"].min())
+    return pd.concat(out).groupby(["doc", "item"], as_index=False)["distance"].min()
+
+
+def _hits(items: Items, ids: np.ndarray, rows: int = 65_536) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Where pieces of items stand: places in ``ids`` and in the items, about ``rows`` at a time.
+
+    A formula that many items share multiplies with its uses; the product is formed piece by piece, never as a whole.
+    """
     h = grams(ids, items.piece)
     maybe = np.flatnonzero(items.filter[(h >> _U(42)).astype(np.int64)])
     lo, hi = np.searchsorted(items.hashes, h[maybe], "left"), np.searchsorted(items.hashes, h[maybe], "right")
-    n = hi - lo
-    q = np.repeat(maybe, n)  # where in the documents
-    p = items.places[np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]  # where in the items
-    same = np.ones(len(q), bool)
-    for j in range(items.piece):
-        same &= ids[q + j] == items.ids[p + j]
-    q, p = q[same], p[same]
-    run, e = items.run, items.errors
-    out = []
-    pad = np.concatenate([np.zeros(run + e, ids.dtype), ids, np.zeros(run + 2 * e, ids.dtype)])
-    for k in range(e + 1):  # the hit as piece k of a window
-        begin = p - k * items.piece
-        own = items.item_of[p]
-        ok = (begin >= items.first[own]) & (begin + run <= items.first[own + 1])
-        w, d = begin[ok], own[ok]
-        x = q[ok] - k * items.piece + run  # from e words before the window's place, in the padded words
-        for s in range(0, len(w), 65_536):
-            c = slice(s, s + 65_536)
-            pattern = items.ids[w[c, None] + np.arange(run)]
-            text = pad[x[c, None] + np.arange(run + 2 * e)]
-            out.append(pd.DataFrame({"doc": docs[q[ok][c]], "item": items.owner[d[c]], "distance": myers(pattern, text)}))
-    if not out:
-        return pd.DataFrame({"doc": [], "item": [], "distance": []})
-    found = pd.concat(out)
-    found = found[found["distance"] <= e]
-    return found.groupby(["doc", "item"], as_index=False)["distance"].min()
+    total = np.r_[0, np.cumsum(hi - lo)]
+    for s in range(0, int(total[-1]), rows):
+        at = np.arange(s, min(s + rows, int(total[-1])))  # numbers of hits
+        use = np.searchsorted(total, at, "right") - 1
+        q, p = maybe[use], items.places[lo[use] + at - total[use]]
+        same = np.ones(len(q), bool)
+        for j in range(items.piece):
+            same &= ids[q + j] == items.ids[p + j]
+        yield q[same], p[same]
 
 
 def leaks(docs: DataFrame, items: DataFrame, run: int = 12, errors: int = 1, block_bytes: int = 32 << 20) -> DataFrame:
@@ -128,21 +133,22 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = 12, errors: int = 1, blo
 
     What stands in closed, unnested brackets is left out of both. Null and empty texts and items of fewer words match
     nothing; items that share a passage are reported each; a repeated document or item is reported once; an empty
-    table gives an empty result. Items go to the tasks in blocks of at most ``block_bytes`` of text, the documents
-    being read once per block; no document is cut, however long.
+    table gives an empty result. Items go to the tasks in hashed blocks of about ``block_bytes`` of text (an item is not
+    cut, so one of more is a block by itself and others), as arrays that the driver makes once; the documents are read
+    once per block, and no document is cut, however long.
     """
     spark = docs.sparkSession
     wanted = items.filter("item_id is not null").select("item_id", F.col("text"))
     size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // block_bytes) or 1
+    blocks = -(-2 * size // block_bytes) or 1  # hashed blocks come out uneven: half full on average
     rows = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
     out = None
     for block in range(blocks):
         part = wanted.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).distinct().orderBy("item_id")
-        ship = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # block_bytes of text
+        ship = spark.sparkContext.broadcast(Items([tuple(r) for r in part.collect()], run, errors))  # of block_bytes of text
 
         def scan(batches: Iterator[pd.DataFrame], ship=ship) -> Iterator[pd.DataFrame]:
-            index = Items(ship.value, run, errors)
+            index = ship.value
             get, gap = index.vocabulary.get, [0] * (run + errors)
 
             def flush() -> pd.DataFrame:
