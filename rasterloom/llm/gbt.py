@@ -31,23 +31,6 @@ class Trees:
             out += self.value[at]
         return out
 
-    def least_score(self, low: np.ndarray) -> float:
-        """A bound from below of the score of any row whose features are at least ``low`` (-inf: anything): the sum
-        of the least leaf that such a row can reach in each tree."""
-        total = self.bias
-        for root in self.roots:
-            todo, least = [root], np.inf
-            while todo:
-                i = todo.pop()
-                if self.left[i] == i:
-                    least = min(least, self.value[i])
-                    continue
-                todo.append(self.right[i])
-                if low[self.feature[i]] <= self.threshold[i]:
-                    todo.append(self.left[i])
-            total += least
-        return total
-
 
 def fit(x: np.ndarray, y: np.ndarray, rising: tuple[int, ...] = (), trees: int = 30, depth: int = 3, rate: float = 0.3, bins: int = 64, ridge: float = 1.0, least_rows: float = 5.0) -> Trees:
     """Boosting of the logistic loss. The score never falls as a feature in ``rising`` grows.

@@ -1,4 +1,8 @@
-"""Repetition inside a document: exact statistics of repeated words, lines and sentences, judged by boosted trees."""
+"""Repetition inside a document: its share of repeated runs, counted, and boosted trees that judge it by other statistics.
+
+The trees never see the share they are to tell: they score a document by its repeated pairs, long runs, lines and
+sentences. A rule with an exact limit cannot come from such a score, so the count decides what is reported as repetitive.
+"""
 
 from __future__ import annotations
 
@@ -12,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm import gbt
-from rasterloom.llm.text import words
+from rasterloom.llm.text import resolved, words_in
 
-FEATURES = ("share_runs", "share_long_runs", "share_lines", "share_sentences", "share_top_word", "share_distinct", "log_words")
+FEATURES = ("share_pairs", "share_long_runs", "share_lines", "share_sentences", "share_top_word", "share_distinct", "log_words")
 #: The score must not fall as more of a text repeats.
 RISING = (0, 1, 2, 3)
 _SENTENCE = re.compile(r"[.!?]+\s+|\n+")
@@ -46,23 +50,27 @@ def _share_again(parts: list[str]) -> float:
     return again / total if total else 0.0
 
 
+def _share_runs(ids: np.ndarray, n: int) -> tuple[int, float]:
+    """How many runs of ``n`` words already occurred earlier, and their share of all runs."""
+    runs = _ranks(ids, n)
+    again = len(runs) - (int(runs.max()) + 1) if len(runs) else 0
+    return again, again / len(runs) if len(runs) else 0.0
+
+
 def statistics(text: str | None, run: int = 5) -> tuple[int, int, np.ndarray]:
     """Number of words, of runs that already occurred earlier, and the features."""
-    w = words(text)
+    text = resolved(text) if text else ""
+    w = words_in(text)
     n = len(w)
     x = np.zeros(len(FEATURES))
     if not n:
         return 0, 0, x
     known: dict[str, int] = {}
     ids = np.array([known.setdefault(a, len(known)) for a in w], np.int64)
-    short = _ranks(ids, run)
-    again = len(short) - (int(short.max()) + 1 if len(short) else 0)
-    x[0] = again / len(short) if len(short) else 0.0
-    if again:
-        long = _ranks(ids, 2 * run)
-        x[1] = 1 - (int(long.max()) + 1) / len(long) if len(long) else 0.0
-        x[2] = _share_again(text.split("\n"))
-        x[3] = _share_again(_SENTENCE.split(text))
+    again, _ = _share_runs(ids, run)
+    x[0], x[1] = _share_runs(ids, 2)[1], _share_runs(ids, 2 * run)[1]
+    x[2] = _share_again(text.split("\n"))
+    x[3] = _share_again(_SENTENCE.split(text))
     x[4] = np.bincount(ids).max() / n
     x[5] = len(known) / n
     x[6] = math.log(n)
@@ -79,44 +87,65 @@ def _measured(docs: DataFrame, run: int) -> DataFrame:
     return rows.mapInPandas(measure, "doc_id bigint, n_words bigint, n_again bigint, x array<double>")
 
 
-def train(docs: DataFrame, least: float = 0.3, least_words: int = 30, run: int = 5, sample_rows: int = 4000) -> gbt.Trees:
-    """Trees fitted on about ``sample_rows`` documents (never more than twice as many), drawn by a hash of their id
-    and labelled by counting: repetitive, if ``least`` of its runs occurred before."""
+def _labelled(docs: DataFrame, least: float, least_words: int, run: int, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels (1: ``least`` of the runs occurred before) of about ``sample_rows`` documents of at least
+    ``least_words`` words, never more than twice as many, drawn by a hash of their id."""
     n = docs.count()
     share = min(1.0, sample_rows / n) if n else 1.0
     drawn = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
     got = _measured(drawn, run).limit(2 * sample_rows).toPandas().sort_values("doc_id")
-    got = got[got.n_words >= least_words]
+    got = got[got.n_words >= max(least_words, run)]
     x = np.stack(got.x.to_numpy()) if len(got) else np.zeros((0, len(FEATURES)))
-    return gbt.fit(x, (x[:, 0] >= least).astype(float), RISING)
+    return x, (got.n_again >= least * (got.n_words - run + 1) - 1e-9).to_numpy().astype(float)
+
+
+def train(docs: DataFrame, least: float = 0.3, least_words: int = 30, run: int = 5, sample_rows: int = 4000) -> gbt.Trees:
+    """Trees fitted on the labelled sample, see :func:`held_out` for how well they tell."""
+    return gbt.fit(*_labelled(docs, least, least_words, run, sample_rows), RISING)
+
 
+def held_out(docs: DataFrame, least: float = 0.3, least_words: int = 30, run: int = 5, sample_rows: int = 4000) -> tuple[float, float]:
+    """Precision and recall of ``likely`` on the second half of the labelled sample, the trees fitted on the first."""
+    x, y = _labelled(docs, least, least_words, run, sample_rows)
+    half = len(x) // 2
+    guess = gbt.fit(x[:half], y[:half], RISING).score(x[half:]) >= 0
+    both = float((guess & (y[half:] > 0)).sum())
+    return both / max(1, guess.sum()), both / max(1.0, y[half:].sum())
 
-def repetition(docs: DataFrame, least: float = 0.3, least_words: int = 30, run: int = 5, sample_rows: int = 4000) -> DataFrame:
-    """``doc_id, n_words, n_again, share, score, likely, repetitive`` of every document.
 
-    ``share`` is that of its runs of ``run`` words that already occurred earlier in it (0 where it has none), ``score``
-    the trees' log-odds that it repeats itself. ``likely`` are those that reach the least score that any text of that
-    share can have by the trees' monotonic bounds, so no case is lost; ``repetitive`` is the exact check of these:
-    ``least`` of the runs and ``least_words`` words. Null and empty texts have no words and share 0; a repeated row is
-    reported each time; rows without doc_id are left out; an empty table gives an empty result.
+def repetition(docs: DataFrame, least: float = 0.3, least_words: int = 30, run: int = 5) -> DataFrame:
+    """``doc_id, n_words, n_again, share, repetitive`` of every document, by counting.
+
+    ``share`` is that of its runs of ``run`` words that already occurred earlier in it (0 where it has none);
+    ``repetitive`` are those of ``least`` or more and ``least_words`` words. Null and empty texts have no words and
+    share 0; a repeated row is reported each time; rows without doc_id are left out; an empty table gives an empty result.
     """
-    trees = train(docs, least, least_words, run, sample_rows)
-    low = np.full(len(FEATURES), -np.inf)
-    low[0] = least
-    bar = trees.least_score(low) - 1e-9
-    ship = docs.sparkSession.sparkContext.broadcast(trees)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for text in b["text"]:
+                known: dict[str, int] = {}
+                ids = np.array([known.setdefault(a, len(known)) for a in words_in(resolved(text))] if text else [], np.int64)
+                rows.append((len(ids), *_share_runs(ids, run)))
+            n, again, share = (np.array([r[i] for r in rows]) for i in range(3))
+            yes = (n >= least_words) & (n >= run) & (again >= least * np.maximum(n - run + 1, 1) - 1e-9)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n_words": n, "n_again": again, "share": share, "repetitive": yes})
+
+    rows = docs.filter("doc_id is not null").select("doc_id", "text")
+    return rows.mapInPandas(count, "doc_id bigint, n_words bigint, n_again bigint, share double, repetitive boolean")
+
+
+def scores(docs: DataFrame, least: float = 0.3, least_words: int = 30, run: int = 5, sample_rows: int = 4000) -> DataFrame:
+    """``doc_id, score, likely`` of every document: the trees' log-odds that it repeats itself, and whether they are
+    positive for a text of ``least_words`` words. Cases as in :func:`repetition`; a table without repetitive documents in
+    the sample gives one low score to all."""
+    ship = docs.sparkSession.sparkContext.broadcast(train(docs, least, least_words, run, sample_rows))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [statistics(t, run) for t in b["text"]]
-            x = np.stack([r[2] for r in rows]) if rows else np.zeros((0, len(FEATURES)))
-            n = np.array([r[0] for r in rows], np.int64)
-            again = np.array([r[1] for r in rows], np.int64)
-            score = ship.value.score(x)
-            likely = score >= bar
-            runs = np.maximum(n - run + 1, 1)
-            yes = likely & (n >= least_words) & (n >= run) & (again >= least * runs - 1e-9)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_words": n, "n_again": again, "share": x[:, 0], "score": score, "likely": likely, "repetitive": yes})
+            score = ship.value.score(np.stack([r[2] for r in rows]) if rows else np.zeros((0, len(FEATURES))))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "score": score, "likely": (score >= 0) & (np.array([r[0] for r in rows], np.int64) >= least_words)})
 
-    rows = docs.filter("doc_id is not null").select("doc_id", "text")
-    return rows.mapInPandas(judge, "doc_id bigint, n_words bigint, n_again bigint, share double, score double, likely boolean, repetitive boolean")
+    return docs.filter("doc_id is not null").select("doc_id", "text").mapInPandas(judge, "doc_id bigint, score double, likely boolean")

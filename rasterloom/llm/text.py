@@ -19,6 +19,11 @@ def resolved(text: str) -> str:
     return _BREAK.sub("", text) if "\n" in text else text
 
 
+def words_in(text: str) -> list[str]:
+    """The words of a text that is :func:`resolved` already."""
+    return _WORD.findall(text.lower())
+
+
 def words(text: str | None, brackets: bool = True) -> list[str]:
     """The maximal runs of letters or digits, in lower case; none for null. Without ``brackets``, what stands inside
     closed, unnested round or square brackets is left out before words are formed."""
@@ -27,4 +32,4 @@ def words(text: str | None, brackets: bool = True) -> list[str]:
     text = resolved(text)
     if not brackets and ("(" in text or "[" in text):
         text = _BRACKETS.sub(" ", text)
-    return _WORD.findall(text.lower())
+    return words_in(text)

@@ -41,6 +41,4 @@ def test_the_trees_have_a_query(spark):
     names = list(q.queries())
     assert names.index("p9_method") < names.index("p9_found")
     rows = q.queries()["p9_method"](spark, d).collect()
-    found = {r.doc_id for r in q.p9_found(spark, d).collect()}
     assert len(rows) == q.table(spark, d, "documents").filter("doc_id is not null").count()
-    assert found <= {r.doc_id for r in rows if r.likely}
