@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from rasterloom.common import materialize, scratch
@@ -83,26 +83,33 @@ def stars(assigned: DataFrame, least: float, block_rows: int = 8192) -> DataFram
 def components(edges: DataFrame) -> DataFrame:
     """``rep, label``: each end of the links ``rep, root`` with the smallest id of its connected component.
 
-    Links are contracted by large and small stars in turn: every node hands its smallest neighbour to the larger ones,
-    then to the smaller ones. Rounds grow with the logarithm of a component's size, however long its chains are, and
-    there is no limit to them; each is a stored table, and the driver sees only its count and checksum.
+    An end of one root only takes that root's label, so only the graph of roots that share an end is contracted: by large
+    and small stars in turn, every node handing its smallest neighbour to the larger ones, then to the smaller ones.
+    Rounds grow with the logarithm of a component's size, however long its chains are, and there is no limit to them;
+    each is a stored table, and the driver sees only its count and checksum.
     """
-    own = edges.filter("rep = root").select("rep", F.col("root").alias("label"))
-    e = materialize(edges.filter("rep <> root").select(F.greatest("rep", "root").alias("u"), F.least("rep", "root").alias("v")).distinct(), "edges")
+    edges = edges.select("rep", "root")
+    edges = edges.unionByName(edges.select(F.col("root").alias("rep"), "root")).distinct()  # a root is an end of its own
+    low = materialize(edges.groupBy("rep").agg(F.min("root").alias("root"), F.max("root").alias("most")), "lowest")
+    shared = low.filter("root <> most").select("rep", F.col("root").alias("v"))
+    e, now = _stored(edges.join(shared, "rep").filter("root <> v").select(F.col("root").alias("u"), "v").distinct())
     before = None
-    while True:
-        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == before:
-            break
+    while now != before:
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-    ends = e.select(F.col("u").alias("rep"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("rep"), F.col("v").alias("label")))
-    return ends.unionByName(own).groupBy("rep").agg(F.min("label").alias("label"))
+        e, now = _stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+    return low.join(e, low["root"] == e["u"], "left").select("rep", F.coalesce("v", "root").alias("label"))
+
+
+def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges`` as a stored table, with its count and checksum taken as it is written."""
+    seen = Observation()
+    e = materialize(edges.observe(seen, F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")), "edges")
+    return e, (seen.get["n"], seen.get["x"])
 
 
 def broken(labelled: DataFrame, least: float, block_rows: int = 8192) -> DataFrame:
@@ -111,6 +118,7 @@ def broken(labelled: DataFrame, least: float, block_rows: int = 8192) -> DataFra
     First every member is compared with its root (the member ``rep = label``), which finds chains in one pass; only
     groups that lie around their root as a whole are then compared in pairs of blocks.
     """
+    labelled = materialize(labelled, "labelled")
     roots = labelled.filter("rep = label").select(F.col("label").alias("root"), F.col("vec").alias("root_vec"))
 
     def far(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,27 +181,28 @@ def _reaching(block: tuple, lb: np.ndarray, x: np.ndarray, least: float) -> Iter
                     yield np.unique(np.stack([la[i[ok]], lb[z[ok]]], 1), axis=0)
 
 
-def bridges(ends: DataFrame, least: float, block_floats: int = 1 << 22) -> DataFrame:
+def _placed(ends: DataFrame, sizes: DataFrame, blocks: int, rows: int) -> DataFrame:
+    """``ends`` with ``chunk`` and ``block``: closed groups hashed into ``blocks`` blocks of about ``rows`` rows, other
+    vectors in block ``blocks``. A group of more than an eighth of a block is cut by a hash of its members into chunks,
+    which are groups to the search. ``sizes`` (``label, total``)."""
+    large = sizes.select("label", F.ceil(F.col("total") * 8 / rows).cast("int").alias("chunks")).filter("chunks > 1")
+    chunk = F.pmod(F.xxhash64("rep"), F.coalesce("chunks", F.lit(1))).cast("int")
+    block = F.when(F.col("closed"), F.pmod(F.xxhash64("label", "chunk"), F.lit(blocks)).cast("int")).otherwise(blocks)
+    return ends.join(large, "label", "left").withColumn("chunk", chunk).withColumn("block", block).select("model", "block", "chunk", "label", "rep", "vec")
+
+
+def bridges(placed: DataFrame, blocks: int, least: float) -> DataFrame:
     """``label, other``: the links of ``least`` or more from a closed group to a vector of another label.
 
-    ``ends`` (``model, rep, label, closed, vec``) holds all vectors, those of no group with ``label = rep``. Closed
-    groups are the queries, asked of all vectors in blocks of ``block_floats`` components (16 MB) that go to the tasks:
-    nothing is shuffled. A vector can be linked to a member only within the threshold's angle plus the group's radius
-    around one of its members; those are compared with all members, so no link is lost. A pair of closed groups is
-    compared once, in the earlier one's block. The work grows with closed groups times vectors.
+    ``placed`` (see :func:`_placed`) holds all vectors, those of no group with ``label = rep``. Closed groups are the
+    queries, asked of all vectors in ``blocks`` that go to the tasks one by one: nothing is shuffled. A vector can be
+    linked to a member only within the threshold's angle plus the group's radius around one of its members; those are
+    compared with all members, so no link is lost. A pair of closed groups is compared once, in the earlier one's
+    block. The work grows with closed groups times vectors.
     """
-    spark, path = ends.sparkSession, scratch(ends.sparkSession, "bridges")
-    n, dim = ends.agg(F.count_if("closed"), F.max(F.size("vec"))).first()
-    rows = max(1, block_floats // (dim or 1))
-    blocks = -(-n // rows) or 1
-    # A group may be larger than a block: it is cut by a hash of its members into chunks, which are groups to the search.
-    large = ends.filter("closed").groupBy("label").agg(F.ceil(F.count("*") * 8 / rows).cast("int").alias("chunks")).filter("chunks > 1")
-    chunk = F.pmod(F.xxhash64("rep"), F.coalesce("chunks", F.lit(1))).cast("int")
-    placed = ends.join(large, "label", "left").withColumn("chunk", chunk)
-    placed = placed.withColumn("block", F.when(F.col("closed"), F.pmod(F.xxhash64("label", "chunk"), F.lit(blocks)).cast("int")).otherwise(blocks))
-    placed = materialize(placed.select("model", "block", "chunk", "label", "rep", "vec"), "placed")
+    spark, path = placed.sparkSession, scratch(placed.sparkSession, "bridges")
     for i in range(blocks):
-        part = placed.filter(F.col("block") == i).toPandas().sort_values(["model", "label", "chunk", "rep"], ignore_index=True)  # about block_floats
+        part = placed.filter(F.col("block") == i).toPandas().sort_values(["model", "label", "chunk", "rep"], ignore_index=True)  # a block: of bounded size
         asked = {}
         for model, b in part.groupby("model"):
             # Chunks of a group are told apart by their place in the sorted block.
@@ -225,7 +234,7 @@ def _spans(start: np.ndarray, rows: int) -> list[tuple[int, int]]:
     return out
 
 
-def mutual_groups(results: DataFrame, catalog: DataFrame, least: float = 0.8, smallest: int = 3, cells: int = 8, margin: float = 0.15, per_cluster: int = 256, block_rows: int = 8192, reach_floats: int = 1 << 22) -> DataFrame:
+def mutual_groups(results: DataFrame, catalog: DataFrame, least: float = 0.8, smallest: int = 3, cells: int = 8, margin: float = 0.15, per_cluster: int = 256, block_rows: int = 8192, reach_floats: int = 1 << 21) -> DataFrame:
     """``cluster_id, result_id, rep``: the groups of at least ``smallest`` usable vectors of a model in which every
     two are similar (``least`` or more) and none outside is similar to any; ``cluster_id`` is the smallest result.
 
@@ -240,7 +249,8 @@ def mutual_groups(results: DataFrame, catalog: DataFrame, least: float = 0.8, sm
     reps = reps.select("model", "rep", "vec")
     if reps.isEmpty():
         return members.select(F.col("rep").alias("cluster_id"), "result_id", "rep")
-    assigned = KMeans.fit(reps, per_cluster).assign(reps, cells, margin)
+    km = KMeans.fit(reps, per_cluster)
+    assigned = km.assign(reps, cells, margin)
     found = materialize(stars(assigned, least, block_rows), "stars")
     labels = materialize(components(found), "labels")
     # A part of a group that some cell has seen not to be mutual settles it; so does a cell that holds it as a whole.
@@ -251,8 +261,11 @@ def mutual_groups(results: DataFrame, catalog: DataFrame, least: float = 0.8, sm
     # A broken group stays broken whatever it is linked to; what is closed so far must have no other link.
     wrong = materialize(wrong, "wrong")
     ends = reps.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")).join(wrong.withColumn("bad", F.lit(True)), "label", "left")
-    ends = materialize(ends.select("model", "rep", "label", F.col("bad").isNull().alias("closed"), "vec"), "ends")
-    new = bridges(ends, least, reach_floats)
+    ends = ends.select("model", "rep", "label", F.col("bad").isNull().alias("closed"), "vec")
+    rows = max(1, reach_floats // max(len(w) for w in km.weights.values()))
+    blocks = -(-sum(km.sizes.values()) // rows)
+    ends = materialize(_placed(ends, size, blocks, rows), "ends")
+    new = bridges(ends, blocks, least)
     labels = ends.select("rep", "label")
     if not new.isEmpty():
         low = F.least("label", "other")

@@ -32,41 +32,46 @@ def top_k(sims: np.ndarray, k: int) -> np.ndarray:
 def beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, start: np.ndarray, ef: int, wide: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """The ``ef`` nodes nearest to each query that a best-first walk from ``start`` finds: ids (-1: none) and similarities.
 
-    All queries of a batch take their steps together, expanding ``wide`` nodes each.
+    All queries of a batch take their steps together, expanding ``wide`` nodes each; a node is compared once per query.
     """
-    b = len(q)
-    ids = np.full((b, ef), -1, np.int32)
-    sims = np.full((b, ef), -np.inf, np.float32)
+    out, outs = np.full((len(q), ef), -1, np.int32), np.full((len(q), ef), -np.inf, np.float32)
+    seen = np.zeros((len(q), len(links)), bool)
+    ids, sims = out.copy(), outs.copy()
     n0 = min(start.shape[1], ef)
     ids[:, :n0] = start[:, :n0]
     sims[:, :n0] = np.where(ids[:, :n0] >= 0, np.matmul(x[ids[:, :n0]], q[:, :, None])[:, :, 0], -np.inf)
+    row, col = np.nonzero(ids >= 0)
+    seen[row, ids[row, col]] = True
     done = ids < 0
-    live = np.arange(b)
+    live = np.arange(len(q))
     while len(live):
-        open_sims = np.where(done[live], -np.inf, sims[live])
+        open_sims = np.where(done, -np.inf, sims)
         pick = np.argpartition(-open_sims, wide - 1, axis=1)[:, :wide]
         good = np.take_along_axis(open_sims, pick, 1) > -np.inf
         more = good.any(1)
-        live, pick, good = live[more], pick[more], good[more]
-        if not len(live):
-            break
-        d = done[live]
-        np.put_along_axis(d, pick, True, 1)
-        cur = ids[live]
-        nodes = np.take_along_axis(cur, pick, 1)
-        near = np.where(good[:, :, None], links[nodes], -1).reshape(len(live), -1)
-        near[(near[:, :, None] == cur[:, None, :]).any(2)] = -1
-        s = np.matmul(x[near], q[live][:, :, None])[:, :, 0]
-        s[near < 0] = -np.inf
-        all_ids, all_sims = np.concatenate([cur, near], 1), np.concatenate([sims[live], s], 1)
-        all_done = np.concatenate([d, near < 0], 1)
-        best = top_k(all_sims, ef)
-        cur, cs, d = (np.take_along_axis(a, best, 1) for a in (all_ids, all_sims, all_done))
-        twice = np.zeros_like(d)
-        twice[:, 1:] = (cur[:, 1:] == cur[:, :-1]) & (cur[:, 1:] >= 0)
-        cur[twice], cs[twice], d[twice] = -1, -np.inf, True
-        ids[live], sims[live], done[live] = cur, cs, d
-    return ids, sims
+        if not more.all():
+            out[live[~more]], outs[live[~more]] = ids[~more], sims[~more]
+            live, pick, good, ids, sims, done = live[more], pick[more], good[more], ids[more], sims[more], done[more]
+            if not len(live):
+                break
+        np.put_along_axis(done, pick, True, 1)
+        near = np.where(good[:, :, None], links[np.take_along_axis(ids, pick, 1)], -1).reshape(len(live), -1)
+        row, col = np.nonzero(near >= 0)
+        node = near[row, col]
+        new = ~seen[live[row], node]
+        row, col, node = row[new], col[new], node[new]
+        seen[live[row], node] = True
+        s = np.full(near.shape, -np.inf, np.float32)
+        s[row, col] = np.einsum("ij,ij->i", x[node], q[live[row]])
+        best = top_k(np.concatenate([sims, s], 1), ef)
+        done = np.take_along_axis(np.concatenate([done, s == -np.inf], 1), best, 1)
+        ids = np.take_along_axis(np.concatenate([ids, near], 1), best, 1)
+        sims = np.take_along_axis(np.concatenate([sims, s], 1), best, 1)
+        # No node where nothing is left, and a node that two others have led to once.
+        none = sims == -np.inf
+        none[:, 1:] |= ids[:, 1:] == ids[:, :-1]
+        ids[none], sims[none], done[none] = -1, -np.inf, True
+    return out, outs
 
 
 def diverse(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,16 +99,20 @@ class Hnsw:
         self.m_out, self.m_in = m, 5 * m // 3
 
     @classmethod
-    def build(cls, x: np.ndarray, ef: int = 32, top: int = TOP, m: int = 12) -> Hnsw:
+    def build(cls, x: np.ndarray, ef: int = 32, top: int = TOP, m: int = 12, keep: int = 10) -> Hnsw:
         """``x``: float32 unit vectors, in an order that has nothing to do with their content. Up to ``top`` nodes are
-        one level and have no graph."""
+        one level and have no graph.
+
+        Each node's insertion finds its nearest among those before it and offers it to them; ``near`` are the ``keep``
+        best of both, so the nodes' own neighbours need no second walk."""
         g = cls(x, [], top, m)
         sizes = g.sizes
+        g.near = np.full((len(x), keep), -1, np.int32), np.full((len(x), keep), -np.inf, np.float32)
         for level in range(len(sizes) - 2, -1, -1):
-            g.links.insert(0, g._level(sizes[level], sizes[level + 1], ef))
+            g.links.insert(0, g._level(sizes[level], sizes[level + 1], ef, level == 0))
         return g
 
-    def _level(self, n: int, above: int, ef: int) -> np.ndarray:
+    def _level(self, n: int, above: int, ef: int, lowest: bool) -> np.ndarray:
         x = self.x
         links = np.full((n, self.m_out + self.m_in), -1, np.int32)
         back = np.full((n, self.m_in), -np.inf, np.float32)
@@ -114,6 +123,8 @@ class Hnsw:
             s[np.arange(b - a), np.arange(a, b)] = -np.inf
             at = top_k(s, min(ef, have - 1))
             self._link(links, back, a, b, at.astype(np.int32), np.take_along_axis(s, at, 1))
+            if lowest:
+                self._offer(a, b, at.astype(np.int32), np.take_along_axis(s, at, 1), False)
         while have < n:
             end = min(n, have + min(2048, have))
             inner = x[have:end] @ x[have:end].T
@@ -130,6 +141,8 @@ class Hnsw:
                 found.append((a, b, np.take_along_axis(ids, best, 1), np.take_along_axis(sims, best, 1)))
             for a, b, ids, sims in found:
                 self._link(links, back, a, b, ids, sims)
+                if lowest:
+                    self._offer(a, b, ids, sims, True)
             have = end
         return links
 
@@ -143,18 +156,21 @@ class Hnsw:
 
     def _back(self, links: np.ndarray, back: np.ndarray, src: np.ndarray, dst: np.ndarray, sims: np.ndarray) -> None:
         """Add the links ``dst`` -> ``src``; of too many, the closest stay."""
-        order = np.lexsort((-sims, dst))
-        src, dst, sims = src[order], dst[order], sims[order]
-        first = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]])
-        rank = np.arange(len(dst)) - np.repeat(first, np.diff(np.r_[first, len(dst)]))
-        node = dst[first]
-        ids = np.concatenate([links[node, self.m_out:], np.full((len(node), self.m_in), -1, np.int32)], 1)
-        s = np.concatenate([back[node], np.full((len(node), self.m_in), -np.inf, np.float32)], 1)
-        fits = rank < self.m_in
-        row = np.repeat(np.arange(len(node)), np.diff(np.r_[first, len(dst)]))[fits]
-        ids[row, self.m_in + rank[fits]], s[row, self.m_in + rank[fits]] = src[fits], sims[fits]
-        best = top_k(s, self.m_in)
-        links[node, self.m_out:], back[node] = np.take_along_axis(ids, best, 1), np.take_along_axis(s, best, 1)
+        node, ids, s = _best_of(links[:, self.m_out :], back, src, dst, sims)
+        links[node, self.m_out :], back[node] = ids, s
+
+    def _offer(self, a: int, b: int, ids: np.ndarray, sims: np.ndarray, both: bool) -> None:
+        """What nodes ``a`` to ``b`` have found goes to their lists, and they to the lists of what they found."""
+        near, ns = self.near
+        width = min(near.shape[1], ids.shape[1])
+        near[a:b, :width], ns[a:b, :width] = ids[:, :width], sims[:, :width]
+        if both:
+            # Of nodes inserted together, those found by both would be on a list twice.
+            ok = (ids >= 0) & ((ids < a) | (ids >= b))
+            node, ids, s = _best_of(near, ns, np.repeat(np.arange(a, b, dtype=np.int32), ok.sum(1)), ids[ok], sims[ok])
+            twice = np.zeros(ids.shape, bool)
+            twice[:, 1:] = ids[:, 1:] == ids[:, :-1]
+            near[node], ns[node] = np.where(twice, -1, ids), np.where(twice, -np.inf, s)
 
     def _link(self, links: np.ndarray, back: np.ndarray, a: int, b: int, ids: np.ndarray, sims: np.ndarray) -> None:
         ids, sims = diverse(self.x, ids, sims, self.m_out)
@@ -291,6 +307,24 @@ class Hnsw:
         return cls(x, links, top, m)
 
 
+def _best_of(ids: np.ndarray, sims: np.ndarray, src: np.ndarray, dst: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes in ``dst``, and for each the closest of its row of ``ids`` and the ``src`` that come with it."""
+    width = ids.shape[1]
+    order = np.lexsort((-new, dst))
+    src, dst, new = src[order], dst[order], new[order]
+    first = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]]) if len(dst) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[first, len(dst)])
+    rank = np.arange(len(dst)) - np.repeat(first, size)
+    node = dst[first]
+    both = np.concatenate([ids[node], np.full((len(node), width), -1, np.int32)], 1)
+    s = np.concatenate([sims[node], np.full((len(node), width), -np.inf, np.float32)], 1)
+    fits = rank < width
+    row = np.repeat(np.arange(len(node)), size)[fits]
+    both[row, width + rank[fits]], s[row, width + rank[fits]] = src[fits], new[fits]
+    best = top_k(s, width)
+    return node, np.take_along_axis(both, best, 1), np.take_along_axis(s, best, 1)
+
+
 def _distinct(ids: np.ndarray) -> np.ndarray:
     """Each row's ids once, repeats as -1."""
     ids = np.sort(ids, axis=1)[:, ::-1].copy()

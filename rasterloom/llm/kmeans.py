@@ -78,7 +78,9 @@ def _nearest(f: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class KMeans:
-    """``centroids``: by model, unit rows in feature space."""
+    """``centroids``: by model, unit rows in feature space; ``sizes``: by model, the rows they were fitted on."""
+
+    sizes: dict[str, int] = {}
 
     def __init__(self, weights: dict[str, np.ndarray], centroids: dict[str, np.ndarray]) -> None:
         self.weights, self.centroids = weights, centroids
@@ -96,6 +98,7 @@ class KMeans:
         k = {m: int(min(max_k, max(1, -(-n // per_cluster)))) for m, n in sizes.items()}
         start = reps.groupBy("model").agg(F.min_by("vec", F.xxhash64("rep", F.lit(seed))).alias("vec")).collect()
         me = cls(weights, {m: hashed(units(np.array([v], np.float32)), weights[m]) for m, v in start})
+        me.sizes = sizes
         cost = {m: float(n) for m, n in sizes.items()}
         for i in range(rounds):
             cost = me._draw(reps, k, cost, 1.5 * (i + 1), seed + i)

@@ -93,7 +93,8 @@ def _answers(g: Hnsw, ids: np.ndarray, x: np.ndarray, q: np.ndarray, own: np.nda
     smaller id. ``rerank``: the queries are the shard's own nodes, in order; see :meth:`Hnsw.reranked`.
     ``groups``: the queries are others, the shard's nodes have these labels; see :meth:`Hnsw.reached`."""
     u = units(q)
-    near, sims = g.search(u, k + 5, ef, own)  # some more than k: single precision leaves near ties open
+    # Some more than k: single precision leaves near ties open.
+    near, sims = g.near if rerank and g.links else g.search(u, k + 5, ef, own)
     if rerank:
         near, _ = g.reranked(near, sims, rerank[0], block_rows=rerank[1])
     if groups:
@@ -132,7 +133,7 @@ def shard_name(model: Column, pivot: Column, part: Column) -> Column:
     return F.concat_ws("-", F.hex(F.xxhash64(model)), pivot.cast("string"), part.cast("string"))
 
 
-def build_shards(routed_reps: DataFrame, path: str, shard_rows: int, k: int, ef: int = 24, m: int = 12, tight: float = 0.8, group_rows: int = 8192, top: int = TOP) -> list[tuple]:
+def build_shards(routed_reps: DataFrame, path: str, shard_rows: int, k: int, ef: int = 32, m: int = 12, tight: float = 0.8, group_rows: int = 8192, top: int = TOP) -> list[tuple]:
     """A graph per shard, stored below ``path`` in a folder of its own together with what it answers to its own vectors
     (the ``k`` nearest others). A pivot's vectors are hashed into parts of about ``shard_rows``.
 
@@ -154,8 +155,8 @@ def build_shards(routed_reps: DataFrame, path: str, shard_rows: int, k: int, ef:
         one_thread()
         b = b.iloc[np.argsort(_mix(b["rep"].to_numpy()), kind="stable")]  # an order without meaning, the same each time
         x, ids = matrix(b["vec"]), b["rep"].to_numpy()
-        g = Hnsw.build(units(x), ef, top, m)
-        near, sims = _answers(g, ids, x, x, np.arange(len(b), dtype=np.int32), k, max(16, k, ef // 2), (tight, group_rows))
+        g = Hnsw.build(units(x), ef, top, m, k + 5)
+        near, sims = _answers(g, ids, x, x, np.arange(len(b), dtype=np.int32), k, ef, (tight, group_rows))
         labels = g.tight_groups(tight) if g.links else np.arange(len(x))
         homes = np.stack(b["homes"].to_numpy()).astype("<i4")
         alone = bool(b["alone"].iloc[0])  # no other shard is to be asked, none asks
@@ -232,7 +233,7 @@ def search(spark: SparkSession, path: str, shards: list[tuple], k: int, ef: int
     return todo.repartition(max(1, min(10_000, len(shards)))).mapInPandas(run, HITS)
 
 
-def nearest_vectors(results: DataFrame, catalog: DataFrame, k: int = 5, shard_rows: int = 32_768, probes: int = 8, ef: int = 24, m: int = 12, tight: float = 0.8, group_rows: int = 8192, top: int = TOP) -> DataFrame:
+def nearest_vectors(results: DataFrame, catalog: DataFrame, k: int = 5, shard_rows: int = 32_768, probes: int = 8, ef: int = 32, m: int = 12, tight: float = 0.8, group_rows: int = 8192, top: int = TOP) -> DataFrame:
     """``model, result_id, rank, other_id, sim``: for each usable vector the ``k`` most similar others of its model.
 
     Identical vectors are indexed once and come back with all their results: their similarity is 1, the smaller
