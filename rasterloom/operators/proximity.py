@@ -3,8 +3,9 @@
 Boxes and the bounding rectangles of the points' buffers are regions with two vertical and two horizontal edges.
 Quantiles of the points' longitudes split the plane into strips, quantiles of the latitudes inside a strip split it
 into cells. A point lies in one cell; a region is copied to the cells it meets. In a task, the region edges of a cell
-cut it into slabs; the regions of a slab are ordered by their lower edge, and a point is located by binary search.
-What the search returns is checked exactly (great-circle distance, closed box edges).
+cut it into slabs; slabs are joined in pairs to wider ones, and a region is kept by the few of these that make up its
+width. There, regions of about one height are ordered by their lower edge, and a point is located by binary searches of
+the edges. What the search returns is checked exactly (great-circle distance, closed box edges).
 
 Hot cells: a cell with more rows than ``block_rows`` is worked off in blocks of points by blocks of regions, each
 pair of blocks its own group, so no task holds more than two blocks.
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from rasterloom.common import materialize, once
 
 EARTH_RADIUS_M = 6_371_008.8
-#: Upper bounds of what is gathered on the driver and sent to tasks: strips x bands cells.
-MAX_STRIPS, MAX_BANDS = 128, 64
+#: Upper bounds of what is gathered on the driver and sent to tasks, strips x bands cuts: 16 MB, enough for cells of
+#: ``cell_rows`` up to 8.6 thousand million points. Beyond that cells grow and are worked off in more blocks.
+MAX_STRIPS, MAX_BANDS = 2048, 1024
 
 
 def _lon(c: str) -> Column:
@@ -87,19 +89,25 @@ def locate(points: DataFrame, regions: DataFrame, block_rows: int = 8192, cell_r
     bands = max(1, min(MAX_BANDS, -(-n // (cell_rows * strips))))
     # Fixed-size summaries: strips - 1 longitudes and strips x (bands - 1) latitudes.
     probs = [i / strips for i in range(1, strips)]
-    xs = sorted(set(points.agg(F.percentile_approx("x", F.array(*map(F.lit, probs)), 10_000)).first()[0] or [])) if probs else []
-    strip_of = F.size(F.filter(F.array(*map(F.lit, xs)), lambda e: e <= F.col("x"))) if xs else F.lit(0)
+    xs = sorted(set(points.agg(F.percentile_approx("x", F.array(*map(F.lit, probs)), max(10_000, 20 * strips))).first()[0] or [])) if probs else []
     ys: list[list[float]] = [[] for _ in range(len(xs) + 1)]
     if bands > 1:
         probs = [i / bands for i in range(1, bands)]
-        for s, q in points.groupBy(strip_of.alias("s")).agg(F.percentile_approx("y", F.array(*map(F.lit, probs)), 10_000)).collect():
+        ship_x = points.sparkSession.sparkContext.broadcast(np.array(xs))
+
+        def strip_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"s": np.searchsorted(ship_x.value, b["x"].to_numpy(), "right"), "y": b["y"]})
+
+        for s, q in points.select("x", "y").mapInPandas(strip_of, "s int, y double").groupBy("s").agg(F.percentile_approx("y", F.array(*map(F.lit, probs)), max(1000, 20 * bands))).collect():
             ys[s] = sorted(set(q))
-    xcut, ycut = np.array(xs), [np.array(y) for y in ys]
+    cuts = points.sparkSession.sparkContext.broadcast((np.array(xs), [np.array(y) for y in ys]))
 
     pcols, rcols = points.columns, regions.columns
     where = "strip int, band int"
 
     def place_points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        xcut, ycut = cuts.value
         for b in batches:
             s = np.searchsorted(xcut, b["x"].to_numpy(), "right")
             y = b["y"].to_numpy()
@@ -110,6 +118,7 @@ def locate(points: DataFrame, regions: DataFrame, block_rows: int = 8192, cell_r
             yield b.assign(strip=s.astype(np.int32), band=band)
 
     def place_regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        xcut, ycut = cuts.value
         for b in batches:
             s0, s1 = (np.searchsorted(xcut, b[c].to_numpy(), "right") for c in ("x0", "x1"))
             row = np.repeat(np.arange(len(b)), s1 - s0 + 1)
@@ -130,9 +139,9 @@ def locate(points: DataFrame, regions: DataFrame, block_rows: int = 8192, cell_r
     p = points.mapInPandas(place_points, f"{ddl(points)}, {where}")
     r = materialize(regions.mapInPandas(place_regions, f"{ddl(regions)}, {where}"), "regions")
     p = materialize(p, "points")
-    # Blocks per cell; at most MAX_STRIPS x MAX_BANDS rows, a bound of the code itself.
+    # Blocks per cell: a small row per cell; whether it is broadcast is left to the optimiser.
     blocks = lambda df, name: df.groupBy("strip", "band").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
-    cells = F.broadcast(blocks(p, "pb").join(blocks(r, "rb"), ["strip", "band"]))
+    cells = blocks(p, "pb").join(blocks(r, "rb"), ["strip", "band"])
     # A row's block comes from its key; a side that is cut sends its rows to each block of the other side.
     p = p.join(cells, ["strip", "band"]).select(
         *[F.col(c) for c in pcols], "strip", "band", F.pmod(F.xxhash64("pid"), F.col("pb")).cast("int").alias("pblock"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("rblock")
@@ -151,41 +160,78 @@ def locate(points: DataFrame, regions: DataFrame, block_rows: int = 8192, cell_r
     return p.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(match, out)
 
 
-def stab(px, py, x0, y0, x1, y1) -> tuple[np.ndarray, np.ndarray]:
+def _canonical(lo: np.ndarray, hi: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and nodes of a binary tree over ``size`` leaves (a power of two, the root being node 1): the nodes whose
+    leaves make up each range [lo, hi), at most two per level."""
+    lo, hi = lo + size, hi + size
+    rows, nodes = [], []
+    at = np.arange(len(lo))
+    while True:
+        open_ = lo < hi
+        at, lo, hi = at[open_], lo[open_], hi[open_]
+        if not len(at):
+            break
+        left, right = (lo & 1) == 1, (hi & 1) == 1
+        rows += [at[left], at[right]]
+        nodes += [lo[left], hi[right] - 1]
+        lo, hi = (lo + 1) >> 1, hi >> 1
+    return (np.concatenate(rows), np.concatenate(nodes)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def stab(px, py, x0, y0, x1, y1, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (point, rectangle) with the point in the closed rectangle.
 
-    The vertical edges cut the plane into slabs: each edge position and each gap between two. A rectangle is an
-    interval of slabs; in a slab the rectangles are ordered by lower edge. The candidates of a point are those with
-    a lower edge in (y - tallest of the slab, y], found by two binary searches.
+    The vertical edges cut the plane into slabs: each edge position and each gap between two. Slabs are the leaves of a
+    binary tree, a rectangle belongs to the few nodes that make up its interval of slabs, so memory grows with rectangles
+    times the tree's depth, however wide they are. Within a node, rectangles are kept by class of height (powers of two)
+    and ordered by lower edge: those of one class that hold a point have their lower edge within the class's height
+    below it, found by two binary searches, and of what lies in that range at least the nearer half does hold it.
+    Candidates are checked ``most`` at a time.
     """
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not len(px) or not len(x0):
+    ok = (x0 <= x1) & (y0 <= y1)
+    if not len(px) or not ok.any():
         return none
     edges = np.unique(np.concatenate([x0, x1]))
     slab_p = np.searchsorted(edges, px, "left") + np.searchsorted(edges, px, "right")
     used, slab_p = np.unique(slab_p, return_inverse=True)
     lo, hi = 2 * np.searchsorted(edges, x0) + 1, 2 * np.searchsorted(edges, x1) + 1
     lo, hi = np.searchsorted(used, lo, "left"), np.searchsorted(used, hi, "right")
-    width = hi - lo
-    rect = np.repeat(np.arange(len(x0)), width)
+    size = 1 << max(0, int(len(used) - 1).bit_length())
+    rect, node = _canonical(np.where(ok, lo, 0), np.where(ok, hi, 0), size)
     if not len(rect):
         return none
-    slab = np.arange(len(rect)) - np.repeat(np.cumsum(width) - width, width) + lo[rect]
-    order = np.lexsort((y0[rect], slab))
-    rect, slab = rect[order], slab[order]
-    tall = np.zeros(len(used))
-    np.maximum.at(tall, slab, (y1 - y0)[rect])
+    height = (y1 - y0)[rect]
+    kind = np.where(height > 0, np.frexp(np.maximum(height, 1e-300))[1], -2000)  # height < 2 ** kind
+    kinds, kind = np.unique(kind, return_inverse=True)
     lows, rank = np.unique(y0[rect], return_inverse=True)
     step = len(lows) + 1
-    key = slab * step + rank
-    end = np.searchsorted(key, slab_p * step + np.searchsorted(lows, py, "right"), "left")
-    reach = py - tall[slab_p] - 1e-9
-    begin = np.searchsorted(key, slab_p * step + np.searchsorted(lows, reach, "left"), "left")
-    n = np.maximum(end - begin, 0)
-    i = np.repeat(np.arange(len(px)), n)
-    j = rect[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + begin[i]]
-    ok = (y1[j] >= py[i]) & (y0[j] <= py[i]) & (x0[j] <= px[i]) & (x1[j] >= px[i])
-    return i[ok], j[ok]
+    key = (node * len(kinds) + kind) * step + rank
+    order = np.argsort(key, kind="stable")
+    rect, key = rect[order], key[order]
+    top = np.searchsorted(lows, py, "right")
+    i_out, j_out = [], []
+    for c, power in enumerate(kinds):
+        reach = py if power == -2000 else py - np.ldexp(1.0, int(power)) * (1 + 1e-12)
+        bottom = np.searchsorted(lows, reach, "left")
+        up = slab_p + size
+        while up[0]:  # from the leaf to the root; all points are equally deep
+            base = (up * len(kinds) + c) * step
+            begin, end = np.searchsorted(key, base + bottom), np.searchsorted(key, base + top)
+            total = np.r_[0, np.cumsum(np.maximum(end - begin, 0))]
+            for s in range(0, int(total[-1]), most):
+                at = np.arange(s, min(s + most, int(total[-1])))
+                i = np.searchsorted(total, at, "right") - 1
+                j = rect[begin[i] + at - total[i]]
+                fits = (y1[j] >= py[i]) & (y0[j] <= py[i])
+                i_out.append(i[fits])
+                j_out.append(j[fits])
+            up = up >> 1
+    if not i_out:
+        return none
+    i, j = np.concatenate(i_out), np.concatenate(j_out)
+    order = np.lexsort((j, i))
+    return i[order], j[order]
 
 
 def great_circle_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
