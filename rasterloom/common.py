@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
 import uuid
 
@@ -68,3 +70,82 @@ def once(df: DataFrame, key: str, order: str) -> DataFrame:
         .agg(F.min_by(F.struct(*rest), F.struct(F.col(order).isNull(), order)).alias("__row"))
         .select(key, *[F.col(f"__row.{c}").alias(c) for c in rest])
     )
+
+
+_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(\.\d+)?([eE][-+]?\d+)?")
+_SPACE = re.compile(r"[ \t\n\r]*")
+_WORDS = {"true": True, "false": False, "null": None, "NaN": float("nan"), "Infinity": float("inf"), "-Infinity": float("-inf")}
+
+
+def read_json(text: str, at: int = 0) -> tuple[object, int]:
+    """The JSON value that begins at ``at``, and where it ends; ValueError where there is none. Nested to any depth:
+    what is too deep for the library's parser is read with a stack of its own."""
+    try:
+        return json.JSONDecoder().raw_decode(text, at)
+    except RecursionError:
+        return _read_deep(text, at)
+
+
+def parse_json(text: str):
+    """The JSON value in ``text``, at any depth; ValueError if there is none or more than one."""
+    value, end = read_json(text, _SPACE.match(text).end())
+    if _SPACE.match(text, end).end() != len(text):
+        raise ValueError(f"text after a value at {end}")
+    return value
+
+
+def _read_deep(text: str, at: int) -> tuple[object, int]:
+    """One pass over the tokens; ``open_`` holds the containers not closed yet, each with the key it waits to fill."""
+    open_: list[list] = []
+
+    def skip(i: int) -> int:
+        return _SPACE.match(text, i).end()
+
+    def key(i: int) -> tuple[str, int]:
+        if text[i : i + 1] != '"':
+            raise ValueError(f"no name at {i}")
+        name, i = json.decoder.scanstring(text, i + 1, True)
+        i = skip(i)
+        if text[i : i + 1] != ":":
+            raise ValueError(f"no colon at {i}")
+        return name, skip(i + 1)
+
+    while True:
+        c = text[at : at + 1]
+        if c in ("{", "["):
+            inside, at = ({} if c == "{" else []), skip(at + 1)
+            if text[at : at + 1] != ("}" if c == "{" else "]"):
+                name = None
+                if c == "{":
+                    name, at = key(at)
+                open_.append([inside, name])
+                continue
+            value, at = inside, at + 1
+        elif c == '"':
+            value, at = json.decoder.scanstring(text, at + 1, True)
+        elif m := _NUMBER.match(text, at):
+            value, at = (float if m[1] or m[2] else int)(m[0]), m.end()
+        else:
+            word = next((w for w in _WORDS if text.startswith(w, at)), None)
+            if word is None:
+                raise ValueError(f"no value at {at}")
+            value, at = _WORDS[word], at + len(word)
+        while open_:  # what is whole goes into its container, which may be whole then
+            inside, name = open_[-1]
+            if isinstance(inside, dict):
+                inside[name] = value
+            else:
+                inside.append(value)
+            at = skip(at)
+            c, at = text[at : at + 1], skip(at + 1)
+            if c == ",":
+                if isinstance(inside, dict):
+                    open_[-1][1], at = key(at)
+                break
+            if c != ("}" if isinstance(inside, dict) else "]"):
+                raise ValueError(f"neither end nor more at {at}")
+            value = open_.pop()[0]
+            if not open_:
+                return value, at
+        else:
+            return value, at

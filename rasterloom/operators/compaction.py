@@ -2,13 +2,12 @@
 
 Two layers. ``compact`` joins small Parquet files into well-sized ones by copying their encoded column chunks and
 writing new footers; no value is decoded, and schema, block counts and row totals are checked. ``consolidate`` does
-the same for stored texts: whole records are cut out of payloads of any layout, each is kept once, byte for byte, and
-laid into few files per group with a footer of counts and a digest; the files of the result pass through ``compact``.
+the same for stored texts: whole records are cut out of payloads of any layout, each is kept once, as it stands but for
+line breaks between its tokens, and laid into few files per group with a footer of counts and a digest; the files of the result pass through ``compact``.
 """
 
 from __future__ import annotations
 
-import json
 import struct
 import uuid
 from collections.abc import Iterator
@@ -17,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.common import once, scratch
+from rasterloom.common import once, read_json, scratch
 from rasterloom.sources import footer as ft
 
 REPORT = "target string, files_in int, groups_in int, groups_out int, rows_in bigint, rows_out bigint, bytes_in bigint, bytes_out bigint, rejected string"
@@ -132,13 +131,12 @@ def read_compacted(spark: SparkSession, report: DataFrame, schema, target: str)
         raise RuntimeError(f"consolidation of {target} doesn't add up: {t}")
     if not t[5]:
         return spark.createDataFrame([], schema)
-    # Names of lost attempts may lie in the folder too; the well-sized files are few, and only theirs are read.
-    names = report.filter("rejected is null").select(F.element_at(F.split("target", "/"), -1).alias("name"))
-    files = spark.read.schema(schema).parquet(target).withColumn("__name", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    return files.join(F.broadcast(names), F.col("__name") == F.col("name"), "left_semi").drop("__name")
+    # Names of lost attempts may lie in the folder too, so the files are named one by one. Their list is as long as the
+    # one that any scan of the folder keeps on the driver; no row is joined or shuffled.
+    names = [r["target"].rsplit("/", 1)[-1] for r in report.filter("rejected is null").select("target").toLocalIterator()]
+    return spark.read.schema(schema).parquet(*[f"{target}/{n}" for n in names])
 
 
-_decoder = json.JSONDecoder()
 KEY = ("export_id", "point_index", "model")
 
 
@@ -156,8 +154,8 @@ def records_in(payload: str | None) -> Iterator[tuple[int, int, str, str]]:
     at = payload.find("{") if payload else -1
     while at >= 0:
         try:
-            o, end = _decoder.raw_decode(payload, at)
-        except (ValueError, RecursionError):
+            o, end = read_json(payload, at)
+        except ValueError:
             at = payload.find("{", at + 1)
             continue
         if _is_record(o):
@@ -174,7 +172,7 @@ def layout_name(c) -> F.Column:
     return F.nullif(F.regexp_replace(F.lower(F.trim(c)), r"[\s-]+", "_"), F.lit(""))
 
 
-def consolidated(files: DataFrame, target_bytes: int = 64 << 10) -> DataFrame:
+def consolidated(files: DataFrame, target_bytes: int = 1 << 20) -> DataFrame:
     """``export_id, layout, file_no, n_records, n_bytes, digest, payload``: the records of ``files`` (export_files),
     each once, one per line, in files of about ``target_bytes`` per export and layout.
 
@@ -205,7 +203,7 @@ def consolidated(files: DataFrame, target_bytes: int = 64 << 10) -> DataFrame:
     )
 
 
-def consolidate(files: DataFrame, target_bytes: int = 64 << 10, parquet_bytes: int = 128 << 20) -> tuple[DataFrame, DataFrame]:
+def consolidate(files: DataFrame, target_bytes: int = 1 << 20, parquet_bytes: int = 128 << 20) -> tuple[DataFrame, DataFrame]:
     """:func:`consolidated` as a stored table of few Parquet files, and the report of their consolidation.
 
     The tasks write a small Parquet file each; their column blocks are then copied into well-sized files.

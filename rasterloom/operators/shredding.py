@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.common import materialize
+from rasterloom.common import materialize, parse_json
 
 
 @dataclass(frozen=True)
@@ -51,8 +51,8 @@ def opened(value):
     """``value``, or what it holds if it is a string with a JSON object or list inside."""
     while isinstance(value, str) and value.lstrip()[:1] in ("{", "["):
         try:
-            value = json.loads(value)
-        except (ValueError, RecursionError):
+            value = parse_json(value)
+        except ValueError:
             break
     return value
 
@@ -73,11 +73,14 @@ def elements(value, entity: Entity) -> list[tuple[int, str | None, object]]:
     return []
 
 
-def shred_one(doc: int, text: str | None, entities: dict[str, Entity], out: list[tuple]) -> None:
-    """Append the nodes of one document, in document order; nothing for an unreadable one."""
+def shred_one(doc: int, text: str | None, entities: dict[str, Entity], out: list[tuple], only: frozenset[str] | None = None) -> None:
+    """Append the nodes of one document, in document order; nothing for an unreadable one, however deep it is nested.
+
+    ``only``: of the values that are no entity, those of these paths (below the lowest entity) alone.
+    """
     try:
-        root = json.loads(text) if text else None
-    except (ValueError, RecursionError):
+        root = parse_json(text) if text else None
+    except ValueError:
         return
     root = opened(root)
     if not isinstance(root, (dict, list)):
@@ -105,6 +108,8 @@ def shred_one(doc: int, text: str | None, entities: dict[str, Entity], out: list
             below = [(v, me, label, pos, k, value.entity if isinstance(v, dict) else None, chain, f"{path}[{pos}]" if k is None else _step(path, k)) for pos, k, v in value.items]
         elif isinstance(value, list):
             kind = "array"
+            if only is not None and not any(isinstance(v, (dict, list, str)) for v in value):
+                continue  # no entity below
             below = [(v, me, label, i, None, None, chain, f"{path}[{i}]") for i, v in enumerate(value)]
         elif value is None:
             kind = "null"
@@ -114,7 +119,8 @@ def shred_one(doc: int, text: str | None, entities: dict[str, Entity], out: list
             kind, scalar = "number", repr(value)
         else:
             kind, scalar = "string", value
-        out.append((doc, me, parent, label, ordinal, kind, scalar, entity, key, list(chain), path, not below and entity is None))
+        if only is None or entity or path in only:
+            out.append((doc, me, parent, label, ordinal, kind, scalar, entity, key, list(chain), path, not below and entity is None))
         todo.extend(reversed(below))
 
 
@@ -132,21 +138,23 @@ class _List:
         self.items, self.entity = items, entity
 
 
-def shred(docs: DataFrame, key: str, text: str, entities: tuple[Entity, ...] = MANIFEST) -> DataFrame:
-    """The adjacency table of ``docs``: one row per value, ``doc`` being the document's ``key``.
+def shred(docs: DataFrame, key: str, text: str, entities: tuple[Entity, ...] = MANIFEST, only: tuple[str, ...] | None = None) -> DataFrame:
+    """The adjacency table of ``docs``: one row per value, ``doc`` being the document's ``key``; with ``only``, the
+    entities and of the other values those of these paths.
 
     Node numbers follow the order of the document, the root is 0 and has no parent. Null, empty and unreadable texts
     give no rows, null elements are nodes of kind ``null`` without entity; an empty table gives an empty result.
     Other columns are ignored. ``key`` must be unique: see :func:`readable_once`.
     """
     by_label = {e.label: e for e in entities}
+    paths = None if only is None else frozenset(only)
     columns = [c.split()[0] for c in NODES.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out: list[tuple] = []
             for doc, t in zip(b["doc"], b["text"]):
-                shred_one(int(doc), t, by_label, out)
+                shred_one(int(doc), t, by_label, out, paths)
                 if len(out) > 50_000:
                     yield pd.DataFrame(out, columns=columns).astype({"parent": "Int32"})
                     out = []
@@ -223,8 +231,7 @@ def manifest_children(manifests: DataFrame) -> DataFrame:
     The links are those of :func:`manifest_tables`, read from the adjacency table without the children's fields.
     """
     docs = readable_once(manifests, "export_id", "manifest", "ingested_at")
-    nodes = shred(docs, "export_id", "manifest")
-    kept = materialize(nodes.filter("entity is not null or (scalar is not null and path = 'model')"), "nodes")
+    kept = materialize(shred(docs, "export_id", "manifest", only=("model",)), "nodes")
     models = entity_table(kept.filter("coalesce(entity, 'model') = 'model'"), next(e for e in MANIFEST if e.name == "model"))
     models = models.select(F.col("doc").alias("export_id"), F.col("node").alias("model_node"), F.coalesce("model", "key").alias("model"))
     points = kept.filter("entity = 'point'").select(F.col("doc").alias("export_id"), F.col("node").alias("point_node"), F.col("ordinal").alias("point_index"), F.explode("chain").alias("model_node"))
