@@ -1,9 +1,9 @@
 """Schemas that drift between files: fingerprints, migration steps and one consistent table.
 
 Each file of a feed has a fingerprint of its fields and types; files in a row with one fingerprint share a version.
-Between two files the difference of their field lists gives the steps added, removed, retyped and renamed. Chained
-from a file to the feed's last one, the renames route each record to the feed's current names; casts and defaults do
-the rest.
+Only where the fingerprint changes are two files compared: the difference of their field lists gives the steps added,
+removed, retyped and renamed. Chained from a file to the feed's last one, the renames route each record to the feed's
+current names; casts and defaults do the rest, and what has no form in the current type is reported.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.common import materialize, once
+from rasterloom.common import materialize, once, parse_json
 
 
 def json_type(v) -> str:
@@ -46,26 +46,47 @@ def fields_of(record: dict, wanted: set[str] | None = None) -> Iterator[tuple[st
 
 def canonical(v) -> str:
     """Equal JSON values give equal texts: 1 and 1.0 are one number, the order of an object's fields is no matter."""
-    if isinstance(v, bool) or v is None or isinstance(v, str):
-        return json.dumps(v)
-    if isinstance(v, float):
-        return str(int(v)) if v == v and abs(v) != float("inf") and v == int(v) else repr(v)
-    if isinstance(v, int):
-        return str(v)
-    if isinstance(v, list):
-        return "[" + ",".join(map(canonical, v)) + "]"
-    return "{" + ",".join(f"{json.dumps(k)}:{canonical(v[k])}" for k in sorted(v)) + "}"
+    out, todo = [], [v]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, _Sign):
+            out.append(v)
+        elif isinstance(v, bool) or v is None or isinstance(v, str):
+            out.append(json.dumps(v))
+        elif isinstance(v, float):
+            out.append(json.dumps(v) if v != v or abs(v) == float("inf") else str(int(v)) if v == int(v) else repr(v))
+        elif isinstance(v, int):
+            out.append(str(v))
+        else:
+            keyed = isinstance(v, dict)
+            parts = [_Sign("{" if keyed else "[")]
+            for i, x in enumerate(sorted(v) if keyed else v):
+                parts.append(_Sign("," if i else ""))
+                parts += [_Sign(json.dumps(x) + ":"), v[x]] if keyed else [x]
+            todo.extend(reversed([*parts, _Sign("}" if keyed else "]")]))
+    return "".join(out)
+
+
+class _Sign(str):
+    """Punctuation between the values of :func:`canonical`."""
 
 
 def parsed(text: str | None) -> dict | None:
     """The object in ``text``; None for null, empty, unreadable or other content."""
     try:
-        o = json.loads(text) if text else None
-    except (ValueError, RecursionError):
+        o = parse_json(text) if text else None
+    except ValueError:
         return None
     return o if isinstance(o, dict) else None
 
 
+def file_texts(rows: DataFrame, feed: str = "feed", file_no: str = "file_no", text: str = "meta", key: str = "result_id") -> DataFrame:
+    """``feed, file_no, text`` of all rows with a key, for questions to which a repeated row is no matter: what fields
+    and values a file has. Nothing is shuffled."""
+    out = rows.filter(F.col(key).isNotNull()).select(F.col(feed).alias("feed"), F.col(file_no).alias("file_no"), F.col(text).alias("text"))
+    return out.filter("feed is not null and file_no is not null")
+
+
 def file_records(rows: DataFrame, feed: str = "feed", file_no: str = "file_no", text: str = "meta", key: str = "result_id", order: str = "ingested_at") -> DataFrame:
     """``key, feed, file_no, text``, each key once, rows without a feed or file left out."""
     out = rows.select(F.col(key).alias("key"), F.col(feed).alias("feed"), F.col(file_no).alias("file_no"), F.col(text).alias("text"), F.col(order).alias("__o"))
@@ -125,14 +146,15 @@ def field_values(records: DataFrame, wanted: DataFrame) -> DataFrame:
 def changes(records: DataFrame, fields: DataFrame | None = None) -> DataFrame:
     """``feed, file_no, change_kind, field, new_field``: each change from file ``file_no`` - 1 to ``file_no``.
 
-    ``records`` are those of :func:`file_records`. A field that has several types in one file has them all as its
+    ``records`` are those of :func:`file_texts` or :func:`file_records`. Files of equal fingerprints are not compared. A field that has several types in one file has them all as its
     type. Where one gone field shares values with several new ones (or the reverse), each such pair is a rename.
     Files whose predecessor has no row at all are not compared; a file of only null, empty or unreadable records has
     no fields. An empty table gives an empty result.
     """
     fields = materialize(file_fields(records), "fields") if fields is None else fields
-    files = fields.select("feed", "file_no").distinct()
-    pairs = files.join(files.select("feed", (F.col("file_no") + 1).alias("file_no")), ["feed", "file_no"])
+    prints = versions(fields).select("feed", "file_no", "fingerprint")
+    before = prints.select("feed", (F.col("file_no") + 1).alias("file_no"), F.col("fingerprint").alias("was"))
+    pairs = materialize(prints.join(before, ["feed", "file_no"]).filter("fingerprint <> was").select("feed", "file_no"), "pairs")
     some = fields.filter("path is not null")
     now = some.join(pairs, ["feed", "file_no"])
     before = some.withColumn("file_no", F.col("file_no") + 1).join(pairs, ["feed", "file_no"])
@@ -169,95 +191,187 @@ def versions(fields: DataFrame) -> DataFrame:
 
     The window is over the files of a feed, never over its records.
     """
-    prints = fields.groupBy("feed", "file_no").agg(F.hex(F.xxhash64(F.array_sort(F.collect_set(F.concat_ws(":", "path", "types"))))).alias("fingerprint"))
+    prints = fields.groupBy("feed", "file_no").agg(F.md5(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "path", "types"))), "\n")).alias("fingerprint"))
     w = Window.partitionBy("feed").orderBy("file_no")
     step = (F.col("fingerprint") != F.lag("fingerprint").over(w)).cast("int")
     return prints.withColumn("__s", F.coalesce(step, F.lit(1))).withColumn("version", F.sum("__s").over(w).cast("int")).drop("__s")
 
 
 def routes(steps: DataFrame, fields: DataFrame) -> DataFrame:
-    """``feed, file_no, rules``: for each file the chained rules as JSON, ``{"rename": {old: current}, "cast": {...}}``.
+    """``feed, file_no, rules, current``: for each file the chained rules as JSON, ``{"rename": {old: current}, "cast":
+    {...}, "default": [...]}`` (``default``: current fields that the file lacks), and the feed's current fields with
+    their types.
 
     One group per feed over its steps and fields, both bounded by the feed's schemas. A field that splits into several
-    names takes the first by name; one that vanishes keeps its last name.
+    names takes the first by name; one that vanishes keeps its last name and type.
     """
 
     def run(key, s: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        last_type = {}
+        f = f.dropna(subset=["path"]) if len(f.dropna(subset=["path"])) else f
+        last_type, last_file = {}, {}
         for r in f.dropna(subset=["path"]).sort_values("file_no").itertuples():
-            last_type[r.path] = r.types
+            last_type[r.path], last_file[r.path] = r.types, r.file_no
         hops: dict[int, dict[str, str]] = {}
         for r in s[s.change_kind == "renamed"].sort_values(["file_no", "field", "new_field"]).itertuples():
             hops.setdefault(r.file_no, {}).setdefault(r.field, r.new_field)
         names: dict[str, str] = {}
-        out = []
+        rows, current = [], {}
         for no in sorted(f.file_no.unique(), reverse=True):
             # names: from a name in this file to the current one
-            cast = {}
+            cast, have = {}, set()
             for r in f[(f.file_no == no) & f.path.notna()].itertuples():
-                to = names.get(r.path, r.path)
+                to = renamed_path(r.path, names)
+                have.add(to)
                 want = last_type.get(to, r.types)
-                if want != r.types and "object" not in (want, r.types):
+                current.setdefault(to, want)
+                if want != r.types:
                     cast[r.path] = want
-            out.append((key[0], int(no), json.dumps({"rename": {a: b for a, b in names.items() if a != b}, "cast": cast})))
+            rows.append((int(no), {a: b for a, b in names.items() if a != b}, cast, have))
             if no in hops:
-                names = {**names, **{a: names.get(b, b) for a, b in hops[no].items()}}
-        return pd.DataFrame(out, columns=["feed", "file_no", "rules"])
+                names = {**names, **{a: renamed_path(b, names) for a, b in hops[no].items()}}
+        plain = {p: t for p, t in current.items() if t != "object"}
+        # What lay inside an object that is a value now goes with it.
+        plain = {p: t for p, t in plain.items() if not any(p[:i] in plain for i, c in enumerate(p) if c == ".")}
+        text = json.dumps(plain, sort_keys=True)
+        out = [(key[0], no, json.dumps({"rename": names, "cast": cast, "default": sorted(plain.keys() - have)}), text) for no, names, cast, have in rows]
+        return pd.DataFrame(out, columns=["feed", "file_no", "rules", "current"])
+
+    return steps.groupBy("feed").cogroup(fields.groupBy("feed")).applyInPandas(run, "feed string, file_no int, rules string, current string")
+
+
+def renamed_path(path: str, names: dict[str, str]) -> str:
+    """The current name of a path: its own, or that of the object above it, which takes its fields along."""
+    cut = path
+    while cut not in names:
+        if "." not in cut:
+            return path
+        cut = cut.rpartition(".")[0]
+    return names[cut] + path[len(cut) :]
 
-    return steps.groupBy("feed").cogroup(fields.groupBy("feed")).applyInPandas(run, "feed string, file_no int, rules string")
+
+class NoForm(ValueError):
+    """A value that the wanted type cannot hold."""
 
 
 def cast_value(v, want: str):
-    """``v`` as the wanted JSON type, or None where it has no such form."""
-    if v is None or json_type(v) in want.split("|"):
+    """``v`` as the wanted JSON type; of several types (``number|string``) the first that can hold it. NoForm where none
+    can: an unreadable number, a list of several values as a scalar, an object as anything but a string or array."""
+    kinds = want.split("|")
+    if v is None or json_type(v) in kinds:
         return v
-    if want == "string":
-        return canonical(v)
-    if want == "array":
-        return [v]
-    if isinstance(v, list):
-        return cast_value(v[0], want) if len(v) == 1 else None
-    if want == "number":
+    for kind in kinds:
+        if kind == "string":
+            return canonical(v)
+        if kind == "array":
+            return [v]
+        if isinstance(v, list):
+            if len(v) == 1 and not isinstance(v[0], list):
+                return cast_value(v[0], want)
+        elif kind == "number" and not isinstance(v, dict):
+            try:
+                return float(v)
+            except ValueError:
+                pass
+        elif kind == "boolean" and isinstance(v, str) and v.strip().lower() in ("true", "false"):
+            return v.strip().lower() == "true"
+    raise NoForm(f"{json_type(v)} as {want}")
+
+
+def routed(record: dict, rules: dict, current: dict, defaults: dict) -> tuple[dict, list[tuple[str, str, str]]]:
+    """A record under current names and types, flat, and what was lost: ``(field, value, wanted type)``."""
+    flat, lost = {}, []
+    for path, kind, v in fields_of(record):
+        to = renamed_path(path, rules["rename"])
+        up = to
+        while "." in up and up not in current:
+            up = up.rpartition(".")[0]
+        if kind == "object" and to not in current or up != to and up in current:
+            continue  # its fields have paths of their own, or the object above it was cast as a whole
+        want = rules["cast"].get(path) or current.get(to, kind)
+        if want == "object":  # a value where records have an object now
+            lost.append((to, canonical(v), want))
+            continue
         try:
-            return float(v)
-        except (TypeError, ValueError):
-            return None
-    if want == "boolean" and isinstance(v, str):
-        return {"true": True, "false": False}.get(v.strip().lower())
-    return None
+            flat[to] = cast_value(v, want)
+        except NoForm:
+            flat[to] = None
+            lost.append((to, canonical(v), want))
+    for path in rules["default"]:
+        flat.setdefault(path, defaults.get(path))
+    return flat, lost
+
+
+def unify(records: DataFrame, defaults: dict | None = None) -> DataFrame:
+    """``key, feed, file_no, version, record, lost``: every record under its feed's current names and types.
+
+    ``record`` is a flat JSON object from path to value. A current field that the record's whole file lacks has its
+    value in ``defaults`` (by path), else null. Values that have no form in the current type are null in the record and
+    stand in ``lost`` (``field, value, wanted``), so nothing is dropped unseen. Null and unreadable texts give only defaults.
+    """
+    defaults = defaults or {}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b, rows in _routed_batches(batches, defaults):
+            yield b[["key", "feed", "file_no", "version"]].assign(record=[canonical(f) for f, _ in rows], lost=[[dict(zip(("field", "value", "wanted"), x)) for x in lost] for _, lost in rows])
+
+    return _routes_of(records).mapInPandas(run, "key bigint, feed string, file_no int, version int, record string, lost array<struct<field:string,value:string,wanted:string>>")
+
 
+def lost_values(unified: DataFrame) -> DataFrame:
+    """``feed, file_no, field, wanted, n``: how often a value of a file had no form in the current type, from :func:`unify`."""
+    rows = unified.select("feed", "file_no", F.explode("lost").alias("l"))
+    return rows.groupBy("feed", "file_no", F.col("l.field").alias("field"), F.col("l.wanted").alias("wanted")).agg(F.count("*").alias("n"))
 
-def unify(records: DataFrame) -> DataFrame:
-    """``key, feed, file_no, version, record``: every record under its feed's current names and types.
 
-    ``record`` is a flat JSON object from path to value; fields a record lacks are absent (the default is null), values
-    that have no form in the current type become null. Null and unreadable texts give ``{}``.
+def unified_table(records: DataFrame, defaults: dict | None = None) -> DataFrame:
+    """:func:`unify` as one table with a typed column per current field of any feed (``a.b`` becomes ``a__b``).
+
+    Numbers are double, booleans boolean; a field whose type differs between feeds, or is a list, is JSON text. The
+    driver holds the field list, which is as large as the schemas.
     """
+    routes_of = _routes_of(records)
+    kinds: dict[str, set] = {}
+    for r in routes_of.select("current").distinct().collect():  # a row per feed
+        for path, kind in json.loads(r["current"]).items():
+            kinds.setdefault(path, set()).add(kind)
+    taken = {"key", "feed", "file_no", "version"}
+    columns: dict[str, tuple[str, str]] = {}
+    for path in sorted(kinds):
+        name = "".join(c if c.isalnum() or c == "_" else "_" for c in path.replace(".", "__"))
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        columns[path] = name, {frozenset(["number"]): "double", frozenset(["boolean"]): "boolean"}.get(frozenset(kinds[path]), "string")
+    whole = {p for p, k in kinds.items() if k == {"string"}}
+
+    def shown(path: str, kind: str, v):
+        return v if v is None or kind != "string" or path in whole else canonical(v)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b, rows in _routed_batches(batches, defaults or {}):
+            out = b[["key", "feed", "file_no", "version"]]
+            more = {name: pd.Series([shown(path, kind, f.get(path)) for f, _ in rows], index=b.index, dtype="Float64" if kind == "double" else "boolean" if kind == "boolean" else object) for path, (name, kind) in columns.items()}
+            yield pd.concat([out, pd.DataFrame(more, index=b.index)], axis=1)
+
+    return routes_of.mapInPandas(run, ", ".join(["key bigint, feed string, file_no int, version int", *[f"`{n}` {k}" for n, k in columns.values()]]))
+
+
+def _routes_of(records: DataFrame) -> DataFrame:
+    """``records`` with the version and rules of their files."""
     fields = materialize(file_fields(records), "fields")
     steps = materialize(changes(records, fields), "steps")
     rules = routes(steps, fields).join(versions(fields).select("feed", "file_no", "version"), ["feed", "file_no"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple] = {}
-        for b in batches:
-            texts = []
-            for text, rule in zip(b["text"], b["rules"]):
-                if rule not in known:
-                    r = json.loads(rule)
-                    known = {} if len(known) > 10_000 else known
-                    known[rule] = (r["rename"], r["cast"])
-                rename, cast = known[rule]
-                flat = {}
-                for path, kind, v in fields_of(parsed(text) or {}):
-                    if kind == "object":
-                        continue
-                    cut, to = path, rename.get(path)
-                    while to is None and "." in cut:  # a renamed object takes its fields along
-                        cut = cut.rpartition(".")[0]
-                        to = rename[cut] + path[len(cut) :] if cut in rename else None
-                    flat[to or path] = cast_value(v, cast[path]) if path in cast else v
-                texts.append(json.dumps(flat, sort_keys=True))
-            yield b[["key", "feed", "file_no", "version"]].assign(record=texts)
-
-    rows = records.join(rules, ["feed", "file_no"])
-    return rows.select("key", "feed", "file_no", "version", "text", "rules").mapInPandas(run, "key bigint, feed string, file_no int, version int, record string")
+    rows = records.join(materialize(rules, "rules"), ["feed", "file_no"])
+    return rows.select("key", "feed", "file_no", "version", "text", "rules", "current")
+
+
+def _routed_batches(batches: Iterator[pd.DataFrame], defaults: dict) -> Iterator[tuple[pd.DataFrame, list]]:
+    known: dict[tuple, tuple] = {}
+    for b in batches:
+        rows = []
+        for text, rule, current in zip(b["text"], b["rules"], b["current"]):
+            if (rule, current) not in known:
+                known = {} if len(known) > 10_000 else known
+                known[rule, current] = json.loads(rule), json.loads(current)
+            rows.append(routed(parsed(text) or {}, *known[rule, current], defaults))
+        yield b, rows

@@ -54,15 +54,19 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return drift.changes(drift.file_records(table(spark, d, "model_results")))
+    return drift.changes(drift.file_texts(table(spark, d, "model_results")))
 
 
 def p6_versions(spark: SparkSession, d: str) -> DataFrame:
-    return drift.versions(drift.file_fields(drift.file_records(table(spark, d, "model_results"))))
+    return drift.versions(drift.file_fields(drift.file_texts(table(spark, d, "model_results"))))
 
 
 def p6_unified(spark: SparkSession, d: str) -> DataFrame:
-    return drift.unify(drift.file_records(table(spark, d, "model_results")))
+    return drift.unified_table(drift.file_records(table(spark, d, "model_results")))
+
+
+def p6_lost(spark: SparkSession, d: str) -> DataFrame:
+    return drift.lost_values(drift.unify(drift.file_records(table(spark, d, "model_results"))))
 
 
 def queries() -> dict:
@@ -79,6 +83,7 @@ def queries() -> dict:
         "p6_found": p6_found,
         "p6_versions": p6_versions,
         "p6_unified": p6_unified,
+        "p6_lost": p6_lost,
     }
 
 

@@ -54,7 +54,7 @@ def brute(rows):
 
 
 def found(df):
-    got = [tuple(r) for r in drift.changes(drift.file_records(df)).select("feed", "file_no", "change_kind", "field", "new_field").collect()]
+    got = [tuple(r) for r in drift.changes(drift.file_texts(df)).select("feed", "file_no", "change_kind", "field", "new_field").collect()]
     assert len(got) == len(set(got))
     return set(got)
 
@@ -102,3 +102,45 @@ def test_versions_and_one_table(spark):
     assert v == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 4)]
     got = [json.loads(r.record) for r in drift.unify(rec).orderBy("file_no").collect()]
     assert got[:4] == [{"y": "1", "w.k": "v"}] * 4 and got[4] == {"y": "2", "w.k": "u"}
+
+
+def test_defaults_and_values_without_a_form(spark):
+    df, _ = frame(spark, [
+        ("a", 1, {"x": "7", "o": {"k": 1}, "l": [1, 2], "gone": True}), ("a", 1, {"x": "no number", "o": {"k": 2}}), ("a", 1, None),
+        ("a", 2, {"x": 1.5, "o": "text", "l": 3, "new": "v"}),
+        ("b", 1, {"x": True, "deep": 5}), ("b", 2, {"x": True, "deep": {"er": 1}}),
+    ])
+    rec = drift.file_records(df)
+    rows = {r.key: r for r in drift.unify(rec, {"new": "none yet"}).collect()}
+    first = json.loads(rows[0].record)
+    assert first == {"x": 7.0, "o": '{"k":1}', "l": None, "gone": True, "new": "none yet"}
+    assert [tuple(x) for x in rows[0].lost] == [("l", "[1,2]", "number")]
+    assert [tuple(x) for x in rows[1].lost] == [("x", '"no number"', "number")] and json.loads(rows[1].record)["x"] is None
+    assert json.loads(rows[2].record) == {"new": "none yet"} and json.loads(rows[3].record)["new"] == "v"
+    assert [tuple(x) for x in rows[4].lost] == [("deep", "5", "object")] and json.loads(rows[5].record) == {"x": True, "deep.er": 1}
+    assert {(r.feed, r.field): r.n for r in drift.lost_values(drift.unify(rec)).collect()} == {("a", "l"): 1, ("a", "x"): 1, ("b", "deep"): 1}
+    t = drift.unified_table(rec)
+    kinds = dict(t.dtypes)
+    assert kinds["x"] == "string" and kinds["o"] == "string" and kinds["l"] == "double" and kinds["gone"] == "boolean" and kinds["deep__er"] == "double"
+    got = {r.key: r for r in t.collect()}
+    assert got[0].x == "7" and got[4].x == "true" and got[0].o == '{"k":1}' and got[0].l is None and got[3].l == 3.0 and got[5].deep__er == 1.0
+    assert drift.unified_table(drift.file_records(df.limit(0))).count() == 0
+
+
+def test_deep_records_are_read(spark):
+    deep = '{"a":' * 50_000 + "[1, -2.5e3, \"s\\n\", true, null, {}, []]" + "}" * 50_000
+    from rasterloom.common import parse_json, read_json
+
+    v = parse_json(deep)
+    for _ in range(50_000):
+        v = v["a"]
+    assert v == [1, -2500.0, "s\n", True, None, {}, []]
+    for bad in (deep[:-1], deep + "}", deep.replace("}", "", 1), deep.replace(",", ";")):
+        try:
+            parse_json(bad)
+            raise AssertionError(bad[-40:])
+        except ValueError:
+            pass
+    assert read_json("x" + deep + "y", 1)[1] == len(deep) + 1
+    assert drift.canonical(parse_json("[" * 9000 + "1.0" + "]" * 9000)) == "[" * 9000 + "1" + "]" * 9000
+    assert drift.parsed(deep[: len(deep) // 2]) is None
