@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 #: A level holds one of ``RATIO`` nodes of the level below; the uppermost has at most ``TOP``.
-RATIO, TOP = 32, 256
+RATIO, TOP = 32, 1024
 BATCH = 512
 
 

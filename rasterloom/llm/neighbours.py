@@ -20,8 +20,9 @@ from rasterloom.common import materialize, scratch
 from rasterloom.llm.hnsw import TOP, Hnsw
 from rasterloom.llm.vectors import collapse, matrix, one_thread, units, usable
 
-SHARDS = "shard string, dim int, ids binary, vectors binary, links binary, labels binary, homes binary, near binary, sims binary"
-HITS = "model string, q bigint, n bigint, sim double"
+SHARDS = "shard string, dim int, ids binary, firsts binary, vectors binary, links binary, labels binary, homes binary, near binary, sims binary"
+NEAREST = "model string, result_id bigint, rank int, other_id bigint, sim double"
+NONE = np.iinfo(np.int64).min
 MAX_PIVOTS, ROWS_PER_PIVOT = 4096, 32
 
 
@@ -80,7 +81,7 @@ def routed(reps: DataFrame, pivots: dict[str, np.ndarray], probes: int) -> DataF
                         homes[i] = row
             yield b.assign(homes=homes)
 
-    return reps.mapInPandas(run, "model string, rep bigint, vec array<float>, homes array<int>")
+    return reps.mapInPandas(run, "model string, rep bigint, firsts array<bigint>, vec array<float>, homes array<int>")
 
 
 def _mix(ids: np.ndarray) -> np.ndarray:
@@ -150,6 +151,7 @@ def build_shards(routed_reps: DataFrame, path: str, shard_rows: int, k: int, ef:
     rows = routed_reps.withColumn("pivot", home).join(parts, ["model", "pivot"])
     name = shard_name(F.col("model"), F.col("pivot"), F.pmod(F.xxhash64("rep"), F.col("parts")))
     names = [c.split()[0] for c in SHARDS.split(", ")]
+    width = k + 1
 
     def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         one_thread()
@@ -160,12 +162,15 @@ def build_shards(routed_reps: DataFrame, path: str, shard_rows: int, k: int, ef:
         labels = g.tight_groups(tight) if g.links else np.arange(len(x))
         homes = np.stack(b["homes"].to_numpy()).astype("<i4")
         alone = bool(b["alone"].iloc[0])  # no other shard is to be asked, none asks
-        row = (key[0], x.shape[1], ids.astype("<i8").tobytes(), None if alone else x.tobytes(), None if alone else g.pack(), None if alone else labels.astype("<i4").tobytes(), homes.tobytes(), near.astype("<i8").tobytes(), sims.astype("<f8").tobytes())
+        firsts = np.full((len(b), width), NONE, "<i8")
+        for i, f in enumerate(b["firsts"]):
+            firsts[i, : len(f)] = f
+        row = (key[0], x.shape[1], ids.astype("<i8").tobytes(), firsts.tobytes(), None if alone else x.tobytes(), None if alone else g.pack(), None if alone else labels.astype("<i4").tobytes(), homes.tobytes(), near.astype("<i8").tobytes(), sims.astype("<f8").tobytes())
         return pd.DataFrame([row], columns=names)
 
     # A number of tasks that follows the shards: their bytes say little about their work, so they must not be merged by size.
     n = min(10_000, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * sum(p for _, _, p in sizes)))
-    rows = rows.select(name.alias("shard"), "alone", "rep", "vec", "homes").repartition(n, "shard")
+    rows = rows.select(name.alias("shard"), "alone", "rep", "firsts", "vec", "homes").repartition(n, "shard")
     rows.groupBy("shard").applyInPandas(run, SHARDS).write.partitionBy("shard").parquet(path)
     made = rows.sparkSession.createDataFrame([(m, p, i) for m, p, n in sizes for i in range(n)], "model string, pivot int, part int")
     return [tuple(r) for r in made.select(shard_name(F.col("model"), F.col("pivot"), F.col("part")), "model", "pivot", "part").collect()]
@@ -191,8 +196,33 @@ class _Store:
         return rows[0] if rows else None
 
 
+def _expanded(ids: np.ndarray, firsts: np.ndarray, near: np.ndarray, sims: np.ndarray, known: tuple[np.ndarray, np.ndarray], k: int) -> pd.DataFrame:
+    """``result_id, rank, other_id, sim`` of the results whose vectors are rows ``ids``, of up to ``k`` results each.
+
+    ``firsts``: the smallest ``k`` + 1 results of each row's vector; ``known``: ids and firsts of the vectors in ``near``.
+    Results of one vector are nearest to each other, then come those of the near vectors.
+    """
+    row, col = np.nonzero(sims > -np.inf)
+    order = np.argsort(known[0])
+    at = order[np.searchsorted(known[0][order], near[row, col])] if len(row) else np.zeros(0, np.int64)
+    r, c = np.nonzero(known[1][at] != NONE)
+    others, far = _lists(len(ids), row[r], known[1][at][r, c], sims[row, col][r], k)
+    out = []
+    size = (firsts != NONE).sum(1)
+    for n in range(1, k + 1):
+        mine = np.flatnonzero(size == n)
+        for i in range(n if len(mine) else 0):
+            twins = np.delete(firsts[mine, :n], i, axis=1)
+            other = np.concatenate([twins, others[mine]], 1)[:, :k]
+            sim = np.concatenate([np.ones(twins.shape), far[mine]], 1)[:, :k]
+            r, c = np.nonzero(sim > -np.inf)
+            out.append(pd.DataFrame({"result_id": firsts[mine[r], i], "rank": c + 1, "other_id": other[r, c], "sim": sim[r, c]}))
+    return pd.concat(out) if out else pd.DataFrame({"result_id": [], "rank": [], "other_id": [], "sim": []})
+
+
 def search(spark: SparkSession, path: str, shards: list[tuple], k: int, ef: int = 16, m: int = 12, group_rows: int = 8192, top: int = TOP) -> DataFrame:
-    """``HITS``: of each vector of the shards the ``k`` nearest others in its own shard and those of its other pivots.
+    """``NEAREST``: of each result in the shards whose vector no more than ``k`` results have, the ``k`` nearest others,
+    in its own shard and those of its vector's other pivots.
 
     A task reads its shard and, one after another, those that some of its vectors are to be searched in. What a walk
     finds there is checked exactly against the tight groups of its hits, in blocks of ``group_rows``.
@@ -205,32 +235,35 @@ def search(spark: SparkSession, path: str, shards: list[tuple], k: int, ef: int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one_thread()
         store, of = _Store(path), ship.value
+        array = lambda r, c, kind, width=None: np.frombuffer(r[c], kind) if width is None else np.frombuffer(r[c], kind).reshape(-1, width)
         for b in batches:
             for mine, model in zip(b["shard"], b["model"]):
-                r = store.get(mine, "dim", "ids", "vectors", "homes", "near", "sims")
+                r = store.get(mine, "dim", "ids", "firsts", "vectors", "homes", "near", "sims")
                 if r is None:
                     continue
-                ids = np.frombuffer(r["ids"], "<i8")
-                best = np.frombuffer(r["near"], "<i8").reshape(len(ids), k), np.frombuffer(r["sims"], "<f8").reshape(len(ids), k)
-                homes = np.frombuffer(r["homes"], "<i4").reshape(len(ids), -1)
+                ids, firsts = array(r, "ids", "<i8"), array(r, "firsts", "<i8", k + 1)
+                best = array(r, "near", "<i8", k), array(r, "sims", "<f8", k)
+                homes = array(r, "homes", "<i4").reshape(len(ids), -1)
+                known = [(ids, firsts)]
                 if r["vectors"] is not None:
                     best = best[0].copy(), best[1].copy()
-                    q = np.frombuffer(r["vectors"], np.float32).reshape(len(ids), -1)
+                    q = array(r, "vectors", np.float32, r["dim"])
                     for pivot in np.unique(homes):
                         asks = np.flatnonzero((homes == pivot).any(1))
                         for other in of.get((model, int(pivot)), ()):
-                            if other == mine or (t := store.get(other, "ids", "vectors", "links", "labels")) is None:
+                            if other == mine or (t := store.get(other, "ids", "firsts", "vectors", "links", "labels")) is None:
                                 continue
-                            there = np.frombuffer(t["ids"], "<i8")
-                            x = np.frombuffer(t["vectors"], np.float32).reshape(len(there), -1)
+                            there, x = array(t, "ids", "<i8"), array(t, "vectors", np.float32, r["dim"])
                             g = Hnsw.unpack(units(x), t["links"], top, m)
-                            found = _answers(g, there, x, q[asks], np.full(len(asks), -1, np.int32), k, ef, groups=(np.frombuffer(t["labels"], "<i4"), group_rows))
+                            found = _answers(g, there, x, q[asks], np.full(len(asks), -1, np.int32), k, ef, groups=(array(t, "labels", "<i4"), group_rows))
                             best[0][asks], best[1][asks] = _merged((best[0][asks], best[1][asks]), found, k)
-                row, col = np.nonzero(best[1] > -np.inf)
-                yield pd.DataFrame({"model": model, "q": ids[row], "n": best[0][row, col], "sim": best[1][row, col]})
+                            used = np.isin(there, best[0][asks])
+                            known.append((there[used], array(t, "firsts", "<i8", k + 1)[used]))
+                both = np.concatenate([a for a, _ in known]), np.concatenate([f for _, f in known])
+                yield _expanded(ids, firsts, *best, both, k).assign(model=model)[["model", "result_id", "rank", "other_id", "sim"]]
 
     todo = spark.createDataFrame([s[:2] for s in shards], "shard string, model string")
-    return todo.repartition(max(1, min(10_000, len(shards)))).mapInPandas(run, HITS)
+    return todo.repartition(max(1, min(10_000, len(shards)))).mapInPandas(run, NEAREST)
 
 
 def nearest_vectors(results: DataFrame, catalog: DataFrame, k: int = 5, shard_rows: int = 32_768, probes: int = 8, ef: int = 32, m: int = 12, tight: float = 0.8, group_rows: int = 8192, top: int = TOP) -> DataFrame:
@@ -246,28 +279,20 @@ def nearest_vectors(results: DataFrame, catalog: DataFrame, k: int = 5, shard_ro
     little in similarity, need more. See the README for the recall measured against brute force.
     """
     reps, members = collapse(usable(results, catalog))
-    reps = materialize(reps, "reps")
-    members = materialize(members.join(reps.select("model", "h1", "h2", "rep"), ["model", "h1", "h2"]).select("model", "rep", "result_id"), "members")
-    reps = reps.select("model", "rep", "vec")
+    key = ["model", "h1", "h2"]
+    # Of identical vectors only the k + 1 smallest results can be anyone's neighbour; a task passes on no more of them.
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("result_id"))
+    first = members.withColumn("pos", place).filter(F.col("pos") <= k + 1)
+    first = first.groupBy(*key).agg(F.array_sort(F.collect_list("result_id")).alias("firsts"))
+    reps = materialize(reps.drop("rep").join(first, key).select(*key, F.element_at("firsts", 1).alias("rep"), "firsts", "vec"), "reps")
     spark, path = results.sparkSession, scratch(results.sparkSession, "shards")
-    there = routed(reps, fit_pivots(reps, shard_rows), probes)
-    shards = build_shards(there, path, shard_rows, k, ef, m, tight, group_rows, top)
-    hits = materialize(search(spark, path, shards, k, max(16, ef // 2), m, group_rows, top), "hits")
-
-    group = Window.partitionBy("model", "rep").orderBy("result_id")
-    # Of identical vectors only the k + 1 smallest results can be anyone's neighbour.
-    first = members.withColumn("pos", F.row_number().over(group)).filter(F.col("pos") <= k + 1)
-    sizes = members.groupBy("model", "rep").agg(F.count("*").alias("size"))
-    # Within a group of identical vectors.
-    twins = members.join(sizes.filter("size > 1"), ["model", "rep"]).join(first.select("model", "rep", F.col("result_id").alias("other_id")), ["model", "rep"])
-    twins = twins.filter("result_id <> other_id").select("model", "result_id", "other_id", F.lit(1.0).alias("sim"), F.lit(0).alias("far"))
-    # From a group to others: ranked once per group, then given to those members that have places left.
-    few = first.filter(F.col("pos") <= k).select("model", F.col("rep").alias("n"), F.col("result_id").alias("other_id"))
-    ranked = hits.join(few, ["model", "n"]).withColumn("pos", F.row_number().over(Window.partitionBy("model", "q").orderBy(F.desc("sim"), "other_id"))).filter(F.col("pos") <= k)
-    open_ = members.join(sizes.filter(F.col("size") <= k), ["model", "rep"]).select("model", F.col("rep").alias("q"), "result_id")
-    others = open_.join(ranked, ["model", "q"]).select("model", "result_id", "other_id", "sim", F.lit(1).alias("far"))
-    last = Window.partitionBy("model", "result_id").orderBy("far", F.desc("sim"), "other_id")
-    return twins.unionByName(others).withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("model", "result_id", "rank", "other_id", "sim")
+    rows = reps.select("model", "rep", "firsts", "vec")
+    shards = build_shards(routed(rows, fit_pivots(rows, shard_rows), probes), path, shard_rows, k, ef, m, tight, group_rows, top)
+    others = search(spark, path, shards, k, max(16, ef // 2), m, group_rows, top)
+    # Vectors of more than k results: each result's nearest are the smallest of the same vector.
+    many = reps.filter(F.size("firsts") > k).select(*key, "firsts")
+    twins = members.join(many, key).select("model", "result_id", F.posexplode(F.slice(F.array_except("firsts", F.array("result_id")), 1, k)).alias("pos", "other_id"))
+    return twins.select("model", "result_id", (F.col("pos") + 1).alias("rank"), "other_id", F.lit(1.0).alias("sim")).unionByName(others)
 
 
 def similar_pairs(results: DataFrame, catalog: DataFrame, least: float = 0.8, **how) -> DataFrame:

@@ -273,12 +273,12 @@ def test_a_small_model_beside_a_large_one_keeps_its_neighbours(spark):
 def test_parts_of_one_pivot_are_all_searched(spark):
     rng = np.random.default_rng(15)
     x = rng.normal(size=(300, 8)).astype(np.float32)
-    reps = spark.createDataFrame([("m", i, v) for i, v in enumerate(x.tolist())], "model string, rep bigint, vec array<float>")
+    reps = spark.createDataFrame([("m", i, [i], v) for i, v in enumerate(x.tolist())], "model string, rep bigint, firsts array<bigint>, vec array<float>")
     there = neighbours.routed(reps, {"m": units(x[:1])}, 8)
     path = neighbours.scratch(spark, "shards")
     shards = neighbours.build_shards(there, path, 60, 5, top=16)
     assert len(shards) == 5
-    got = neighbours.search(spark, path, shards, 5, top=16).toPandas().rename(columns={"q": "result_id", "n": "other_id"})
+    got = neighbours.search(spark, path, shards, 5, top=16).toPandas()
     assert five_of(got, units(x)) > 0.99
 
 
