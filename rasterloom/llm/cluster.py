@@ -234,7 +234,7 @@ def _spans(start: np.ndarray, rows: int) -> list[tuple[int, int]]:
     return out
 
 
-def mutual_groups(results: DataFrame, catalog: DataFrame, least: float = 0.8, smallest: int = 3, cells: int = 8, margin: float = 0.15, per_cluster: int = 256, block_rows: int = 8192, reach_floats: int = 1 << 21) -> DataFrame:
+def mutual_groups(results: DataFrame, catalog: DataFrame, least: float = 0.8, smallest: int = 3, cells: int = 4, margin: float = 0.1, per_cluster: int = 256, block_rows: int = 8192, reach_floats: int = 1 << 21) -> DataFrame:
     """``cluster_id, result_id, rep``: the groups of at least ``smallest`` usable vectors of a model in which every
     two are similar (``least`` or more) and none outside is similar to any; ``cluster_id`` is the smallest result.
 
