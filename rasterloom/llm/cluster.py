@@ -181,14 +181,20 @@ def _reaching(block: tuple, lb: np.ndarray, x: np.ndarray, least: float) -> Iter
                     yield np.unique(np.stack([la[i[ok]], lb[z[ok]]], 1), axis=0)
 
 
-def _placed(ends: DataFrame, sizes: DataFrame, blocks: int, rows: int) -> DataFrame:
-    """``ends`` with ``chunk`` and ``block``: closed groups hashed into ``blocks`` blocks of about ``rows`` rows, other
-    vectors in block ``blocks``. A group of more than an eighth of a block is cut by a hash of its members into chunks,
-    which are groups to the search. ``sizes`` (``label, total``)."""
+def _placed(reps: DataFrame, labels: DataFrame, wrong: DataFrame, sizes: DataFrame, blocks: int, rows: int) -> DataFrame:
+    """``model, block, chunk, label, rep, vec`` of all vectors, those of no group with ``label = rep``: closed groups are
+    hashed into ``blocks`` blocks of about ``rows`` rows, members of the groups in ``wrong`` are in block ``blocks``.
+
+    A group of more than an eighth of a block is cut by a hash of its members into chunks, which are groups to the
+    search. All is settled on ids before the vectors are joined on, once. ``sizes`` (``label, total``).
+    """
     large = sizes.select("label", F.ceil(F.col("total") * 8 / rows).cast("int").alias("chunks")).filter("chunks > 1")
-    chunk = F.pmod(F.xxhash64("rep"), F.coalesce("chunks", F.lit(1))).cast("int")
-    block = F.when(F.col("closed"), F.pmod(F.xxhash64("label", "chunk"), F.lit(blocks)).cast("int")).otherwise(blocks)
-    return ends.join(large, "label", "left").withColumn("chunk", chunk).withColumn("block", block).select("model", "block", "chunk", "label", "rep", "vec")
+    bad = wrong.withColumn("bad", F.lit(True))
+    known = labels.join(bad, "label", "left").join(large, "label", "left")
+    known = known.select("rep", "label", "bad", F.pmod(F.xxhash64("rep"), F.coalesce("chunks", F.lit(1))).cast("int").alias("chunk"))
+    out = reps.join(known, "rep", "left").withColumn("label", F.coalesce("label", "rep")).withColumn("chunk", F.coalesce("chunk", F.lit(0)))
+    block = F.when(F.col("bad").isNull(), F.pmod(F.xxhash64("label", "chunk"), F.lit(blocks)).cast("int")).otherwise(blocks)
+    return out.select("model", block.alias("block"), "chunk", "label", "rep", "vec")
 
 
 def bridges(placed: DataFrame, blocks: int, least: float) -> DataFrame:
@@ -260,11 +266,9 @@ def mutual_groups(results: DataFrame, catalog: DataFrame, least: float = 0.8, sm
     wrong = size.filter("not whole").select("label").unionByName(broken(reps.join(labels.join(open_, "label"), "rep").select("label", "rep", "vec"), least, block_rows))
     # A broken group stays broken whatever it is linked to; what is closed so far must have no other link.
     wrong = materialize(wrong, "wrong")
-    ends = reps.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")).join(wrong.withColumn("bad", F.lit(True)), "label", "left")
-    ends = ends.select("model", "rep", "label", F.col("bad").isNull().alias("closed"), "vec")
     rows = max(1, reach_floats // max(len(w) for w in km.weights.values()))
     blocks = -(-sum(km.sizes.values()) // rows)
-    ends = materialize(_placed(ends, size, blocks, rows), "ends")
+    ends = materialize(_placed(reps, labels, wrong, size, blocks, rows), "ends")
     new = bridges(ends, blocks, least)
     labels = ends.select("rep", "label")
     if not new.isEmpty():
