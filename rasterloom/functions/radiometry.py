@@ -17,7 +17,31 @@ BAND_STATS = {
         (0.17662, 0.195923, 0.213948, 0.263378, 0.300818, 0.313144, 0.308133, 0.320993, 0.22155, 0.175772),
         (0.26452, 0.252949, 0.25918, 0.272771, 0.248175, 0.235432, 0.226434, 0.223274, 0.171606, 0.156223),
     ),
+    "s2_ten_agri": (
+        ("B2", "B3", "B4", "B5", "B6", "B7", "B8", "B8A", "B11", "B12"),
+        (4179.192015478227, 4065.9106675194444, 3957.274910960156, 5207.452475253116, 4327.12234687, 4873.16102239, 5049.1637925, 5111.07806856, 3056.86349163, 2490.9675032),
+        (4041.5212325268735, 3691.003119315892, 3629.331318356375, 2973.5178530908756, 3569.73343885, 3085.9151435, 2937.56005119, 2806.04462314, 1808.30013156, 1694.20220774),
+    ),
+    "s2_nine_255": (
+        ("B4", "B3", "B2", "B5", "B6", "B7", "B8", "B11", "B12"),
+        (114.1099739, 114.81779093, 126.63977424, 84.33539309, 97.84789168, 103.94461911, 101.435633, 72.32804172, 56.66528851),
+        (77.84352553, 69.96844919, 67.42465279, 64.57022983, 61.72545487, 61.34187099, 60.29744676, 47.88519516, 42.55886798),
+    ),
+    "s2_twelve_v1": (
+        ("B1", "B2", "B3", "B4", "B5", "B6", "B7", "B8", "B8A", "B9", "B11", "B12"),
+        (1390.458, 1503.317, 1718.197, 1853.91, 2199.1, 2779.975, 2987.011, 3083.234, 3132.22, 3162.988, 2424.884, 1857.648),
+        (2106.761, 2141.107, 2038.973, 2134.138, 2085.321, 1889.926, 1820.257, 1871.918, 1753.829, 1797.379, 1434.261, 1334.311),
+    ),
+    "s2_twelve_v01": (
+        ("B1", "B2", "B3", "B4", "B5", "B6", "B7", "B8", "B8A", "B9", "B11", "B12"),
+        (794.311, 925.161, 1183.128, 1338.041, 1667.254, 2233.633, 2460.96, 2555.569, 2619.542, 2703.298, 2406.497, 1841.645),
+        (1164.883, 1205.586, 1223.713, 1399.638, 1403.298, 1378.513, 1434.924, 1491.141, 1454.089, 1660.395, 1473.248, 1365.08),
+    ),
+    "imagenet": (("B4", "B3", "B2"), (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)),
+    "fmow": (("B4", "B3", "B2"), (0.4182007312774658, 0.4214799106121063, 0.3991275727748871), (0.28774282336235046, 0.27541765570640564, 0.2764017581939697)),
 }
+# Central wavelengths of the bands in micrometres.
+WAVELENGTHS = {"B1": 0.443, "B2": 0.490, "B3": 0.560, "B4": 0.665, "B5": 0.705, "B6": 0.740, "B7": 0.783, "B8": 0.842, "B8A": 0.865, "B9": 0.945, "B11": 1.610, "B12": 2.190}
 
 
 def band_stats(spark: SparkSession, name: str) -> DataFrame:
@@ -48,6 +72,45 @@ def zscore(rows: DataFrame, stats: DataFrame, value: Column, eps: float = 0.0) -
     return rows.join(F.broadcast(stats), "band", "left").withColumn("z", (value - F.col("mean")) / std).drop("mean", "std")
 
 
+def wavelengths(bands: Column) -> Column:
+    """The bands' wavelengths in order; null if one of them has none."""
+    known = F.create_map(*[F.lit(x) for kv in WAVELENGTHS.items() for x in kv])
+    out = F.transform(bands, lambda b: F.try_element_at(known, b))
+    return F.when(~F.exists(out, lambda v: v.isNull()), out)
+
+
+def normalised(rows: DataFrame, how: str, spark: SparkSession, value: str = "value", keys: tuple[str, ...] = ("point_index",)) -> DataFrame:
+    """``rows`` (``keys, band, value``) with ``z``, scaled as a model's catalog entry says.
+
+    ``none``: values, no number as 0; ``raw``: clipped digital numbers; ``unit``: over 10,000; ``tile_minmax`` and
+    ``tile_zscore``: by the image's own bands; ``rgb8`` and ``rgb8_minmax``: 0..255, the latter between the image's extremes
+    over all bands; ``imagenet``, ``fmow``: unit values by the table; other names are tables of ``BAND_STATS`` for digital
+    numbers, 0..255 (``_255``) or unit values (``_unit``). A band that a table lacks has null.
+    """
+    v = F.col(value)
+    if how in ("none", "raw", "unit", "rgb8"):
+        return rows.withColumn("z", {"none": cleaned(v), "raw": digital(v), "unit": unit(v), "rgb8": rgb8(cleaned(v)).cast("double")}[how])
+    if how == "tile_zscore":
+        return zscore_tile(rows, [*keys, "band"], value)
+    if how == "tile_minmax":
+        return minmax_tile(rows, [*keys, "band"], unit(v)).withColumnRenamed("scaled", "z")
+    if how == "rgb8_minmax":
+        ends = rows.groupBy(*keys).agg(F.min(cleaned(v)).alias("__lo"), F.max(cleaned(v)).alias("__hi"))
+        z = F.when(F.col("__hi") > F.col("__lo"), (cleaned(v) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(F.lit(0.0))
+        return rows.join(ends, list(keys)).withColumn("z", F.floor(clip(z, 0.0, 1.0) * 255).cast("double")).drop("__lo", "__hi")
+    if how not in BAND_STATS:
+        raise ValueError(f"no normalisation {how!r}")
+    if how.endswith("_unit"):
+        x = unit(v)
+    elif how.endswith("_255"):
+        x = unit(v) * 255
+    elif how in ("imagenet", "fmow"):
+        x = rgb8(cleaned(v)) / 255.0
+    else:
+        x = digital(v)
+    return zscore(rows, band_stats(spark, how), x, 1e-6)
+
+
 def zscore_tile(rows: DataFrame, keys: list[str], value: str = "value", eps: float = 1e-6) -> DataFrame:
     """``z`` by the mean and population deviation of each image and band; null becomes 0."""
     w = Window.partitionBy(*keys)

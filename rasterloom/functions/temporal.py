@@ -93,3 +93,34 @@ def cyclic_time(ts: Column) -> Column:
 
 def temporal_meta(mode: Column, start: Column, end: Column) -> Column:
     return F.struct(mode.alias("mode"), F.date_format(start, "yyyy-MM-dd").alias("start"), F.date_format(end, "yyyy-MM-dd").alias("end"), F.when(mode == "year", F.year(start)).alias("year"))
+
+
+def year_doy(d: Column) -> Column:
+    """``struct(year, doy)``, the day of the year from 1."""
+    return F.struct(F.year(d).alias("year"), F.dayofyear(d).alias("doy"))
+
+
+def start_year(mode: Column, year: Column, start: Column, default: int = 2021) -> Column:
+    """The year of a window: its own, or that of a range's start; the default for none."""
+    return F.when(mode == "year", year.cast("int")).when(mode == "range", F.year(start)).otherwise(F.lit(default))
+
+
+def utc_text(ts: Column) -> Column:
+    """A UTC timestamp as ISO text with both the offset and the letter, as export manifests have it. The session's time
+    zone is UTC."""
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00Z"))
+
+
+def window_overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
+    """``struct(start, end)`` that two windows have in common; null if they have none."""
+    s, e = F.greatest(a_start, b_start), F.least(a_end, b_end)
+    return F.when(s < e, F.struct(s.alias("start"), e.alias("end")))
+
+
+def sampling_warnings(stretched: Column, n_bins: Column, n_dropped: Column) -> Column:
+    """What is to be said of a series: bins wider than wanted, bins without a scene."""
+    said = F.array(
+        F.when(stretched, F.concat(F.lit("window stretched over "), n_bins, F.lit(" bins"))),
+        F.when(n_dropped > 0, F.concat(n_dropped, F.lit(" of "), n_bins, F.lit(" bins dropped"))),
+    )
+    return F.array_compact(said)

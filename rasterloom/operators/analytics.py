@@ -10,12 +10,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _blocks(spark, rows: DataFrame, key: str, block_rows: int) -> Iterator[list]:
-    """``rows`` in blocks of bounded size; each is gathered, shipped and worked off in turn."""
-    n = rows.count()
+def _in_blocks(spark, rows: DataFrame, key: str, block_rows: int, work, schema: str) -> DataFrame:
+    """``work(block)``, a DataFrame, for each block of at most about ``block_rows`` rows of ``rows``, stored one after
+    another: the driver holds one block, and no plan grows with their number."""
+    from rasterloom.common import scratch
+
+    n, path = rows.count(), scratch(spark, "blocks")
     parts = max(1, -(-n // block_rows))
     for p in range(parts):
-        yield rows.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == p).collect()
+        block = rows.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == p).collect()
+        if block or p == 0:
+            work(block).write.parquet(f"{path}/part={p}")
+    return spark.read.schema(schema).parquet(path).select(*[c.split()[0] for c in schema.split(", ")])
 
 
 def cosine_nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", block_rows: int = 20_000) -> DataFrame:
@@ -24,13 +30,14 @@ def cosine_nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "v
     The stated queries go to the tasks in blocks; a task keeps the best of its own rows, so what is shuffled is k rows
     per query and task, not the pairs.
     """
-    spark, out = vectors.sparkSession, None
-    for block in _blocks(spark, queries.filter(F.col(vec).isNotNull()).select(key, vec), key, block_rows):
+    spark, schema = vectors.sparkSession, "query bigint, other bigint, sim double"
+
+    def work(block: list) -> DataFrame:
         if not block:
-            continue
+            return spark.createDataFrame([], schema)
         ship = spark.sparkContext.broadcast((np.array([r[0] for r in block]), np.array([r[1] for r in block], np.float64)))
 
-        def best(batches: Iterator[pd.DataFrame], ship=ship) -> Iterator[pd.DataFrame]:
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, q = ship.value
             q = q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-9)
             for b in batches:
@@ -49,24 +56,25 @@ def cosine_nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "v
                     row, col = np.nonzero(v > -np.inf)
                     yield pd.DataFrame({"query": ids[s + row], "other": other[at[row, col]], "sim": v[row, col]})
 
-        part = vectors.select(key, vec).mapInPandas(best, "query bigint, other bigint, sim double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query bigint, other bigint, sim double, rank int")
-    w = Window.partitionBy("query").orderBy(F.desc("sim"), "other")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        w = Window.partitionBy("query").orderBy(F.desc("sim"), "other")
+        found = vectors.select(key, vec).mapInPandas(best, schema)
+        return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    asked = queries.filter(F.col(vec).isNotNull()).select(key, vec)
+    return _in_blocks(spark, asked, key, block_rows, work, schema + ", rank int")
 
 
 def nearest_label(points: DataFrame, labels: DataFrame, block_rows: int = 20_000) -> DataFrame:
     """``points`` (``id, lon, lat``) with the ``label`` of the nearest labelled point (``label_id, lon, lat, label``)
     by squared degrees, the smaller label_id of two as near. Labels without a value are left out."""
-    spark, out = points.sparkSession, None
-    for block in _blocks(spark, labels.dropna().select("label_id", "lon", "lat", "label"), "label_id", block_rows):
+    spark, schema = points.sparkSession, "id bigint, d2 double, label_id bigint, label double"
+
+    def work(block: list) -> DataFrame:
         if not block:
-            continue
+            return spark.createDataFrame([], schema)
         ship = spark.sparkContext.broadcast(np.array(sorted(tuple(map(float, r)) for r in block)))
 
-        def near(batches: Iterator[pd.DataFrame], ship=ship) -> Iterator[pd.DataFrame]:
+        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             t = ship.value
             for b in batches:
                 at, d = np.zeros(len(b), np.int64), np.zeros(len(b))
@@ -77,10 +85,9 @@ def nearest_label(points: DataFrame, labels: DataFrame, block_rows: int = 20_000
                     d[s : s + 1024] = d2.min(1)
                 yield pd.DataFrame({"id": b["id"], "d2": d, "label_id": t[at, 0].astype(np.int64), "label": t[at, 3]})
 
-        part = points.dropna().select("id", "lon", "lat").mapInPandas(near, "id bigint, d2 double, label_id bigint, label double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "id bigint, d2 double, label_id bigint, label double")
+        return points.dropna().select("id", "lon", "lat").mapInPandas(near, schema)
+
+    out = _in_blocks(spark, labels.dropna().select("label_id", "lon", "lat", "label"), "label_id", block_rows, work, schema)
     return out.groupBy("id").agg(F.min(F.struct("d2", "label_id", "label")).alias("b")).select("id", "b.d2", "b.label_id", "b.label")
 
 
@@ -112,25 +119,32 @@ def regression_metrics(rows: DataFrame, keys: list[str], truth: str, guess: str)
 
 
 def moments(vectors: DataFrame, vec: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Count, mean and covariance (population) of all finite vectors of one length; only d x d sums leave a task."""
+    """Count, mean and covariance (population) of all finite vectors of one length.
+
+    A task gives one row per dimension (its sum and its products with the others); they are added up by dimension, so
+    the driver gets d rows of d numbers, however many tasks there are.
+    """
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for b in batches:
-            x = np.stack(b["v"].to_numpy()).astype(np.float64) if len(b) else None
-            if x is not None:
-                part = (len(x), x.sum(0), x.T @ x)
-                total = part if total is None else tuple(a + c for a, c in zip(total, part))
+            if len(b):
+                x = np.stack(b["v"].to_numpy()).astype(np.float64)
+                part = np.concatenate([np.full((x.shape[1], 1), float(len(x))), x.sum(0)[:, None], x.T @ x], 1)
+                total = part if total is None else total + part
         if total is not None:
-            yield pd.DataFrame({"n": [total[0]], "s": [total[1]], "q": [total[2].ravel()]})
+            yield pd.DataFrame({"i": np.arange(len(total), dtype=np.int32), "part": [r.tobytes() for r in total]})
+
+    def add(b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": b["i"].iloc[:1], "part": [np.sum([np.frombuffer(p) for p in b["part"]], axis=0).tobytes()]})
 
     ok = vectors.filter(F.col(vec).isNotNull() & ~F.exists(vec, lambda v: v.isNull() | F.isnan(v))).select(F.col(vec).alias("v"))
-    parts = ok.mapInPandas(sums, "n bigint, s array<double>, q array<double>").collect()  # one small row per task
-    n = sum(p.n for p in parts)
-    s = sum(np.array(p.s) for p in parts)
-    q = sum(np.array(p.q) for p in parts).reshape(len(s), len(s))
-    mean = s / n
-    return n, mean, q / n - np.outer(mean, mean)
+    rows = ok.mapInPandas(sums, "i int, part binary").groupBy("i").applyInPandas(add, "i int, part binary").collect()
+    if not rows:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    t = np.stack([np.frombuffer(p) for _, p in sorted((r["i"], r["part"]) for r in rows)])
+    n, mean = t[0, 0], t[:, 1] / t[0, 0]
+    return int(n), mean, t[:, 2:] / n - np.outer(mean, mean)
 
 
 def covariance(vectors: DataFrame, vec: str) -> DataFrame:

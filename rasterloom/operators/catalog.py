@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions import strings
@@ -79,6 +79,12 @@ def chunks(rows: DataFrame, order: str, size: int = 16) -> DataFrame:
 
 
 def first_by(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Whose input a row reuses: ``owner`` is the first of its key, ``reused`` says it is another."""
-    w = Window.partitionBy(key).orderBy(order)
-    return rows.withColumn("owner", F.first(order).over(w)).withColumn("reused", F.col("owner") != F.col(order))
+    """Whose input a row reuses: ``owner`` is the first of its key, ``reused`` says it is another. An aggregate and a join,
+    so a key that many rows share is no task's alone."""
+    first = rows.groupBy(key).agg(F.min(order).alias("owner"))
+    return rows.join(first, key).withColumn("reused", F.col("owner") != F.col(order))
+
+
+def listed(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """A catalog table sorted by its key, each key once; rows without one are left out."""
+    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(*[F.min(c).alias(c) for c in columns]).orderBy(key)

@@ -54,21 +54,27 @@ def write(results: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def load(spark, path: str) -> DataFrame:
-    """The latest row of each model and point of what :func:`write` has stored."""
+    """The latest row of each model and point of what :func:`write` has stored.
+
+    Which row is latest is found without the vectors; only where a key has several rows are they looked up.
+    """
     rows = spark.read.parquet(path)
-    rest = [c for c in rows.columns if c not in ("model", "point_index")]
-    return rows.groupBy("model", "point_index").agg(F.max_by(F.struct(*rest), F.struct("written_at", "fingerprint")).alias("r")).select("model", "point_index", *[f"r.{c}" for c in rest])
+    key = ["model", "point_index"]
+    last = rows.groupBy(*key).agg(F.max(F.struct("written_at", "fingerprint")).alias("at"), F.count("*").alias("n"))
+    kept = rows.join(last.filter("n > 1").select(*key, "at"), key, "left")
+    return kept.filter(F.col("at").isNull() | (F.col("at") == F.struct("written_at", "fingerprint"))).drop("at")
+
+
+def stored(path: str) -> bool:
+    """Something has been written to ``path``."""
+    from rasterloom.sources import storage
+
+    return storage.exists(f"{path}/_SUCCESS")
 
 
 def resume(requests: DataFrame, path: str, run, spark) -> DataFrame:
     """Run and store what is not stored yet under its fingerprint; then everything that was asked for."""
     by = ["model", "point_index", "fingerprint"]
-    try:
-        done = load(spark, path).filter("status = 'ok'")
-    except Exception as e:  # nothing stored yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        done = requests.limit(0).withColumn("status", F.lit("ok"))
-    left = pending(requests, done, by)
+    left = pending(requests, load(spark, path).filter("status = 'ok'"), by) if stored(path) else requests
     write(run(left).withColumn("written_at", F.current_timestamp()), path)
     return load(spark, path).join(requests.select(*by), by, "left_semi")

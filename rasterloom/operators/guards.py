@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import time
+import warnings
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -17,12 +20,12 @@ META_KEYS = ("model", "type", "backend", "source", "sensor", "temporal", "image_
 def required(df: DataFrame, what: str) -> DataFrame:
     """``df``, with a row that raises where ``df`` is empty: nothing is counted beforehand.
 
-    The check is one partial count per task and a single row; it runs with the query.
+    The check looks for one row and runs with the query.
     """
-    n = df.agg(F.count("*").alias("n"))
-    stop = n.filter("n = 0").select(F.raise_error(F.lit(f"no {what} for the region and window")).alias("e"))
-    nulls = stop.select(*[F.when(F.col("e").isNotNull(), F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema])
-    return df.unionByName(nulls)
+    n = df.limit(1).agg(F.count("*").alias("n"))
+    # In the filter, so that it is evaluated whatever columns are asked for.
+    stop = n.filter(F.when(F.col("n") == 0, F.raise_error(F.lit(f"no {what} for the region and window")).cast("boolean")).otherwise(F.lit(False)))
+    return df.unionByName(stop.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]))
 
 
 def digital_numbers(v: Column) -> Column:
@@ -78,3 +81,52 @@ def indices_in(values: Column, n: int) -> Column:
     """Channel numbers as they count: negative ones from the end, those out of range and repeats left out."""
     wrapped = F.transform(values, lambda i: F.when(i < 0, i + n).otherwise(i))
     return F.array_distinct(F.filter(wrapped, lambda i: (i >= 0) & (i < n)))
+
+
+def array_sha1(values: Column) -> Column:
+    """sha1 of an array's type, shape and bytes (the first 2,000,000), as of a one-dimensional float32 array."""
+
+    @F.pandas_udf("string")
+    def digest(v: pd.Series) -> pd.Series:
+        import hashlib
+
+        def one(x) -> str | None:
+            if x is None:
+                return None
+            a = np.ascontiguousarray(x, np.float32)
+            h = hashlib.sha1(str(a.dtype).encode())
+            h.update(str(a.shape).encode())
+            h.update(a.tobytes()[:2_000_000])
+            return h.hexdigest()
+
+        return v.map(one)
+
+    return digest(values)
+
+
+def error_text(e: BaseException, depth: int = 6) -> str:
+    """The messages of an exception and those it came from, with what to do about a refused access."""
+    said: list[str] = []
+    while e is not None and depth:
+        text = f"{type(e).__name__}: {e}".rstrip(": ")
+        if text not in said:
+            said.append(text)
+        e, depth = e.__cause__ or e.__context__, depth - 1
+    out = " <- ".join(said)
+    if any(w in out.lower() for w in NOT_ALLOWED):
+        out += " (is the account signed in, and is the project set?)"
+    return out
+
+
+def finite_weights(values: DataFrame, value: str = "value", near_zero: bool = False) -> DataFrame:
+    """``ok, why`` of a model's first parameters: some are there, all are finite and, if asked, not all about 0."""
+    v = F.col(value)
+    fine = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    flat = F.lit(near_zero) & (F.coalesce(F.stddev_pop(v), F.lit(0.0)) < 1e-6) & (F.max(F.abs(v)) < 1e-5)
+    why = F.when(F.count("*") == 0, "no parameters").when(F.count_if(~F.coalesce(fine, F.lit(False))) > 0, "not finite").when(flat, "about zero")
+    return values.agg(why.alias("why")).withColumn("ok", F.col("why").isNull())
+
+
+def warn(text: str) -> None:
+    """A warning of the library: plain text, once per place, with the caller's line."""
+    warnings.warn(text, UserWarning, stacklevel=3)

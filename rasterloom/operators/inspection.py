@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +10,49 @@ FULL_STATS_VALUES = 1_500_000
 BINS = 32
 
 
-def stride(values: int, most: int = FULL_STATS_VALUES) -> int:
-    return max(1, math.ceil(math.sqrt(values / most)))
+def sampled(pixels: DataFrame, keys: list[str], most: int = FULL_STATS_VALUES) -> DataFrame:
+    """``pixels`` (``keys, y, x, value`` and more) without the rows and columns that images of more than ``most`` values
+    leave out: every ``ceil(sqrt(values / most))``-th of each counts. Smaller images stay whole."""
+    n = pixels.groupBy(*keys).agg(F.greatest(F.ceil(F.sqrt(F.count("*") / most)), F.lit(1)).alias("__step"))
+    rows = pixels.join(n, keys)
+    return rows.filter((F.col("y") % F.col("__step") == 0) & (F.col("x") % F.col("__step") == 0)).drop("__step")
+
+
+def histogram_range(pixels: DataFrame, clip: tuple[float, float] | None = None, value_range: tuple[float, float] | None = None, at: tuple[float, float] | None = None, value: str = "value") -> tuple[float, float]:
+    """The range of a histogram: the one to clip to, else the values' own, else that of the bands' quantiles ``at``, else
+    from the least to the greatest value. Two numbers come to the driver."""
+    if clip or value_range:
+        return clip or value_range
+    v = F.when(finite(F.col(value)), F.col(value))
+    if at:
+        by = pixels.groupBy("band").agg(F.percentile(v, at[0]).alias("lo"), F.percentile(v, at[1]).alias("hi"))
+        lo, hi = by.agg(F.min("lo"), F.max("hi")).first()
+    else:
+        lo, hi = pixels.agg(F.min(v), F.max(v)).first()
+    return (0.0, 1.0) if lo is None else (lo, hi if hi > lo else lo + 1.0)
+
+
+def gated(report: DataFrame, enabled: bool, raises: bool) -> DataFrame:
+    """A report of flags as checks are set: no rows if they are off; with ``raises`` the query stops at an image that
+    fails."""
+    if not enabled:
+        return report.limit(0)
+    if not raises:
+        return report
+    text = F.concat(F.lit("input of point "), F.col("point_index"), F.lit(", band "), F.col("band"), F.lit(": "), F.col("issues"))
+    return report.withColumn("ok", F.when(F.col("ok"), True).otherwise(F.raise_error(text).cast("boolean")))
+
+
+def checks(sensor=None) -> tuple[bool, bool]:
+    """Whether inputs are checked and whether a failed check stops the query: by the environment, else by the sensor."""
+    import os
+
+    def flag(name: str, default: bool) -> bool:
+        text = os.environ.get(name, "").strip().lower()
+        return default if not text else text in ("1", "true", "yes", "y", "on")
+
+    enabled = flag("RASTERLOOM_CHECK_INPUT", getattr(sensor, "check_input", False))
+    return enabled, flag("RASTERLOOM_CHECK_RAISE", getattr(sensor, "check_raise", True))
 
 
 def finite(v: Column) -> Column:

@@ -100,7 +100,7 @@ def stitched(cells: DataFrame, rows: DataFrame, cols: DataFrame, key: str = "roi
     """
     r = rows.select(key, F.col("i").alias("row"), F.col("fs").alias("ys"), F.col("fe").alias("ye"), F.col("offset").alias("yo"))
     c = cols.select(key, F.col("i").alias("col"), F.col("fs").alias("xs"), F.col("fe").alias("xe"), F.col("offset").alias("xo"))
-    kept = cells.join(r, [key, "row"]).join(c, [key, "col"]).filter("y >= ys and y < ye and x >= xs and x < xe")
+    kept = cells.join(r, [key, "row"]).filter("y >= ys and y < ye").join(c, [key, "col"]).filter("x >= xs and x < xe")
     return kept.select(key, "d", (F.col("y") - F.col("ys") + F.col("yo")).alias("y"), (F.col("x") - F.col("xs") + F.col("xo")).alias("x"), "value")
 
 

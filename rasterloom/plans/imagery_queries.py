@@ -221,7 +221,8 @@ def _grid(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_GRID} SELECT id, round(avg(value), 6) AS mean, max(value) AS max FROM g GROUP BY 1")
 def pool_grid(spark: SparkSession, d: str) -> DataFrame:
     g = _grid(spark, d)
-    return g.groupBy("id").agg(_r(F.avg("value")).alias("mean"), F.max("value").alias("max"))
+    both = pooling.pooled(g, ["id"]).withColumnRenamed("value", "mean").join(pooling.pooled(g, ["id"], "max"), "id")
+    return both.select("id", _r("mean").alias("mean"), F.col("value").alias("max"))
 
 
 @query(f"WITH {_GRID} SELECT id, round(avg(value) FILTER (value >= 0), 6) AS value, count(*) FILTER (value >= 0) AS n_valid, round(avg(CAST(value < 0 AS INTEGER)), 6) AS nodata_share FROM g GROUP BY 1")
@@ -230,28 +231,28 @@ def pool_nodata(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", _r("value").alias("value"), "n_valid", _r("nodata_share").alias("nodata_share"))
 
 
-# Tokens: the first 34 or 32 values of a vector as 17 or 16 tokens of 2 dimensions.
-_TOKENS = f"""{_GRID}, k AS (SELECT id, pos // 2 AS pos, pos % 2 AS d, value FROM g WHERE pos < CASE WHEN id % 2 = 0 THEN 34 ELSE 32 END),
+# Tokens: the 64 values of a vector as tokens of one dimension, in half of the vectors behind a leading token.
+_TOKENS = f"""{_GRID}, k AS (SELECT id, pos + CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS pos, 0 AS d, value FROM g UNION ALL SELECT DISTINCT id, 0, 0, 9.0 FROM g WHERE id % 2 = 0),
 n AS (SELECT *, max(pos) OVER (PARTITION BY id) + 1 AS n FROM k)"""
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("p", "v"))
-    v = v.filter(F.col("p") < F.when(F.col("id") % 2 == 0, 34).otherwise(32))
-    return v.select("id", F.floor(F.col("p") / 2).cast("int").alias("pos"), (F.col("p") % 2).alias("d"), F.col("v").cast("double").alias("value"))
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    v = v.select("id", F.posexplode(F.when(F.col("id") % 2 == 0, F.concat(F.array(F.lit(9.0)), "e")).otherwise(F.col("e"))).alias("pos", "value"))
+    return v.select("id", "pos", F.lit(0).alias("d"), "value")
 
 
-@query(f"WITH {_TOKENS} SELECT id, CAST(d AS INTEGER) AS d, round(avg(value), 6) AS value FROM n WHERE n = 16 OR pos > 0 GROUP BY 1, 2")
+@query(f"WITH {_TOKENS} SELECT id, CAST(d AS INTEGER) AS d, round(avg(value), 6) AS value FROM n WHERE n = 64 OR pos > 0 GROUP BY 1, 2")
 def pool_tokens(spark: SparkSession, d: str) -> DataFrame:
     return pooling.pooled_tokens(_tokens(spark, d), ["id"]).select("id", "d", _r("value").alias("value"))
 
 
-@query(f"WITH {_TOKENS} SELECT id, CAST(d AS INTEGER) AS d, CAST((pos - n + 16) // 4 AS INTEGER) AS y, CAST((pos - n + 16) % 4 AS INTEGER) AS x, value FROM n WHERE n = 16 OR pos > 0")
+@query(f"WITH {_TOKENS} SELECT id, CAST(d AS INTEGER) AS d, CAST((pos - n + 64) // 8 AS INTEGER) AS y, CAST((pos - n + 64) % 8 AS INTEGER) AS x, value FROM n WHERE n = 64 OR pos > 0")
 def tokens_to_grid(spark: SparkSession, d: str) -> DataFrame:
     return pooling.token_grid(_tokens(spark, d), ["id"]).select("id", "d", "y", F.col("x").cast("int").alias("x"), "value")
 
 
-@query(f"WITH {_TOKENS} SELECT id, CAST((pos - n + 16) % 4 AS INTEGER) AS cell, CAST(d AS INTEGER) AS d, max(value) AS value FROM n WHERE n = 16 OR pos > 0 GROUP BY 1, 2, 3")
+@query(f"WITH {_TOKENS} SELECT id, CAST((pos - n + 64) % 16 AS INTEGER) AS cell, CAST(d AS INTEGER) AS d, max(value) AS value FROM n WHERE n = 64 OR pos > 0 GROUP BY 1, 2, 3")
 def pool_frames(spark: SparkSession, d: str) -> DataFrame:
     p = pooling.frame_tokens(_tokens(spark, d), ["id"], 4, True, "max")
     return p.select("id", F.col("cell").cast("int").alias("cell"), "d", "value")
@@ -339,7 +340,18 @@ def tile_roi_merge(spark: SparkSession, d: str) -> DataFrame:
     return pooling.tile_merged(v, ["roi_id"], "max")
 
 
-@query()
+_CROPS = """sx AS (SELECT roi_id, 'h' AS side, h AS n FROM i UNION ALL SELECT roi_id, 'w', w FROM i),
+st AS (SELECT roi_id, side, n, unnest(list_sort(list_distinct(list_transform(range(greatest(1, CAST(ceil(n / 64.0) AS BIGINT))), lambda k: least(k * 64, greatest(n - 64, 0)))))) AS start FROM sx),
+ax AS (SELECT roi_id, side, row_number() OVER v - 1 AS i, start, least(n, start + 64) AS e, count(*) OVER (PARTITION BY roi_id, side) AS m FROM st WINDOW v AS (PARTITION BY roi_id, side ORDER BY start)),
+ow AS (SELECT *, coalesce((lag(e) OVER v + start) // 2, start) AS os, coalesce((e + lead(start) OVER v) // 2, e) AS oe FROM ax WINDOW v AS (PARTITION BY roi_id, side ORDER BY i)),
+ox AS (SELECT roi_id, side, i, m, start, CAST(os AS DOUBLE) AS os, greatest(oe, os + 1) AS oe, (greatest(oe, os + 1) - start) / 64.0 * 4 AS x FROM ow),
+f AS (SELECT roi_id, side, i, m, greatest(least(CAST(floor((os - start) / 64.0 * 4) AS INTEGER), 3), 0) AS fs, x, start, 0 AS fo FROM ox WHERE i = 0
+  UNION ALL SELECT o.roi_id, o.side, o.i, o.m, greatest(least(CAST(floor((f.start + least(greatest(CAST(floor(f.x + 0.5) AS INTEGER), f.fs + 1), 4) * 16.0 - o.start) / 64.0 * 4) AS INTEGER), 3), 0), o.x, o.start,
+    f.fo + least(greatest(CAST(floor(f.x + 0.5) AS INTEGER), f.fs + 1), 4) - f.fs FROM f JOIN ox o ON o.roi_id = f.roi_id AND o.side = f.side AND o.i = f.i + 1),
+c AS (SELECT roi_id, side, i, fo, fs, unnest(range(fs, least(greatest(CAST(CASE WHEN i = m - 1 THEN ceil(x) ELSE floor(x + 0.5) END AS INTEGER), fs + 1), 4))) AS k FROM f)"""
+
+
+@query(f"""WITH RECURSIVE {_IMAGES}, {_CROPS} SELECT r.roi_id, 0 AS d, CAST(r.k - r.fs + r.fo AS INTEGER) AS y, CAST(s.k - s.fs + s.fo AS INTEGER) AS x, r.i * 100.0 + s.i AS value FROM c r JOIN c s ON r.roi_id = s.roi_id AND r.side = 'h' AND s.side = 'w'""")
 def tile_stitch(spark: SparkSession, d: str) -> DataFrame:
     """Tiles of 4 x 4 feature cells, each holding its own number, put together per image."""
     img = _images(spark, d)
@@ -368,49 +380,49 @@ def _pixels(spark: SparkSession, d: str) -> DataFrame:
 _PK = ["roi", "band", "y", "x", "value"]
 
 
-def _sums(df: DataFrame, c: str, n: int = 3) -> DataFrame:
-    """Line items repeat their keys, so results are compared by sums per region and band."""
-    return df.groupBy("roi", "band").agg(_r(F.sum(c), n).alias("total"), _r(F.max(c), n).alias("most"))
+def _rows(df: DataFrame, c: str, n: int = 5) -> DataFrame:
+    """Every pixel's value, rounded."""
+    return df.select("roi", "band", "y", "x", _r(c, n).alias("scaled"))
 
 
-_SUMS = "SELECT roi, band, round(sum({0}), 3) AS total, round(max({0}), 3) AS most FROM {1} GROUP BY 1, 2"
+_ROWS = "SELECT roi, band, y, x, round({0}, 5) AS scaled FROM {1}"
 
 
-@query(f"WITH {_PIXELS}, z AS (SELECT *, (value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-6) AS z FROM p WINDOW w AS (PARTITION BY roi, band)) SELECT roi, band, round(max(z), 4) AS most, round(min(z), 4) AS least FROM z GROUP BY 1, 2")
+@query(f"WITH {_PIXELS}, z AS (SELECT *, (value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-6) AS z FROM p WINDOW w AS (PARTITION BY roi, band)) {_ROWS.format('z', 'z')}")
 def zscore_tile(spark: SparkSession, d: str) -> DataFrame:
-    return radiometry.zscore_tile(_pixels(spark, d), ["roi", "band"]).groupBy("roi", "band").agg(_r(F.max("z"), 4).alias("most"), _r(F.min("z"), 4).alias("least"))
+    return _rows(radiometry.zscore_tile(_pixels(spark, d), ["roi", "band"]), "z")
 
 
-@query(f"WITH {_PIXELS}, u AS (SELECT *, greatest(least(value, 10000), 0) / 10000 AS v FROM p), z AS (SELECT *, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w + 1e-6) AS z FROM u WINDOW w AS (PARTITION BY roi, band)) {_SUMS.format('z', 'z')}")
+@query(f"WITH {_PIXELS}, u AS (SELECT *, greatest(least(value, 10000), 0) / 10000 AS v FROM p), z AS (SELECT *, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w + 1e-6) AS z FROM u WINDOW w AS (PARTITION BY roi, band)) {_ROWS.format('z', 'z')}")
 def minmax_tile(spark: SparkSession, d: str) -> DataFrame:
-    return _sums(radiometry.minmax_tile(_pixels(spark, d), ["roi", "band"], radiometry.unit(F.col("value"))), "scaled")
+    return _rows(radiometry.minmax_tile(_pixels(spark, d), ["roi", "band"], radiometry.unit(F.col("value"))), "scaled")
 
 
-@query(f"WITH {_PIXELS}, l AS (SELECT *, ln(1 + greatest(value, 0)) AS v FROM p), z AS (SELECT *, greatest(least(v / quantile_cont(v, 0.99) OVER (PARTITION BY roi), 1), 0) AS z FROM l) {_SUMS.format('z', 'z')}")
+@query(f"WITH {_PIXELS}, l AS (SELECT *, ln(1 + greatest(value, 0)) AS v FROM p), z AS (SELECT *, greatest(least(v / quantile_cont(v, 0.99) OVER (PARTITION BY roi), 1), 0) AS z FROM l) {_ROWS.format('z', 'z')}")
 def s1_log_p99(spark: SparkSession, d: str) -> DataFrame:
-    return _sums(radiometry.log_p99(_pixels(spark, d), ["roi"]), "scaled")
+    return _rows(radiometry.log_p99(_pixels(spark, d), ["roi"]), "scaled")
 
 
 _STATS = "st AS (SELECT * FROM (VALUES " + ", ".join(f"('{b}', {m}, {s})" for b, m, s in zip(*radiometry.BAND_STATS["s2_ten_a"])) + ") t(band, mean, std))"
-_S2 = "b AS (SELECT l_suppkey AS roi, ['B2', 'B3', 'B4', 'B5', 'B6', 'B7', 'B8'][l_linenumber] AS band, l_extendedprice / 10 AS value FROM lineitem)"
+_S2 = f"b AS (SELECT l_suppkey AS roi, {list(radiometry.BAND_STATS['s2_ten_a'][0])}[l_partkey % 10 + 1] AS band, l_orderkey AS y, l_linenumber AS x, l_extendedprice / 10 AS value FROM lineitem)"
 
 
 def _s2(spark: SparkSession, d: str) -> DataFrame:
-    bands = F.array(*[F.lit(b) for b in radiometry.BAND_STATS["s2_ten_a"][0][:7]])
-    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("roi"), F.element_at(bands, F.col("l_linenumber")).alias("band"), (F.col("l_extendedprice") / 10).alias("value"))
+    bands = F.array(*[F.lit(b) for b in radiometry.BAND_STATS["s2_ten_a"][0]])
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("roi"), F.element_at(bands, (F.col("l_partkey") % 10 + 1).cast("int")).alias("band"), F.col("l_orderkey").alias("y"), F.col("l_linenumber").alias("x"), (F.col("l_extendedprice") / 10).alias("value"))
 
 
-@query(f"WITH {_STATS}, {_S2}, z AS (SELECT roi, b.band, (value - mean) / std AS z FROM b LEFT JOIN st USING (band)) {_SUMS.format('z', 'z')}")
+@query(f"WITH {_STATS}, {_S2}, z AS (SELECT roi, b.band, y, x, (value - mean) / std AS z FROM b LEFT JOIN st USING (band)) SELECT roi, band, y, x, round(z, 9) AS scaled FROM z")
 def zscore_band_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _sums(radiometry.zscore(_s2(spark, d), radiometry.band_stats(spark, "s2_ten_a"), F.col("value")), "z")
+    return _rows(radiometry.zscore(_s2(spark, d), radiometry.band_stats(spark, "s2_ten_a"), F.col("value")), "z", 9)
 
 
 @query(f"""WITH {_PIXELS}, c AS (SELECT *, greatest(least(value / 8000, 1.0), 0.0) AS reflectance, greatest(least((value - 2000) / 6000, 1.0), 0.0) AS emissive, 10 * log10(greatest(value, 1e-10)) AS db, CAST(floor(greatest(least(value / 10000, 1.0), 0.0) * 255) AS INTEGER) AS rgb FROM p)
-SELECT roi, band, round(sum(reflectance), 3) AS reflectance, round(sum(emissive), 3) AS emissive, round(sum(db), 3) AS db, CAST(sum(rgb) AS BIGINT) AS rgb FROM c GROUP BY 1, 2""")
+SELECT roi, band, y, x, round(reflectance, 9) AS reflectance, round(emissive, 9) AS emissive, round(db, 6) AS db, rgb FROM c""")
 def calibrate(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("value")
     kinds = {"reflectance": radiometry.reflectance(v, 8000.0), "emissive": radiometry.emissive(v, 2000.0, 8000.0), "db": radiometry.decibel(v)}
-    return _pixels(spark, d).groupBy("roi", "band").agg(*[_r(F.sum(c), 3).alias(k) for k, c in kinds.items()], F.sum(radiometry.rgb8(v)).alias("rgb"))
+    return _pixels(spark, d).select("roi", "band", "y", "x", *[_r(c, 6 if k == "db" else 9).alias(k) for k, c in kinds.items()], radiometry.rgb8(v).alias("rgb"))
 
 
 @query("WITH p AS (SELECT c_nationkey AS roi, c_acctbal - 4000 AS value FROM customer) SELECT roi, coalesce(avg(CAST(value < 0 AS INTEGER)) FILTER (value <> 0) > 0.5, FALSE) AS rejected FROM p GROUP BY 1")
@@ -419,9 +431,9 @@ def db_guard(spark: SparkSession, d: str) -> DataFrame:
     return radiometry.looks_decibel(p, ["roi"])
 
 
-@query(f"WITH {_PIXELS}, q AS (SELECT *, quantile_cont(value, 0.02) OVER w AS a, quantile_cont(value, 0.98) OVER w AS b FROM p WINDOW w AS (PARTITION BY roi, band)), z AS (SELECT *, greatest(least((value - a) / greatest(b - a, 1e-8), 1.0), 0.0) AS z FROM q) {_SUMS.format('z', 'z')}")
+@query(f"WITH {_PIXELS}, q AS (SELECT *, quantile_cont(value, 0.02) OVER w AS a, quantile_cont(value, 0.98) OVER w AS b FROM p WINDOW w AS (PARTITION BY roi, band)), z AS (SELECT *, greatest(least((value - a) / greatest(b - a, 1e-8), 1.0), 0.0) AS z FROM q) {_ROWS.format('z', 'z')}")
 def stretch_percentile(spark: SparkSession, d: str) -> DataFrame:
-    return _sums(radiometry.stretch(_pixels(spark, d), ["roi", "band"]), "stretched")
+    return _rows(radiometry.stretch(_pixels(spark, d), ["roi", "band"]), "stretched")
 
 
 @query(f"WITH {_PIXELS} SELECT roi, band, min(value) AS min, max(value) AS max, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, 1.0 AS finite_share, count(*) AS n FROM p GROUP BY 1, 2")
@@ -482,7 +494,7 @@ def channel_select(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT model, dim, model_type, collection FROM model_catalog ORDER BY model")
 def list_catalog(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "model_catalog").select("model", "dim", "model_type", "collection").orderBy("model")
+    return catalog.listed(table(spark, d, "model_catalog"), "model", "dim", "model_type", "collection")
 
 
 @query("""WITH r AS (SELECT DISTINCT model, ['pooled', 'grid', 'tokens'][1 + CAST(export_id % 3 AS INTEGER)] AS output FROM model_results)
@@ -694,7 +706,7 @@ def dedup_merge(spark: SparkSession, d: str) -> DataFrame:
 SELECT model, CAST(max(dim) AS INTEGER) AS dim, count(*) FILTER (embedding IS NOT NULL AND len(embedding) = dim AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0) AS valid, count(*) AS total,
 round(count(*) FILTER (embedding IS NOT NULL AND len(embedding) = dim AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0) / count(*), 6) AS coverage FROM r JOIN d USING (model) GROUP BY model""")
 def coverage(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "model_results").groupBy("result_id").agg(F.first("model").alias("model"), F.first("embedding").alias("embedding"))
+    r = table(spark, d, "model_results").groupBy("result_id").agg(F.min_by(F.struct("model", "embedding"), F.struct(F.col("ingested_at").isNull(), "ingested_at")).alias("r")).select("result_id", "r.*")
     return analytics.coverage(r, ["model"], "embedding")
 
 
@@ -715,11 +727,10 @@ def pca_components(spark: SparkSession, d: str) -> DataFrame:
     return analytics.pca(table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
-@query(f"WITH {_GRID}, f AS (SELECT id, y, avg(value) AS v FROM g GROUP BY 1, 2) SELECT id, len(list(v)) AS n, round(sum(v), 6) AS total FROM f GROUP BY 1")
+@query(f"WITH {_GRID}, f AS (SELECT id, y, avg(value) AS v FROM g GROUP BY 1, 2) SELECT id, CAST(y AS INTEGER) AS d, round(v, 6) AS value FROM f")
 def feature_vector(spark: SparkSession, d: str) -> DataFrame:
     f = analytics.feature_vector(_grid(spark, d).withColumnRenamed("y", "d"), ["id"])
-    total = F.aggregate("features", F.lit(0.0), lambda a, v: a + v)
-    return f.select("id", F.size("features").cast("bigint").alias("n"), _r(total).alias("total"))
+    return f.select("id", F.posexplode("features").alias("d", "value")).withColumn("value", _r("value"))
 
 
 # Guards, metadata, labels.
@@ -768,11 +779,10 @@ def item_names(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("back", labels.item_index(F.col("item"), F.lit(None).cast("int")))
 
 
-@query("SELECT p_partkey, concat_ws(',', p_size % 12, 11) AS channels FROM part WHERE p_size % 12 <> 11")
+@query("SELECT p_partkey, CASE WHEN p_size % 12 = 11 THEN '11' ELSE concat_ws(',', p_size % 12, 11) END AS channels FROM part")
 def channel_numbers(spark: SparkSession, d: str) -> DataFrame:
     v = F.array((F.col("p_size") % 12).cast("int"), F.lit(-1), F.lit(40), F.lit(11))
-    rows = table(spark, d, "part").filter("p_size % 12 <> 11")
-    return rows.select("p_partkey", F.array_join(F.transform(guards.indices_in(v, 12), lambda i: i.cast("string")), ",").alias("channels"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(guards.indices_in(v, 12), lambda i: i.cast("string")), ",").alias("channels"))
 
 
 @query()
@@ -790,15 +800,17 @@ def kmeans_map(spark: SparkSession, d: str) -> DataFrame:
 # Models, storage and streams.
 
 
-@query()
+@query(f"""WITH {_GRID} SELECT id AS point_index, m AS model, 'ok' AS status, round(CASE m WHEN 'band_mean' THEN avg(value) ELSE max(value) END, 5) AS value FROM g CROSS JOIN (VALUES ('band_mean'), ('band_max')) t(m) GROUP BY id, m""")
 def model_stub_infer(spark: SparkSession, d: str) -> DataFrame:
     img = table(spark, d, "embeddings").select(F.col("vec_id").alias("point_index"), F.lit(1).alias("c"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.col("embedding").alias("pixels"))
-    return models.infer(img, ["band_mean", "band_max"])
+    made = models.infer(img, ["band_mean", "band_max"])
+    return made.select("point_index", "model", "status", _r(F.element_at("embedding", 1), 5).alias("value"))
 
 
-@query()
+@query("SELECT model, outputs FROM (VALUES ('band_max', 'pooled'), ('band_mean', 'pooled,grid'), ('cells', 'pooled,grid'), ('cells_south', 'pooled,grid'), ('flat', 'grid')) t(model, outputs)")
 def model_list(spark: SparkSession, d: str) -> DataFrame:
-    return models.list_models(spark)
+    own = models.list_models(spark).filter(F.col("model").isin("band_max", "band_mean", "cells", "cells_south", "flat"))  # callers may add theirs
+    return own.select("model", F.array_join("outputs", ",").alias("outputs"))
 
 
 @query("SELECT vec_id AS point_index, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings")

@@ -17,19 +17,34 @@ from pyspark.sql import functions as F
 
 _factories: dict[str, Callable[[], object]] = {}
 _loaded: dict[str, object] = {}
+MAX_LOADED = 32
 
 
-def register(name: str, outputs: tuple[str, ...] = ("pooled", "grid"), backends: tuple[str, ...] = ("auto", "local")) -> Callable:
-    """Class decorator; a second one of a name replaces the first."""
+def register(name: str, outputs: tuple[str, ...] = ("pooled", "grid"), backends: tuple[str, ...] = ("auto", "local"), **traits) -> Callable:
+    """Class decorator; a second one of a name replaces the first. ``traits``: see :func:`traits`."""
 
     def add(factory):
         factory.name, factory.outputs, factory.backends = name, outputs, backends
+        for k, v in traits.items():
+            setattr(factory, k, v)
         _factories[name] = factory
         return factory
 
     return add
 
 
+def factories() -> dict[str, Callable[[], object]]:
+    return dict(_factories)
+
+
+def traits(factory) -> dict:
+    """What plans need to know of a model: ``image_size`` of its input (None: any), ``pool_kind`` (``grid``: pooled from its
+    grid; ``vector``: it has a vector of its own), ``max_honoured``, ``south_first`` rows, ``image_level`` attention, and
+    ``tiling``, a preparation it insists on."""
+    known = {"image_size": None, "pool_kind": "vector", "max_honoured": True, "south_first": False, "image_level": False, "tiling": None}
+    return {k: getattr(factory, k, v) for k, v in known.items()}
+
+
 @register("band_mean")
 class BandMean:
     """Mean of each channel."""
@@ -39,6 +54,9 @@ class BandMean:
     def embed(self, batch: list[np.ndarray]) -> list[np.ndarray]:
         return [x.mean(axis=(1, 2)) for x in batch]
 
+    def grid(self, batch: list[np.ndarray]) -> list[np.ndarray]:
+        return batch
+
 
 @register("band_max", outputs=("pooled",))
 class BandMax:
@@ -59,14 +77,47 @@ class Flat:
     def embed(self, batch: list[np.ndarray]) -> list[np.ndarray]:
         return [x.ravel() for x in batch]
 
+    def grid(self, batch: list[np.ndarray]) -> list[np.ndarray]:
+        return batch
+
+
+@register("cells", pool_kind="grid")
+class Cells:
+    """The image itself as a grid, pooled as asked."""
+
+    dim = None
+
+    def embed(self, batch: list[np.ndarray]) -> list[np.ndarray]:
+        return [x.mean(axis=(1, 2)) for x in batch]
+
+    def grid(self, batch: list[np.ndarray]) -> list[np.ndarray]:
+        return batch
+
+
+@register("cells_south", pool_kind="grid", south_first=True)
+class CellsSouth(Cells):
+    """The image turned round, as models whose rows run from the south give it."""
+
+    def grid(self, batch: list[np.ndarray]) -> list[np.ndarray]:
+        return [x[:, ::-1] for x in batch]
+
 
 def get(name: str):
     """The model, made once per process; KeyError names those there are."""
     key = name.strip().lower()
     if key not in _factories:
         raise KeyError(f"no model {name!r}; there are {', '.join(sorted(_factories))}")
+    return loaded(_factories[key])
+
+
+def loaded(factory):
+    """A factory's model, made once per process (in a worker: once for all its tasks); the oldest goes beyond
+    ``MAX_LOADED``."""
+    key = f"{factory.__module__}.{getattr(factory, '__qualname__', id(factory))}"
     if key not in _loaded:
-        _loaded[key] = _factories[key]()
+        while len(_loaded) >= MAX_LOADED:
+            _loaded.pop(next(iter(_loaded)))
+        _loaded[key] = factory()
     return _loaded[key]
 
 
@@ -137,42 +188,53 @@ def tiles(x: np.ndarray, tile: int) -> list[tuple[int, int, np.ndarray]]:
     return out
 
 
-def infer(images: DataFrame, models: list[str], batch: int = 32, factories: dict[str, Callable[[], object]] | None = None) -> DataFrame:
-    """``point_index, model, status, embedding, error``: each model on each image (``point_index, c, h, w, pixels``).
+def answers(call: Callable, images: list[np.ndarray]) -> list[tuple]:
+    """``(value, None)`` or ``(None, error)`` of each image: a batch that fails is tried image by image."""
+    try:
+        got = call(images)
+        if len(got) != len(images):
+            raise ValueError(f"{len(got)} results for {len(images)} images")
+        return [(np.asarray(v, np.float64), None) if v is not None else (None, "no result") for v in got]
+    except Exception as e:  # a model may fail in any way; its rows say how
+        if len(images) > 1:
+            return [r for x in images for r in answers(call, [x])]
+        return [(None, f"{type(e).__name__}: {e}"[:500])]
 
-    Images go to a model in batches; a batch that fails is tried image by image, and an image that fails is a failed
-    row with its error. A null, empty or misshapen image is a failed row.
-    """
-    known = factories or {m: _factories[m] for m in models}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready = {m: known[m]() for m in models}
-
-        def one(model, images: list[np.ndarray]) -> list[tuple]:
-            try:
-                got = model.embed(images)
-                if len(got) != len(images):
-                    raise ValueError(f"{len(got)} results for {len(images)} images")
-                return [("ok", np.asarray(v, np.float64), None) if v is not None else ("failed", None, "no result") for v in got]
-            except Exception as e:  # a model may fail in any way; its rows say how
-                if len(images) > 1:
-                    return [r for x in images for r in one(model, [x])]
-                return [("failed", None, f"{type(e).__name__}: {e}"[:500])]
+def run_model(images: DataFrame, factory, grid: bool = False, batch: int = 32) -> DataFrame:
+    """``images`` (``c, h, w, pixels, error`` and any others) with ``embedding`` and its ``shape`` instead of the pixels:
+    what a model makes of them, its ``grid`` or its vector. Images with an error keep it."""
+    kept = [f for f in images.schema if f.name not in ("c", "h", "w", "pixels", "error")]
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in kept], "embedding array<double>, shape array<int>, error string"])
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = loaded(factory)
+        call = model.grid if grid and hasattr(model, "grid") else model.embed
         for b in batches:
-            shaped, why = [], []
-            for r in b.itertuples():
-                ok = r.pixels is not None and r.c is not None and len(r.pixels) == r.c * r.h * r.w > 0
-                shaped.append(np.asarray(r.pixels, np.float32).reshape(int(r.c), int(r.h), int(r.w)) if ok else None)
-                why.append(None if ok else "no image of the given shape")
+            out: list[tuple] = [(None, e) for e in b["error"]]
+            shaped: list = [None] * len(b)
+            for i, r in enumerate(b.itertuples()):
+                if r.error is None:
+                    ok = r.pixels is not None and r.c is not None and len(r.pixels) == r.c * r.h * r.w > 0
+                    shaped[i] = np.asarray(r.pixels, np.float32).reshape(int(r.c), int(r.h), int(r.w)) if ok else None
+                    out[i] = out[i] if ok else (None, "no image of the given shape")
             good = [i for i, x in enumerate(shaped) if x is not None]
-            for name, model in ready.items():
-                out: list[tuple] = [("failed", None, w) for w in why]
-                for s in range(0, len(good), batch):
-                    part = good[s : s + batch]
-                    for i, r in zip(part, one(model, [shaped[i] for i in part])):
-                        out[i] = r
-                yield pd.DataFrame({"point_index": b["point_index"], "model": name, "status": [o[0] for o in out], "embedding": [o[1] for o in out], "error": [o[2] for o in out]})
-
-    rows = images.select("point_index", *[F.col(c).cast("int").alias(c) for c in ("c", "h", "w")], "pixels")
-    return rows.mapInPandas(run, "point_index bigint, model string, status string, embedding array<double>, error string")
+            for s in range(0, len(good), batch):
+                part = good[s : s + batch]
+                for i, r in zip(part, answers(call, [shaped[i] for i in part])):
+                    out[i] = r
+            yield b[[f.name for f in kept]].assign(embedding=[None if v is None else v.ravel() for v, _ in out], shape=[None if v is None else list(v.shape) for v, _ in out], error=[e for _, e in out])
+
+    return images.mapInPandas(run, schema)
+
+
+def infer(images: DataFrame, models: list[str], batch: int = 32, factories: dict[str, Callable[[], object]] | None = None) -> DataFrame:
+    """``point_index, model, status, embedding, error``: each model's vector of each whole image (``point_index, c, h, w,
+    pixels``). A null, empty or misshapen image is a failed row. See ``plans.inference`` for tiles and grids."""
+    rows = images.select("point_index", *[F.col(c).cast("int").alias(c) for c in ("c", "h", "w")], "pixels", F.lit(None).cast("string").alias("error"))
+    out = None
+    for name in models:
+        made = run_model(rows, (factories or _factories)[name], False, batch)
+        made = made.select("point_index", F.lit(name).alias("model"), F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status"), "embedding", "error")
+        out = made if out is None else out.unionByName(made)
+    return out

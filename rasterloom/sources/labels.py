@@ -35,11 +35,11 @@ def first_present(*readers) -> DataFrame:
 
 
 # Export formats and the names of their files.
-FORMATS = {"parquet": ".parquet", "npz": ".npz"}
+FORMATS = {"parquet": ".parquet", "npz": ".npz", "netcdf": ".nc"}
 
 
 def export_format(name: str) -> str:
-    """A known format's name; ValueError for others, netCDF included: no library here writes it."""
+    """A known format's name; ValueError for others."""
     key = (name or "").strip().lower()
     if key not in FORMATS:
         raise ValueError(f"no export format {name!r}; there are {', '.join(FORMATS)}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.operators import analytics, export
 from rasterloom.plans import api, models
+from rasterloom.plans.errors import ProviderError
 from rasterloom.sources import npz
 from rasterloom.streaming import composite
 
@@ -37,7 +38,7 @@ def test_embeddings_keep_the_order(spark, pixels):
     assert api.Model(spark, "band_max").get_embedding(SPOTS[0]) == [102.0, 1102.0]
     with pytest.raises(KeyError):
         api.get_embedding(spark, "nothing", SPOTS[0])
-    with pytest.raises(KeyError):
+    with pytest.raises(ProviderError):
         api.resolve_provider("nowhere")
 
 
@@ -64,7 +65,7 @@ def test_export_resumes(spark, pixels, tmp_path):
     assert spark.read.parquet(path).count() == 2 and len(again) <= files + 4
     both = api.export_batch(spark, SPOTS, ["band_mean", "band_max"], path)
     assert both.count() == 6 and spark.read.parquet(path).count() == 6
-    assert api.load_export(spark, path).count() == 6
+    assert api.load_export(spark, path).rows.count() == 6
     with pytest.raises(ValueError):
         api.export_batch(spark, SPOTS, ["flat", "FLAT"], path)
 

@@ -100,3 +100,27 @@ def test_stab_against_brute_force():
     assert len(got) == len(i)
     inside = (px[:, None] >= x0) & (px[:, None] <= x1) & (py[:, None] >= y0) & (py[:, None] <= y1)
     assert got == set(zip(*[a.tolist() for a in np.nonzero(inside)]))
+
+
+def test_wide_rectangles_cost_no_copy_per_slab():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    n = 8192
+    px, py = rng.random(n), rng.random(n)
+    x0, y0 = rng.random(n) * 0.2, rng.random(n)
+    x1, y1 = 0.8 + rng.random(n) * 0.2, y0 + 1e-4
+    y1[0], y0[0] = 1.0, 0.0  # one tall among the flat
+    tracemalloc.start()
+    i, j = proximity.stab(px, py, x0, y0, x1, y1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    inside = sum(int(((px >= a) & (px <= c) & (py >= b) & (py <= d)).sum()) for a, b, c, d in zip(x0, y0, x1, y1))
+    assert len(i) == inside and peak < 300 << 20
+
+
+def test_stab_of_degenerate_rectangles():
+    z = np.zeros(3)
+    assert len(proximity.stab(z, z, z[:0], z[:0], z[:0], z[:0])[0]) == 0 and len(proximity.stab(z[:0], z[:0], z, z, z, z)[0]) == 0
+    assert len(proximity.stab(z, z, z, z, z, z)[0]) == 9  # points on points
+    assert len(proximity.stab(z, z, z + 1, z, z, z)[0]) == 0  # reversed

@@ -9,8 +9,9 @@ import pytest
 import __spark_entry__ as entry
 from rasterloom.operators import queries as general
 from rasterloom.plans import imagery_queries as imagery
+from rasterloom.plans import scene_queries as scenes
 
-MODULES = (general, imagery)
+MODULES = (general, imagery, scenes)
 SQL = {k: v for m in MODULES for k, v in m.oracle_sql().items()}
 RUN = {k: v for m in MODULES for k, v in m.queries().items()}
 
