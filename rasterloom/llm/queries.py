@@ -38,6 +38,24 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(p7_packed(spark, d))
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of a packing, checked over all documents: each is packed whole once, no container is overfull, tokens
+    lie side by side, and only documents of more tokens than the capacity are cut."""
+    docs = table(spark, d, "documents")
+    sizes = materialize(packing.token_counts(docs), "tokens")
+    packed = materialize(packing.pack(sizes), "packed")
+    by_doc = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("packed"), F.count("*").alias("pieces"))
+    want = F.greatest(F.ceil(F.col("n_tokens") / 4096), F.lit(1))
+    whole = sizes.join(by_doc, "doc_id", "left").agg(
+        F.count("*").alias("n_docs"), F.count_if(~(F.coalesce("packed", F.lit(-1)) == F.col("n_tokens"))).alias("wrong_tokens"), F.count_if(~(F.coalesce("pieces", F.lit(0)) == want)).alias("wrong_pieces")
+    )
+    boxes = packing.containers(packed)
+    ends = packed.groupBy("container_id").agg(F.max(F.col("start") + F.col("n_tokens")).alias("end"), F.sum("n_tokens").alias("used"))
+    full = boxes.agg(F.count_if(F.col("unused") < 0).alias("overfull"), F.count_if(F.col("unused") > 4096 * 0.02).alias("slack"))
+    tight = ends.agg(F.count_if(F.col("end") != F.col("used")).alias("gaps"))
+    return whole.join(full).join(tight).select("n_docs", "wrong_tokens", "wrong_pieces", "overfull", "gaps", (F.col("slack") <= 1).alias("tight"))  # single rows
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).filter("distance = 0").select("doc_id", "item_id")
 
@@ -59,7 +77,7 @@ def p9_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (p1_found, p1_nearest, p4_found, p4_clusters, p7_packed, p7_containers, p8_found, p8_near, p9_method, p9_found, p9_share)}
+    return {q.__name__: q for q in (p1_found, p1_nearest, p4_found, p4_clusters, p7_packed, p7_containers, p7_invariants, p8_found, p8_near, p9_method, p9_found, p9_share)}
 
 
 _USABLE = """
@@ -86,6 +104,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"WITH {_USABLE}, r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS k FROM s) SELECT DISTINCT least(i, j) AS result_id_1, greatest(i, j) AS result_id_2 FROM r WHERE k <= 5 AND sim >= 0.8",
         "p4_found": f"""WITH {_USABLE}, n AS (SELECT i, list_sort(list_append(list(j), i)) AS g FROM s WHERE sim >= 0.8 GROUP BY i),
 c AS (SELECT g FROM n GROUP BY g HAVING count(*) = len(g) AND len(g) >= 3) SELECT g[1] AS cluster_id, unnest(g) AS result_id FROM c""",
+        "p7_invariants": "SELECT count(*) AS n_docs, 0::BIGINT AS wrong_tokens, 0::BIGINT AS wrong_pieces, 0::BIGINT AS overfull, 0::BIGINT AS gaps, TRUE AS tight FROM documents",
         "p8_found": f"WITH d AS ({d}), i AS ({i}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)",
         "p9_found": f"WITH {runs} SELECT doc_id FROM c WHERE n >= 30 AND again >= 0.3 * runs - 1e-9",
         "p9_share": f"""WITH {runs} SELECT d.doc_id, coalesce(c.n, 0) AS n_words, round(CASE WHEN c.runs > 0 THEN c.again / c.runs ELSE 0.0 END, 9) AS share
