@@ -482,11 +482,11 @@ def utm_project(spark: SparkSession, d: str) -> DataFrame:
     return z.select("id", "epsg", _r(p["x"], 3).alias("x"), _r(p["y"], 3).alias("y"))
 
 
-@query("WITH p AS (SELECT l_suppkey AS point_index, l_returnflag AS band, l_orderkey AS y, l_linenumber AS x, l_extendedprice AS value FROM lineitem), n AS (SELECT point_index, greatest(ceil(sqrt(count(*) / 50.0)), 1) AS s FROM p GROUP BY 1) SELECT point_index, band, count(*) AS n, round(avg(value), 2) AS mean FROM p JOIN n USING (point_index) WHERE y % s = 0 AND x % s = 0 GROUP BY 1, 2")
+@query("WITH p AS (SELECT l_suppkey AS point_index, l_returnflag AS band, l_orderkey AS y, l_linenumber AS x, l_extendedprice AS value FROM lineitem), n AS (SELECT point_index, greatest(ceil(sqrt(count(*) / 50.0)), 1) AS s FROM p GROUP BY 1) SELECT point_index, band, count(*) AS n, round(avg(value), 6) AS mean FROM p JOIN n USING (point_index) WHERE y % s = 0 AND x % s = 0 GROUP BY 1, 2")
 def stats_sampled(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("point_index"), F.col("l_returnflag").alias("band"), F.col("l_orderkey").alias("y"), F.col("l_linenumber").alias("x"), F.col("l_extendedprice").alias("value"))
     s = inspection.statistics(inspection.sampled(p, ["point_index"], 50), ["point_index", "band"])
-    return s.select("point_index", "band", "n", _r("mean", 2).alias("mean"))
+    return s.select("point_index", "band", "n", _r("mean", 6).alias("mean"))
 
 
 _CATALOG = ", ".join(f"('{n}', '{of}', '{e.sensor.collection}', {len(e.sensor.bands)}, {e.image_size or 'NULL'}, '{e.normalisation}', '{e.pool_kind}', {str(e.max_honoured).upper()})" for n, of, e in [(m.name, "", m) for m in catalog.MODELS.values()] + [(a, m, catalog.MODELS[m]) for a, m in catalog.ALIASES.items()])
