@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.strings import fingerprint
 from rasterloom.operators import export, guards, inspection, manifests
-from rasterloom.plans import catalog, models
+from rasterloom.plans import catalog, inputs, models
 from rasterloom.plans.errors import ModelError, SpecError
 from rasterloom.plans.inference import InputPrep, Output, embed
 from rasterloom.plans.providers import Provider, has_provider, list_providers, register_provider, resolve_provider
@@ -108,13 +108,16 @@ def requests_of(spark: SparkSession, spatials: list, period: Period | None) -> D
 
 
 def _images(requests: DataFrame, provider: str, name: str | None, sensor=None, fetch: dict | None = None, modality: str | None = None) -> DataFrame:
-    """The provider's images of the requests, scanned as the model's catalog entry or the caller says."""
-    known = name is not None and catalog.model_id(name) in catalog.MODELS
-    if known:
-        sensor = catalog.sensor_for(name, sensor, fetch, modality)
-    elif fetch is not None:
+    """The provider's images of the requests. For a model of the catalog they are scanned as its entry and the caller say:
+    the squares around the regions, with the window that the region has in its square."""
+    p = resolve_provider(provider)
+    if name is not None and catalog.model_id(name) in catalog.MODELS:
+        if catalog.entry(name).kind == "precomputed":
+            return p.images(requests, catalog.sensor_for(name, sensor, fetch, modality))
+        return inputs.model_input(p, requests, name, sensor, fetch, modality)
+    if fetch is not None:
         raise SpecError("only models of the catalog have a scan to be overridden")
-    return resolve_provider(provider).images(requests, sensor)
+    return p.images(requests, sensor)
 
 
 def _checked(name: str, output: Output, backend: str = "auto", period: Period | None = None) -> str:

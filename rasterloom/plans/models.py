@@ -7,6 +7,8 @@ statistics, which is what tests and plans need.
 
 from __future__ import annotations
 
+import importlib
+import inspect
 import math
 from collections.abc import Callable, Iterator
 
@@ -16,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _factories: dict[str, Callable[[], object]] = {}
+_lazy: dict[str, str] = {}
+_failed: dict[str, str] = {}
 _loaded: dict[str, object] = {}
 MAX_LOADED = 32
 
@@ -33,10 +37,44 @@ def register(name: str, outputs: tuple[str, ...] = ("pooled", "grid"), backends:
     return add
 
 
+def register_lazy(name: str, where: str) -> None:
+    """A model whose class is ``module:Class``, imported when it is first asked for."""
+    _lazy[name.strip().lower()] = where
+
+
+def _known(key: str):
+    """The factory of a name; KeyError with those there are, and why an import has failed. A failed import is not tried
+    again before :func:`reset`."""
+    if key not in _factories and key in _lazy and key not in _failed:
+        module, _, attribute = _lazy[key].partition(":")
+        try:
+            factory = getattr(importlib.import_module(module), attribute)
+            if key not in _factories:  # a module may have registered it while it was imported
+                register(key)(factory)
+        except (ImportError, AttributeError) as e:
+            _failed[key] = f"{type(e).__name__}: {e}"
+    if key not in _factories:
+        why = f" ({_failed[key]})" if key in _failed else ""
+        raise KeyError(f"no model {key!r}{why}; there are {', '.join(sorted({*_factories, *_lazy}))}")
+    return _factories[key]
+
+
 def factories() -> dict[str, Callable[[], object]]:
     return dict(_factories)
 
 
+def accepts(factory, method: str, parameter: str) -> bool:
+    """Whether a model's method takes a parameter: as it declares in ``capabilities``, else by its signature."""
+    declared = getattr(factory, "capabilities", {})
+    if parameter in declared:
+        return bool(declared[parameter])
+    f = getattr(factory, method, None)
+    if f is None:
+        return False
+    kinds = inspect.signature(f).parameters.values()
+    return any(p.name == parameter or p.kind is p.VAR_KEYWORD for p in kinds)
+
+
 def traits(factory) -> dict:
     """What plans need to know of a model: ``image_size`` of its input (None: any), ``pool_kind`` (``grid``: pooled from its
     grid; ``vector``: it has a vector of its own), ``max_honoured``, ``south_first`` rows, ``image_level`` attention, and
@@ -104,10 +142,7 @@ class CellsSouth(Cells):
 
 def get(name: str):
     """The model, made once per process; KeyError names those there are."""
-    key = name.strip().lower()
-    if key not in _factories:
-        raise KeyError(f"no model {name!r}; there are {', '.join(sorted(_factories))}")
-    return loaded(_factories[key])
+    return loaded(_known(name.strip().lower()))
 
 
 def loaded(factory):
@@ -122,7 +157,9 @@ def loaded(factory):
 
 
 def reset() -> None:
+    """Forget instances and failed imports."""
     _loaded.clear()
+    _failed.clear()
 
 
 def list_models(spark: SparkSession) -> DataFrame:
