@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -143,7 +144,7 @@ def broken(labelled: DataFrame, least: float, block_rows: int = 8192) -> DataFra
     return apart.unionByName(rows.groupBy("label", "i", "j").applyInPandas(run, "label bigint")).distinct()
 
 
-def _bounded(labels: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _bounded(labels: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of rows sorted by label: unit rows, each run's first row and length, and the cosine to that first row below
     which no vector can reach ``least`` with any row of the run (triangle inequality of angles)."""
     u = x.astype(np.float64)
@@ -153,11 +154,11 @@ def _bounded(labels: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarra
     near = np.einsum("ij,ij->i", u, np.repeat(u[first], count, axis=0))
     # cos(angle) >= cos(threshold + radius), with a margin for single precision
     bound = np.cos(np.minimum(np.arccos(least) + np.arccos(np.clip(np.minimum.reduceat(near, first), -1, 1)) + 1e-3, np.pi)) - 1e-4
-    return labels, u, first, count, bound.astype(np.float32)
+    return u, first, count, bound.astype(np.float32)
 
 
 def _reaching(block: tuple, lb: np.ndarray, x: np.ndarray, least: float) -> Iterator[np.ndarray]:
-    """Pairs (label, other label) of linked rows of a block (see :func:`_bounded`) and other rows."""
+    """Pairs (label, other label) of linked rows of a block (its labels and what :func:`_bounded` gives) and other rows."""
     one_thread()
     la, u, first, count, bound = block
     v = x.astype(np.float64)
@@ -181,6 +182,11 @@ def _reaching(block: tuple, lb: np.ndarray, x: np.ndarray, least: float) -> Iter
                     yield np.unique(np.stack([la[i[ok]], lb[z[ok]]], 1), axis=0)
 
 
+def _sized(rows: DataFrame, most: int = 1 << 18) -> DataFrame:
+    """A stored table of ids, to be broadcast in a join if it has few rows (4 MB); otherwise the join shuffles."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def _placed(reps: DataFrame, labels: DataFrame, wrong: DataFrame, sizes: DataFrame, blocks: int, rows: int) -> DataFrame:
     """``model, block, chunk, label, rep, vec`` of all vectors, those of no group with ``label = rep``: closed groups are
     hashed into ``blocks`` blocks of about ``rows`` rows, members of the groups in ``wrong`` are in block ``blocks``.
@@ -208,20 +214,29 @@ def bridges(placed: DataFrame, blocks: int, least: float) -> DataFrame:
     """
     spark, path = placed.sparkSession, scratch(placed.sparkSession, "bridges")
     for i in range(blocks):
-        part = placed.filter(F.col("block") == i).toPandas().sort_values(["model", "label", "chunk", "rep"], ignore_index=True)  # a block: of bounded size
+        part = placed.filter(F.col("block") == i).select("model", "label", "chunk", "rep", "vec").toArrow()  # a block: of bounded size
         asked = {}
-        for model, b in part.groupby("model"):
+        for model in pc.unique(part["model"]).to_pylist():
+            b = part.filter(pc.equal(part["model"], model))
+            label, chunk, rep = (b[c].to_numpy() for c in ("label", "chunk", "rep"))
+            x = b["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(label), -1)
+            order = np.lexsort((rep, chunk, label))
+            label, chunk = label[order], chunk[order]
             # Chunks of a group are told apart by their place in the sorted block.
-            run_no = ((b["label"] != b["label"].shift()) | (b["chunk"] != b["chunk"].shift())).cumsum().to_numpy()
-            _, u, first, count, bound = _bounded(run_no, matrix(b["vec"]), least)
-            asked[model] = (b["label"].to_numpy(), u, first, count, bound)
+            new = np.r_[True, (label[1:] != label[:-1]) | (chunk[1:] != chunk[:-1])]
+            asked[model] = label, np.cumsum(new), x[order].astype(np.float32)
         ship = spark.sparkContext.broadcast(asked)
+        del part, asked
 
         def run(batches: Iterator[pd.DataFrame], ship=ship) -> Iterator[pd.DataFrame]:
+            ready: dict[str, tuple] = {}
             for b in batches:
                 for model, at in b.groupby("model").indices.items():
                     if model in ship.value:
-                        for pairs in _reaching(ship.value[model], b["label"].to_numpy()[at], matrix(b["vec"].iloc[at]), least):
+                        if model not in ready:
+                            label, run_no, x = ship.value[model]
+                            ready[model] = (label, *_bounded(run_no, x, least))
+                        for pairs in _reaching(ready[model], b["label"].to_numpy()[at], matrix(b["vec"].iloc[at]), least):
                             yield pd.DataFrame({"label": pairs[:, 0], "other": pairs[:, 1]})
 
         rest = placed.filter(F.col("block") >= i).select("model", "label", "vec")
@@ -262,8 +277,8 @@ def mutual_groups(results: DataFrame, catalog: DataFrame, least: float = 0.8, sm
     # A part of a group that some cell has seen not to be mutual settles it; so does a cell that holds it as a whole.
     seen = found.join(labels, "rep").groupBy("label").agg(F.min("whole").alias("whole"), F.max(F.when(F.col("rep") == F.col("root"), F.col("n"))).alias("n"))
     size = materialize(labels.groupBy("label").agg(F.count("*").alias("total")).join(seen, "label"), "sizes")
-    open_ = size.filter("whole and n < total").select("label")
-    wrong = size.filter("not whole").select("label").unionByName(broken(reps.join(labels.join(open_, "label"), "rep").select("label", "rep", "vec"), least, block_rows))
+    open_ = materialize(labels.join(size.filter("whole and n < total").select("label"), "label"), "open")
+    wrong = size.filter("not whole").select("label").unionByName(broken(reps.join(_sized(open_), "rep").select("label", "rep", "vec"), least, block_rows))
     # A broken group stays broken whatever it is linked to; what is closed so far must have no other link.
     wrong = materialize(wrong, "wrong")
     rows = max(1, reach_floats // max(len(w) for w in km.weights.values()))
