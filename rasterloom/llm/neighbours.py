@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterloom.common import materialize, scratch
+from rasterloom.common import located, materialize, scratch
 from rasterloom.llm.hnsw import TOP, Hnsw
 from rasterloom.llm.vectors import collapse, matrix, one_thread, units, usable
 
@@ -180,9 +180,7 @@ class _Store:
     """Shards as they lie below a folder of the shared storage."""
 
     def __init__(self, path: str) -> None:
-        from pyarrow import fs as pafs
-
-        self.fs, self.folder = pafs.FileSystem.from_uri(path)
+        self.fs, self.folder = located(path)
 
     def get(self, shard: str, *columns: str) -> dict | None:
         """The columns of a shard; None if it has no vector."""
