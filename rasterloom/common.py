@@ -57,6 +57,17 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def located(path: str):
+    """The Arrow file system of a path or URI in the shared storage, and the path there, for tasks that read or write
+    files themselves."""
+    from pyarrow import fs as pafs
+
+    for ours, theirs in (("s3a://", "s3://"), ("s3n://", "s3://")):  # names that only Hadoop has
+        if path.startswith(ours):
+            path = theirs + path[len(ours) :]
+    return pafs.FileSystem.from_uri(path)
+
+
 def once(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row per ``key``: re-delivered rows repeat a key, the earliest ``order`` stays.
 

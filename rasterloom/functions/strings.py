@@ -38,6 +38,12 @@ def csv_list(s: Column) -> Column:
     return F.filter(F.transform(F.split(s, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def wanted_list(s: Column, what: str) -> Column:
+    """:func:`csv_list`, and an error where nothing is listed."""
+    items = csv_list(s)
+    return F.when(F.size(items) > 0, items).otherwise(F.raise_error(F.lit(f"no {what}")).cast("array<string>"))
+
+
 def value_range(s: Column) -> Column:
     """``lo,hi`` as ``struct(lo, hi)``; null unless there are two numbers."""
     p = csv_list(s)
@@ -51,6 +57,11 @@ def switch(s: Column) -> Column:
     return F.when(k.isin(*TRUE_WORDS), True).when(k.isin(*FALSE_WORDS), False).when(number.isNotNull(), number != 0)
 
 
+def wanted_switch(s: Column, key: str) -> Column:
+    """:func:`switch`, and an error for a text that is none; null stays null."""
+    return F.when(s.isNull() | switch(s).isNotNull(), switch(s)).otherwise(F.raise_error(F.concat(F.lit(f"{key} is no switch: "), s)).cast("boolean"))
+
+
 def sensor_key(fields: list[str]) -> Column:
     """12 hex digits of the sha1 of the fields' JSON, sorted by name."""
     return F.substring(F.sha1(F.to_json(F.struct(*sorted(fields)))), 1, 12)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.common import once, read_json, scratch
+from rasterloom.common import located, once, read_json, scratch
 from rasterloom.sources import footer as ft
 
 REPORT = "target string, files_in int, groups_in int, groups_out int, rows_in bigint, rows_out bigint, bytes_in bigint, bytes_out bigint, rejected string"
@@ -87,9 +87,7 @@ def compact(spark: SparkSession, source: str, target: str, target_bytes: int = 1
         tasks = max(1, min(10_000, -(-total // (4 * target_bytes))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs as pafs
-
-        fs, folder = pafs.FileSystem.from_uri(target)
+        fs, folder = located(target)
         fs.create_dir(folder)
         opened: dict[bytes, _Target] = {}
         names = [c.split()[0] for c in REPORT.split(", ")]
@@ -99,7 +97,7 @@ def compact(spark: SparkSession, source: str, target: str, target_bytes: int = 1
 
         for b in batches:
             for path, length in zip(b["path"], b["length"]):
-                src_fs, src = pafs.FileSystem.from_uri(path)
+                src_fs, src = located(path)
                 with src_fs.open_input_file(src) as f:
                     try:
                         footer = ft.read_footer(f, length)

@@ -44,8 +44,9 @@ def injected(manifest: DataFrame, results: DataFrame, by: list[str]) -> DataFram
     """``manifest`` (``by, status, error``) with results joined on: an earlier failure stays."""
     r = results.select(*by, F.col("status").alias("__s"), F.col("error").alias("__e"))
     rows = manifest.join(r, by, "left")
-    fail = F.col("status") == "failed"
-    return rows.withColumn("status", F.when(fail, F.col("status")).otherwise(F.coalesce("__s", "status"))).withColumn("error", F.when(fail, F.col("error")).otherwise(F.coalesce("__e", "error"))).drop("__s", "__e")
+    fail = F.coalesce(F.col("status") == "failed", F.lit(False))
+    new = {c: F.when(fail, F.col(c)).otherwise(F.coalesce(n, c)) for c, n in (("status", "__s"), ("error", "__e"))}
+    return rows.withColumns(new).drop("__s", "__e")  # both from the old status
 
 
 def write(results: DataFrame, path: str, mode: str = "append") -> None:

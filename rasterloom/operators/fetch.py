@@ -92,23 +92,38 @@ def radar_meta(pixels: DataFrame, requests: DataFrame, sensor) -> DataFrame:
     return rows.select("*", F.lit(sensor.require_iw).alias("iw_requested"), (F.lit(sensor.require_iw) & ~relaxed).alias("iw_applied"), relaxed.alias("iw_relaxed"), F.lit(sensor.orbit).alias("orbit"), F.lit(sensor.collection).alias("collection"))
 
 
-def assembled(values: DataFrame, bands: tuple[str, ...], keys: tuple[str, ...] = ("point_index",), collection: str = "") -> DataFrame:
-    """Images ``keys, c, h, w, pixels`` of ``keys, band, y, x, value``: bands in the order asked for, missing pixels 0. A
-    missing band leaves ``pixels`` null and says so in ``error``."""
+def assembled(values: DataFrame, bands: tuple[str, ...], keys: tuple[str, ...] = ("point_index",), collection: str = "", fill: float = 0.0, flip: bool = False) -> DataFrame:
+    """Images ``keys, c, h, w, pixels`` of ``keys, band, y, x, value``: bands in the order asked for, missing pixels
+    ``fill``, rows turned round with ``flip``. A missing band leaves ``pixels`` null and says so in ``error``."""
     order = native(collection, bands) if collection else tuple(bands)
     at = F.array_position(F.array(*map(F.lit, order)), F.col("band")) - 1
     rows = values.withColumn("b", at.cast("int")).filter("b >= 0")
     size = rows.groupBy(*keys).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), F.collect_set("band").alias("have"))
-    cells = rows.join(size.select(*keys, "h", "w"), list(keys)).select(*keys, ((F.col("b") * F.col("h") + F.col("y")) * F.col("w") + F.col("x")).cast("int").alias("k"), F.col("value").cast("double").alias("v"))
+    y = F.col("h") - 1 - F.col("y") if flip else F.col("y")
+    cells = rows.join(size.select(*keys, "h", "w"), list(keys)).select(*keys, ((F.col("b") * F.col("h") + y) * F.col("w") + F.col("x")).cast("int").alias("k"), F.col("value").cast("double").alias("v"))
     flat = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
     missing = F.array_except(F.array(*map(F.lit, order)), F.col("have"))
     n = F.lit(len(order)) * F.col("h") * F.col("w")
-    values_ = F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    values_ = F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(float(fill))))
     whole = F.size(missing) == 0
     error = F.when(~whole, F.concat(F.lit("no band "), F.array_join(missing, ", "), F.lit("; there are "), F.array_join(F.array_sort("have"), ", ")))
     return size.join(flat, list(keys)).select(*keys, F.lit(len(order)).alias("c"), F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), F.when(whole, values_).alias("pixels"), error.alias("error"))
 
 
+def gridded(samples: DataFrame, requests: DataFrame, scale_m: float) -> DataFrame:
+    """``point_index, band, y, x, value``: samples (``point_index, lon, lat, band, value``) on the Web Mercator pixels of
+    ``scale_m`` of each request's box, row 0 in the north; several in one pixel are averaged, those outside are cut off."""
+    from rasterloom.functions import spatial
+
+    x0, x1 = spatial.mercator_x(F.col("minlon")), spatial.mercator_x(F.col("maxlon"))
+    y0, y1 = spatial.mercator_y(F.col("minlat")), spatial.mercator_y(F.col("maxlat"))
+    boxes = requests.select("point_index", x0.alias("__x0"), y1.alias("__y1"), F.ceil((x1 - x0) / scale_m).alias("__w"), F.ceil((y1 - y0) / scale_m).alias("__h"))
+    rows = samples.join(boxes, "point_index")
+    rows = rows.withColumn("x", F.floor((spatial.mercator_x(F.col("lon")) - F.col("__x0")) / scale_m).cast("int")).withColumn("y", F.floor((F.col("__y1") - spatial.mercator_y(F.col("lat"))) / scale_m).cast("int"))
+    inside = (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < F.col("__w")) & (F.col("y") < F.col("__h"))
+    return rows.filter(inside).groupBy(*KEYS).agg(F.avg("value").alias("value"))
+
+
 def every_band(pixels: DataFrame, requests: DataFrame, collection: str, how: str = "median", fill: float = 0.0) -> DataFrame:
     """``point_index, bands, c, h, w, pixels`` of all bands there are, sorted by name, without a cloud limit."""
     rows = pixels.filter(F.col("collection") == collection).join(requests.select("point_index", "start", "end"), "point_index")

@@ -39,10 +39,17 @@ def error_kind(message: Column) -> Column:
     return F.when(m == "", "none").when(has(TOO_MANY_PIXELS), "too_large").when(has(NOT_ALLOWED), "access").otherwise("other")
 
 
-def counted(df: DataFrame, name: str, failed: Column) -> tuple[DataFrame, Observation]:
-    """``df`` and an observation of ``total`` and ``failed`` rows, filled by the query itself when it runs."""
+def counted(df: DataFrame, name: str, failed: Column, cached: Column | None = None) -> tuple[DataFrame, Observation]:
+    """``df`` and an observation of ``total``, ``completed``, ``failed`` and ``cache_hits`` rows, filled by the query itself
+    when it runs."""
     o = Observation(name)
-    return df.observe(o, F.count("*").alias("total"), F.coalesce(F.count_if(failed), F.lit(0)).alias("failed")), o
+    n = lambda c: F.coalesce(F.count_if(c), F.lit(0))
+    bad = F.coalesce(failed, F.lit(False))
+    return df.observe(o, F.count("*").alias("total"), n(~bad).alias("completed"), n(bad).alias("failed"), n(F.lit(False) if cached is None else cached).alias("cache_hits")), o
+
+
+def counted_text(counts: dict[str, int]) -> str:
+    return f"{counts['total']} fetched: {counts['completed']} ok, {counts['failed']} failed, {counts['cache_hits']} from the cache"
 
 
 def retried(f: Callable, retries: int = 0, backoff_s: float = 0.0):

@@ -200,6 +200,14 @@ def embed(images: DataFrame, names: list[str], output: Output = Output(), prep:
     return out
 
 
+def grid_table(rows: DataFrame) -> DataFrame:
+    """Grids of :func:`embed` as a long table ``point_index, model, d, y, x, value``."""
+    h, w = F.col("shape")[1], F.col("shape")[2]
+    cells = rows.filter("shape is not null").select("point_index", "model", h.alias("h"), w.alias("w"), F.posexplode("embedding").alias("k", "value"))
+    at = {"d": F.floor(F.col("k") / (F.col("h") * F.col("w"))), "y": F.floor(F.col("k") / F.col("w")) % F.col("h"), "x": F.col("k") % F.col("w")}
+    return cells.select("point_index", "model", *[c.cast("int").alias(n) for n, c in at.items()], "value")
+
+
 def _merge(name: str, output: Output, prep: InputPrep, tile: int | None, traits: dict) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """What a model made of an image's tiles, as one row."""
     columns = [c.split()[0] for c in RESULT.split(", ")]

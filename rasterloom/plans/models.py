@@ -7,6 +7,7 @@ statistics, which is what tests and plans need.
 
 from __future__ import annotations
 
+import hashlib
 import importlib
 import inspect
 import math
@@ -14,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,10 +147,10 @@ def get(name: str):
     return loaded(_known(name.strip().lower()))
 
 
-def loaded(factory):
+def loaded(factory, key: str | None = None):
     """A factory's model, made once per process (in a worker: once for all its tasks); the oldest goes beyond
-    ``MAX_LOADED``."""
-    key = f"{factory.__module__}.{getattr(factory, '__qualname__', id(factory))}"
+    ``MAX_LOADED``. ``key``: see :func:`identity`."""
+    key = key or identity(factory)
     if key not in _loaded:
         while len(_loaded) >= MAX_LOADED:
             _loaded.pop(next(iter(_loaded)))
@@ -156,6 +158,11 @@ def loaded(factory):
     return _loaded[key]
 
 
+def identity(factory) -> str:
+    """What tells factories apart: their name and content, so that a class that was written anew is another one."""
+    return f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', '')}-{hashlib.sha1(cloudpickle.dumps(factory)).hexdigest()}"
+
+
 def reset() -> None:
     """Forget instances and failed imports."""
     _loaded.clear()
@@ -244,8 +251,10 @@ def run_model(images: DataFrame, factory, grid: bool = False, batch: int = 32) -
     kept = [f for f in images.schema if f.name not in ("c", "h", "w", "pixels", "error")]
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in kept], "embedding array<double>, shape array<int>, error string"])
 
+    key = identity(factory)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = loaded(factory)
+        model = loaded(factory, key)
         call = model.grid if grid and hasattr(model, "grid") else model.embed
         for b in batches:
             out: list[tuple] = [(None, e) for e in b["error"]]

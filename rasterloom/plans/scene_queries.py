@@ -495,3 +495,129 @@ _CATALOG = ", ".join(f"('{n}', '{of}', '{e.sensor.collection}', {len(e.sensor.ba
 @query(f"SELECT model, nullif(alias_of, '') AS alias_of, collection, CAST(n_bands AS INTEGER) AS n_bands, CAST(image_size AS INTEGER) AS image_size, normalisation, pool_kind, max_honoured FROM (VALUES {_CATALOG}) t(model, alias_of, collection, n_bands, image_size, normalisation, pool_kind, max_honoured)")
 def model_catalog_listing(spark: SparkSession, d: str) -> DataFrame:
     return catalog.list_models(spark, True).select("model", "alias_of", "collection", "n_bands", "image_size", "normalisation", "pool_kind", "max_honoured")
+
+
+# Names, overrides and small shapes.
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN p_size ELSE 10 END AS scale_m, CASE WHEN p_size % 2 = 0 THEN p_size + 5 ELSE 30 END AS cloudy_pct, CASE WHEN p_size % 5 = 0 THEN 'mosaic' ELSE 'median' END AS composite FROM part""")
+def fetch_overrides(spark: SparkSession, d: str) -> DataFrame:
+    from rasterloom.operators import catalog as small
+
+    s = F.col("p_size")
+    over = F.struct(F.when(s % 3 == 0, s).alias("scale_m"), F.when(s % 2 == 0, s + 5).alias("cloudy_pct"), F.lit(None).cast("double").alias("fill_value"), F.when(s % 5 == 0, "mosaic").alias("composite"))
+    base = F.struct(F.lit(10).alias("scale_m"), F.lit(30).alias("cloudy_pct"), F.lit(0.0).alias("fill_value"), F.lit("median").alias("composite"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), over.alias("o"), base.alias("b"))
+    return rows.select("id", small.overridden("o", "b").alias("r")).select("id", "r.scale_m", "r.cloudy_pct", "r.composite")
+
+
+@query("""WITH m AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'failed' ELSE 'open' END AS status, CASE WHEN o_orderkey % 7 = 0 THEN 'old' END AS error FROM orders), r AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'ok' END AS status, CASE WHEN o_orderstatus = 'P' THEN 'new' END AS error FROM orders WHERE o_orderkey % 3 <> 0)
+SELECT m.id, CASE WHEN m.status = 'failed' THEN m.status ELSE coalesce(r.status, m.status) END AS status, CASE WHEN m.status = 'failed' THEN m.error ELSE coalesce(r.error, m.error) END AS error FROM m LEFT JOIN r USING (id)""")
+def result_injection(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    old = F.col("o_orderkey") % 7 == 0
+    m = o.select(F.col("o_orderkey").alias("id"), F.when(old, "failed").otherwise("open").alias("status"), F.when(old, "old").alias("error"))
+    bad = F.col("o_orderstatus") == "P"
+    r = o.filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("id"), F.when(bad, "failed").otherwise("ok").alias("status"), F.when(bad, "new").alias("error"))
+    return export.injected(m, r, ["id"])
+
+
+@query("""WITH n AS (SELECT p_name AS name, CASE WHEN trim(regexp_replace(regexp_replace(p_type, '[^0-9a-zA-Z_]+', '_', 'g'), '_+', '_', 'g'), '_') = '' THEN 'item' ELSE trim(regexp_replace(regexp_replace(p_type, '[^0-9a-zA-Z_]+', '_', 'g'), '_+', '_', 'g'), '_') END AS key FROM part)
+SELECT key, count(*) AS n FROM n GROUP BY 1 HAVING count(*) > 1""")
+def duplicate_names(spark: SparkSession, d: str) -> DataFrame:
+    from rasterloom.operators import catalog as small
+
+    return small.duplicates(table(spark, d, "part"), "p_type").select("key", "n")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'year' ELSE 'range' END AS mode, strftime(o_orderdate, '%Y-%m-%d') AS start, strftime(CAST(o_orderdate AS DATE) + 30, '%Y-%m-%d') AS "end", CAST(CASE WHEN o_orderkey % 2 = 0 THEN year(o_orderdate) END AS INTEGER) AS year FROM orders""")
+def temporal_meta(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("s"))
+    m = temporal.temporal_meta(F.when(F.col("id") % 2 == 0, "year").otherwise("range"), F.col("s"), F.date_add("s", 30))
+    return o.select("id", m.alias("m")).select("id", "m.mode", "m.start", "m.end", "m.year")
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_size * 7 + 1 AS h, p_size * 5 + 3 AS w, p_partkey % 400 AS side FROM part) SELECT id, round(10.0 * least(h, w) / 224, 6) AS gsd, CAST(greatest(CASE WHEN side - side // 48 * 48 > 48 - (side - side // 48 * 48) THEN side // 48 * 48 + 48 ELSE side // 48 * 48 END, 48) AS INTEGER) AS snapped FROM p""")
+def model_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Effective resolution of an image, and its side snapped to what resolutions of 10, 20 and 60 m and patches of 8 allow."""
+    from rasterloom.functions import tiles
+
+    h, w = F.col("p_size") * 7 + 1, F.col("p_size") * 5 + 3
+    unit = tiles.side_unit(10, 8, [10, 20, 60])
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), _r(spatial.effective_resolution(h, w, 10.0, 224)).alias("gsd"), tiles.snapped_side(F.col("p_partkey") % 400, unit).alias("snapped"))
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN trim(regexp_replace(p_type, '[^0-9a-zA-Z]', '_', 'g'), '_') = '' THEN 'var' ELSE trim(regexp_replace(p_type, '[^0-9a-zA-Z]', '_', 'g'), '_') END AS suffix,
+CASE WHEN p_size % 3 = 0 THEN 'abc' || p_size ELSE 'abc' || p_size || '--multi_' || p_size END AS input_key, CASE WHEN p_size % 4 = 0 THEN 'B4,B8' ELSE '' END AS missing FROM part""")
+def input_names(spark: SparkSession, d: str) -> DataFrame:
+    from rasterloom.operators import catalog as small
+
+    s = F.col("p_size")
+    key = strings.input_key(F.concat(F.lit("abc"), s), F.when(s % 3 == 0, "single").otherwise(F.concat(F.lit("multi:"), s)))
+    have = F.when(s % 4 == 0, F.array(F.lit("B2"))).otherwise(F.array(*map(F.lit, ("B8", "B4", "B2"))))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), strings.dim_suffix(F.col("p_type")).alias("suffix"), key.alias("input_key"), F.array_join(small.missing_bands(F.array(*map(F.lit, ("B4", "B8", "B2"))), have), ",").alias("missing"))
+
+
+@query("SELECT l_orderkey AS id, l_linenumber AS n, CAST(floor(greatest(least((l_extendedprice / 10 - (3000 - 2 * 900)) / (4 * 900) * 255, 255), 0)) AS INTEGER) AS v FROM lineitem")
+def sigma_bytes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), radiometry.sigma8(F.col("l_extendedprice") / 10, F.lit(3000.0), F.lit(900.0)).alias("v"))
+
+
+def _shaped(spark: SparkSession, d: str, make: Callable) -> DataFrame:
+    """``make`` applied to the 8 x 8 images, as ``point_index, y, x, value``."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            out = [make(np.asarray(p, np.float64).reshape(1, 8, 8)) for p in b["pixels"]]
+            yield pd.DataFrame({"point_index": b["point_index"], "w": [o.shape[2] for o in out], "v": [o.ravel() for o in out]})
+
+    rows = _images(spark, d).select("point_index", "pixels").mapInPandas(run, "point_index bigint, w int, v array<double>")
+    rows = rows.select("point_index", "w", F.posexplode("v").alias("k", "value"))
+    return rows.select("point_index", F.floor(F.col("k") / F.col("w")).cast("int").alias("y"), (F.col("k") % F.col("w")).cast("int").alias("x"), _r("value", 5).alias("value"))
+
+
+@query(f"WITH {_GRID} SELECT id AS point_index, CAST(y // 2 AS INTEGER) AS y, CAST(x // 2 AS INTEGER) AS x, round(avg(value), 5) AS value FROM g GROUP BY ALL")
+def resize_bilinear(spark: SparkSession, d: str) -> DataFrame:
+    """Half the size: every pixel is the mean of four."""
+    from rasterloom.plans import models
+
+    return _shaped(spark, d, lambda x: models.bilinear(x, 4, 4))
+
+
+@query(f"WITH {_GRID}, p AS (SELECT DISTINCT id FROM g) SELECT p.id AS point_index, CAST(a.y AS INTEGER) AS y, CAST(b.x AS INTEGER) AS x, round(coalesce(g.value, 0), 5) AS value FROM p CROSS JOIN range(10) a(y) CROSS JOIN range(10) b(x) LEFT JOIN g ON g.id = p.id AND g.y = a.y AND g.x = b.x")
+def pad_multiple(spark: SparkSession, d: str) -> DataFrame:
+    from rasterloom.plans import models
+
+    return _shaped(spark, d, lambda x: models.padded(x, 5))
+
+
+@query(f"WITH {_GRID}, p AS (SELECT DISTINCT id FROM g) SELECT p.id AS point_index, CAST(a.y AS INTEGER) AS y, CAST(b.x AS INTEGER) AS x, round(g.value, 5) AS value FROM p CROSS JOIN range(8) a(y) CROSS JOIN range(8) b(x) JOIN g ON g.id = p.id AND g.y = a.y AND g.x = CASE WHEN b.x = 0 THEN 4 WHEN b.x = 1 THEN 3 WHEN b.x = 6 THEN 4 WHEN b.x = 7 THEN 3 ELSE b.x END")
+def square_reflected(spark: SparkSession, d: str) -> DataFrame:
+    """Columns 2 to 5 of an image, mirrored to a square."""
+    from rasterloom.plans import shapes
+
+    return _shaped(spark, d, lambda x: shapes.squared(x[:, :, 2:6], 8, "pad")[0])
+
+
+@query(f"WITH {_GRID} SELECT g.id AS point_index, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, CAST(y - 3 * r AS INTEGER) AS y, CAST(x - 3 * c AS INTEGER) AS x, round(value, 5) AS value FROM g CROSS JOIN (VALUES (0), (1)) a(r) CROSS JOIN (VALUES (0), (1)) b(c) WHERE y >= 3 * r AND y < 3 * r + 5 AND x >= 3 * c AND x < 3 * c + 5")
+def tile_slices(spark: SparkSession, d: str) -> DataFrame:
+    t = inference.cut(_images(spark, d), 5, inference.Output("grid"), _PREP)
+    rows = t.select("point_index", "row", "col", "w", F.posexplode("pixels").alias("k", "value"))
+    return rows.select("point_index", "row", "col", F.floor(F.col("k") / F.col("w")).cast("int").alias("y"), (F.col("k") % F.col("w")).cast("int").alias("x"), _r(F.col("value").cast("double"), 5).alias("value"))
+
+
+@query("""WITH s AS (SELECT event_id, user_id % 40 AS point_index, event_id % 97 / 96.0::DOUBLE * 0.02 AS dx, event_id % 89 / 88.0::DOUBLE * 0.01 AS dy, value FROM events),
+q AS (SELECT DISTINCT point_index, 10.0::DOUBLE + point_index AS lon, -20.0::DOUBLE + point_index AS lat FROM s),
+m AS (SELECT s.point_index, CAST(floor((6378137.0 * radians(lon + dx) - 6378137.0 * radians(lon)) / 200) AS INTEGER) AS x, CAST(floor((6378137.0 * ln(tan(pi() / 4 + radians(lat + 0.01) / 2)) - 6378137.0 * ln(tan(pi() / 4 + radians(lat + dy) / 2))) / 200) AS INTEGER) AS y, value,
+  ceil((6378137.0 * radians(lon + 0.02) - 6378137.0 * radians(lon)) / 200) AS w, ceil((6378137.0 * ln(tan(pi() / 4 + radians(lat + 0.01) / 2)) - 6378137.0 * ln(tan(pi() / 4 + radians(lat) / 2))) / 200) AS h FROM s JOIN q USING (point_index))
+SELECT point_index, y, x, round(avg(value), 6) AS value FROM m WHERE x >= 0 AND y >= 0 AND x < w AND y < h GROUP BY ALL""")
+def rectangle_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Samples by place, brought to the pixels of each region's rectangle, north up."""
+    i, p = F.col("event_id"), F.col("user_id") % 40
+    lon, lat = 10.0 + p, -20.0 + p
+    s = table(spark, d, "events").select(p.alias("point_index"), (lon + i % 97 / F.lit(96.0) * 0.02).alias("lon"), (lat + i % 89 / F.lit(88.0) * 0.01).alias("lat"), F.lit("b").alias("band"), "value")
+    q = table(spark, d, "events").select(p.alias("point_index")).distinct()
+    q = q.select("point_index", (10.0 + F.col("point_index")).alias("minlon"), (-20.0 + F.col("point_index")).alias("minlat"), (10.02 + F.col("point_index")).alias("maxlon"), (-19.99 + F.col("point_index")).alias("maxlat"))
+    return fetch.gridded(s, q, 200.0).select("point_index", "y", "x", _r("value").alias("value"))

@@ -73,6 +73,17 @@ def as_npz(arrays: dict[str, np.ndarray]) -> bytes:
     return out.getvalue()
 
 
+def arrays_of(path: str) -> dict[str, np.ndarray]:
+    """The arrays stored in an ``.npz`` or netCDF file, for resuming; none if there is no such file."""
+    if not storage.exists(path):
+        return {}
+    data = storage.read(path)
+    if path.endswith(".npz"):
+        with np.load(io.BytesIO(data)) as arrays:
+            return dict(arrays)
+    return netcdf.decode(data)[0]
+
+
 class NpzReader(DataSourceReader):
     """A model's rows are one stacked array ``embeddings__MODEL``, or one array each, ``embedding__MODEL__00007``."""
 

@@ -5,12 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-
-def located(path: str):
-    """The file system of a path or URI, and the path there."""
-    from pyarrow import fs as pafs
-
-    return pafs.FileSystem.from_uri(path)
+from rasterloom.common import located
 
 
 def exists(path: str) -> bool:
@@ -35,6 +30,14 @@ def names(path: str) -> list[str]:
     return sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(at, allow_not_found=True)) if f.type == pafs.FileType.File)
 
 
+def folders(path: str) -> list[str]:
+    """Names of the folders in a folder, sorted."""
+    from pyarrow import fs as pafs
+
+    fs, at = located(path)
+    return sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(at, allow_not_found=True)) if f.type == pafs.FileType.Directory)
+
+
 def read(path: str) -> bytes:
     fs, at = located(path)
     with fs.open_input_stream(at) as f:

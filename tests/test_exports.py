@@ -235,3 +235,45 @@ def test_products(spark):
     assert [r.ok for r in t.select(products.north_up(*[F.col(c) for c in "abde"]).alias("ok")).collect()] == [True, False, False]
     k = products.kelvin(spark.createDataFrame([(1, 15_000.0), (2, 300.0)], "p int, value double"), ["p"])
     assert {r.p: r["value"] for r in k.collect()} == {1: 300.0, 2: 300.0}
+
+
+def test_targets_and_points(tmp_path):
+    from rasterloom.sources import labels, npz
+
+    assert labels.targets(2, "/a/b", "npz") == ["/a/b.npz"] and labels.targets(2, "/a/b.nc", "netcdf") == ["/a/b.nc"]
+    assert labels.targets(2, "/a", "npz", "per_item") == ["/a/p00000.npz", "/a/p00001.npz"] and labels.targets(1, "/a", "npz", "per_item", ["x y"]) == ["/a/x_y.npz"]
+    for bad in (lambda: labels.targets(2, "/a", "npz", "per_item", ["x"]), lambda: labels.targets(2, "/a", "npz", "per_item", ["x", "x!"]), lambda: labels.targets(1, "/a", "zip"), lambda: labels.targets(1, "/a", "npz", "cube")):
+        with pytest.raises(ValueError):
+            bad()
+    d = str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        labels.export_points(d)
+    storage.write_json(f"{d}/p00003/m.json", {})
+    assert labels.export_points(d) == [(3, "m", f"{d}/p00003/m.json")]
+    storage.write_json(f"{d}/p00001.json", {"point_index": 7})
+    assert labels.export_points(d) == [(7, "p00001", f"{d}/p00001.json")]
+    storage.write_json(f"{d}/manifest.json", {"items": [{"point_index": 1}, {"point_index": 0, "item": "q"}]})
+    assert [p[:2] for p in labels.export_points(d)] == [(0, "q"), (1, "p00000")]
+    a = {"x": np.arange(3, dtype=np.float32)}
+    storage.write(f"{d}/a.npz", npz.as_npz(a))
+    storage.write(f"{d}/a.nc", netcdf.encode(a))
+    assert all(np.array_equal(npz.arrays_of(f"{d}/a.{e}")["x"], a["x"]) for e in ("npz", "nc")) and npz.arrays_of(f"{d}/none.npz") == {}
+
+
+def test_lists_switches_counts_and_grid_tables(spark):
+    from pyspark.sql import functions as F
+
+    from rasterloom.functions import strings
+    from rasterloom.plans import inference
+
+    df = spark.createDataFrame([("a, b", "Yes"), ("c", None)], "l string, s string")
+    assert [(r.l, r.s) for r in df.select(strings.wanted_list(F.col("l"), "bands").alias("l"), strings.wanted_switch(F.col("s"), "flag").alias("s")).collect()] == [(["a", "b"], True), (["c"], None)]
+    for c in (strings.wanted_list(F.lit(" , "), "bands"), strings.wanted_switch(F.lit("perhaps"), "flag")):
+        with pytest.raises(Exception, match="no bands|no switch"):
+            df.select(c.alias("v")).collect()
+    seen, o = guards.counted(df, "c1", F.col("s").isNull(), F.col("l") == "c")
+    seen.collect()
+    assert o.get == {"total": 2, "completed": 1, "failed": 1, "cache_hits": 1} and guards.counted_text(o.get).startswith("2 fetched")
+    g = spark.createDataFrame([(0, "m", [float(i) for i in range(12)], [2, 2, 3]), (1, "m", [1.0], None)], "point_index int, model string, embedding array<double>, shape array<int>")
+    rows = {(r.d, r.y, r.x): r["value"] for r in inference.grid_table(g).collect()}
+    assert len(rows) == 12 and rows[1, 0, 2] == 8.0 and rows[0, 1, 0] == 3.0
