@@ -119,7 +119,7 @@ n AS (SELECT export_id, {_opened('v')} AS v, FALSE AS within, NULL::VARCHAR AS m
           SELECT export_id, within, model, point, t.k AS k, {_opened('t.c')} AS c, coalesce(t.k IN ('models', 'metas', 'tiles', 'frames', 'issues', 'spatials'), FALSE) AND json_type({_opened('t.c')}) IN ('ARRAY', 'OBJECT') AS listed FROM (
             SELECT *, unnest(CASE json_type(v) WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda x: {{'k': x, 'c': json_extract(v, '$."' || x || '"')}}) ELSE list_transform(range(json_array_length(v)::BIGINT), lambda i: {{'k': NULL::VARCHAR, 'c': json_extract(v, '$[' || i || ']')}}) END) AS t FROM n WHERE json_type(v) IN ('OBJECT', 'ARRAY'))))) WHERE json_type(v2) IN ('OBJECT', 'ARRAY'))) """
 # Fields of the files of a feed, and what has changed from one to the next.
-_FIELDS = """
+_FIELDS = r"""
 w AS (SELECT feed, file_no, '' AS path, CAST(meta AS JSON) AS v FROM model_results WHERE result_id IS NOT NULL AND feed IS NOT NULL AND file_no IS NOT NULL AND json_valid(meta) AND json_type(meta) = 'OBJECT'
   UNION ALL SELECT feed, file_no, CASE WHEN path = '' THEN k ELSE path || '.' || k END, c FROM (SELECT *, json_extract(v, '$."' || k || '"') AS c FROM (SELECT *, unnest(json_keys(v)) AS k FROM w WHERE json_type(v) = 'OBJECT')) WHERE json_type(c) <> 'NULL'),
 kinds AS (SELECT DISTINCT feed, file_no, path, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind FROM w WHERE path <> ''),

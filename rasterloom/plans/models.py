@@ -52,7 +52,7 @@ def _known(key: str):
         try:
             factory = getattr(importlib.import_module(module), attribute)
             if key not in _factories:  # a module may have registered it while it was imported
-                register(key)(factory)
+                _factories[key] = factory if hasattr(factory, "outputs") and hasattr(factory, "backends") else register(key)(factory)
         except (ImportError, AttributeError) as e:
             _failed[key] = f"{type(e).__name__}: {e}"
     if key not in _factories:
