@@ -95,7 +95,7 @@ def components(edges: DataFrame) -> DataFrame:
     shared = low.filter("root <> most").select("rep", F.col("root").alias("v"))
     e, now = _stored(edges.join(shared, "rep").filter("root <> v").select(F.col("root").alias("u"), "v").distinct())
     before = None
-    while now != before:
+    while now[0] and now != before:  # no edge: every end has its label
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -278,7 +278,9 @@ def mutual_groups(results: DataFrame, catalog: DataFrame, least: float = 0.8, sm
     seen = found.join(labels, "rep").groupBy("label").agg(F.min("whole").alias("whole"), F.max(F.when(F.col("rep") == F.col("root"), F.col("n"))).alias("n"))
     size = materialize(labels.groupBy("label").agg(F.count("*").alias("total")).join(seen, "label"), "sizes")
     open_ = materialize(labels.join(size.filter("whole and n < total").select("label"), "label"), "open")
-    wrong = size.filter("not whole").select("label").unionByName(broken(reps.join(_sized(open_), "rep").select("label", "rep", "vec"), least, block_rows))
+    wrong = size.filter("not whole").select("label")
+    if not open_.isEmpty():
+        wrong = wrong.unionByName(broken(reps.join(_sized(open_), "rep").select("label", "rep", "vec"), least, block_rows))
     # A broken group stays broken whatever it is linked to; what is closed so far must have no other link.
     wrong = materialize(wrong, "wrong")
     rows = max(1, reach_floats // max(len(w) for w in km.weights.values()))

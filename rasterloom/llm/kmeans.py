@@ -94,10 +94,10 @@ class KMeans:
         each, ``steps`` of Lloyd follow. The same table gives the same centroids, however it is partitioned, up to the
         order of float sums."""
         weights = component_weights(reps)
-        sizes = {r["model"]: r["n"] for r in reps.groupBy("model").agg(F.count("*").alias("n")).collect()}
+        first = reps.groupBy("model").agg(F.count("*").alias("n"), F.min_by("vec", F.xxhash64("rep", F.lit(seed))).alias("vec")).collect()  # a row per model
+        sizes = {r["model"]: r["n"] for r in first}
         k = {m: int(min(max_k, max(1, -(-n // per_cluster)))) for m, n in sizes.items()}
-        start = reps.groupBy("model").agg(F.min_by("vec", F.xxhash64("rep", F.lit(seed))).alias("vec")).collect()
-        me = cls(weights, {m: hashed(units(np.array([v], np.float32)), weights[m]) for m, v in start})
+        me = cls(weights, {r["model"]: hashed(units(np.array([r["vec"]], np.float32)), weights[r["model"]]) for r in first})
         me.sizes = sizes
         cost = {m: float(n) for m, n in sizes.items()}
         for i in range(rounds):
