@@ -2,7 +2,7 @@
 
 An image is a row ``point_index, c, h, w, pixels`` (channel by channel, row by row). Preparation is decided per image; an
 image that is tiled becomes a row per tile, so tiles of one large image are worked on by many tasks, and only what the
-model makes of them comes together again, by point and model. A group is as large as the tile budget allows.
+model makes of them comes together again, by point and model. A point's tiles are no more than the tile budget allows.
 """
 
 from __future__ import annotations
@@ -174,10 +174,12 @@ def embed(images: DataFrame, names: list[str], output: Output = Output(), prep:
     ``embedding`` is the pooled vector (``shape`` null), or the grid ``shape`` = (dimensions, rows, columns) flattened.
     ``meta`` says as JSON what was done with the input. Images may have a window ``y0, y1, x0, x1`` (fractions) of the
     region that was asked for: of a smaller one, grids are cropped and pooled vectors taken from the crop. A null, empty
-    or misshapen image and one of too many tiles are failed rows; a tile that fails fails its image.
+    or misshapen image and one of too many tiles are failed rows; a tile that fails fails its image. Rows without
+    point_index are left out.
     """
-    prep, spark = InputPrep.of(prep), images.sparkSession
-    out = None
+    prep, out = InputPrep.of(prep), None
+    images = images.filter(F.col("point_index").isNotNull())
+    n = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for name in names:
         factory = (factories or models.factories())[name]
         traits = models.traits(factory)
@@ -188,14 +190,16 @@ def embed(images: DataFrame, names: list[str], output: Output = Output(), prep:
             rows = images.select("point_index", F.lit(1).alias("n_tiles"), *[F.lit(None).cast("int").alias(c) for c in ("row", "col")], F.col("h").cast("int").alias("full_h"), F.col("w").cast("int").alias("full_w"), F.col("h").cast("int").alias("from_h"), F.col("w").cast("int").alias("from_w"), F.lit(0).alias("y0"), F.lit(0).alias("x0"), *[F.col(c).cast("int").alias(c) for c in ("c", "h", "w")], F.col("pixels").cast("array<float>").alias("pixels"), F.lit(None).cast("string").alias("error"))
         else:
             # Tiles of one image are spread over the tasks.
-            rows = cut(images, tile, output, own).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "point_index", "row", "col")
+            rows = cut(images, tile, output, own).repartition(n, "point_index", "row", "col")
         whole = output.mode == "grid" or traits["pool_kind"] != "vector"
         made = models.run_model(rows, factory, whole, batch)
         if windows is not None:
             made = made.join(windows, "point_index", "left")
         else:
             made = made.withColumn("window", F.lit(None).cast("array<double>"))
-        merged = made.groupBy("point_index").applyInPandas(_merge(name, output, own, tile, traits), RESULT)
+        # Tiles of a point stand together in a task, in order; points are then put together in passing.
+        made = made.repartition(n, "point_index").sortWithinPartitions("point_index", "row", "col")
+        merged = made.mapInPandas(_passing(_merge(name, output, own, tile, traits)), RESULT)
         out = merged if out is None else out.unionByName(merged)
     return out
 
@@ -208,28 +212,47 @@ def grid_table(rows: DataFrame) -> DataFrame:
     return cells.select("point_index", "model", *[c.cast("int").alias(n) for n, c in at.items()], "value")
 
 
-def _merge(name: str, output: Output, prep: InputPrep, tile: int | None, traits: dict) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """What a model made of an image's tiles, as one row."""
+def _passing(merge: Callable[[list], tuple]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``merge`` for each run of rows of one point, however batches cut them."""
     columns = [c.split()[0] for c in RESULT.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list = []
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                if held and held[0].point_index != r.point_index:
+                    out.append(merge(held))
+                    held = []
+                held.append(r)
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+        if held:
+            yield pd.DataFrame([merge(held)], columns=columns)
+
+    return run
+
+
+def _merge(name: str, output: Output, prep: InputPrep, tile: int | None, traits: dict) -> Callable[[list], tuple]:
+    """What a model made of an image's tiles, in order of rows and columns, as one row."""
     pool = {"mean": np.mean, "max": np.max}
     how = output.pooling if output.pooling == "mean" or traits["max_honoured"] else "mean"
 
-    def row(point: int, value: np.ndarray | None, meta: dict, error: str | None = None) -> pd.DataFrame:
+    def row(point: int, value: np.ndarray | None, meta: dict, error: str | None = None) -> tuple:
         shape = list(value.shape) if value is not None and value.ndim == 3 else None
-        return pd.DataFrame([(point, name, "failed" if error else "ok", None if value is None else value.ravel().astype(np.float64), shape, json.dumps(meta, sort_keys=True), error)], columns=columns)
-
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["row", "col"], ignore_index=True)
-        first = b.iloc[0]
-        point = int(first.point_index)
-        meta: dict = {"requested_mode": prep.mode, "resolved_mode": "resize" if pd.isna(first.row) else "tile"}
-        wrong = b["error"].dropna()
-        if len(wrong):
-            return row(point, None, meta, wrong.iloc[0])
-        made = [np.asarray(v, np.float64).reshape([int(s) for s in shape]) for v, shape in zip(b["embedding"], b["shape"])]
+        return point, name, "failed" if error else "ok", None if value is None else value.ravel().astype(np.float64), shape, json.dumps(meta, sort_keys=True), error
+
+    def run(tiles: list) -> tuple:
+        first = tiles[0]
+        point, whole = int(first.point_index), pd.isna(first.row)
+        meta: dict = {"requested_mode": prep.mode, "resolved_mode": "resize" if whole else "tile"}
+        wrong = next((t.error for t in tiles if t.error is not None), None)
+        if wrong is not None:
+            return row(point, None, meta, wrong)
+        made = [np.asarray(t.embedding, np.float64).reshape([int(s) for s in t.shape]) for t in tiles]
         window = None if first.window is None or any(v is None for v in first.window) else tuple(map(float, first.window))
         partial = window is not None and not full(window)
-        if pd.isna(first.row):
+        if whole:
             value = made[0]
             if value.ndim == 3:
                 value = oriented(value)
@@ -240,13 +263,13 @@ def _merge(name: str, output: Output, prep: InputPrep, tile: int | None, traits:
                     value = pool[how](value, axis=(1, 2))
             return row(point, value, meta)
         h, w = int(first.full_h), int(first.full_w)
-        n_rows, n_cols = int(b["row"].max()) + 1, int(b["col"].max()) + 1
-        if len(b) != n_rows * n_cols:
-            raise ValueError(f"{len(b)} tiles of point {point}, not {n_rows} x {n_cols}")
+        n_rows, n_cols = int(max(t.row for t in tiles)) + 1, int(max(t.col for t in tiles)) + 1
+        if len(tiles) != n_rows * n_cols:
+            raise ValueError(f"{len(tiles)} tiles of point {point}, not {n_rows} x {n_cols}")
         ys, xs = starts(h, tile), starts(w, tile)
         oy, ox = owned(ys, h, tile), owned(xs, w, tile)
         at = lambda i, j: made[i * n_cols + j]
-        meta |= {"tile_size": tile, "tile_stride": tile, "tile_count": len(b), "tile_layout": "cover_shift", "stitch_policy": "midpoint_cut", "pad_edges": prep.pad, "pad_policy": "edge_replicate" if prep.pad else "none", "input_hw": [h, w]}
+        meta |= {"tile_size": tile, "tile_stride": tile, "tile_count": len(tiles), "tile_layout": "cover_shift", "stitch_policy": "midpoint_cut", "pad_edges": prep.pad, "pad_policy": "edge_replicate" if prep.pad else "none", "input_hw": [h, w]}
         if (int(first.from_h), int(first.from_w)) != (h, w):
             meta["snapped_from_hw"] = [int(first.from_h), int(first.from_w)]
         if made[0].ndim == 3:
