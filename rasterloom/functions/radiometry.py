@@ -40,6 +40,25 @@ BAND_STATS = {
     "imagenet": (("B4", "B3", "B2"), (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)),
     "fmow": (("B4", "B3", "B2"), (0.4182007312774658, 0.4214799106121063, 0.3991275727748871), (0.28774282336235046, 0.27541765570640564, 0.2764017581939697)),
 }
+# Means and standard deviations of a public pre-training set, by how many channels a group of inputs has, in order.
+CHANNEL_STATS = {
+    13: (
+        (-11.728724389184965, -18.85558188024017, 1395.3408730676722, 1338.4026921784578, 1343.09883810357, 1543.8607982512297, 2186.2022069512263, 2525.0932853316694, 2410.3377187373408, 2750.2854646886753, 2234.911100061487, 1474.5311266077113, 0.2892116502999044),
+        (4.887145774840316, 5.730270320384293, 917.7041440370853, 913.2988423581528, 1092.678723527555, 1047.2206083460424, 1048.0101611156767, 1143.6903026819996, 1098.979177731649, 1204.472755085893, 1145.9774063078878, 980.2429840007796, 0.2720939024500081),
+    ),
+    16: (
+        (673.0152819503361, 5.930092668915115, 0.10470439140978786, 0.23965913270066183, 0.08158044385860364, 0.04246976254259546, 0.11304392863520317, 0.17329647890362473, 0.0698981691616277, 0.12130267132802142, 0.04671318615236216, 10.973119802517362, 1.0927069179958768, 1.6991394232855903, 0.03720594618055555, 1.3671352688259548),
+        (983.0697298296237, 8.167406789813247, 0.18771647977504985, 0.2368313455675914, 0.08024268534756586, 0.04045374496146404, 0.11350342472061795, 0.1279898111718168, 0.12042341550438586, 0.13602408145504347, 0.043971116096060345, 31.255340146970997, 10.395974878206689, 12.92380617159917, 1.9285254295940466, 11.612179775408928),
+    ),
+    6: (
+        (271.5674963541667, 0.08554303677156568, 657.3181260091111, 692.1291795806885, 562.781331880633, 1.5647115934036673),
+        (79.80828940314429, 0.11669547098151486, 704.0008695557707, 925.0116126406431, 453.2434022278578, 7.513020170832818),
+    ),
+    18: (
+        (188.20315880851746, 0.2804946561574936, 0.11371652073860168, 0.058778801321983334, 0.10474256777763366, 0.2396918488264084, 0.08152248692512512, 0.04248040814399719, 0.11303179881572724, 0.17326324067115784, 0.06998309404850006, 0.12122812910079957, 0.04671641788482666, 10.98456594619751, 1.0968475807189941, 1.6947754135131836, 0.03320046615600586, 1.3602827312469483),
+        (1154.5919128300602, 0.5276998078079327, 0.7021637331734328, 0.36528892213195063, 0.17470213191865785, 0.20411195416718833, 0.0660782470089761, 0.03380702424871257, 0.09809195568521663, 0.11292471052124119, 0.09720748930233268, 0.12912217763726777, 0.0399973913151906, 23.725471823867462, 5.715238079725388, 9.030481416228302, 0.9950220242487364, 7.754429123862099),
+    ),
+}
 # Central wavelengths of the bands in micrometres.
 WAVELENGTHS = {"B1": 0.443, "B2": 0.490, "B3": 0.560, "B4": 0.665, "B5": 0.705, "B6": 0.740, "B7": 0.783, "B8": 0.842, "B8A": 0.865, "B9": 0.945, "B11": 1.610, "B12": 2.190}
 
@@ -72,6 +91,22 @@ def zscore(rows: DataFrame, stats: DataFrame, value: Column, eps: float = 0.0) -
     return rows.join(F.broadcast(stats), "band", "left").withColumn("z", (value - F.col("mean")) / std).drop("mean", "std")
 
 
+def zscore_channels(values: Column, n: int, eps: float = 1.1920929e-07) -> Column:
+    """An array of ``n`` channels by the statistics for that many; ValueError where there are none."""
+    if n not in CHANNEL_STATS:
+        raise ValueError(f"no statistics for {n} channels; there are some for {', '.join(map(str, CHANNEL_STATS))}")
+    mean, std = (F.array(*[F.lit(float(x)) for x in v]) for v in CHANNEL_STATS[n])
+    return F.transform(values, lambda v, i: (v - F.element_at(mean, i + 1)) / F.greatest(F.element_at(std, i + 1), F.lit(eps)))
+
+
+_own: dict = {}
+
+
+def register_normaliser(name: str, f) -> None:
+    """A scaling by its name in :func:`normalised`: ``f(rows, value)`` adds ``z``. For those whose statistics are not public."""
+    _own[name] = f
+
+
 def wavelengths(bands: Column) -> Column:
     """The bands' wavelengths in order; null if one of them has none."""
     known = F.create_map(*[F.lit(x) for kv in WAVELENGTHS.items() for x in kv])
@@ -88,6 +123,8 @@ def normalised(rows: DataFrame, how: str, spark: SparkSession, value: str = "val
     numbers, 0..255 (``_255``) or unit values (``_unit``). A band that a table lacks has null.
     """
     v = F.col(value)
+    if how in _own:
+        return _own[how](rows, value)
     if how in ("none", "raw", "unit", "rgb8"):
         return rows.withColumn("z", {"none": cleaned(v), "raw": digital(v), "unit": unit(v), "rgb8": rgb8(cleaned(v)).cast("double")}[how])
     if how == "tile_zscore":

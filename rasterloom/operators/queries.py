@@ -53,6 +53,17 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return compaction.consolidate(table(spark, d, "export_files"))[1]
 
 
+def p5_exports(spark: SparkSession, d: str) -> DataFrame:
+    """What the consolidated files of each export hold together."""
+    files, _ = compaction.consolidate(table(spark, d, "export_files"))
+    return files.groupBy("export_id", "layout").agg(F.sum("n_records").alias("n_records"))
+
+
+def p3_meta_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Where the values of results' metas stand, and of which kind they are."""
+    return shredding.meta_nodes(table(spark, d, "model_results")).select("result_id", "path", "kind", "label")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(drift.file_texts(table(spark, d, "model_results")))
 
@@ -76,10 +87,12 @@ def queries() -> dict:
         "p3_found": p3_found,
         **{f"p3_{n}": _manifest(n) for n in ("exports", "spatials", "models", "points", "tiles", "frames", "issues")},
         "p3_meta": p3_meta,
+        "p3_meta_paths": p3_meta_paths,
         **{f"p3_meta_{n}": _meta(n) for n in ("result", *(e.name for e in shredding.META))},
         "p5_found": p5_found,
         "p5_files": p5_files,
         "p5_report": p5_report,
+        "p5_exports": p5_exports,
         "p6_found": p6_found,
         "p6_versions": p6_versions,
         "p6_unified": p6_unified,
@@ -142,6 +155,18 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": _CHILDREN + "SELECT DISTINCT export_id, model, CAST(point AS INTEGER) AS point_index, kind AS child_kind, CAST(pos AS INTEGER) AS child_pos FROM n WHERE kind IN ('tile', 'frame', 'issue') AND point IS NOT NULL",
         "p6_found": _CHANGES,
+        "p3_meta_paths": f"""WITH RECURSIVE r AS (SELECT result_id, CAST(meta AS JSON) AS v FROM (SELECT result_id, meta, row_number() OVER (PARTITION BY result_id ORDER BY json_valid(meta) DESC, ingested_at) AS n FROM model_results WHERE result_id IS NOT NULL) WHERE n = 1 AND json_valid(meta) AND meta <> ''),
+n AS (SELECT result_id, '' AS path, NULL::VARCHAR AS label, {_opened('v')} AS v FROM r WHERE json_type({_opened('v')}) IN ('OBJECT', 'ARRAY')
+  UNION ALL SELECT result_id, CASE WHEN t.k IS NULL THEN path || '[' || t.i || ']' WHEN path = '' THEN t.k ELSE path || '.' || t.k END, coalesce(t.k, label), {_opened('t.c')} FROM (
+    SELECT *, unnest(CASE json_type(v) WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda x: {{'k': x, 'i': NULL::BIGINT, 'c': json_extract(v, '$."' || x || '"')}}) ELSE list_transform(range(json_array_length(v)::BIGINT), lambda i: {{'k': NULL::VARCHAR, 'i': i, 'c': json_extract(v, '$[' || i || ']')}}) END) AS t FROM n WHERE json_type(v) IN ('OBJECT', 'ARRAY')))
+SELECT result_id, path, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind, label FROM n""",
+        "p5_exports": r"""
+WITH f AS (SELECT layout, payload FROM export_files WHERE file_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY written_at) = 1),
+r AS (SELECT nullif(regexp_replace(lower(trim(layout)), '[\s-]+', '_', 'g'), '') AS layout, unnest(regexp_extract_all(payload, '\{[^{}]*\}')) AS t FROM f),
+k AS (SELECT CAST(t->>'export_id' AS BIGINT) AS export_id, CAST(t->>'point_index' AS INTEGER) AS point_index, t->>'model' AS model, max(layout) AS layout FROM r
+  WHERE json_valid(t) AND json_type(t, '$.export_id') IS NOT NULL AND json_type(t, '$.point_index') IS NOT NULL AND json_type(t, '$.model') = 'VARCHAR' GROUP BY 1, 2, 3),
+m AS (SELECT export_id, layout FROM (SELECT export_id, layout, row_number() OVER (PARTITION BY export_id ORDER BY count(*) DESC, layout) AS n FROM k WHERE layout IS NOT NULL GROUP BY 1, 2) WHERE n = 1)
+SELECT k.export_id, m.layout, count(*) AS n_records FROM k LEFT JOIN m USING (export_id) GROUP BY 1, 2""",
         "p6_versions": f"""WITH RECURSIVE {_FIELDS}, p AS (SELECT i.feed, i.file_no, md5(coalesce(chr(10) || string_agg(path || ':' || types, chr(10) ORDER BY path || ':' || types), '')) AS fingerprint FROM files i LEFT JOIN f USING (feed, file_no) GROUP BY 1, 2),
 s AS (SELECT *, CASE WHEN lag(fingerprint) OVER q = fingerprint THEN 0 ELSE 1 END AS step FROM p WINDOW q AS (PARTITION BY feed ORDER BY file_no)) SELECT feed, file_no, fingerprint, CAST(sum(step) OVER (PARTITION BY feed ORDER BY file_no) AS INTEGER) AS version FROM s""",
         "p2_found": f"WITH {_USABLE} SELECT case_kind, least(i, j) AS roi_id_1, greatest(i, j) AS roi_id_2 FROM pairs WHERE case_kind = 'inside' OR m <= within",

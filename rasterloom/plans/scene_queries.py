@@ -306,6 +306,17 @@ def band_wavelengths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.posexplode(radiometry.wavelengths(bands)).alias("i", "um"))
 
 
+_CHANNELS = ", ".join(f"({i}, CAST({m} AS DOUBLE), CAST({d} AS DOUBLE))" for i, (m, d) in enumerate(zip(*radiometry.CHANNEL_STATS[16])))
+
+
+@query(f"WITH {_GRID} SELECT id, CAST(pos // 16 AS INTEGER) AS part, CAST(pos % 16 AS INTEGER) AS channel, round((value * 1000 - mean) / std, 7) AS z FROM g JOIN (VALUES {_CHANNELS}) t(i, mean, std) ON i = pos % 16")
+def normalise_channels(spark: SparkSession, d: str) -> DataFrame:
+    """A vector as four groups of 16 channels."""
+    e = F.transform("embedding", lambda v: v.cast("double") * 1000)
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode(F.array(*[F.slice(e, 1 + 16 * k, 16) for k in range(4)])).alias("part", "v"))
+    return rows.select("id", "part", F.posexplode(radiometry.zscore_channels(F.col("v"), 16)).alias("channel", "z")).withColumn("z", _r("z", 7))
+
+
 # Tiled inference: images of 8 x 8 pixels, tiles of 5 that overlap by 2.
 
 

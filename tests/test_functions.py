@@ -146,3 +146,15 @@ def test_images():
     assert models.frames(x, 3).shape == (3, 1, 3, 4) and models.padded(x, 4).shape == (1, 4, 4)
     t = models.tiles(np.arange(18).reshape(1, 3, 6), 4)
     assert [(r, c) for r, c, _ in t] == [(0, 0), (0, 1)] and (t[0][2][0, 3] == t[0][2][0, 2]).all()
+
+
+def test_own_normalisers_and_channel_statistics(spark):
+    df = spark.createDataFrame([(1, "a", 2.0)], "point_index int, band string, value double")
+    radiometry.register_normaliser("external", lambda rows, value: rows.withColumn("z", F.col(value) * 2))
+    assert radiometry.normalised(df, "external", spark).first().z == 4.0
+    radiometry._own.clear()
+    for bad in (lambda: radiometry.normalised(df, "external", spark), lambda: radiometry.zscore_channels(F.lit(None), 5)):
+        with pytest.raises(ValueError):
+            bad()
+    assert [len(m) for m, s in radiometry.CHANNEL_STATS.values()] == list(radiometry.CHANNEL_STATS) == [len(s) for m, s in radiometry.CHANNEL_STATS.values()]
+    assert radiometry.normalised(df, "none", spark).first().z == 2.0 and radiometry.normalised(df, "raw", spark).first().z == 2.0

@@ -147,3 +147,20 @@ def test_meta_links_and_entities(spark):
     assert t["result"][0].model == "a" and t["result"][0].extra == {"band_stats[0]": "0.5"}
     assert (t["provider"][0].name, t["provider"][0].parent_node) == ("p", 0) and t["sensor"][0].extra == {"bands[0]": "B1"}
     assert (t["temporal"][0].mode, t["temporal"][0].extra) == ("year", {"end.name": "e", "end.v": "1"})
+
+
+def test_documents_of_any_depth(spark):
+    n = 2500
+    df = spark.createDataFrame([(1, '{"a":' * n + '{"tiles": [{"row": 1}]}' + "}" * n), (2, '{"a":' * n)], "k bigint, t string")
+    rows = shredding.shred(df, "k", "t").filter("doc = 1").collect()
+    assert len(rows) == n + 4 and sum(r.entity == "tile" for r in rows) == 1
+    assert shredding.shred(df, "k", "t").filter("doc = 2").count() == 0  # cut off
+
+
+def test_only_the_wanted_values(spark):
+    df = table(spark, "/root/testdata/sf0.001", "export_manifests")
+    docs = shredding.readable_once(df, "export_id", "manifest", "ingested_at")
+    pick = ("doc", "entity", "ordinal", "key", "path", "scalar")
+    full = shredding.shred(docs, "export_id", "manifest").filter("entity is not null or path = 'model'").select(*pick)
+    some = shredding.shred(docs, "export_id", "manifest", only=("model",)).select(*pick)
+    assert sorted(map(str, full.collect())) == sorted(map(str, some.collect())) and some.count() > 50
