@@ -3,7 +3,8 @@
 k-means brings similar vectors together; each vector goes to the cell of its nearest centroid and to those of others
 nearly as near, so that a group on a border still meets. Inside a cell, blocks of rows are compared and only a star per connected part leaves
 the task, never the pairs. Stars are joined over cells by star contraction; what no cell has settled is compared with its root and then pair by pair, in blocks.
-Links that no cell holds are found last: what is closed so far is compared with every vector that its radius lets reach it.
+Links that no cell holds are found last: what is closed so far is packed into blocks of sorted groups, a file each, and every
+pair of blocks is compared, a group by its centre and radius.
 """
 
 from __future__ import annotations
@@ -12,14 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow.compute as pc
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from rasterloom.common import materialize, scratch
+from rasterloom.common import located, materialize, scratch
 from rasterloom.llm.kmeans import KMeans
 from rasterloom.llm.vectors import collapse, matrix, one_thread, usable
 
+SAMPLE_ROWS = 32  # per centroid
+
 
 def _blocks(rows: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
     """Rows with ``i, j``: a key's rows hashed into blocks, each row sent to the pairs of blocks it belongs to."""
@@ -43,24 +46,50 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         lab = new
 
 
-def _links(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of similarity ``least`` or more, compared in stripes; near the border in double precision."""
-    one_thread()
+def _units(x: np.ndarray) -> np.ndarray:
     u = x.astype(np.float64)
-    u /= np.sqrt(np.einsum("ij,ij->i", u, u))[:, None]
+    return u / np.sqrt(np.einsum("ij,ij->i", u, u))[:, None]
+
+
+def _tiles(f: np.ndarray, g: np.ndarray, rows: int = 256, cols: int = 2048) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Cosines of the unit rows of ``f`` and ``g``, tile by tile with its first row and column; a tile is valid until the next."""
+    room = np.empty(rows * cols, np.float32)
+    for s in range(0, len(f), rows):
+        for t in range(0, len(g), cols):
+            a, b = f[s : s + rows], g[t : t + cols]
+            yield s, t, np.matmul(a, b.T, out=room[: len(a) * len(b)].reshape(len(a), len(b)))
+
+
+def _parts(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest index of each row's connected part by links of ``least`` or more, and each row's number of links.
+
+    Pairs are compared tile by tile, near the border in double precision; of a tile only what joins two parts is kept.
+    """
+    one_thread()
+    u = _units(x)
     f = u.astype(np.float32)
-    out = []
-    for s in range(0, len(x), 1024):
-        a, b = np.nonzero(f[s : s + 1024] @ f[s:].T >= least - 1e-4)
-        a, b = a + s, b + s
-        a, b = a[a < b], b[a < b]
-        for t in range(0, len(a), 262_144):
-            p, q = a[t : t + 262_144], b[t : t + 262_144]
-            ok = np.einsum("ij,ij->i", u[p], u[q]) >= least
-            out.append((p[ok], q[ok]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+    lab, links = np.arange(len(x), dtype=np.int32), np.zeros(len(x), np.int64)
+    for s in range(0, len(x), 256):
+        for _, t, c in _tiles(f[s : s + 256], f[s:]):
+            linked = c >= least - 1e-4
+            if t == 0:
+                linked &= np.arange(c.shape[1]) > np.arange(len(c))[:, None]  # a pair once
+            if not linked.any():
+                continue
+            p, q = np.divmod(np.flatnonzero(linked & (c < least + 1e-4)), c.shape[1])
+            for e in range(0, len(p), 65_536):
+                i, j = p[e : e + 65_536], q[e : e + 65_536]
+                linked[i, j] = np.einsum("ij,ij->i", u[s + i], u[s + t + j]) >= least
+            mine, other = slice(s, s + len(c)), slice(s + t, s + t + c.shape[1])
+            links[mine] += np.count_nonzero(linked, axis=1)
+            links[other] += np.count_nonzero(linked, axis=0)
+            while True:
+                apart = linked & (lab[mine, None] != lab[other])
+                j = np.flatnonzero(apart.any(0))
+                if not len(j):
+                    break
+                lab = _labels(len(x), lab[s + apart[:, j].argmax(0)], lab[s + t + j])[lab].astype(np.int32)
+    return lab, links
 
 
 def stars(assigned: DataFrame, least: float, block_rows: int = 8192) -> DataFrame:
@@ -70,13 +99,12 @@ def stars(assigned: DataFrame, least: float, block_rows: int = 8192) -> DataFram
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         b = b.drop_duplicates("rep").sort_values("rep", ignore_index=True)
-        p, q = _links(matrix(b["vec"]), least)
-        lab = _labels(len(b), p, q)
-        n, pairs = np.bincount(lab, minlength=len(b)), np.bincount(lab[p], minlength=len(b))
+        lab, links = _parts(matrix(b["vec"]), least)
+        n, ends = np.bincount(lab, minlength=len(b)), np.bincount(lab, links, minlength=len(b))
         linked = n[lab] > 1
         root = lab[linked]
         rep = b["rep"].to_numpy()
-        return pd.DataFrame({"rep": rep[linked], "root": rep[root], "n": n[root], "whole": 2 * pairs[root] == n[root] * (n[root] - 1)})
+        return pd.DataFrame({"rep": rep[linked], "root": rep[root], "n": n[root], "whole": ends[root] == n[root] * (n[root] - 1)})
 
     return rows.groupBy("model", "cell", "i", "j").applyInPandas(run, "rep bigint, root bigint, n bigint, whole boolean")
 
@@ -138,48 +166,99 @@ def broken(labelled: DataFrame, least: float, block_rows: int = 8192) -> DataFra
     def run(b: pd.DataFrame) -> pd.DataFrame:
         b = b.drop_duplicates("rep")
         n = len(b)
-        whole = len(_links(matrix(b["vec"]), least)[0]) == n * (n - 1) // 2
+        whole = _parts(matrix(b["vec"]), least)[1].sum() == n * (n - 1)
         return pd.DataFrame({"label": b["label"].iloc[: 0 if whole else 1]})
 
     return apart.unionByName(rows.groupBy("label", "i", "j").applyInPandas(run, "label bigint")).distinct()
 
 
-def _bounded(labels: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows sorted by label: unit rows, each run's first row and length, and the cosine to that first row below
-    which no vector can reach ``least`` with any row of the run (triangle inequality of angles)."""
-    u = x.astype(np.float64)
-    u /= np.sqrt(np.einsum("ij,ij->i", u, u))[:, None]
-    first = np.flatnonzero(np.r_[True, labels[1:] != labels[:-1]])
-    count = np.diff(np.r_[first, len(labels)])
-    near = np.einsum("ij,ij->i", u, np.repeat(u[first], count, axis=0))
-    # cos(angle) >= cos(threshold + radius), with a margin for single precision
-    bound = np.cos(np.minimum(np.arccos(least) + np.arccos(np.clip(np.minimum.reduceat(near, first), -1, 1)) + 1e-3, np.pi)) - 1e-4
-    return u, first, count, bound.astype(np.float32)
-
-
-def _reaching(block: tuple, lb: np.ndarray, x: np.ndarray, least: float) -> Iterator[np.ndarray]:
-    """Pairs (label, other label) of linked rows of a block (its labels and what :func:`_bounded` gives) and other rows."""
-    one_thread()
-    la, u, first, count, bound = block
-    v = x.astype(np.float64)
-    v /= np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
-    root, f = u[first].astype(np.float32), v.astype(np.float32)
-    for s in range(0, len(root), 256):
-        g, y = np.nonzero(root[s : s + 256] @ f.T >= bound[s : s + 256, None])
-        g += s
-        other = la[first[g]] != lb[y]
+def _packed(b: pd.DataFrame, least: float) -> tuple:
+    """A block of ``label, chunk, bad, rep, vec`` as ``PACKED`` has it: first the groups of two rows or more, one after another,
+    then single rows, then those of broken groups. Of each group its length, its centre, and the cosine to the centre below which
+    no vector can reach ``least`` with any of its rows (triangle inequality of angles)."""
+    label, chunk, rep, bad = (b[c].to_numpy() for c in ("label", "chunk", "rep", "bad"))
+    order = np.lexsort((rep, chunk, label, bad))
+    label, chunk, bad, x = label[order], chunk[order], bad[order], matrix(b["vec"])[order]
+    new = np.flatnonzero(np.r_[True, bad[1:] | (label[1:] != label[:-1]) | (chunk[1:] != chunk[:-1])])
+    count = np.diff(np.r_[new, len(label)])
+    kind = np.where(bad, 2, np.repeat(count == 1, count))
+    order = np.argsort(kind, kind="stable")
+    label, x, count = label[order], x[order], count[~bad[new] & (count > 1)]
+    u, first = _units(x[: count.sum()]), np.r_[0, np.cumsum(count)][:-1]
+    centre, bound = np.zeros((0, x.shape[1])), np.zeros(0)
+    if len(count):
+        centre = np.add.reduceat(u, first)
+        centre /= np.sqrt(np.einsum("ij,ij->i", centre, centre))[:, None]
+        near = np.minimum.reduceat(np.einsum("ij,ij->i", u, np.repeat(centre, count, axis=0)), first)
+        # cos(angle) >= cos(threshold + radius), with a margin for single precision
+        bound = np.cos(np.minimum(np.arccos(least) + np.arccos(np.clip(near, -1, 1)) + 1e-3, np.pi)) - 1e-4
+    held = label.astype("<i8"), count.astype("<i4"), x.astype("<f4"), centre.astype("<f4"), bound.astype("<f4")
+    return x.shape[1], int((kind == 1).sum()), *(a.tobytes() for a in held)
+
+
+class _Block:
+    """A block as :func:`_packed` has stored it; rows are ``x``, as unit rows ``f``."""
+
+    def __init__(self, r: dict) -> None:
+        array = lambda c, kind: np.frombuffer(r[c], kind)
+        self.label, self.count = array("labels", "<i8"), array("counts", "<i4").astype(np.int64)
+        self.x, self.centre = (array(c, "<f4").reshape(-1, r["dim"]) for c in ("vectors", "centres"))
+        self.bound, self.f = array("bounds", "<f4"), _units(self.x).astype(np.float32)
+        self.first = np.r_[0, np.cumsum(self.count)][:-1]
+        self.grouped = int(self.count.sum())  # rows in groups, then singles, then broken ones
+        self.closed = self.grouped + r["singles"]
+        self.group = self.label[self.first]
+
+
+def _above(f: np.ndarray, g: np.ndarray, bound: float | np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of ``f`` and ``g`` of a cosine of ``bound`` (one, or one for each row of ``g``) or more, where there are any."""
+    bound = np.broadcast_to(np.float32(bound), len(g))
+    for s, t, c in _tiles(f, g):
+        near = c >= bound[t : t + c.shape[1]]
+        if near.any():
+            p, q = np.divmod(np.flatnonzero(near), c.shape[1])
+            yield p + s, q + t
+
+
+def _linked(a: _Block, b: _Block, p: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
+    """Pairs (label, other label) of the rows ``p`` of ``a`` and ``q`` of ``b`` that are linked, in double precision."""
+    ok = np.einsum("ij,ij->i", _units(a.x[p]), _units(b.x[q])) >= least
+    return np.unique(np.stack([a.label[p[ok]], b.label[q[ok]]], 1), axis=0)
+
+
+def _members(a: _Block, b: _Block, begin: int, least: float) -> Iterator[np.ndarray]:
+    """Pairs (label, other label) of linked rows of ``a``'s groups and ``b``'s rows from ``begin`` on: those that a group's
+    radius lets reach it are compared with all its rows."""
+    for y, g in _above(b.f[begin:], a.centre, a.bound):
+        y = y + begin
+        other = a.group[g] != b.label[y]
         g, y = g[other], y[other]
         for t in range(0, len(g), 4096):
             p, q = g[t : t + 4096], y[t : t + 4096]
-            n = count[p]
+            n = a.count[p]
             start = np.r_[0, np.cumsum(n)]
-            for e, h in _spans(start, 262_144):
+            for e, h in _spans(start, 65_536):
                 m, r = n[e:h], start[e : h + 1] - start[e]
-                i = np.repeat(first[p[e:h]], m) + np.arange(r[-1]) - np.repeat(r[:-1], m)
-                z = np.repeat(q[e:h], m)
-                ok = np.einsum("ij,ij->i", u[i], v[z]) >= least
-                if ok.any():
-                    yield np.unique(np.stack([la[i[ok]], lb[z[ok]]], 1), axis=0)
+                i = np.repeat(a.first[p[e:h]], m) + np.arange(r[-1]) - np.repeat(r[:-1], m)
+                yield _linked(a, b, i, np.repeat(q[e:h], m), least)
+
+
+def _reaching(a: _Block, b: _Block, least: float) -> Iterator[np.ndarray]:
+    """Pairs (label, other label) of linked rows of two blocks, or of one; not of two broken groups."""
+    one_thread()
+    turns = [(a, b, slice(a.grouped, a.closed), slice(b.grouped, None))]
+    if a is not b:
+        turns.append((b, a, slice(b.grouped, b.closed), slice(a.closed, None)))  # broken rows of the other side
+    for v, w, mine, theirs in turns:
+        for p, q in _above(v.f[mine], w.f[theirs], least - 1e-4):
+            p, q = p + mine.start, q + theirs.start
+            other = v.label[p] != w.label[q]
+            p, q = p[other], q[other]
+            for t in range(0, len(p), 65_536):
+                yield _linked(v, w, p[t : t + 65_536], q[t : t + 65_536], least)
+    yield from _members(a, b, 0, least)
+    if a is not b:
+        yield from _members(b, a, a.grouped, least)  # two groups: once is enough
 
 
 def _sized(rows: DataFrame, most: int = 1 << 18) -> DataFrame:
@@ -187,62 +266,94 @@ def _sized(rows: DataFrame, most: int = 1 << 18) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
-def _placed(reps: DataFrame, labels: DataFrame, wrong: DataFrame, sizes: DataFrame, blocks: int, rows: int) -> DataFrame:
-    """``model, block, chunk, label, rep, vec`` of all vectors, those of no group with ``label = rep``: closed groups are
-    hashed into ``blocks`` blocks of about ``rows`` rows, members of the groups in ``wrong`` are in block ``blocks``.
+ENDS = "rep bigint, label bigint, bad boolean, chunk int, block int, part int"
+
+
+def _placed(reps: DataFrame, labels: DataFrame, wrong: DataFrame, sizes: DataFrame, blocks: dict[str, range], rows: int) -> DataFrame:
+    """``ENDS`` of all vectors (``model, rep, part``), those of no group with ``label = rep``: hashed into their model's
+    ``blocks`` of about ``rows`` rows, closed groups as a whole, members of the groups in ``wrong`` (``bad``) one by one.
 
     A group of more than an eighth of a block is cut by a hash of its members into chunks, which are groups to the
-    search. All is settled on ids before the vectors are joined on, once. ``sizes`` (``label, total``).
+    search. ``sizes`` (``label, total``).
     """
     large = sizes.select("label", F.ceil(F.col("total") * 8 / rows).cast("int").alias("chunks")).filter("chunks > 1")
-    bad = wrong.withColumn("bad", F.lit(True))
-    known = labels.join(bad, "label", "left").join(large, "label", "left")
+    known = labels.join(wrong.withColumn("bad", F.lit(True)), "label", "left").join(large, "label", "left")
     known = known.select("rep", "label", "bad", F.pmod(F.xxhash64("rep"), F.coalesce("chunks", F.lit(1))).cast("int").alias("chunk"))
-    out = reps.join(known, "rep", "left").withColumn("label", F.coalesce("label", "rep")).withColumn("chunk", F.coalesce("chunk", F.lit(0)))
-    block = F.when(F.col("bad").isNull(), F.pmod(F.xxhash64("label", "chunk"), F.lit(blocks)).cast("int")).otherwise(blocks)
-    return out.select("model", block.alias("block"), "chunk", "label", "rep", "vec")
+    first = F.broadcast(reps.sparkSession.createDataFrame([(m, r.start, len(r)) for m, r in blocks.items()], "model string, start int, blocks int"))  # a row per model
+    out = reps.select("model", "rep", "part").join(first, "model").join(known, "rep", "left")
+    out = out.withColumns({"label": F.coalesce("label", "rep"), "bad": F.coalesce("bad", F.lit(False)), "chunk": F.coalesce("chunk", F.lit(0))})
+    block = F.pmod(F.xxhash64(F.when(F.col("bad"), F.col("rep")).otherwise(F.col("label")), "chunk"), F.col("blocks")).cast("int")
+    return out.select("rep", "label", "bad", "chunk", (F.col("start") + block).cast("int").alias("block"), "part")
+
+
+def _told(reps: DataFrame, path: str) -> DataFrame:
+    """``block, label, bad, chunk, rep, vec`` of ``part, rep, vec``: what is stored of a part below ``path`` (see :func:`_placed`)
+    is read by the task that has its vectors, which are not shuffled to be joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.dataset as ds
+
+        (fs, folder), at, held = located(path), None, None
+        for b in batches:
+            part = b["part"].to_numpy()
+            for p in np.unique(part):
+                if p != at:
+                    at, held = p, ds.dataset(f"{folder}/part={p}", filesystem=fs, format="parquet").to_table().sort_by("rep")
+                rows = b.filter(pa.array(part == p))
+                mine = held.take(np.searchsorted(held["rep"].to_numpy(), rows["rep"].to_numpy()))
+                columns = [mine[c].combine_chunks() for c in ("block", "label", "bad", "chunk")]
+                yield pa.RecordBatch.from_arrays([*columns, rows["rep"], rows["vec"]], ["block", "label", "bad", "chunk", "rep", "vec"])
+
+    return reps.select("part", "rep", "vec").mapInArrow(run, "block int, label bigint, bad boolean, chunk int, rep bigint, vec array<float>")
+
+
+PACKED = "block int, dim int, singles int, labels binary, counts binary, vectors binary, centres binary, bounds binary"
 
 
-def bridges(placed: DataFrame, blocks: int, least: float) -> DataFrame:
+def bridges(placed: DataFrame, blocks: dict[str, range], least: float) -> DataFrame:
     """``label, other``: the links of ``least`` or more from a closed group to a vector of another label.
 
-    ``placed`` (see :func:`_placed`) holds all vectors, those of no group with ``label = rep``. Closed groups are the
-    queries, asked of all vectors in ``blocks`` that go to the tasks one by one: nothing is shuffled. A vector can be
-    linked to a member only within the threshold's angle plus the group's radius around one of its members; those are
-    compared with all members, so no link is lost. A pair of closed groups is compared once, in the earlier one's
-    block. The work grows with closed groups times vectors.
+    ``placed`` (see :func:`_placed`, with ``vec``) holds all vectors. A block is one file of the shared folder, so vectors are
+    shuffled for it once; a task has one block and reads half of its model's others in turn, so that each pair of blocks is
+    compared once. Single vectors are compared with each other, all rows with the centres of groups; a vector can be linked
+    to a member only within the threshold's angle plus the group's radius around its centre, and those are compared with all
+    members, so no link is lost. The work grows with single vectors squared and with groups times vectors.
     """
-    spark, path = placed.sparkSession, scratch(placed.sparkSession, "bridges")
-    for i in range(blocks):
-        part = placed.filter(F.col("block") == i).select("model", "label", "chunk", "rep", "vec").toArrow()  # a block: of bounded size
-        asked = {}
-        for model in pc.unique(part["model"]).to_pylist():
-            b = part.filter(pc.equal(part["model"], model))
-            label, chunk, rep = (b[c].to_numpy() for c in ("label", "chunk", "rep"))
-            x = b["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(label), -1)
-            order = np.lexsort((rep, chunk, label))
-            label, chunk = label[order], chunk[order]
-            # Chunks of a group are told apart by their place in the sorted block.
-            new = np.r_[True, (label[1:] != label[:-1]) | (chunk[1:] != chunk[:-1])]
-            asked[model] = label, np.cumsum(new), x[order].astype(np.float32)
-        ship = spark.sparkContext.broadcast(asked)
-        del part, asked
-
-        def run(batches: Iterator[pd.DataFrame], ship=ship) -> Iterator[pd.DataFrame]:
-            ready: dict[str, tuple] = {}
-            for b in batches:
-                for model, at in b.groupby("model").indices.items():
-                    if model in ship.value:
-                        if model not in ready:
-                            label, run_no, x = ship.value[model]
-                            ready[model] = (label, *_bounded(run_no, x, least))
-                        for pairs in _reaching(ready[model], b["label"].to_numpy()[at], matrix(b["vec"].iloc[at]), least):
-                            yield pd.DataFrame({"label": pairs[:, 0], "other": pairs[:, 1]})
-
-        rest = placed.filter(F.col("block") >= i).select("model", "label", "vec")
-        rest.mapInPandas(run, "label bigint, other bigint").distinct().write.parquet(f"{path}/block={i}")
-        ship.destroy()
-    return spark.read.schema("label bigint, other bigint").parquet(path).select("label", "other").distinct()
+    spark, path = placed.sparkSession, scratch(placed.sparkSession, "blocks")
+    names = [c.split()[0] for c in PACKED.split(", ")]
+
+    def pack(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *_packed(b, least))], columns=names)
+
+    placed.groupBy("block").applyInPandas(pack, PACKED).write.partitionBy("block").parquet(path)
+    todo = [(r, i) for r in sorted(blocks.values(), key=len, reverse=True) for i in range(len(r))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, folder = located(path)
+        for b in batches:
+            for r, i in (todo[t] for t in b["id"]):
+                if (mine := _read(fs, f"{folder}/block={r[i]}")) is None:
+                    continue
+                for k in range(len(r) // 2 + 1):
+                    if 2 * k == len(r) and i >= k:
+                        continue  # the other one's task has the pair
+                    if (other := _read(fs, f"{folder}/block={r[(i + k) % len(r)]}") if k else mine) is None:
+                        continue
+                    for pairs in _reaching(mine, other, least):
+                        yield pd.DataFrame({"label": pairs[:, 0], "other": pairs[:, 1]})
+
+    return materialize(spark.range(0, len(todo), 1, len(todo)).mapInPandas(run, "label bigint, other bigint").distinct(), "bridges")
+
+
+def _read(fs, where: str) -> _Block | None:
+    """The block stored at ``where``; None if no row fell to it."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs as pafs
+
+    if fs.get_file_info(where).type == pafs.FileType.NotFound:
+        return None
+    rows = ds.dataset(where, filesystem=fs, format="parquet").to_table(columns=[c.split()[0] for c in PACKED.split(", ")][1:]).to_pylist()
+    return _Block(rows[0]) if rows else None
 
 
 def _spans(start: np.ndarray, rows: int) -> list[tuple[int, int]]:
@@ -270,8 +381,9 @@ def mutual_groups(results: DataFrame, catalog: DataFrame, least: float = 0.8, sm
     reps = reps.select("model", "rep", "vec")
     if reps.isEmpty():
         return members.select(F.col("rep").alias("cluster_id"), "result_id", "rep")
-    km = KMeans.fit(reps, per_cluster)
-    assigned = km.assign(reps, cells, margin)
+    # Cells only bring rows together, so a sample tells the centroids.
+    km = KMeans.fit(reps, per_cluster, sample=SAMPLE_ROWS)
+    assigned = materialize(km.assign(reps, cells, margin).select("model", "rep", "vec", "cells", F.spark_partition_id().alias("part")), "assigned")
     found = materialize(stars(assigned, least, block_rows), "stars")
     labels = materialize(components(found), "labels")
     # A part of a group that some cell has seen not to be mutual settles it; so does a cell that holds it as a whole.
@@ -284,15 +396,19 @@ def mutual_groups(results: DataFrame, catalog: DataFrame, least: float = 0.8, sm
     # A broken group stays broken whatever it is linked to; what is closed so far must have no other link.
     wrong = materialize(wrong, "wrong")
     rows = max(1, reach_floats // max(len(w) for w in km.weights.values()))
-    blocks = -(-sum(km.sizes.values()) // rows)
-    ends = materialize(_placed(reps, labels, wrong, size, blocks, rows), "ends")
-    new = bridges(ends, blocks, least)
-    labels = ends.select("rep", "label")
+    blocks, n = {}, 0
+    for model, total in km.sizes.items():
+        blocks[model] = range(n, n := n - -total // rows)
+    path = scratch(reps.sparkSession, "ends")
+    _placed(assigned, labels, wrong, size, blocks, rows).repartition("part").write.partitionBy("part").parquet(path)
+    new = bridges(_told(assigned, path), blocks, least)
+    labels = reps.sparkSession.read.schema(ENDS).parquet(path).select("rep", "label")
     if not new.isEmpty():
         low = F.least("label", "other")
         merged = materialize(components(new.select(F.explode(F.array("label", "other")).alias("rep"), low.alias("root"))).select(F.col("rep").alias("label"), F.col("label").alias("whole")), "merged")
         lost = merged.join(wrong, "label").select(F.col("whole").alias("label")).distinct()
-        open_ = ends.join(merged, "label").select(F.col("whole").alias("label"), "rep", "vec").join(lost, "label", "left_anti")
+        open_ = materialize(labels.join(merged, "label").select(F.col("whole").alias("label"), "rep").join(lost, "label", "left_anti"), "linked")
+        open_ = reps.join(_sized(open_), "rep").select("label", "rep", "vec")
         labels = labels.join(merged, "label", "left").select("rep", F.coalesce("whole", "label").alias("label"))
         wrong = wrong.unionByName(lost).unionByName(broken(open_, least, block_rows)).distinct()
     rows = members.join(labels, "rep").withColumnRenamed("label", "cluster_id").join(wrong.withColumnRenamed("label", "cluster_id"), "cluster_id", "left_anti")

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.common import materialize
 from rasterloom.llm.vectors import matrix, one_thread, units
 
 FEATURES = 128
@@ -89,17 +90,24 @@ class KMeans:
         return hashed(units(matrix(vectors)), self.weights[model])
 
     @classmethod
-    def fit(cls, reps: DataFrame, per_cluster: int = 256, max_k: int = 4096, rounds: int = 2, steps: int = 2, seed: int = 11) -> KMeans:
+    def fit(cls, reps: DataFrame, per_cluster: int = 256, max_k: int = 4096, rounds: int = 2, steps: int = 2, seed: int = 11, sample: int | None = None) -> KMeans:
         """k is one per ``per_cluster`` rows of the model, ``max_k`` at most; ``rounds`` of seeding draw some k rows
-        each, ``steps`` of Lloyd follow. The same table gives the same centroids, however it is partitioned, up to the
-        order of float sums."""
-        weights = component_weights(reps)
-        first = reps.groupBy("model").agg(F.count("*").alias("n"), F.min_by("vec", F.xxhash64("rep", F.lit(seed))).alias("vec")).collect()  # a row per model
+        each, ``steps`` of Lloyd follow, on about ``sample`` rows per centroid if that is given. The same table gives the
+        same centroids, however it is partitioned, up to the order of float sums."""
+        place = F.xxhash64("rep", F.lit(seed))
+        first = reps.groupBy("model").agg(F.count("*").alias("n"), F.min_by("vec", place).alias("vec"), F.min(place).alias("least")).collect()  # a row per model
         sizes = {r["model"]: r["n"] for r in first}
         k = {m: int(min(max_k, max(1, -(-n // per_cluster)))) for m, n in sizes.items()}
+        fitted = {m: min(n, sample * k[m]) if sample else n for m, n in sizes.items()}
+        if fitted != sizes:
+            most = (1 << 63) - 1
+            draw = [(r["model"], max(r["least"], min(most, int(2.0**64 * fitted[r["model"]] / r["n"]) - most))) for r in first]
+            draw = F.broadcast(reps.sparkSession.createDataFrame(draw, "model string, below bigint"))  # a row per model
+            reps = materialize(reps.join(draw, "model").filter(place <= F.col("below")).select("model", "rep", "vec"), "sample")
+        weights = component_weights(reps)
         me = cls(weights, {r["model"]: hashed(units(np.array([r["vec"]], np.float32)), weights[r["model"]]) for r in first})
         me.sizes = sizes
-        cost = {m: float(n) for m, n in sizes.items()}
+        cost = {m: float(n) for m, n in fitted.items()}
         for i in range(rounds):
             cost = me._draw(reps, k, cost, 1.5 * (i + 1), seed + i)
         for model, (c, w) in me._weigh(reps).items():
@@ -185,14 +193,15 @@ class KMeans:
                 cells, near = np.empty(len(b), object), np.zeros(len(b))
                 for model, at in b.groupby("model").indices.items():
                     f, c = ship.value.features(model, b["vec"].iloc[at]), ship.value.centroids[model]
-                    m = min(n, len(c))
-                    for e, s in _striped(f, c):
-                        top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(c) else np.broadcast_to(np.arange(m), s.shape)
-                        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1).astype(np.int32)
-                        s = np.take_along_axis(s, top, 1)
-                        near[at[e]] = s[:, 0]
-                        for i, row, k in zip(at[e], top, (s >= s[:, :1] - margin).sum(1)):
-                            cells[i] = row[:k]
+                    for e, s in _striped(f, c, 256):
+                        best = s.max(1)
+                        i, top = np.divmod(np.flatnonzero(s >= (best - np.float32(margin))[:, None]), len(c))
+                        order = np.lexsort((top, -s[i, top], i))
+                        i, top = i[order], top[order].astype(np.int32)
+                        first = np.searchsorted(i, np.arange(len(s) + 1))
+                        near[at[e]] = best
+                        for j, a, z in zip(at[e], first, first[1:]):
+                            cells[j] = top[a : min(z, a + n)]
                 yield b.assign(cells=cells, near=near)
 
         return reps.select("model", "rep", "vec").mapInPandas(run, "model string, rep bigint, vec array<float>, cells array<int>, near double")

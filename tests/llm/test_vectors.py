@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 from datetime import datetime
 
 import numpy as np
@@ -116,6 +117,44 @@ def test_links_that_no_cell_holds_are_found(spark, rows):
         assert got == want
 
 
+def test_blocks_are_compared_in_one_job_not_one_each(spark):
+    rng = np.random.default_rng(17)
+    rows = clumps(rng, 60, 16) + [(500 + i, "m", v) for i, v in enumerate(rng.normal(size=(60, 16)))] + [(600 + i, "m", [math.cos(i / 4), math.sin(i / 4)] + [0.0] * 14) for i in range(30)]
+    rows = [(i, m, np.float32(v)) for i, m, v in rows]
+    want, jobs = brute_groups(rows, {"m": 16}), []
+    for how in ({}, {"reach_floats": 160}):  # one block, and 33
+        before = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+        got = cluster.mutual_groups(frame(spark, rows), catalog(spark, m=16), per_cluster=4, **how).collect()
+        jobs.append(spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs() - before)
+        assert {(r.cluster_id, r.result_id) for r in got} == want and len(got) == len(want) > 100
+    assert jobs[1] <= jobs[0] + 5
+
+
+def test_parts_of_a_hot_cell_hold_no_pairs():
+    rng = np.random.default_rng(18)
+    x = (rng.normal(size=16) + 0.25 * rng.normal(size=(4000, 16))).astype(np.float32)
+    x[:1500] = rng.normal(size=(1500, 16))
+    x[1500:1540, :] = [[math.cos(i / 4), math.sin(i / 4)] + [0.0] * 14 for i in range(40)]
+    u = x / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    linked = u @ u.T >= 0.8
+    tracemalloc.start()
+    lab, links = cluster._parts(x, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (links == linked.sum(1) - 1).all()
+    assert (lab[linked.argmax(1)] == lab).all() and all(lab[r].min() == lab[r].max() == lab[i] for i, r in enumerate(linked))
+    assert links.sum() / 2 * 16 > 40e6 and peak < 20e6  # 2.6 million pairs and more, as two numbers each
+
+
+def test_centroids_of_a_sample_keep_every_model_and_size(spark):
+    rng = np.random.default_rng(19)
+    df = frame(spark, [(i, "m", v) for i, v in enumerate(rng.normal(size=(900, 6)).tolist())] + [(1000, "n", [1.0] * 6)])
+    reps = collapse(usable(df, catalog(spark, m=6, n=6)))[0].select("model", "rep", "vec")
+    km = KMeans.fit(reps, per_cluster=100, sample=8)
+    assert km.sizes == {"m": 900, "n": 1} and len(km.centroids["n"]) == 1 and 1 <= len(km.centroids["m"]) <= 9
+    assert km.assign(reps, 4, 0.1).filter("size(cells) between 1 and 4").count() == 901
+
+
 def test_a_long_chain_settles_and_costs_no_other_group(spark):
     n = 4000
     ring = [(i, "ring", [math.cos(2 * math.pi * i / n), math.sin(2 * math.pi * i / n)]) for i in range(n)]
